@@ -28,29 +28,26 @@ def new_syncs(polls: DataFrame) -> DataFrame:
     return with_last.where("last_seen is not null and last_seen <> succeeded_at")
 
 
-def _moment() -> Column:
-    return F.struct("at", "seq")
-
-
-def decisions(opened: DataFrame, events: DataFrame) -> DataFrame:
+def decisions(opened: DataFrame, events: DataFrame, order: tuple[str, ...] = ("at", "seq")) -> DataFrame:
     """State of every opened incident: what decided it and when, and when it was re-enabled.
 
-    ``opened`` has one row (report_id, opened_at) per incident.
+    ``opened`` has one row (report_id, opened_at) per incident; ``order`` names the columns events are ordered by.
     """
+    moment = F.struct(*order)
     after_opening = events.join(opened, "report_id").where(F.col("at") >= F.col("opened_at"))
     decided = F.col("action").isin(APPROVE, DISMISS)
     first = after_opening.where(decided).groupBy("report_id").agg(
-        F.min(F.struct("at", "seq", "action")).alias("decision")
+        F.min_by(F.struct("at", "seq", "action", moment.alias("moment")), moment).alias("decision")
     )
     approved = first.where(F.col("decision.action") == APPROVE).select(
-        "report_id", F.struct("decision.at", "decision.seq").alias("approval")
+        "report_id", F.col("decision.moment").alias("approval")
     )
     back = (
         after_opening.where(F.col("action") == REENABLE)
         .join(approved, "report_id")
-        .where(_moment() > F.col("approval"))
+        .where(moment > F.col("approval"))
         .groupBy("report_id")
-        .agg(F.min(_moment()).alias("reenabling"))
+        .agg(F.min_by(F.struct("at", "seq"), moment).alias("reenabling"))
     )
     state = (
         F.when(F.col("reenabling").isNotNull(), K.REENABLED)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import psi_band, psi_of_shares, score_multiple
 from ..sources import history as H
+from ..staging import stage
 
 KEY = ["dataset_id", "table_name", "sync_no"]
 
@@ -182,7 +183,9 @@ def compare(members: DataFrame, psi_threshold: float = K.PSI_WATCH, strict: bool
     """Drift reports: one row per comparison.
 
     Without any baseline the row has the status ``no_baseline`` and no verdict; with ``strict`` the job fails.
+    The members are written down first: headers, columns and values are three passes over the same small rows.
     """
+    members = stage(members, "members")
     columns = column_comparison(members)
     per_column = F.struct(
         "position",

@@ -118,7 +118,7 @@ def profile_categorical(spark, d):
         "distinct_count",
         F.col("top_values")[0]["value"].alias("top_value"),
         F.col("top_values")[0]["pct"].alias("top_pct"),
-        F.round("entropy", 5).alias("entropy"),
+        "entropy",
     )
 
 
@@ -155,7 +155,7 @@ def topk_values(spark, d):
 def entropy_by_column(spark, d):
     rows = profile.column_rows(_text_tables(spark, d))
     return rows.select(
-        "table_name", F.col("name").alias("column_name"), F.round("entropy", 5).alias("entropy"),
+        "table_name", F.col("name").alias("column_name"), "entropy",
         F.size("distribution").alias("kept_values"),
     )
 
@@ -188,7 +188,7 @@ def fingerprint_daily(spark, d):
         F.col("max_val").alias("max_value"),
         F.round("mean", 4).alias("mean"),
         F.round("stddev", 4).alias("stddev"),
-        F.round("entropy", 5).alias("entropy"),
+        "entropy",
     )
 
 

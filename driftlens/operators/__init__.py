@@ -1 +1 @@
-from . import drift, incidents, lineage, monitor, ordered, profile, quantiles, risk, selection, triage
+from . import drift, incidents, lineage, monitor, ordered, profile, quantiles, risk, selection, skew, triage

@@ -129,53 +129,59 @@ def column_comparison(members: DataFrame) -> DataFrame:
     )
 
 
-def _shares_map(shares: Column, side: str) -> Column:
-    kept = F.filter(shares, lambda v: v[side] > 0)
-    return F.map_from_entries(F.transform(kept, lambda v: F.struct(v["value"].alias("key"), v[side].alias("value"))))
+def _shares_map(shares: str, side: str) -> str:
+    return f"map_from_entries(transform(filter({shares}, v -> v.{side} > 0), v -> struct(v.value, v.{side})))"
+
+
+def _drift_entry(kind: str, score: str, current: str, baseline: str, anomalous: str) -> str:
+    return (
+        f"named_struct('position', position, 'column_name', column_name, 'drift_type', '{kind}', 'psi_score', {score}, "
+        f"'current_value', {current}, 'baseline_value', {baseline}, 'is_anomalous', {anomalous}, 'shares', shares)"
+    )
 
 
 def _column_drifts(threshold: float) -> Column:
     """Drift entries of one column: the score, and the null shift where it is worth reporting."""
-    empty = F.lit(None).cast("string")
-
-    def entry(kind, score, current, baseline, anomalous):
-        return F.struct(
-            F.lit(kind).alias("drift_type"),
-            score.alias("psi_score"),
-            current.alias("current_value"),
-            baseline.alias("baseline_value"),
-            anomalous.alias("is_anomalous"),
-        )
-
-    score = F.col("score")
-    categorical = entry(
+    categorical = _drift_entry(
         "PSI_CATEGORICAL",
-        score,
-        F.to_json(_shares_map(F.col("shares"), "current")),
-        F.to_json(_shares_map(F.col("shares"), "baseline")),
-        score > threshold,
+        "score",
+        f"to_json({_shares_map('shares', 'current')})",
+        f"to_json({_shares_map('shares', 'baseline')})",
+        f"score > {threshold}D",
     )
-    numeric = entry(
+    numeric = _drift_entry(
         "PSI_NUMERIC",
-        score,
-        F.round("mean", 4).cast("string"),
-        F.round("old_mean", 4).cast("string"),
-        F.col("mean_z") > K.NUMERIC_Z_LIMIT,
+        "score",
+        "cast(round(mean, 4) as string)",
+        "cast(round(old_mean, 4) as string)",
+        f"mean_z > {K.NUMERIC_Z_LIMIT}D",
     )
-    nulls = entry(
+    nulls = _drift_entry(
         "NULL_PCT_CHANGE",
-        F.col("null_shift"),
-        F.round("null_pct", 4).cast("string"),
-        F.round("old_null_pct", 4).cast("string"),
-        F.col("null_shift") > K.NULL_SHIFT_ANOMALOUS,
+        "null_shift",
+        "cast(round(null_pct, 4) as string)",
+        "cast(round(old_null_pct, 4) as string)",
+        f"null_shift > {K.NULL_SHIFT_ANOMALOUS}D",
     )
-    return F.filter(
-        F.array(
-            F.when(score.isNotNull() & F.col("has_values"), categorical),
-            F.when(F.col("mean_z").isNotNull(), numeric),
-            F.when(F.col("null_shift") > K.NULL_SHIFT_REPORTED, nulls),
-        ),
-        lambda e: e.isNotNull(),
+    return F.expr(
+        f"filter(array(case when score is not null and has_values then {categorical} end, "
+        f"case when mean_z is not null then {numeric} end, "
+        f"case when null_shift > {K.NULL_SHIFT_REPORTED}D then {nulls} end), e -> e is not null)"
+    )
+
+
+# Entries are ordered by position, so the first of the best scores wins a tie.
+_BEST = """
+aggregate(filter(compared, c -> c.score is not null),
+  cast(null as struct<name:string,score:double,shares:array<struct<value:string,current:double,baseline:double>>,has_values:boolean>),
+  (acc, c) -> case when acc is null or c.score > acc.score
+    then named_struct('name', c.name, 'score', c.score, 'shares', c.shares, 'has_values', c.has_values) else acc end)
+"""
+
+
+def _names(keep: str) -> Column:
+    return F.expr(
+        f"case when baseline_count > 0 then array_sort(transform(filter(compared, c -> {keep}), c -> c.name)) end"
     )
 
 
@@ -203,38 +209,20 @@ def compare(members: DataFrame, psi_threshold: float = K.PSI_WATCH, strict: bool
     gathered = columns.groupBy(*KEY).agg(F.array_sort(F.collect_list(per_column)).alias("compared"))
     report = _header(members).join(gathered, KEY, "left")
 
-    compared = F.coalesce("compared", F.array())
     missing = F.lit("Cannot compare: no baseline fingerprints exist yet.")
     has_baseline = F.col("baseline_count") > 0
     status = F.when(has_baseline, "compared").otherwise(
         F.raise_error(missing) if strict else F.lit("no_baseline")
     )
-    # entries are ordered by position, so the first of the best scores wins a tie
-    best = F.aggregate(
-        F.filter(compared, lambda c: c["score"].isNotNull()),
-        F.lit(None).cast("struct<name:string,score:double,shares:array<struct<value:string,current:double,baseline:double>>,has_values:boolean>"),
-        lambda acc, c: F.when(
-            acc.isNull() | (c["score"] > acc["score"]),
-            F.struct(
-                c["name"].alias("name"),
-                c["score"].alias("score"),
-                c["shares"].alias("shares"),
-                c["has_values"].alias("has_values"),
-            ),
-        ).otherwise(acc),
-    )
-
-    def names(keep):
-        return F.array_sort(F.transform(F.filter(compared, keep), lambda c: c["name"]))
-
-    report = (
-        report.withColumn("status", status)
-        .withColumn("best", best)
-        .withColumn("columns_added", F.when(has_baseline, names(lambda c: c["old_columns"] == 0)))
-        .withColumn("columns_removed", F.when(has_baseline, names(lambda c: c["position"].isNull())))
-        .withColumn("columns_type_changed", F.when(has_baseline, names(lambda c: c["type_changed"])))
-        .withColumn("raw_score", F.coalesce(F.col("best.score"), F.lit(0.0)))
-    )
+    report = report.withColumns(
+        {
+            "status": status,
+            "best": F.expr(_BEST),
+            "columns_added": _names("c.old_columns = 0"),
+            "columns_removed": _names("c.position is null"),
+            "columns_type_changed": _names("c.type_changed"),
+        }
+    ).withColumn("raw_score", F.coalesce(F.col("best.score"), F.lit(0.0)))
     over = F.col("raw_score") > psi_threshold
     rows_off = F.abs("row_count_z") > K.ROW_COUNT_Z_LIMIT
     added, removed = F.size("columns_added") > 0, F.size("columns_removed") > 0
@@ -255,7 +243,6 @@ def compare(members: DataFrame, psi_threshold: float = K.PSI_WATCH, strict: bool
         F.when(removed, F.concat(F.lit("columns removed: "), listed("columns_removed"))),
     )
     anomalous = F.when(has_baseline, over | rows_off | added | removed)
-    distribution = F.when(F.col("best.has_values"), F.col("best.shares"))
     return report.select(
         *KEY,
         F.left(F.sha2(F.concat_ws("|", F.lit("report"), "fingerprint_id"), 256), F.lit(32)).alias("report_id"),
@@ -276,35 +263,19 @@ def compare(members: DataFrame, psi_threshold: float = K.PSI_WATCH, strict: bool
         "columns_added",
         "columns_removed",
         "columns_type_changed",
-        F.when(
-            has_baseline,
-            F.flatten(
-                F.transform(
-                    F.filter(compared, lambda c: c["position"].isNotNull()),
-                    lambda c: F.transform(
-                        c["drifts"],
-                        lambda d: F.struct(
-                            c["position"].alias("position"),
-                            c["name"].alias("column_name"),
-                            d["drift_type"].alias("drift_type"),
-                            d["psi_score"].alias("psi_score"),
-                            d["current_value"].alias("current_value"),
-                            d["baseline_value"].alias("baseline_value"),
-                            d["is_anomalous"].alias("is_anomalous"),
-                            c["shares"].alias("shares"),
-                        ),
-                    ),
-                )
-            ),
+        F.expr(
+            "case when baseline_count > 0 then "
+            "flatten(transform(filter(compared, c -> c.position is not null), c -> c.drifts)) end"
         ).alias("column_drifts"),
         anomalous.alias("is_anomalous"),
         F.when(anomalous, reason).alias("anomaly_reason"),
-        F.coalesce(_shares_map(distribution, "current"), F.create_map().cast("map<string,double>")).alias(
-            "max_psi_current_dist"
-        ),
-        F.coalesce(_shares_map(distribution, "baseline"), F.create_map().cast("map<string,double>")).alias(
-            "max_psi_baseline_dist"
-        ),
+        *[
+            F.expr(
+                f"coalesce({_shares_map('case when best.has_values then best.shares end', side)}, "
+                "cast(map() as map<string,double>))"
+            ).alias(f"max_psi_{side}_dist")
+            for side in ("current", "baseline")
+        ],
     )
 
 

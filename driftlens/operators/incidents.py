@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import not_blank, seconds_between
 from .ordered import previous_value
+from .skew import SALT, salted_join
 
 # The actions an operator can take.
 APPROVE, DISMISS, REENABLE, INVESTIGATE = "approve", "dismiss", "reenable", "investigate"
@@ -34,21 +35,20 @@ def decisions(opened: DataFrame, events: DataFrame, order: tuple[str, ...] = ("a
     ``opened`` has one row (report_id, opened_at) per incident; ``order`` names the columns events are ordered by.
     """
     moment = F.struct(*order)
-    after_opening = events.join(opened, "report_id").where(F.col("at") >= F.col("opened_at"))
-    decided = F.col("action").isin(APPROVE, DISMISS)
-    first = after_opening.where(decided).groupBy("report_id").agg(
-        F.min_by(F.struct("at", "seq", "action", moment.alias("moment")), moment).alias("decision")
-    )
+    # a busy incident may own most of the log: its events are spread by salt, reduced there, and combined
+    after_opening = salted_join(events, opened, ["report_id"], ["seq"]).where(F.col("at") >= F.col("opened_at"))
+
+    def first_of(rows: DataFrame, name: str) -> DataFrame:
+        event = F.struct("at", "seq", "action", moment.alias("moment"))
+        per_salt = rows.groupBy("report_id", SALT).agg(F.min_by(event, moment).alias(name))
+        return per_salt.groupBy("report_id").agg(F.min_by(name, f"{name}.moment").alias(name))
+
+    first = first_of(after_opening.where(F.col("action").isin(APPROVE, DISMISS)), "decision")
     approved = first.where(F.col("decision.action") == APPROVE).select(
         "report_id", F.col("decision.moment").alias("approval")
     )
-    back = (
-        after_opening.where(F.col("action") == REENABLE)
-        .join(approved, "report_id")
-        .where(moment > F.col("approval"))
-        .groupBy("report_id")
-        .agg(F.min_by(F.struct("at", "seq"), moment).alias("reenabling"))
-    )
+    returns = salted_join(events.where(F.col("action") == REENABLE), approved, ["report_id"], ["seq"])
+    back = first_of(returns.where(moment > F.col("approval")), "reenabling")
     state = (
         F.when(F.col("reenabling").isNotNull(), K.REENABLED)
         .when(F.col("decision.action") == APPROVE, K.QUARANTINED)
@@ -73,7 +73,7 @@ def decisions(opened: DataFrame, events: DataFrame, order: tuple[str, ...] = ("a
 
 def event_outcomes(decided: DataFrame, events: DataFrame) -> DataFrame:
     """What each event led to: the state change it caused, or its rejection."""
-    joined = events.join(decided.drop("decision"), "report_id", "left")
+    joined = salted_join(events, decided.drop("decision"), ["report_id"], ["seq"], "left")
     decides = F.col("seq").eqNullSafe(F.col("decided_seq")) & F.col("at").eqNullSafe(F.col("decided_at"))
     restores = F.col("seq").eqNullSafe(F.col("reenabled_seq")) & F.col("at").eqNullSafe(F.col("reenabled_at"))
     action = F.col("action")

@@ -136,41 +136,29 @@ def models_sql(nodes: DataFrame, names: DataFrame) -> DataFrame:
     )
 
 
-def summary_lines(blast: DataFrame) -> DataFrame:
-    """One text line per affected node, to be read in ``line_no`` order (the heading is line 0)."""
-    subject = F.concat_ws(".", "source_table", "changed_column")
-    line = F.concat(
-        F.lit("  ["),
-        F.upper("severity"),
-        F.lit("] "),
-        F.col("node_type"),
-        F.lit(": "),
-        F.col("name"),
-        F.coalesce(F.concat(F.lit(" (owner: "), F.col("owner"), F.lit(")")), F.lit("")),
-        F.when(F.col("references_column"), " [references column]").otherwise(""),
-    )
-    heading = blast.select(
-        "source_table", "changed_column", F.lit(0).alias("hop"), F.lit("").alias("uid"),
-        F.concat(F.lit("Blast radius for "), subject, F.lit(":")).alias("line"),
-    ).distinct()
-    return heading.unionByName(blast.select("source_table", "changed_column", "hop", "uid", line.alias("line")))
-
+def summary_lines(requests: DataFrame, blast: DataFrame) -> DataFrame:
+    """The text summary of every requested (source_table, changed_column): a heading, then one line per node.
 
-def summary_text(requests: DataFrame, blast: DataFrame) -> DataFrame:
-    """The report text per requested (source_table, changed_column), for manifests small enough to read as text.
-
-    Requests without downstream nodes, or with an unknown source, say so.
+    Lines read in (hop, uid) order. A request without downstream nodes, or with an unknown source, says so.
     """
     key = ["source_table", "changed_column"]
-    text = summary_lines(blast).groupBy(*key).agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("hop", "uid", "line"))), lambda r: r["line"]), "\n"
-        ).alias("summary")
+    subject = F.concat_ws(".", *key)
+    owner = F.coalesce(F.concat(F.lit(" (owner: "), F.col("owner"), F.lit(")")), F.lit(""))
+    flag = F.when(F.col("references_column"), " [references column]").otherwise("")
+    line = F.concat(
+        F.lit("  ["), F.upper("severity"), F.lit("] "), F.col("node_type"), F.lit(": "), F.col("name"), owner, flag
     )
-    nothing = F.concat(F.lit("No downstream dependencies for "), F.concat_ws(".", *key))
-    return requests.select(*key).distinct().join(text, key, "left").select(
-        *key, F.coalesce("summary", nothing).alias("summary")
+    asked = requests.select(*key).distinct()
+    found = blast.select(*key).distinct().withColumn("found", F.lit(True))
+    headings = asked.join(found, key, "left").select(
+        *key,
+        F.lit(0).alias("hop"),
+        F.lit("").alias("uid"),
+        F.when(F.col("found"), F.concat(F.lit("Blast radius for "), subject, F.lit(":")))
+        .otherwise(F.concat(F.lit("No downstream dependencies for "), subject))
+        .alias("line"),
     )
+    return headings.unionByName(blast.select(*key, "hop", "uid", line.alias("line")))
 
 
 def display_nodes(blast: DataFrame, starts: DataFrame) -> DataFrame:

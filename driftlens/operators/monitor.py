@@ -90,23 +90,22 @@ def summary(log: DataFrame, states: DataFrame, watched: DataFrame, preferred_tab
     newest = log.agg(
         F.max(F.when(F.col("table_name") == preferred_table, entry)).alias("preferred"), F.max(entry).alias("overall")
     ).select(F.coalesce("preferred", "overall").alias("latest"))
-    open_incidents = states.agg(F.count_if(F.col("state") == K.PENDING).alias("active_incidents"))
-    tables = watched.agg(F.count(F.lit(1)).alias("tables_watched"))
-    one = F.lit(1)
-    return (
-        tables.withColumn("one", one)
-        .join(open_incidents.withColumn("one", one), "one")
-        .join(newest.withColumn("one", one), "one")
-        .select(
-            "tables_watched",
-            "active_incidents",
-            F.lit(K.PSI_WATCH).alias("psi_threshold"),
-            F.lit(K.BASELINE_SYNCS).alias("baseline_age"),
-            F.col("latest.psi").alias("latest_psi"),
-            F.col("latest.column_name").alias("latest_psi_column"),
-            F.col("latest.logged_at").alias("latest_checked_at"),
-            F.coalesce("latest.is_anomalous", F.lit(False)).alias("is_anomalous"),
-        )
+    open_incidents = states.agg(F.count_if(F.col("state") == K.PENDING))
+    return watched.agg(F.count(F.lit(1)).alias("tables_watched")).select(
+        "tables_watched",
+        open_incidents.scalar().alias("active_incidents"),
+        F.lit(K.PSI_WATCH).alias("psi_threshold"),
+        F.lit(K.BASELINE_SYNCS).alias("baseline_age"),
+        newest.scalar().alias("latest"),
+    ).select(
+        "tables_watched",
+        "active_incidents",
+        "psi_threshold",
+        "baseline_age",
+        F.col("latest.psi").alias("latest_psi"),
+        F.col("latest.column_name").alias("latest_psi_column"),
+        F.col("latest.logged_at").alias("latest_checked_at"),
+        F.coalesce("latest.is_anomalous", F.lit(False)).alias("is_anomalous"),
     )
 
 

@@ -19,40 +19,44 @@ from .selection import CATEGORICAL, ProfiledColumn, profiled_columns
 TOP_TYPE = "array<struct<value:string,cnt:bigint>>"
 
 
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _identifier(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def _column_statistics(
     column: ProfiledColumn, distinct: str, accuracy: int, approximate_top: bool, tracked_values: int
-) -> Column:
-    c = F.col(f"`{column.name}`")
-    rows = F.count(F.lit(1))
-    numeric = column.kind != CATEGORICAL
-    x = c.cast("double")
-    none = F.lit(None).cast("double")
-    quantiles = F.percentile_approx(x, [p / 100 for p in K.QUANTILE_PERCENTS], accuracy)
-    top = F.lit(None).cast(TOP_TYPE)
-    if approximate_top and not numeric:
-        label = value_key(c, column.data_type)
-        sketch = F.call_function("approx_top_k", label, F.lit(K.TOP_VALUES), F.lit(tracked_values))
-        top = F.transform(sketch, lambda e: F.struct(e["item"].alias("value"), e["count"].alias("cnt")))
-    return F.struct(
-        F.lit(column.position).alias("position"),
-        F.lit(column.name).alias("name"),
-        F.lit(column.data_type.simpleString()).alias("data_type"),
-        F.lit(column.kind).alias("kind"),
-        F.coalesce(F.round(F.try_divide(rows - F.count(c), rows), 6), F.lit(0.0)).alias("null_pct"),
-        (F.count_distinct(c) if distinct == "exact" else F.approx_count_distinct(c)).alias("distinct_count"),
-        (F.min(x) if numeric else none).alias("min_val"),
-        (F.max(x) if numeric else none).alias("max_val"),
-        (F.avg(x) if numeric else none).alias("mean"),
-        (F.stddev_samp(x) if numeric else none).alias("stddev"),
-        (quantiles if numeric else F.lit(None).cast("array<double>")).alias("quantiles"),
-        top.alias("top"),
+) -> str:
+    """The aggregate expressions of one column, as one SQL struct."""
+    c = _identifier(column.name)
+    x = f"cast({c} as double)"
+    if column.kind == CATEGORICAL:
+        label = f"initcap(cast({c} as string))" if isinstance(column.data_type, T.BooleanType) else f"cast({c} as string)"
+        sketch = f"approx_top_k(coalesce({label}, '{K.NULL_KEY}'), {K.TOP_VALUES}, {tracked_values})"
+        top = f"transform({sketch}, e -> named_struct('value', e.item, 'cnt', e.count))"
+        moments = ["cast(null as double)"] * 4 + ["cast(null as array<double>)"]
+        moments.append(top if approximate_top else f"cast(null as {TOP_TYPE})")
+    else:
+        percents = ", ".join(f"{p / 100}D" for p in K.QUANTILE_PERCENTS)
+        moments = [f"min({x})", f"max({x})", f"avg({x})", f"stddev_samp({x})"]
+        moments += [f"percentile_approx({x}, array({percents}), {accuracy})", f"cast(null as {TOP_TYPE})"]
+    distinct_count = f"count(distinct {c})" if distinct == "exact" else f"approx_count_distinct({c})"
+    named = zip(("min_val", "max_val", "mean", "stddev", "quantiles", "top"), moments, strict=True)
+    return (
+        f"named_struct('position', {column.position}, 'name', {_text(column.name)}, "
+        f"'data_type', {_text(column.data_type.simpleString())}, 'kind', '{column.kind}', "
+        f"'null_pct', coalesce(round(try_divide(count(1) - count({c}), count(1)), 6), 0D), "
+        f"'distinct_count', {distinct_count}, " + ", ".join(f"'{n}', {e}" for n, e in named) + ")"
     )
 
 
 def value_counts(df: DataFrame, keys: list[str], columns: list[ProfiledColumn]) -> DataFrame:
     """Rows per (keys, column position, value) of the given columns, values as distribution keys."""
     labelled = df.select(
-        *keys, *[value_key(F.col(f"`{c.name}`"), c.data_type).alias(str(c.position)) for c in columns]
+        *keys, *[value_key(F.col(_identifier(c.name)), c.data_type).alias(str(c.position)) for c in columns]
     )
     positions = [str(c.position) for c in columns]
     long = labelled.unpivot(list(keys), positions, "position", "value")
@@ -73,44 +77,30 @@ def schema_hash(schema: T.StructType) -> Column:
     return F.left(F.sha2(F.concat_ws(",", F.array_sort(entries)), 256), F.lit(16))
 
 
-def _nested_column(c: Column, row_count: Column, top: Column) -> Column:
-    def share(cnt: Column) -> Column:
-        return F.coalesce(F.try_divide(cnt, row_count), F.lit(0.0))
-
-    # the exact counts come as one map by column position, the sketch comes inside the statistics
-    exact = F.try_element_at(top, c["position"])
-    values = F.coalesce(exact, c["top"], F.array().cast(TOP_TYPE))
-    ordered = F.array_sort(
-        values,
-        lambda a, b: F.when(a["cnt"] > b["cnt"], -1)
-        .when(a["cnt"] < b["cnt"], 1)
-        .when(a["value"] < b["value"], -1)
-        .when(a["value"] > b["value"], 1)
-        .otherwise(0),
-    )
-    shares = F.transform(values, lambda v: share(v["cnt"]))
-    return F.struct(
-        c["position"].alias("position"),
-        c["name"].alias("name"),
-        c["data_type"].alias("data_type"),
-        c["kind"].alias("kind"),
-        c["null_pct"].alias("null_pct"),
-        c["distinct_count"].alias("distinct_count"),
-        F.transform(
-            ordered,
-            lambda v: F.struct(
-                v["value"].alias("value"), v["cnt"].alias("cnt"), F.round(share(v["cnt"]), 6).alias("pct")
-            ),
-        ).alias("top_values"),
-        c["min_val"].alias("min_val"),
-        c["max_val"].alias("max_val"),
-        c["mean"].alias("mean"),
-        c["stddev"].alias("stddev"),
-        *[F.try_element_at(c["quantiles"], F.lit(i + 1)).alias(f"p{p}") for i, p in enumerate(K.QUANTILE_PERCENTS)],
-        F.when(c["kind"] == CATEGORICAL, entropy_of(shares)).alias("entropy"),
-        F.map_from_entries(
-            F.transform(values, lambda v: F.struct(v["value"].alias("key"), share(v["cnt"]).alias("value")))
-        ).alias("distribution"),
+# The finished column entry. Exact counts come as one map by column position, sketched ones inside the statistics.
+_COUNTED = f"""
+transform(stats, c -> named_struct('c', c, 'kept', array_sort(
+  coalesce(try_element_at(top, c.position), c.top, cast(array() as {TOP_TYPE})),
+  (a, b) -> case when a.cnt > b.cnt then -1 when a.cnt < b.cnt then 1
+                 when a.value < b.value then -1 when a.value > b.value then 1 else 0 end)))
+"""
+_ENTRY = f"""
+transform({_COUNTED}, r -> named_struct(
+  'position', r.c.position, 'name', r.c.name, 'data_type', r.c.data_type, 'kind', r.c.kind,
+  'null_pct', r.c.null_pct, 'distinct_count', r.c.distinct_count,
+  'top_values', transform(r.kept, v -> named_struct(
+     'value', v.value, 'cnt', v.cnt, 'pct', round(coalesce(try_divide(v.cnt, row_count), 0D), 6))),
+  'min_val', r.c.min_val, 'max_val', r.c.max_val, 'mean', r.c.mean, 'stddev', r.c.stddev,
+  {", ".join(f"'p{p}', try_element_at(r.c.quantiles, {i + 1})" for i, p in enumerate(K.QUANTILE_PERCENTS))},
+  'shares', transform(r.kept, v -> coalesce(try_divide(v.cnt, row_count), 0D)),
+  'distribution', map_from_entries(transform(r.kept, v -> struct(v.value, coalesce(try_divide(v.cnt, row_count), 0D))))))
+"""
+
+
+def _with_entropy(columns: Column) -> Column:
+    return F.transform(
+        columns,
+        lambda c: c.withField("entropy", F.when(c["kind"] == CATEGORICAL, entropy_of(c["shares"]))).dropFields("shares"),
     )
 
 
@@ -141,13 +131,15 @@ def fingerprints(
         df = df.where(live_rows(F.col(K.DELETED_FLAG)))
     source = df.select(
         computed_at.alias("__sync") if per_sync else F.lit(0).alias("__sync"),
-        *[F.col(f"`{c.name}`") for c in columns],
+        *[F.col(_identifier(c.name)) for c in columns],
     )
     grouped = source.groupBy("__sync") if per_sync else source
     statistics = grouped.agg(
         F.count(F.lit(1)).alias("row_count"),
-        F.array(
-            *[_column_statistics(c, distinct, accuracy, top == "approx", tracked_values) for c in columns]
+        F.expr(
+            "array("
+            + ", ".join(_column_statistics(c, distinct, accuracy, top == "approx", tracked_values) for c in columns)
+            + ")"
         ).alias("stats"),
     )
     if not per_sync:
@@ -183,7 +175,7 @@ def fingerprints(
         F.lit(table_name).alias("table_name"),
         "row_count",
         schema_hash(df.schema).alias("schema_hash"),
-        F.transform("stats", lambda c: _nested_column(c, F.col("row_count"), F.col("top"))).alias("columns"),
+        _with_entropy(F.expr(_ENTRY)).alias("columns"),
     )
 
 

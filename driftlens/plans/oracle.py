@@ -610,7 +610,8 @@ _sql(
     _REACH
     + """SELECT source_table, uid, '  [' || upper(severity) || '] ' || node_type || ': ' || name ||
   coalesce(' (owner: ' || owner || ')', '') || CASE WHEN references_column THEN ' [references column]' ELSE '' END AS line FROM blast
-UNION ALL SELECT DISTINCT source_table, '', 'Blast radius for ' || source_table || '.r_name:' FROM blast""",
+UNION ALL SELECT DISTINCT source_table, '', 'Blast radius for ' || source_table || '.r_name:' FROM blast
+UNION ALL SELECT 'not ' || r_name, '', 'No downstream dependencies for not ' || r_name || '.r_name' FROM region""",
 )
 _sql(
     "owners",

@@ -62,8 +62,7 @@ def freshness(spark, d):
     wanted = spark.createDataFrame([(t,) for t in [*TABLES, "not_loaded"]], "table_name string")
     metadata = table_metadata({t: read_table(spark, d, t) for t in TABLES})
     ages = monitor.freshness(wanted, metadata, F.current_timestamp())
-    stale = monitor.any_stale(ages).withColumn("one", F.lit(1))
-    return monitor.freshness_bands(ages).withColumn("one", F.lit(1)).join(stale, "one").drop("one")
+    return monitor.freshness_bands(ages).withColumn("any_stale", monitor.any_stale(ages).scalar())
 
 
 # --- profiles --------------------------------------------------------------------------------------------------
@@ -546,9 +545,13 @@ def blast_display(spark, d):
 
 @query
 def blast_summary(spark, d):
-    """Summary lines of each region's blast radius."""
+    """Summary lines of each region's blast radius, and of as many unknown sources."""
     nodes, edge_rows, starts = _region_blast(spark, d)
-    return lineage.summary_lines(lineage.blast_radius(nodes, edge_rows, starts)).select("source_table", "uid", "line")
+    unknown = read_table(spark, d, "region").select(
+        F.concat(F.lit("not "), "r_name").alias("source_table"), F.lit("r_name").alias("changed_column")
+    )
+    blast = lineage.blast_radius(nodes, edge_rows, starts)
+    return lineage.summary_lines(R.region_starts(spark, d).unionByName(unknown), blast).select("source_table", "uid", "line")
 
 
 @query
@@ -632,9 +635,9 @@ def relabel(spark, d):
         F.lit(R.RENAMED_SEGMENT[0]).alias("old_value"), F.lit(R.RENAMED_SEGMENT[1]).alias("new_value")
     ).distinct()
     renamed = selection.relabel_all(customer, "c_mktsegment", mapping)
-    touched = selection.affected_rows(customer, "c_mktsegment", R.RENAMED_SEGMENT[0]).withColumn("one", F.lit(1))
+    touched = selection.affected_rows(customer, "c_mktsegment", R.RENAMED_SEGMENT[0])
     counts = renamed.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("rows"))
-    return counts.withColumn("one", F.lit(1)).join(touched, "one").drop("one")
+    return counts.withColumn("affected_rows", touched.scalar())
 
 
 # --- monitoring ------------------------------------------------------------------------------------------------

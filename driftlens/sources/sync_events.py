@@ -38,18 +38,10 @@ def accepted(events: DataFrame) -> DataFrame:
 
 
 def fan_out(syncs: DataFrame, watched: DataFrame) -> DataFrame:
-    """Every detected sync triggers a check of every watched table of its dataset list.
+    """Every detected sync triggers a check of every watched table.
 
-    ``watched`` is the configured watch list. It travels inside each row as one array, so a sync is copied
-    once per watched table and nothing is shuffled.
+    ``watched`` is the configured watch list. It is read once, as a scalar subquery, and each sync is copied per
+    watched table in place: nothing is shuffled.
     """
-    targets = watched.agg(F.collect_list(F.struct("dataset_id", "table_name")).alias("targets"))
-    keyed = targets.withColumn("one", F.lit(1))
-    return (
-        syncs.withColumn("one", F.lit(1))
-        .join(F.broadcast(keyed), "one")
-        .drop("one")
-        .withColumn("target", F.explode("targets"))
-        .select("*", "target.*")
-        .drop("target", "targets")
-    )
+    targets = watched.agg(F.collect_list(F.struct("dataset_id", "table_name"))).scalar()
+    return syncs.withColumn("target", F.explode(targets)).select(*syncs.columns, "target.*")

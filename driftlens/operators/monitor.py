@@ -31,7 +31,9 @@ def freshness(
 
 def freshness_bands(ages: DataFrame) -> DataFrame:
     """Share of the threshold used up, at most 100, and its colour."""
-    used = F.least(F.col("age_seconds") / F.col("threshold_seconds") * 100, F.lit(100.0))
+    used = F.when(
+        F.col("age_seconds").isNotNull(), F.least(F.col("age_seconds") / F.col("threshold_seconds") * 100, F.lit(100.0))
+    )
     return ages.withColumn("used_pct", used).withColumn(
         "band",
         F.when(F.col("used_pct") >= 100, "red").when(F.col("used_pct") >= 75, "amber").when(

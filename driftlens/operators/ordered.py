@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 from ..staging import stage
 
 
-def in_chunks(df: DataFrame, order: list[str]) -> DataFrame:
+def in_chunks(df: DataFrame, order: list[str], chunks: int | None = None) -> DataFrame:
     """Rows with the number of their range partition. The order must be total, or ties share a chunk.
 
-    Written once: range bounds are sampled, and both passes over the chunks must see the same ones.
+    Written once: range bounds are sampled, and both passes over the chunks must see the same ones. Without a number
+    the session's shuffle partitions are used, merged where they turn out small.
     """
-    placed = df.repartitionByRange(*order).withColumn("chunk", F.spark_partition_id())
+    ranged = df.repartitionByRange(chunks, *order) if chunks else df.repartitionByRange(*order)
+    placed = ranged.withColumn("chunk", F.spark_partition_id())
     return stage(placed, "chunks")
 
 
@@ -31,34 +33,40 @@ def _carried(chunks: DataFrame, per_chunk: DataFrame, group: list[str]) -> DataF
 
 
 def running_totals(
-    df: DataFrame, order: list[str], totals: dict[str, Column], group: list[str] | None = None
+    df: DataFrame,
+    order: list[str],
+    totals: dict[str, Column],
+    group: list[str] | None = None,
+    chunks: int | None = None,
 ) -> DataFrame:
     """Add a running sum per entry of ``totals`` (name -> summed expression), inclusive of the row itself."""
     group = group or []
     names = list(totals)
-    chunks = in_chunks(df.withColumns({f"__{n}": c for n, c in totals.items()}), [*group, *order])
+    placed = in_chunks(df.withColumns({f"__{n}": c for n, c in totals.items()}), [*group, *order], chunks)
     so_far = Window.partitionBy(*group, "chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.partitionBy(*group).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     per_chunk = (
-        chunks.groupBy(*group, "chunk")
+        placed.groupBy(*group, "chunk")
         .agg(*[F.sum(f"__{n}").alias(n) for n in names])
         .select(*group, "chunk", *[F.sum(n).over(earlier).alias(f"__before_{n}") for n in names])
     )
-    local = chunks.withColumns({f"__local_{n}": F.sum(f"__{n}").over(so_far) for n in names})
+    local = placed.withColumns({f"__local_{n}": F.sum(f"__{n}").over(so_far) for n in names})
     return _carried(local, per_chunk, group).select(
         *df.columns,
         *[(F.coalesce(f"__before_{n}", F.lit(0)) + F.col(f"__local_{n}")).alias(n) for n in names],
     )
 
 
-def previous_value(df: DataFrame, group: list[str], order: list[str], value: str, name: str) -> DataFrame:
+def previous_value(
+    df: DataFrame, group: list[str], order: list[str], value: str, name: str, chunks: int | None = None
+) -> DataFrame:
     """Add the previous row's ``value`` within the group; ``value`` must not be null."""
-    chunks = in_chunks(df, [*group, *order])
+    placed = in_chunks(df, [*group, *order], chunks)
     inside = Window.partitionBy(*group, "chunk").orderBy(*order)
-    last = chunks.groupBy(*group, "chunk").agg(F.max_by(value, F.struct(*order)).alias("__last"))
+    last = placed.groupBy(*group, "chunk").agg(F.max_by(value, F.struct(*order)).alias("__last"))
     across = Window.partitionBy(*group).orderBy("chunk")
     carried = last.select(*group, "chunk", F.lag("__last").over(across).alias("__carried"))
-    local = chunks.withColumn("__local", F.lag(value).over(inside))
+    local = placed.withColumn("__local", F.lag(value).over(inside))
     return _carried(local, carried, group).select(
         *df.columns, F.coalesce("__local", "__carried").alias(name)
     )

@@ -16,6 +16,7 @@ from ..sources import history as H
 from ..staging import stage
 
 KEY = ["dataset_id", "table_name", "sync_no"]
+_TOTALS = "array<struct<value:string,current:double,old_total:double>>"
 
 
 def rolling_members(fingerprints: DataFrame, n: int = K.BASELINE_SYNCS) -> DataFrame:
@@ -91,40 +92,29 @@ def column_comparison(members: DataFrame) -> DataFrame:
         .groupBy(*KEY, "column_name")
         .agg(F.array_sort(F.collect_list(F.struct("value", "current", "old_total"))).alias("totals"))
     )
-    mean_share = F.transform(
-        F.coalesce("totals", F.array().cast("array<struct<value:string,current:double,old_total:double>>")),
-        lambda v: F.struct(
-            v["value"].alias("value"),
-            v["current"].alias("current"),
-            F.coalesce(F.try_divide(v["old_total"], F.col("old_distributions")), F.lit(0.0)).alias("baseline"),
-        ),
-    )
-    z = F.abs((F.col("mean") - F.col("old_mean")) / F.col("old_stddev"))
-    compared = F.col("position").isNotNull() & (F.col("old_columns") > 0)
-    numeric = ~F.col("has_values") & F.col("mean").isNotNull() & F.col("old_mean").isNotNull()
+    numeric = "(not has_values and mean is not null and old_mean is not null)"
     return (
         stats.join(values, [*KEY, "column_name"], "left")
-        .withColumn("shares", mean_share)
-        .drop("totals")
-        .withColumn("mean_z", F.when(compared & numeric, F.when(F.col("old_stddev") > 0, z).otherwise(0.0)))
-        .withColumn(
-            "score",
-            F.when(compared & F.col("has_values"), psi_of_shares(F.col("shares"))).when(
+        .selectExpr(
+            "* except(totals)",
+            f"transform(coalesce(totals, cast(array() as {_TOTALS})), v -> named_struct('value', v.value, "
+            "'current', v.current, 'baseline', coalesce(try_divide(v.old_total, old_distributions), 0D))) as shares",
+            "position is not null and old_columns > 0 as in_both",
+            f"case when position is not null and old_columns > 0 and {numeric} then "
+            "case when old_stddev > 0 then abs((mean - old_mean) / old_stddev) else 0D end end as mean_z",
+        )
+        .select(
+            "*",
+            F.when(F.col("in_both") & F.col("has_values"), psi_of_shares(F.col("shares")))
+            .when(
                 F.col("mean_z").isNotNull(),
                 F.least(F.col("mean_z") / K.NUMERIC_Z_LIMIT, F.lit(K.NUMERIC_SCORE_CAP)),
-            ),
-        )
-        .withColumn("null_shift", F.when(compared, F.abs(F.col("null_pct") - F.col("old_null_pct"))))
-        .withColumn(
-            "type_changed",
-            F.coalesce(
-                compared
-                & (
-                    (F.col("data_type") != F.col("old_data_type"))
-                    | (F.col("data_type") != F.col("other_old_data_type"))
-                ),
-                F.lit(False),
-            ),
+            )
+            .alias("score"),
+            F.expr("case when in_both then abs(null_pct - old_null_pct) end").alias("null_shift"),
+            F.expr(
+                "coalesce(in_both and (data_type <> old_data_type or data_type <> other_old_data_type), false)"
+            ).alias("type_changed"),
         )
     )
 

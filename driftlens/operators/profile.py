@@ -8,6 +8,8 @@ near-unique column over all tasks; each task then keeps its own best twenty befo
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,7 +30,7 @@ def _identifier(name: str) -> str:
 
 
 def _column_statistics(
-    column: ProfiledColumn, distinct: str, accuracy: int, approximate_top: bool, tracked_values: int
+    column: ProfiledColumn, exact_distinct: bool, accuracy: int, approximate_top: bool, tracked_values: int
 ) -> str:
     """The aggregate expressions of one column, as one SQL struct."""
     c = _identifier(column.name)
@@ -43,7 +45,7 @@ def _column_statistics(
         percents = ", ".join(f"{p / 100}D" for p in K.QUANTILE_PERCENTS)
         moments = [f"min({x})", f"max({x})", f"avg({x})", f"stddev_samp({x})"]
         moments += [f"percentile_approx({x}, array({percents}), {accuracy})", f"cast(null as {TOP_TYPE})"]
-    distinct_count = f"count(distinct {c})" if distinct == "exact" else f"approx_count_distinct({c})"
+    distinct_count = "cast(null as bigint)" if exact_distinct else f"approx_count_distinct({c})"
     named = zip(("min_val", "max_val", "mean", "stddev", "quantiles", "top"), moments, strict=True)
     return (
         f"named_struct('position', {column.position}, 'name', {_text(column.name)}, "
@@ -87,7 +89,8 @@ transform(stats, c -> named_struct('c', c, 'kept', array_sort(
 _ENTRY = f"""
 transform({_COUNTED}, r -> named_struct(
   'position', r.c.position, 'name', r.c.name, 'data_type', r.c.data_type, 'kind', r.c.kind,
-  'null_pct', r.c.null_pct, 'distinct_count', r.c.distinct_count,
+  'null_pct', r.c.null_pct,
+  'distinct_count', coalesce(r.c.distinct_count, try_element_at(distincts, r.c.position), 0L),
   'top_values', transform(r.kept, v -> named_struct(
      'value', v.value, 'cnt', v.cnt, 'pct', round(coalesce(try_divide(v.cnt, row_count), 0D), 6))),
   'min_val', r.c.min_val, 'max_val', r.c.max_val, 'mean', r.c.mean, 'stddev', r.c.stddev,
@@ -104,81 +107,161 @@ def _with_entropy(columns: Column) -> Column:
     )
 
 
-def fingerprints(
-    df: DataFrame,
-    dataset_id: str,
-    table_name: str,
-    computed_at: Column,
-    *,
-    per_sync: bool = True,
-    profile_columns: list[str] | None = None,
-    connection_id: str = "local",
-    project_id: str = "local",
-    is_synthetic: bool = False,
-    top: str = "exact",
-    distinct: str = "approx",
-    accuracy: int = 10_000,
-    tracked_values: int = 10_000,
-) -> DataFrame:
-    """Fingerprint a table: one row per sync, or one row in all when ``per_sync`` is off.
+class Load(NamedTuple):
+    """A table to profile: ``computed_at`` is the sync time, a column of ``df`` (each distinct value is one sync), or
+    a literal when the whole table is one sync (``per_sync`` off)."""
+
+    df: DataFrame
+    dataset_id: str
+    table_name: str
+    computed_at: Column
+    per_sync: bool = True
+    profile_columns: list[str] | None = None
+    connection_id: str = "local"
+    project_id: str = "local"
+    is_synthetic: bool = False
+
+
+_TABLE = ["dataset_id", "table_name", "connection_id", "project_id", "is_synthetic", "schema_hash", "computed_at"]
+
 
-    ``computed_at`` is the sync time: a column of ``df`` (each distinct value is one sync), or a literal for a
-    whole-table profile. ``top="approx"`` replaces the exact value counts by a mergeable sketch, which needs no
-    shuffle by value and no second scan: the choice for wide tables and near-unique columns.
+def distinct_counts(df: DataFrame, keys: list[str], columns: list[ProfiledColumn]) -> DataFrame:
+    """Exact distinct counts per (keys, column position), nulls left out.
+
+    Columns of like type are stacked and grouped by value, so that a near-unique column is spread over all tasks and
+    never held in one.
     """
-    columns = profiled_columns(df.schema, profile_columns)
+    kinds = {"bigint": [], "double": [], "string": []}
+    for c in columns:
+        if isinstance(c.data_type, T.IntegralType):
+            kinds["bigint"].append(c)
+        elif isinstance(c.data_type, T.FractionalType) and not isinstance(c.data_type, T.DecimalType):
+            kinds["double"].append(c)
+        else:
+            kinds["string"].append(c)
+    result = None
+    for kind, members in kinds.items():
+        if not members:
+            continue
+        stacked = df.select(*keys, *[F.col(_identifier(c.name)).cast(kind).alias(str(c.position)) for c in members])
+        part = (
+            stacked.unpivot(list(keys), [str(c.position) for c in members], "position", "value")
+            .where("value is not null")
+            .distinct()
+            .groupBy(*keys, F.col("position").cast("int").alias("position"))
+            .agg(F.count(F.lit(1)).alias("distinct_count"))
+        )
+        result = part if result is None else result.unionByName(part)
+    return result
+
+
+def _parts(load: Load, top: str, distinct: str, accuracy: int, tracked_values: int) -> list[DataFrame]:
+    """Partial rows of one table: the wide aggregate, then the top values and distinct counts as maps per sync."""
+    df = load.df
+    columns = profiled_columns(df.schema, load.profile_columns)
     if K.DELETED_FLAG in df.columns:
         df = df.where(live_rows(F.col(K.DELETED_FLAG)))
-    source = df.select(
-        computed_at.alias("__sync") if per_sync else F.lit(0).alias("__sync"),
-        *[F.col(_identifier(c.name)) for c in columns],
-    )
-    grouped = source.groupBy("__sync") if per_sync else source
-    statistics = grouped.agg(
+    identity = [
+        F.lit(load.dataset_id).alias("dataset_id"),
+        F.lit(load.table_name).alias("table_name"),
+        F.lit(load.connection_id).alias("connection_id"),
+        F.lit(load.project_id).alias("project_id"),
+        F.lit(load.is_synthetic).alias("is_synthetic"),
+        schema_hash(load.df.schema).alias("schema_hash"),
+        (F.col("__sync") if load.per_sync else load.computed_at).alias("computed_at"),
+    ]
+    names = [F.col(_identifier(c.name)) for c in columns]
+    keys = ["__sync"] if load.per_sync else []
+    source = df.select(load.computed_at.alias("__sync"), *names) if load.per_sync else df.select(*names)
+    statistics = source.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("row_count"),
         F.expr(
             "array("
-            + ", ".join(_column_statistics(c, distinct, accuracy, top == "approx", tracked_values) for c in columns)
+            + ", ".join(
+                _column_statistics(c, distinct == "exact", accuracy, top == "approx", tracked_values) for c in columns
+            )
             + ")"
         ).alias("stats"),
     )
-    if not per_sync:
-        statistics = statistics.withColumn("__sync", F.lit(0))
-    statistics = statistics.select("__sync", "row_count", "stats", F.lit(None).cast(f"map<int,{TOP_TYPE}>").alias("top"))
-
+    parts = [statistics.select(*identity, "row_count", "stats")]
     categorical = [c for c in columns if c.kind == CATEGORICAL]
     if top == "exact" and categorical:
-        best = top_values(value_counts(source, ["__sync"], categorical), ["__sync"])
-        by_column = best.groupBy("__sync", "position").agg(
-            F.collect_list(F.struct("value", "cnt")).alias("values")
-        )
-        by_sync = by_column.groupBy("__sync").agg(
+        best = top_values(value_counts(source, keys, categorical), keys)
+        by_column = best.groupBy(*keys, "position").agg(F.collect_list(F.struct("value", "cnt")).alias("values"))
+        by_sync = by_column.groupBy(*keys).agg(
             F.map_from_entries(F.collect_list(F.struct("position", "values"))).alias("top")
         )
-        # both sides hold one row per sync: a second grouping aligns them and treats a null sync like any other
-        both = statistics.unionByName(by_sync, allowMissingColumns=True)
-        statistics = both.groupBy("__sync").agg(
-            F.any_value("row_count", True).alias("row_count"),
-            F.any_value("stats", True).alias("stats"),
-            F.any_value("top", True).alias("top"),
+        parts.append(by_sync.select(*identity, "top"))
+    if distinct == "exact":
+        by_sync = distinct_counts(source, keys, columns).groupBy(*keys).agg(
+            F.map_from_entries(F.collect_list(F.struct("position", "distinct_count"))).alias("distincts")
         )
+        parts.append(by_sync.select(*identity, "distincts"))
+    return parts
+
 
-    at = F.col("__sync") if per_sync else computed_at
-    identity = F.concat_ws("|", F.lit(dataset_id), F.lit(table_name), at.cast("string"))
-    return statistics.select(
+def fingerprint_loads(
+    loads: list[Load],
+    *,
+    top: str = "exact",
+    distinct: str = "approx",
+    accuracy: int = 10_000,
+    tracked_values: int = 10_000,
+) -> DataFrame:
+    """Fingerprints of any number of tables in one job.
+
+    ``top="approx"`` replaces the exact value counts by a mergeable sketch, which needs no shuffle by value and no
+    second scan: the choice for wide tables and near-unique columns. ``distinct="exact"`` costs a shuffle by value of
+    every column; quantiles here are always sketches (see ``quantiles`` for exact ones).
+    """
+    rows = None
+    for load in loads:
+        for part in _parts(load, top, distinct, accuracy, tracked_values):
+            rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
+    for name, kind in (("top", f"map<int,{TOP_TYPE}>"), ("distincts", "map<int,bigint>")):
+        if name not in rows.columns:
+            rows = rows.withColumn(name, F.lit(None).cast(kind))
+    # One partial row per sync and kind: grouping aligns them, and treats a null sync like any other. The rows are
+    # placed by key explicitly, because Spark 4.1 otherwise takes over the partitioning of the union's children, which
+    # gives wrong groups when an exchange below one of them is reused.
+    aligned = rows.repartition(*_TABLE).groupBy(*_TABLE).agg(
+        *[F.any_value(c, True).alias(c) for c in ("row_count", "stats", "top", "distincts")]
+    )
+    identity = F.concat_ws("|", "dataset_id", "table_name", F.col("computed_at").cast("string"))
+    return aligned.select(
         F.left(F.sha2(identity, 256), F.lit(32)).alias("fingerprint_id"),
-        at.alias("computed_at"),
-        F.lit(is_synthetic).alias("is_synthetic"),
-        F.lit(connection_id).alias("connection_id"),
-        F.lit(project_id).alias("project_id"),
-        F.lit(dataset_id).alias("dataset_id"),
-        F.lit(table_name).alias("table_name"),
+        "computed_at",
+        "is_synthetic",
+        "connection_id",
+        "project_id",
+        "dataset_id",
+        "table_name",
         "row_count",
-        schema_hash(df.schema).alias("schema_hash"),
+        "schema_hash",
         _with_entropy(F.expr(_ENTRY)).alias("columns"),
     )
 
 
+def fingerprints(
+    df: DataFrame,
+    dataset_id: str,
+    table_name: str,
+    computed_at: Column,
+    *,
+    per_sync: bool = True,
+    profile_columns: list[str] | None = None,
+    connection_id: str = "local",
+    project_id: str = "local",
+    is_synthetic: bool = False,
+    **options,
+) -> DataFrame:
+    """Fingerprint one table: one row per sync, or one row in all when ``per_sync`` is off."""
+    load = Load(
+        df, dataset_id, table_name, computed_at, per_sync, profile_columns, connection_id, project_id, is_synthetic
+    )
+    return fingerprint_loads([load], **options)
+
+
 HEADER = ["fingerprint_id", "dataset_id", "table_name", "computed_at", "row_count", "schema_hash", "is_synthetic"]
 
 

@@ -70,12 +70,8 @@ def freshness(spark, d):
 
 def _whole_tables(spark, d, **options):
     now = R.moment(R.AS_OF)
-    return R.all_of(
-        [
-            profile.fingerprints(read_table(spark, d, t), "main", t, now, per_sync=False, **options)
-            for t in ("orders", "lineitem")
-        ]
-    )
+    loads = [profile.Load(read_table(spark, d, t), "main", t, now, per_sync=False) for t in ("orders", "lineitem")]
+    return profile.fingerprint_loads(loads, **options)
 
 
 @query
@@ -131,11 +127,9 @@ def _text_tables(spark, d):
         "documents": ["lang", "source"],
         "pages": ["url"],
     }
-    return R.all_of(
+    return profile.fingerprint_loads(
         [
-            profile.fingerprints(
-                read_table(spark, d, t).select(*columns), "main", t, now, per_sync=False
-            )
+            profile.Load(read_table(spark, d, t).select(*columns), "main", t, now, per_sync=False)
             for t, columns in wanted.items()
         ]
     )
@@ -162,7 +156,7 @@ def entropy_by_column(spark, d):
 @query
 def approximate_profile(spark, d):
     """The one-scan form of a profile, by sketches only; the counters in it are exact."""
-    fps = R.lineitem_by_month(spark, d, top="approx")
+    fps = profile.fingerprint_loads([R.lineitem_by_month(spark, d)], top="approx")
     rows = profile.column_rows(fps)
     return rows.select(
         _day(), F.col("name").alias("column_name"), "row_count", "null_pct",
@@ -173,7 +167,7 @@ def approximate_profile(spark, d):
 @query
 def fingerprint_daily(spark, d):
     """The whole history of the events table in one job."""
-    fps = R.events_by_day(spark, d, distinct="exact")
+    fps = profile.fingerprint_loads([R.events_by_day(spark, d)], distinct="exact")
     return profile.column_rows(fps).select(
         _day(),
         "schema_hash",
@@ -196,20 +190,20 @@ def fingerprint_daily(spark, d):
 
 @query
 def recent_fingerprints(spark, d):
-    fps = R.all_of([R.events_by_day(spark, d), R.lineitem_by_month(spark, d)])
+    fps = profile.fingerprint_loads([R.events_by_day(spark, d), R.lineitem_by_month(spark, d)])
     return H.recent(fps).select("dataset_id", "table_name", _day(), "recency", "row_count")
 
 
 @query
 def fingerprint_listing(spark, d):
-    return H.listing(R.events_by_day(spark, d), "app", "events").select(_day(), "row_count")
+    return H.listing(profile.fingerprint_loads([R.events_by_day(spark, d)]), "app", "events").select(_day(), "row_count")
 
 
 @query
 def history_store(spark, d):
     """Stored twice, kept once: appending to the history is idempotent, and partitions are pruned by date."""
     path = new_path(spark, "history")
-    fps = stage(R.events_by_day(spark, d), "fingerprints")
+    fps = _profiled(R.events_by_day(spark, d))
     H.store(fps, path)
     H.store(fps, path)
     stored = H.read_history(spark, path, since="2024-01-10")
@@ -221,7 +215,7 @@ def history_store(spark, d):
 @query
 def history_delete(spark, d):
     """The history less the real fingerprints of one table from a time on."""
-    fps = R.all_of([R.events_by_day(spark, d), R.orders_by_month(spark, d)])
+    fps = profile.fingerprint_loads([R.events_by_day(spark, d), R.orders_by_month(spark, d)])
     gone = H.matching("events", "app", is_synthetic=False, computed_from=R.moment("2024-01-20 00:00:00"))
     return H.without(fps, gone).select("dataset_id", "table_name", _day(), "row_count")
 
@@ -246,17 +240,16 @@ def covered_tables(spark, d):
 # --- drift -----------------------------------------------------------------------------------------------------
 
 
+def _profiled(*loads):
+    return stage(profile.fingerprint_loads(list(loads)), "fingerprints")
+
+
 def _histories(spark, d):
-    return stage(
-        R.all_of(
-            [
-                R.events_by_day(spark, d),
-                R.orders_by_month(spark, d),
-                R.lineitem_by_month(spark, d),
-                R.documents_by_source(spark, d),
-            ]
-        ),
-        "fingerprints",
+    return _profiled(
+        R.events_by_day(spark, d),
+        R.orders_by_month(spark, d),
+        R.lineitem_by_month(spark, d),
+        R.documents_by_source(spark, d),
     )
 
 
@@ -264,9 +257,18 @@ def _rolling_reports(fps):
     return drift.compare(drift.rolling_members(fps))
 
 
-def _rename_reports(spark, d):
+def _rename_members(spark, d):
     current, history = R.rename_scenario(spark, d)
-    return drift.check_tables(stage(current, "current"), stage(history, "history"))
+    return drift.recent_members(current, history)
+
+
+def _rename_reports(spark, d):
+    return drift.compare(_rename_members(spark, d))
+
+
+def _rename_and_daily_reports(spark, d):
+    daily = drift.rolling_members(_profiled(R.events_by_day(spark, d)))
+    return drift.compare(_rename_members(spark, d).unionByName(daily))
 
 
 @query
@@ -295,7 +297,7 @@ def numeric_shift_daily(spark, d):
 
 @query
 def null_shift(spark, d):
-    fps = stage(R.documents_by_source(spark, d), "fingerprints")
+    fps = _profiled(R.documents_by_source(spark, d))
     rows = drift.column_drifts(_rolling_reports(fps)).where("drift_type = 'NULL_PCT_CHANGE'")
     return rows.select(_day(), "column_name", F.round("psi_score", 6).alias("null_shift"), "is_anomalous")
 
@@ -316,14 +318,11 @@ def schema_delta(spark, d):
     new = events.where(F.col("ts") >= cut).select(
         "ts", "event_type", F.col("user_id").cast("string").alias("user_id"), "props"
     )
-    fps = stage(
-        R.all_of(
-            [
-                profile.fingerprints(df, "app", "events", day, profile_columns=[c for c in df.columns if c != "ts"])
-                for df in (old, new)
-            ]
-        ),
-        "fingerprints",
+    fps = _profiled(
+        *[
+            profile.Load(df, "app", "events", day, profile_columns=[c for c in df.columns if c != "ts"])
+            for df in (old, new)
+        ]
     )
     return (
         _rolling_reports(fps)
@@ -366,7 +365,7 @@ def latest_check(spark, d):
 
 @query
 def value_shifts(spark, d):
-    reports = R.all_of([_rename_reports(spark, d), _rolling_reports(stage(R.events_by_day(spark, d), "fingerprints"))])
+    reports = _rename_and_daily_reports(spark, d)
     return drift.value_shifts(reports).select(
         "dataset_id", "table_name", _day(), "column_name", "value", "shift",
         F.round("current", 6).alias("current_share"), F.round("baseline", 6).alias("baseline_share"),
@@ -375,7 +374,7 @@ def value_shifts(spark, d):
 
 @query
 def leading_values(spark, d):
-    reports = _rolling_reports(stage(R.orders_by_month(spark, d), "fingerprints"))
+    reports = _rolling_reports(_profiled(R.orders_by_month(spark, d)))
     return drift.leading_values(reports).select(
         _day(), "column_name", "side", "value", F.round("share", 6).alias("share")
     )
@@ -403,9 +402,7 @@ def rename_pairs(spark, d):
 @query
 def drift_class(spark, d):
     """Class and next step of every check of the rename scenario and of the daily event loads."""
-    reports = stage(
-        R.all_of([_rename_reports(spark, d), _rolling_reports(stage(R.events_by_day(spark, d), "fingerprints"))]), "reports"
-    )
+    reports = stage(_rename_and_daily_reports(spark, d), "reports")
     return triage.classify(reports).select(
         "dataset_id", "table_name", _day(), "classification", "next_step", _joined("affected_columns"),
         "renamed_values", "vanished_values", "new_values", "null_flag", "others_clean",
@@ -666,7 +663,7 @@ def coverage_summary(spark, d):
 
 
 def _event_log(spark, d):
-    return drift.drift_log(_rolling_reports(stage(R.events_by_day(spark, d), "fingerprints")))
+    return drift.drift_log(_rolling_reports(_profiled(R.events_by_day(spark, d))))
 
 
 @query

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.profile import fingerprints
+from ..operators.profile import Load, fingerprint_loads
 from ..operators.selection import relabel
 from ..sources import history as H
 from ..sources.tables import read_table
@@ -28,42 +28,41 @@ def day_text(column: str = "computed_at") -> Column:
 # sync histories
 
 
-def events_by_day(spark: SparkSession, folder: str, columns: list[str] | None = None, **options) -> DataFrame:
+def events_by_day(spark: SparkSession, folder: str) -> Load:
     """Events are loaded daily; the payload is a text column with many more than twenty values."""
     df = read_table(spark, folder, "events")
     day = F.col("ts").cast("date").cast("timestamp_ntz")
-    chosen = columns or ["event_type", "value", "user_id", "props"]
-    return fingerprints(df.select("ts", *chosen), "app", "events", day, profile_columns=chosen, **options)
+    chosen = ["event_type", "value", "user_id", "props"]
+    return Load(df.select("ts", *chosen), "app", "events", day, profile_columns=chosen)
 
 
-def orders_by_month(spark: SparkSession, folder: str, **options) -> DataFrame:
+def orders_by_month(spark: SparkSession, folder: str) -> Load:
     df = read_table(spark, folder, "orders").select("o_orderdate", "o_orderstatus", "o_orderpriority", "o_totalprice")
     month = F.trunc(F.col("o_orderdate").cast("date"), "month").cast("timestamp_ntz")
-    return fingerprints(df, "sales", "orders", month, **options)
+    return Load(df, "sales", "orders", month)
 
 
-def lineitem_by_month(spark: SparkSession, folder: str, **options) -> DataFrame:
+def lineitem_by_month(spark: SparkSession, folder: str) -> Load:
     df = read_table(spark, folder, "lineitem").select(
         "l_shipdate", "l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice", "l_discount", "l_tax"
     )
     month = F.trunc(F.col("l_shipdate").cast("date"), "month").cast("timestamp_ntz")
-    return fingerprints(df, "sales", "lineitem", month, **options)
+    return Load(df, "sales", "lineitem", month)
 
 
-def documents_by_source(spark: SparkSession, folder: str, **options) -> DataFrame:
+def documents_by_source(spark: SparkSession, folder: str) -> Load:
     """Sources stand for loads: source n is the load of day n. Unlabelled documents give the nulls."""
     docs = read_table(spark, folder, "documents").select("doc_id", "lang", "source", "n_chars")
     labels = read_table(spark, folder, "labels")
     joined = docs.join(labels, "doc_id", "left")
     number = F.regexp_extract("source", r"(\d+)$", 1).cast("int")
     load = F.date_add(F.lit("2024-01-01").cast("date"), number).cast("timestamp_ntz")
-    return fingerprints(
+    return Load(
         joined.select("source", "lang", "n_chars", "quality", "toxic"),
         "corpus",
         "documents",
         load,
         profile_columns=["lang", "n_chars", "quality", "toxic"],
-        **options,
     )
 
 
@@ -84,22 +83,17 @@ def rename_scenario(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFr
     regions_used = customer_regions(spark, folder)
     now = moment(AS_OF)
 
-    def profile(df, dataset, table):
-        return fingerprints(df, dataset, table, now, per_sync=False)
+    def load(df, dataset, table):
+        return Load(df, dataset, table, now, per_sync=False)
 
-    before = [
-        profile(region, "crm", "region"),
-        profile(regions_used, "crm", "customer_region"),
-        profile(segments, "market", "customer"),
-        profile(balances, "market", "supplier"),
-    ]
+    unchanged = [load(regions_used, "crm", "customer_region"), load(balances, "market", "supplier")]
+    before = [load(region, "crm", "region"), load(segments, "market", "customer")]
     after = [
-        profile(relabel(region, "r_name", *RENAMED_REGION), "crm", "region"),
-        before[1],
-        profile(relabel(segments, "c_mktsegment", *RENAMED_SEGMENT), "market", "customer"),
-        before[3],
+        load(relabel(region, "r_name", *RENAMED_REGION), "crm", "region"),
+        load(relabel(segments, "c_mktsegment", *RENAMED_SEGMENT), "market", "customer"),
     ]
-    return all_of(after), H.replicate(all_of(before), BASELINE_OFFSETS, now)
+    history = H.replicate(fingerprint_loads(before + unchanged), BASELINE_OFFSETS, now)
+    return fingerprint_loads(after + unchanged), history
 
 
 def all_of(parts: list[DataFrame]) -> DataFrame:

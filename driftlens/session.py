@@ -14,7 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # profiles keep one sketch per (sync, column); the default of 128 groups would sort far too early
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # many different small plans share one session: the default of 100 compiled classes evicts too early
+    "spark.sql.codegen.cache.maxEntries": "1000",
 }
 
 

@@ -29,13 +29,17 @@ def manifest_nodes(documents: DataFrame) -> DataFrame:
     Nodes, sources and exposures become one table; where two maps hold the same id the later map wins, while
     the node keeps the place of its first mention.
     """
-    parsed = documents.select("graph", F.from_json("value", MANIFEST_SCHEMA).alias("doc"))
-    entries = None
-    for rank, field in enumerate(("nodes", "sources", "exposures")):
-        part = parsed.select(
-            "graph", F.lit(rank).alias("map_rank"), F.posexplode(f"doc.{field}").alias("place", "uid", "node")
-        )
-        entries = part if entries is None else entries.unionByName(part)
+    # one array of all entries, so that a document is parsed and read once
+    listed = ", ".join(
+        f"transform(coalesce(map_entries(doc.{field}), array()), (e, i) -> "
+        f"named_struct('map_rank', {rank}, 'place', i, 'uid', e.key, 'node', e.value))"
+        for rank, field in enumerate(("nodes", "sources", "exposures"))
+    )
+    entries = (
+        documents.select("graph", F.from_json("value", MANIFEST_SCHEMA).alias("doc"))
+        .select("graph", F.explode(F.expr(f"concat({listed})")).alias("entry"))
+        .select("graph", "entry.*")
+    )
     same_id = Window.partitionBy("graph", "uid")
     latest = (
         entries.withColumn("first_mention", F.min(F.struct("map_rank", "place")).over(same_id))

@@ -252,6 +252,15 @@ SELECT strftime(s.sync, '%Y-%m-%d') AS sync_day,
 FROM stats s JOIN fp f USING (ds, tbl, sync) JOIN more m USING (sync, col) LEFT JOIN ent e USING (ds, tbl, sync, col)""",
 )
 
+_sql(
+    "live_profile",
+    """WITH live AS (SELECT * FROM orders WHERE o_orderstatus <> 'F')
+SELECT 'o_orderstatus' AS column_name, count(*) AS row_count, 0::DOUBLE AS null_pct, NULL::DOUBLE AS mean,
+  CAST(count(DISTINCT o_orderstatus) AS INTEGER) AS kept_values FROM live
+UNION ALL SELECT 'o_orderpriority', count(*), 0, NULL, CAST(count(DISTINCT o_orderpriority) AS INTEGER) FROM live
+UNION ALL SELECT 'o_totalprice', count(*), 0, round(avg(o_totalprice), 4), 0 FROM live""",
+)
+
 # --- history --------------------------------------------------------------------------------------------------------
 
 _sql(
@@ -300,8 +309,8 @@ _sql(
 _sql(
     "numeric_shift_daily",
     _chain(_HISTORIES)
-    + f"""SELECT {_NAMES}, col AS column_name, round(least(z / 3, 2), 6) AS score, round(round(mean, 4), 3) AS current_mean,
-  round(round(old_mean, 4), 3) AS baseline_mean, z > 3 AS is_anomalous FROM shift""",
+    + f"""SELECT {_NAMES}, col AS column_name, round(least(z / 3, 2), 6) AS score, round(mean, 4) AS current_mean,
+  round(old_mean, 4) AS baseline_mean, z > 3 AS is_anomalous FROM shift""",
 )
 _sql(
     "null_shift",
@@ -366,7 +375,7 @@ _sql(
     "latest_check",
     _chain(_HISTORIES)
     + f"""SELECT {_NAMES}, nb AS baseline_count, max_col AS max_psi_column, round(score, 6) AS max_psi_score,
-  round(rcz, 4) AS row_count_z_score, {_ANOMALOUS} AS is_anomalous
+  round(score / 0.25, 1) AS threshold_multiple, round(rcz, 4) AS row_count_z_score, {_ANOMALOUS} AS is_anomalous
 FROM report JOIN numbered USING (ds, tbl, sync) WHERE recency = 1""",
 )
 _SHIFTS = """, shifts AS (SELECT *, 'DISAPPEARED' AS shift FROM aligned WHERE base > 0 AND cur < 0.001
@@ -718,6 +727,13 @@ merges AS (SELECT report_id, pr_number, CASE WHEN top > 60 THEN 'closed' ELSE 'o
 _STATES = "SELECT report_id, state, decision, decided_seq, reenabled_seq FROM states"
 _sql("incident_state", "WITH " + _INCIDENTS + _STATES)
 _sql("stream_incident_state", "WITH " + _INCIDENTS + _STATES)
+_sql(
+    "incident_log",
+    "WITH "
+    + _INCIDENTS
+    + """SELECT strftime(ts, '%Y-%m-%d') AS event_day, action, count(*) AS events, count(DISTINCT report_id) AS incidents
+FROM log WHERE ts >= TIMESTAMP '2024-01-10' GROUP BY 1, 2""",
+)
 _sql(
     "event_outcomes",
     "WITH "

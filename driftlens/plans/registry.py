@@ -185,6 +185,18 @@ def fingerprint_daily(spark, d):
     )
 
 
+@query
+def live_profile(spark, d):
+    """Orders as a soft-deleting source: deleted rows are left out, rows with an unknown flag are profiled."""
+    deleted = F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus") == "F").alias(K.DELETED_FLAG)
+    orders = read_table(spark, d, "orders").select("o_orderstatus", "o_orderpriority", "o_totalprice", deleted)
+    fps = profile.fingerprints(orders, "sales", "orders", R.moment(R.AS_OF), per_sync=False)
+    return profile.column_rows(fps).select(
+        F.col("name").alias("column_name"), "row_count", "null_pct", F.round("mean", 4).alias("mean"),
+        F.size("distribution").alias("kept_values"),
+    )
+
+
 # --- history ---------------------------------------------------------------------------------------------------
 
 
@@ -289,8 +301,8 @@ def numeric_shift_daily(spark, d):
         _day(),
         "column_name",
         F.round("psi_score", 6).alias("score"),
-        F.round(F.col("current_value").cast("double"), 3).alias("current_mean"),
-        F.round(F.col("baseline_value").cast("double"), 3).alias("baseline_mean"),
+        F.col("current_value").cast("double").alias("current_mean"),
+        F.col("baseline_value").cast("double").alias("baseline_mean"),
         "is_anomalous",
     )
 
@@ -358,8 +370,8 @@ def latest_check(spark, d):
     newest = H.recent(fps, 1).drop("recency")
     older = fps.join(newest.select("fingerprint_id"), "fingerprint_id", "left_anti")
     return drift.check_tables(newest, older).select(
-        "dataset_id", "table_name", _day(), "baseline_count", "max_psi_column", "max_psi_score", "row_count_z_score",
-        "is_anomalous",
+        "dataset_id", "table_name", _day(), "baseline_count", "max_psi_column", "max_psi_score", "threshold_multiple",
+        "row_count_z_score", "is_anomalous",
     )
 
 
@@ -731,6 +743,17 @@ def incident_state(spark, d):
     return states.select("report_id", "state", "decision", "decided_seq", "reenabled_seq")
 
 
+@query
+def incident_log(spark, d):
+    """The event log as stored, by day: an append, then a pruned read."""
+    path = new_path(spark, "incident-log")
+    incidents.append_events(R.incident_events(spark, d), path)
+    stored = spark.read.parquet(path).where(F.col("event_date") >= F.lit("2024-01-10").cast("date"))
+    return stored.groupBy(F.col("event_date").cast("string").alias("event_day"), "action").agg(
+        F.count(F.lit(1)).alias("events"), F.count_distinct("report_id").alias("incidents")
+    )
+
+
 @query
 def event_outcomes(spark, d):
     events = R.incident_events(spark, d)

@@ -20,16 +20,19 @@ _TOTALS = "array<struct<value:string,current:double,old_total:double>>"
 
 
 def rolling_members(fingerprints: DataFrame, n: int = K.BASELINE_SYNCS) -> DataFrame:
-    """Members of the comparison of every sync with the ``n`` syncs before it."""
+    """Members of the comparison of every sync with the ``n`` syncs before it.
+
+    Only ids and times are ordered per table; the profiles themselves meet their number by id. The fingerprints are
+    read twice, so pass stored ones.
+    """
     in_order = Window.partitionBy(*H.TABLE_KEY).orderBy("computed_at", "fingerprint_id")
-    numbered = fingerprints.withColumn("own_no", F.row_number().over(in_order)).withColumn(
-        "last_no", F.count(F.lit(1)).over(Window.partitionBy(*H.TABLE_KEY))
+    numbers = fingerprints.select(*H.TABLE_KEY, "computed_at", "fingerprint_id").select(
+        F.col("fingerprint_id").alias("numbered_id"), F.row_number().over(in_order).alias("own_no")
     )
+    numbered = fingerprints.join(numbers, F.col("fingerprint_id") == F.col("numbered_id")).drop("numbered_id")
     # a sync is the current one of its own comparison and a baseline of the n that follow
-    served = numbered.withColumn(
-        "sync_no", F.explode(F.sequence("own_no", F.least(F.col("own_no") + n, F.col("last_no"))))
-    )
-    return served.withColumn("is_current", F.col("sync_no") == F.col("own_no")).drop("own_no", "last_no")
+    served = numbered.withColumn("sync_no", F.explode(F.sequence("own_no", F.col("own_no") + n)))
+    return served.withColumn("is_current", F.col("sync_no") == F.col("own_no")).drop("own_no")
 
 
 def recent_members(current: DataFrame, history: DataFrame, n: int = K.BASELINE_SYNCS) -> DataFrame:

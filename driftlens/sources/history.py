@@ -19,28 +19,31 @@ def read_history(spark: SparkSession, path: str, since: str | None = None) -> Da
     return history.drop("computed_date")
 
 
-def _laid_out(fingerprints: DataFrame) -> DataFrame:
-    dated = fingerprints.withColumn("computed_date", F.to_date("computed_at"))
-    return dated.hint("rebalance", "computed_date").sortWithinPartitions(*TABLE_KEY, "computed_at")
+def _laid_out(rows: DataFrame, time_column: str) -> DataFrame:
+    dated = rows.withColumn("computed_date", F.to_date(time_column))
+    return dated.hint("rebalance", "computed_date").sortWithinPartitions(*TABLE_KEY, time_column)
 
 
-def store(fingerprints: DataFrame, path: str) -> None:
-    """Append fingerprints that are not stored yet.
-
-    Ids depend only on table and sync, so a repeated run appends nothing twice. The look-up reads just the id
-    column of the dates at hand.
-    """
-    spark = fingerprints.sparkSession
+def _append_new(rows: DataFrame, path: str, id_column: str, time_column: str) -> None:
+    """Append the rows whose id is not stored yet. The look-up reads just the id column of the dates at hand."""
+    fresh = rows.withColumn("computed_date", F.to_date(time_column))
     try:
-        present = spark.read.parquet(path).select("fingerprint_id", "computed_date")
+        present = rows.sparkSession.read.parquet(path).select(id_column, "computed_date")
+        fresh = fresh.join(present, [id_column, "computed_date"], "left_anti")
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        present = None
-    fresh = fingerprints.withColumn("computed_date", F.to_date("computed_at"))
-    if present is not None:
-        fresh = fresh.join(present, ["fingerprint_id", "computed_date"], "left_anti")
-    _laid_out(fresh.drop("computed_date")).write.mode("append").partitionBy("computed_date").parquet(path)
+    _laid_out(fresh.drop("computed_date"), time_column).write.mode("append").partitionBy("computed_date").parquet(path)
+
+
+def store(fingerprints: DataFrame, path: str) -> None:
+    """Append fingerprints that are not stored yet: ids depend only on table and sync, so a repeat adds nothing."""
+    _append_new(fingerprints, path, "fingerprint_id", "computed_at")
+
+
+def append_log(log: DataFrame, path: str) -> None:
+    """Append drift-log entries, once per check of a table and sync."""
+    _append_new(log, path, "report_id", "logged_at")
 
 
 def recent(history: DataFrame, n: int = K.BASELINE_SYNCS) -> DataFrame:
@@ -81,7 +84,7 @@ def without(history: DataFrame, predicate: Column) -> DataFrame:
 def rewrite_without(spark: SparkSession, path: str, predicate: Column, new_path: str) -> None:
     """Delete by rewrite: a cleaned copy with the same layout at ``new_path``; the caller then switches over."""
     kept = without(read_history(spark, path), predicate)
-    _laid_out(kept).write.partitionBy("computed_date").parquet(new_path)
+    _laid_out(kept, "computed_at").write.partitionBy("computed_date").parquet(new_path)
 
 
 def replicate(fingerprints: DataFrame, offsets_days: list[int], as_of: Column) -> DataFrame:

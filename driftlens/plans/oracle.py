@@ -481,6 +481,19 @@ _sql(
     + " UNION ALL "
     + _stale("customer", "c_mktsegment", "c", *R.RENAMED_SEGMENT),
 )
+_sql(
+    "sync_check",
+    _chain("", scenario=_SCENARIO)
+    + _SHIFTS
+    + _PAIRS
+    + _CLASSES
+    + f"""SELECT ds AS dataset_id, tbl AS table_name, classification, {_STEP} AS next_step, max_col AS max_psi_column,
+  round(score, 6) AS max_psi_score,
+  CASE WHEN bad AND tbl IN ('region', 'customer') THEN 2 * (SELECT count(*) FROM customer) ELSE 0 END AS downstream,
+  CASE tbl WHEN 'region' THEN (SELECT count(*) FROM {_MODELS} WHERE r_name = '{R.RENAMED_REGION[0]}')
+    WHEN 'customer' THEN (SELECT count(*) FROM {_MODELS} WHERE c_mktsegment = '{R.RENAMED_SEGMENT[0]}') ELSE 0 END AS fixes
+FROM classes""",
+)
 _sql(
     "impact_running",
     """

@@ -17,6 +17,7 @@ from ..sources.sync_events import accepted, fan_out, sync_events
 from ..sources.tables import catalog, read_table, table_metadata
 from ..staging import new_path, stage
 from . import roles as R
+from .sync_check import check_syncs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -469,6 +470,28 @@ def verdict_rows(spark, d):
     )
 
 
+@query
+def sync_check(spark, d):
+    """The main path in one step: store a past, load the renamed tables, compare, classify, trace and suggest fixes."""
+    after, before = R.rename_loads(spark, d)
+    path = new_path(spark, "history")
+    H.store(H.replicate(profile.fingerprint_loads(before), R.BASELINE_OFFSETS, R.moment(R.AS_OF)), path)
+    nodes = stage(manifest_nodes(R.customer_manifests(spark, d)).drop("graph").dropDuplicates(["uid"]), "nodes")
+    result = check_syncs(spark, after, path, nodes=nodes)
+    downstream = result.blast.groupBy(F.col("source_table").alias("table_name")).agg(F.count(F.lit(1)).alias("downstream"))
+    fixes = result.fixes.groupBy("table_name").agg(F.count(F.lit(1)).alias("fixes"))
+    zero = F.lit(0).cast("bigint")
+    return (
+        result.classes.join(result.reports.select("report_id", "max_psi_column", "max_psi_score"), "report_id")
+        .join(downstream, "table_name", "left")
+        .join(fixes, "table_name", "left")
+        .select(
+            "dataset_id", "table_name", "classification", "next_step", "max_psi_column", "max_psi_score",
+            F.coalesce("downstream", zero).alias("downstream"), F.coalesce("fixes", zero).alias("fixes"),
+        )
+    )
+
+
 # --- risk ------------------------------------------------------------------------------------------------------
 
 

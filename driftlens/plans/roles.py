@@ -75,8 +75,8 @@ def customer_regions(spark: SparkSession, folder: str) -> DataFrame:
     return customer.join(nation, "c_nationkey").select("region_id", "c_acctbal")
 
 
-def rename_scenario(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """(current, history): a region label and a market segment are renamed, their neighbours stay as they were."""
+def rename_loads(spark: SparkSession, folder: str) -> tuple[list[Load], list[Load]]:
+    """(after, before): a region label and a market segment are renamed, their neighbours stay as they were."""
     region = read_table(spark, folder, "region").select("r_name")
     segments = read_table(spark, folder, "customer").select("c_mktsegment", "c_acctbal")
     balances = read_table(spark, folder, "supplier").select("s_acctbal")
@@ -92,8 +92,13 @@ def rename_scenario(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFr
         load(relabel(region, "r_name", *RENAMED_REGION), "crm", "region"),
         load(relabel(segments, "c_mktsegment", *RENAMED_SEGMENT), "market", "customer"),
     ]
-    history = H.replicate(fingerprint_loads(before + unchanged), BASELINE_OFFSETS, now)
-    return fingerprint_loads(after + unchanged), history
+    return after + unchanged, before + unchanged
+
+
+def rename_scenario(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(current, history) fingerprints of the renames."""
+    after, before = rename_loads(spark, folder)
+    return fingerprint_loads(after), H.replicate(fingerprint_loads(before), BASELINE_OFFSETS, moment(AS_OF))
 
 
 def all_of(parts: list[DataFrame]) -> DataFrame:

@@ -8,6 +8,7 @@ near-unique column over all tasks; each task then keeps its own best twenty befo
 
 from __future__ import annotations
 
+import hashlib
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import constants as K
-from ..functions import entropy_of, live_rows, value_key
+from ..functions import live_rows
 from .selection import CATEGORICAL, ProfiledColumn, profiled_columns
 
 TOP_TYPE = "array<struct<value:string,cnt:bigint>>"
@@ -36,8 +37,7 @@ def _column_statistics(
     c = _identifier(column.name)
     x = f"cast({c} as double)"
     if column.kind == CATEGORICAL:
-        label = f"initcap(cast({c} as string))" if isinstance(column.data_type, T.BooleanType) else f"cast({c} as string)"
-        sketch = f"approx_top_k(coalesce({label}, '{K.NULL_KEY}'), {K.TOP_VALUES}, {tracked_values})"
+        sketch = f"approx_top_k({_label(column)}, {K.TOP_VALUES}, {tracked_values})"
         top = f"transform({sketch}, e -> named_struct('value', e.item, 'cnt', e.count))"
         moments = ["cast(null as double)"] * 4 + ["cast(null as array<double>)"]
         moments.append(top if approximate_top else f"cast(null as {TOP_TYPE})")
@@ -55,16 +55,20 @@ def _column_statistics(
     )
 
 
+def _label(column: ProfiledColumn) -> str:
+    """SQL form of a value's distribution key: booleans as True/False, null under its own key."""
+    text = f"cast({_identifier(column.name)} as string)"
+    if isinstance(column.data_type, T.BooleanType):
+        text = f"initcap({text})"
+    return f"coalesce({text}, '{K.NULL_KEY}')"
+
+
 def value_counts(df: DataFrame, keys: list[str], columns: list[ProfiledColumn]) -> DataFrame:
     """Rows per (keys, column position, value) of the given columns, values as distribution keys."""
-    labelled = df.select(
-        *keys, *[value_key(F.col(_identifier(c.name)), c.data_type).alias(str(c.position)) for c in columns]
-    )
     positions = [str(c.position) for c in columns]
+    labelled = df.selectExpr(*keys, *[f"{_label(c)} as `{c.position}`" for c in columns])
     long = labelled.unpivot(list(keys), positions, "position", "value")
-    return long.groupBy(*keys, F.col("position").cast("int").alias("position"), "value").agg(
-        F.count(F.lit(1)).alias("cnt")
-    )
+    return long.groupBy(*keys, F.expr("cast(position as int) as position"), "value").agg(F.expr("count(1) as cnt"))
 
 
 def top_values(counts: DataFrame, keys: list[str], k: int = K.TOP_VALUES) -> DataFrame:
@@ -73,10 +77,10 @@ def top_values(counts: DataFrame, keys: list[str], k: int = K.TOP_VALUES) -> Dat
     return counts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def schema_hash(schema: T.StructType) -> Column:
+def schema_hash(schema: T.StructType) -> str:
     """First 16 hex digits of the SHA-256 of the name-sorted ``name:type`` list of all columns."""
-    entries = F.array(*[F.lit(f"{f.name}:{f.dataType.simpleString()}") for f in schema.fields])
-    return F.left(F.sha2(F.concat_ws(",", F.array_sort(entries)), 256), F.lit(16))
+    entries = sorted(f"{f.name}:{f.dataType.simpleString()}" for f in schema.fields)
+    return hashlib.sha256(",".join(entries).encode()).hexdigest()[:16]
 
 
 # The finished column entry. Exact counts come as one map by column position, sketched ones inside the statistics.
@@ -86,8 +90,11 @@ transform(stats, c -> named_struct('c', c, 'kept', array_sort(
   (a, b) -> case when a.cnt > b.cnt then -1 when a.cnt < b.cnt then 1
                  when a.value < b.value then -1 when a.value > b.value then 1 else 0 end)))
 """
+_TOTALLED = f"""
+transform({_COUNTED}, r -> named_struct('c', r.c, 'kept', r.kept, 'total', aggregate(r.kept, 0L, (sum, v) -> sum + v.cnt)))
+"""
 _ENTRY = f"""
-transform({_COUNTED}, r -> named_struct(
+transform({_TOTALLED}, r -> named_struct(
   'position', r.c.position, 'name', r.c.name, 'data_type', r.c.data_type, 'kind', r.c.kind,
   'null_pct', r.c.null_pct,
   'distinct_count', coalesce(r.c.distinct_count, try_element_at(distincts, r.c.position), 0L),
@@ -95,18 +102,12 @@ transform({_COUNTED}, r -> named_struct(
      'value', v.value, 'cnt', v.cnt, 'pct', round(coalesce(try_divide(v.cnt, row_count), 0D), 6))),
   'min_val', r.c.min_val, 'max_val', r.c.max_val, 'mean', r.c.mean, 'stddev', r.c.stddev,
   {", ".join(f"'p{p}', try_element_at(r.c.quantiles, {i + 1})" for i, p in enumerate(K.QUANTILE_PERCENTS))},
-  'shares', transform(r.kept, v -> coalesce(try_divide(v.cnt, row_count), 0D)),
-  'distribution', map_from_entries(transform(r.kept, v -> struct(v.value, coalesce(try_divide(v.cnt, row_count), 0D))))))
+  'distribution', map_from_entries(transform(r.kept, v -> struct(v.value, coalesce(try_divide(v.cnt, row_count), 0D)))),
+  'entropy', case when r.c.kind = '{CATEGORICAL}' then round(aggregate(
+     r.kept, 0D, (bits, v) -> bits - (v.cnt / r.total) * log2(v.cnt / r.total)), 6) end))
 """
 
 
-def _with_entropy(columns: Column) -> Column:
-    return F.transform(
-        columns,
-        lambda c: c.withField("entropy", F.when(c["kind"] == CATEGORICAL, entropy_of(c["shares"]))).dropFields("shares"),
-    )
-
-
 class Load(NamedTuple):
     """A table to profile: ``computed_at`` is the sync time, a column of ``df`` (each distinct value is one sync), or
     a literal when the whole table is one sync (``per_sync`` off)."""
@@ -167,7 +168,7 @@ def _parts(load: Load, top: str, distinct: str, accuracy: int, tracked_values: i
         F.lit(load.connection_id).alias("connection_id"),
         F.lit(load.project_id).alias("project_id"),
         F.lit(load.is_synthetic).alias("is_synthetic"),
-        schema_hash(load.df.schema).alias("schema_hash"),
+        F.lit(schema_hash(load.df.schema)).alias("schema_hash"),
         (F.col("__sync") if load.per_sync else load.computed_at).alias("computed_at"),
     ]
     names = [F.col(_identifier(c.name)) for c in columns]
@@ -238,7 +239,7 @@ def fingerprint_loads(
         "table_name",
         "row_count",
         "schema_hash",
-        _with_entropy(F.expr(_ENTRY)).alias("columns"),
+        F.expr(_ENTRY).alias("columns"),
     )
 
 

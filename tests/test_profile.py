@@ -5,6 +5,7 @@ import warnings
 import pytest
 from pyspark.sql import functions as F
 
+from driftlens.functions import entropy_of
 from driftlens.operators import profile, selection
 from driftlens.operators.quantiles import exact_quantiles
 from driftlens.sources.tables import catalog
@@ -41,6 +42,11 @@ def test_entropy(spark):
     assert columns["single"].entropy == 0.0
 
 
+def test_entropy_of_shares_renormalises(spark):
+    df = spark.createDataFrame([([0.2, 0.2],), ([1.0],), ([],), ([0.0, 0.5],)], "s array<double>")
+    assert [r[0] for r in df.select(entropy_of(F.col("s"))).collect()] == [1.0, 0.0, 0.0, 0.0]
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "label string, amount double")
     row, columns = whole(df)

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from driftlens.llm import mixing, quality_rules, sharding, token_counts
+from driftlens.llm import mixing, neighbours, packing, quality_rules, sharding, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -41,3 +42,13 @@ def op2_entropy_balanced_mix(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(read(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op3_one_bit_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.search(read(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op8_hilbert_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from driftlens.llm import mixing, neighbours, packing, quality_rules, sharding, token_counts
+from driftlens.llm import classifier, language, mixing, neighbours, packing, quality_rules, sharding, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -52,3 +52,15 @@ def op3_one_bit_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op8_hilbert_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op7_rank_order_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    return language.predict(docs, language.learn(docs))
+
+
+@query
+def op9_subword_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    return classifier.score(docs, classifier.fit(docs, read(spark, folder, "labels")))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from driftlens.llm import classifier, language, mixing, neighbours, packing, quality_rules, sharding, token_counts
+from driftlens.llm import classifier, language, mixing, neighbours, packing, quality_rules, repeats, sharding, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -64,3 +64,8 @@ def op7_rank_order_language(spark: SparkSession, folder: str) -> DataFrame:
 def op9_subword_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents")
     return classifier.score(docs, classifier.fit(docs, read(spark, folder, "labels")))
+
+
+@query
+def op4_repeated_bytes(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.digest(read(spark, folder, "documents"))

@@ -193,3 +193,18 @@ def mix(
         F.col("id").alias(id_col), "source", "size", "source_size", "target", "rate", "copies",
         (F.col("copies") * F.col("size")).cast("long").alias("taken"),
     )
+
+
+def repeat_rows(docs: DataFrame, weights: Sequence[float] = (1.0, 2.0, 3.0), limit: int = MAX_COPIES, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """All columns of the rows, each as often as the mix takes it.
+
+    The rates of rows that share id and text are added up and dealt to them alike, so each such row appears as often
+    as their mean, rounded; other rows appear exactly as often as ``mix`` says.
+    """
+    key = F.xxhash64(F.col(id_col).cast("string"), F.col(source).cast("string"), F.col(text))
+    keyed = docs.withColumn("_m_key", key)
+    own = keyed.select(F.col("_m_key"), F.col(text).alias("text"), F.col(source).alias("source"))
+    taken = mix(own, weights, limit, "_m_key", "text", "source")
+    copies = taken.groupBy(F.col("_m_key").alias("_m_k")).agg(F.round(F.avg("copies")).cast("int").alias("_m_copies")).where("_m_copies > 0")
+    joined = keyed.join(copies, F.col("_m_key") == F.col("_m_k"))
+    return joined.withColumn("_m_copy", F.explode(F.sequence(F.lit(1), F.col("_m_copies")))).select(*docs.columns)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from driftlens.llm import classifier, language, mixing, neighbours, packing, quality_rules, repeats, sharding, token_counts
+from driftlens.llm import classifier, jaccard, language, mixing, neighbours, packing, quality_rules, repeats, sharding, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -69,3 +69,8 @@ def op9_subword_quality(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op4_repeated_bytes(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.digest(read(spark, folder, "documents"))
+
+
+@query
+def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.join(read(spark, folder, "documents"))

@@ -27,7 +27,7 @@ from driftlens.llm.workers import ship
 from driftlens.staging import stage
 
 MAX_COPIES = 3
-CHUNK_ROWS = 20_000
+CHUNK_ROWS = 1_000
 STEPS = 40
 TOLERANCE = 1e-9
 

@@ -224,6 +224,8 @@ def repeated(
     ``is_first`` marks the occurrence with the smallest id among equal runs of that digit.
     """
     gram = gram or max(1, length // 6)
+    # the part that all windows of a run share must not be empty
+    widths = tuple(w for w in widths if w == 1 or 4 * w <= length)
     kind = docs.schema[id_col].dataType.simpleString()
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = bucketed(docs.withColumn("_r_key", F.xxhash64(F.col(id_col).cast("string"), body)), text)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -13,21 +13,39 @@ RENAME_TOLERANCE = 0.01
 
 
 def rename_pairs(reports: DataFrame, tolerance: float = RENAME_TOLERANCE) -> DataFrame:
-    """A value that vanished and one that turned up at the same share, matched by rank within the column.
+    """A value that vanished and one that turned up with the closest share, at most ``tolerance`` away.
 
-    At most twenty values per side and fingerprint exist, so the ranking is bounded.
+    Within a column the closest pair is taken first, ties by old and then by new value, and each value is used once; so
+    an unrelated value that vanishes as well cannot hide a rename. A column has at most twenty new values and twenty for
+    each baseline fingerprint, so its pairs are matched inside one row.
     """
-    by_share = Window.partitionBy("report_id", "column_name", "shift").orderBy(
-        F.desc(F.greatest("current", "baseline")), "value"
-    )
-    ranked = value_shifts(reports).withColumn("rank", F.row_number().over(by_share))
-    sides = ranked.groupBy(*KEY, "report_id", "computed_at", "column_name", "rank").agg(
-        F.max(F.when(F.col("shift") == "DISAPPEARED", F.col("value"))).alias("old_value"),
-        F.max(F.when(F.col("shift") == "DISAPPEARED", F.col("baseline"))).alias("old_share"),
-        F.max(F.when(F.col("shift") == "APPEARED", F.col("value"))).alias("new_value"),
-        F.max(F.when(F.col("shift") == "APPEARED", F.col("current"))).alias("new_share"),
-    )
-    return sides.where(F.abs(F.col("old_share") - F.col("new_share")) <= tolerance).drop("rank")
+    side = F.struct("value", F.greatest("current", "baseline").alias("share"))
+    columns = value_shifts(reports).groupBy(*KEY, "report_id", "computed_at", "column_name").agg(
+        F.collect_list(F.when(F.col("shift") == "DISAPPEARED", side)).alias("old"),
+        F.collect_list(F.when(F.col("shift") == "APPEARED", side)).alias("new"),
+    )
+
+    def pairs_of(old: Column) -> Column:
+        return F.transform(
+            "new",
+            lambda new: F.struct(
+                F.round(F.abs(old["share"] - new["share"]), 9).alias("apart"),
+                old["value"].alias("old_value"),
+                new["value"].alias("new_value"),
+                old["share"].alias("old_share"),
+                new["share"].alias("new_share"),
+            ),
+        )
+
+    near = F.filter(F.flatten(F.transform("old", pairs_of)), lambda p: p["apart"] <= tolerance)
+
+    def take(taken: Column, pair: Column) -> Column:
+        used = F.exists(taken, lambda t: (t["old_value"] == pair["old_value"]) | (t["new_value"] == pair["new_value"]))
+        return F.when(used, taken).otherwise(F.concat(taken, F.array(pair)))
+
+    ordered = columns.withColumn("near", F.array_sort(near))
+    matched = ordered.withColumn("pair", F.explode(F.aggregate("near", F.slice("near", 1, 0), take)))
+    return matched.select(*KEY, "report_id", "computed_at", "column_name", *(f"pair.{c}" for c in ("old_value", "old_share", "new_value", "new_share")))
 
 
 def classify(reports: DataFrame, tolerance: float = RENAME_TOLERANCE) -> DataFrame:
@@ -43,10 +61,14 @@ def classify(reports: DataFrame, tolerance: float = RENAME_TOLERANCE) -> DataFra
         F.count_if(F.col("shift") == "APPEARED").alias("new_values"),
     )
     pairs = rename_pairs(judged, tolerance).groupBy("report_id").agg(F.count(F.lit(1)).alias("renamed_values"))
-    wave = Window.partitionBy("dataset_id", "computed_at")
+    waves = judged.groupBy(F.col("dataset_id").alias("wave_dataset"), F.col("computed_at").alias("wave_at")).agg(
+        F.count_if("is_anomalous").alias("wave_anomalies")
+    )
+    same_wave = (F.col("dataset_id") == F.col("wave_dataset")) & F.col("computed_at").eqNullSafe(F.col("wave_at"))
     zero = F.lit(0).cast("bigint")
     evidence = (
-        judged.withColumn("other_anomalies", F.sum(F.col("is_anomalous").cast("int")).over(wave) - F.col("is_anomalous").cast("int"))
+        judged.join(waves, same_wave)
+        .withColumn("other_anomalies", F.col("wave_anomalies") - F.col("is_anomalous").cast("int"))
         .join(shifts, "report_id", "left")
         .join(pairs, "report_id", "left")
         .withColumns({c: F.coalesce(c, zero) for c in ("vanished_values", "new_values", "renamed_values")})

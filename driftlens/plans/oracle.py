@@ -67,6 +67,13 @@ def _scenario() -> str:
         f"FROM customer JOIN nation ON c_nationkey = n_nationkey, {loads})"
     )
     supplier = f"(SELECT days, s_acctbal FROM supplier, {loads})"
+    merged, into = R.MERGED_PRIORITY
+    old_priority, new_priority = R.RENAMED_PRIORITY
+    priorities = (
+        f"(SELECT days, CASE WHEN days > 0 THEN o_orderpriority WHEN o_orderpriority = '{merged}' THEN '{into}' "
+        f"WHEN o_orderpriority = '{old_priority}' THEN '{new_priority}' ELSE o_orderpriority END AS o_orderpriority "
+        f"FROM orders, {loads})"
+    )
     sync = f"({at} - INTERVAL 1 DAY * days)"
     return " UNION ALL ".join(
         [
@@ -74,6 +81,7 @@ def _scenario() -> str:
             _cells("crm", "customer_region", sync, regions_used, [("region_id", "c"), ("c_acctbal", "n")]),
             _cells("market", "customer", sync, customer, [("c_mktsegment", "c"), ("c_acctbal", "n")]),
             _cells("market", "supplier", sync, supplier, [("s_acctbal", "n")]),
+            _cells("shop", "orders", sync, priorities, [("o_orderpriority", "c")]),
         ]
     )
 
@@ -92,11 +100,11 @@ def _chain(cells: str, upto: str = "report", scenario: str | None = None) -> str
     only_newest = ""
     if scenario:
         only_newest = (
-            "WHERE c.ds NOT IN ('crm', 'market') OR c.sync = (SELECT max(sync) FROM fp f WHERE f.ds = c.ds AND f.tbl = c.tbl)"
+            "WHERE c.ds NOT IN ('crm', 'market', 'shop') OR c.sync = (SELECT max(sync) FROM fp f WHERE f.ds = c.ds AND f.tbl = c.tbl)"
         )
         cells = f"{cells} UNION ALL {scenario}" if cells else scenario
     return f"""
-WITH cells AS ({cells}),
+WITH RECURSIVE cells AS ({cells}),
 fp AS (SELECT ds, tbl, sync, count(*) AS rc FROM cells WHERE pos = 0 GROUP BY ALL),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY ds, tbl ORDER BY sync) AS no,
              row_number() OVER (PARTITION BY ds, tbl ORDER BY sync DESC) AS recency FROM fp),
@@ -348,7 +356,7 @@ lists AS (SELECT d.d, coalesce((SELECT string_agg(col, ',' ORDER BY col) FROM cu
                        [("event_type", "c"), ("user_id", "c"), ("props", "c")]),
             ]
         )
-    ).replace("WITH cells", "cells", 1)
+    ).replace("WITH RECURSIVE cells", "cells", 1)
     # a column that was numeric before has no old distribution: every old share is 0
     .replace("sum(d.share) / any_value(o.nb)", "sum(d.share) / any_value(o.nd)", 1)
     .replace("avg(s.sd) AS sd FROM pairs p", "avg(s.sd) AS sd, count(*) FILTER (WHERE s.kind = 'c') AS nd FROM pairs p", 1)
@@ -406,11 +414,17 @@ QUALIFY row_number() OVER (PARTITION BY a.ds, a.tbl, a.sync ORDER BY abs(round(c
 
 # --- triage ---------------------------------------------------------------------------------------------------------
 
-_PAIRS = """, sided AS (SELECT *, row_number() OVER (PARTITION BY ds, tbl, sync, col, shift ORDER BY greatest(cur, base) DESC, value) AS rnk
-  FROM shifts),
-renames AS (SELECT o.ds, o.tbl, o.sync, o.col, o.value AS old_value, n.value AS new_value, o.base AS old_share, n.cur AS new_share
-  FROM sided o JOIN sided n ON o.ds = n.ds AND o.tbl = n.tbl AND o.sync = n.sync AND o.col = n.col AND o.rnk = n.rnk
-  WHERE o.shift = 'DISAPPEARED' AND n.shift = 'APPEARED' AND abs(o.base - n.cur) <= 0.01)"""
+# the closest pair of every column is taken again and again, until no two unused values are close enough
+_PAIRS = """, near AS (SELECT o.ds, o.tbl, o.sync, o.col, o.value AS old_value, n.value AS new_value, o.base AS old_share, n.cur AS new_share,
+    row_number() OVER (PARTITION BY o.ds, o.tbl, o.sync, o.col ORDER BY round(abs(o.base - n.cur), 9), o.value, n.value) AS rk
+  FROM shifts o JOIN shifts n ON o.ds = n.ds AND o.tbl = n.tbl AND o.sync = n.sync AND o.col = n.col
+  WHERE o.shift = 'DISAPPEARED' AND n.shift = 'APPEARED' AND round(abs(o.base - n.cur), 9) <= 0.01),
+picks AS (SELECT ds, tbl, sync, col, rk, [old_value] AS old_used, [new_value] AS new_used FROM near WHERE rk = 1
+  UNION ALL SELECT p.ds, p.tbl, p.sync, p.col, n.rk, list_append(old_used, n.old_value), list_append(new_used, n.new_value)
+  FROM picks p JOIN near n USING (ds, tbl, sync, col)
+  WHERE NOT list_contains(old_used, n.old_value) AND NOT list_contains(new_used, n.new_value)
+  QUALIFY row_number() OVER (PARTITION BY p.ds, p.tbl, p.sync, p.col ORDER BY n.rk) = 1),
+renames AS (SELECT n.* FROM near n JOIN picks USING (ds, tbl, sync, col, rk))"""
 _sql(
     "rename_pairs",
     _chain("", scenario=_SCENARIO)

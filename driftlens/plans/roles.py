@@ -14,6 +14,8 @@ AS_OF = "2024-02-01 00:00:00"
 OPEN_FROM = "2000-01-01 00:00:00"
 RENAMED_REGION = ("EUROPE", "EUROPE AND UK")
 RENAMED_SEGMENT = ("BUILDING", "CONSTRUCTION")
+RENAMED_PRIORITY = ("2-HIGH", "2-UPPER")
+MERGED_PRIORITY = ("5-LOW", "4-NOT SPECIFIED")
 BASELINE_OFFSETS = [14, 10, 7, 4, 1]
 
 
@@ -81,16 +83,23 @@ def rename_loads(spark: SparkSession, folder: str) -> tuple[list[Load], list[Loa
     segments = read_table(spark, folder, "customer").select("c_mktsegment", "c_acctbal")
     balances = read_table(spark, folder, "supplier").select("s_acctbal")
     regions_used = customer_regions(spark, folder)
+    priorities = read_table(spark, folder, "orders").select("o_orderpriority")
     now = moment(AS_OF)
 
     def load(df, dataset, table):
         return Load(df, dataset, table, now, per_sync=False)
 
     unchanged = [load(regions_used, "crm", "customer_region"), load(balances, "market", "supplier")]
-    before = [load(region, "crm", "region"), load(segments, "market", "customer")]
+    before = [load(region, "crm", "region"), load(segments, "market", "customer"), load(priorities, "shop", "orders")]
     after = [
         load(relabel(region, "r_name", *RENAMED_REGION), "crm", "region"),
         load(relabel(segments, "c_mktsegment", *RENAMED_SEGMENT), "market", "customer"),
+        # one value is renamed, another vanishes into a third at the same time
+        load(
+            relabel(relabel(priorities, "o_orderpriority", *MERGED_PRIORITY), "o_orderpriority", *RENAMED_PRIORITY),
+            "shop",
+            "orders",
+        ),
     ]
     return after + unchanged, before + unchanged
 

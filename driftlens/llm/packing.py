@@ -15,8 +15,8 @@ empty table gives an empty result; only the id and the text are read, so other c
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftlens.llm.token_counts import byte_symbols
 from driftlens.llm.workers import map_arrow, ship
 from driftlens.staging import stage
 
@@ -35,18 +36,21 @@ END_ID = 1
 DIMS, BITS = 4, 6
 PART_IDS = 4_000_000
 MAX_PARTS = 20_000
-CACHE_PIECES = 300_000
 
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
-# The byte-level pattern of the public tokenizer for texts of ASCII and Latin letters, where ``re`` and the
-# tokenizer's own engine agree on letters, digits and white space. Other texts are encoded whole.
-_PLAIN = re.compile(r"[\x00-\x1b\x20-\x7fÀ-ɏ]*")
-_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+# Fixed value: how the byte-level tokenizers cut a text before merging bytes.
+PATTERN = (
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+)
 
 
-class Encoder(dict):
-    """Ids of a text by a tokenizer file; remembers the ids of at most ``CACHE_PIECES`` pieces of text."""
+class Encoder:
+    """Ids of a text by a tokenizer file.
+
+    Where the file is a plain byte-level merge table whose ids stand in merge order, the same ids come from the faster
+    merge loop of ``tiktoken``, fed with the file's own vocabulary; any other file is left to ``tokenizers``.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -54,23 +58,34 @@ class Encoder(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.size = self.tokenizer.get_vocab_size()
+        self.kind = np.uint16 if self.size <= 1 << 16 else np.uint32
+        with open(path, encoding="utf-8") as f:
+            self.merger = self._merger(json.load(f))
+
+    @staticmethod
+    def _merger(known: dict):
+        model, cut = known["model"], known.get("pre_tokenizer") or {}
+        plain = model.get("type") == "BPE" and not known.get("normalizer") and not model.get("continuing_subword_prefix")
+        if not plain or cut.get("type") != "ByteLevel" or not cut.get("use_regex") or cut.get("add_prefix_space"):
+            return None
+        alphabet, special = byte_symbols(), {t["content"] for t in known.get("added_tokens", [])}
+        pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
+        ids = [model["vocab"].get(a + b, -1) for a, b in pairs]
+        if any(a >= b for a, b in zip(ids, ids[1:])):
+            return None
+        ranks = {bytes(alphabet[c] for c in piece): i for piece, i in model["vocab"].items() if piece not in special}
+        import tiktoken
+
+        return tiktoken.Encoding("merges", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE_PIECES:
-            self.clear()
-        ids = self.whole(piece)
-        if len(piece) <= 64:
-            self[piece] = ids
-        return ids
-
     def ids(self, text: str) -> bytes:
-        if not _PLAIN.fullmatch(text):
+        if self.merger is None:
             return self.whole(text)
-        return b"".join(map(self.__getitem__, _SPLIT.findall(text)))
+        return np.array(self.merger.encode_ordinary(text), dtype=self.kind).tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -124,7 +139,6 @@ def encoded(docs: DataFrame, path: str, id_col: str, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(path)
-        size = tool.tokenizer.get_vocab_size()
         for batch in batches:
             packed = [tool.ids(t or "") for t in batch.column(1).to_pylist()]
             arrays = [np.frombuffer(p, dtype=tool.kind) for p in packed]
@@ -132,7 +146,7 @@ def encoded(docs: DataFrame, path: str, id_col: str, text: str) -> DataFrame:
                 [
                     batch.column(0),
                     pa.array([len(a) + 1 for a in arrays], type=pa.int64()),
-                    pa.array(curve_keys(arrays, size), type=pa.int64()),
+                    pa.array(curve_keys(arrays, tool.size), type=pa.int64()),
                     pa.array([tool.kind().itemsize] * len(arrays), type=pa.int32()),
                     pa.array(packed, type=pa.binary()),
                 ],

@@ -1,12 +1,10 @@
 from . import constants
 from .expressions import (
     days_between,
-    entropy_of,
     floored,
     live_rows,
     not_blank,
     psi_band,
-    psi_of_maps,
     psi_of_shares,
     psi_term,
     score_multiple,

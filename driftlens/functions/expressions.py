@@ -28,29 +28,12 @@ def psi_of_shares(shares: Column, floor: float = K.PSI_FLOOR) -> Column:
     return F.round(total, 6)
 
 
-def psi_of_maps(current: Column, baseline: Column, floor: float = K.PSI_FLOOR) -> Column:
-    """Stability index of two ``map<string,double>`` distributions, aligned on the union of their keys."""
-    terms = F.map_values(F.map_zip_with(current, baseline, lambda _, a, e: psi_term(a, e, floor)))
-    return F.round(F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + t), 6)
-
-
 def psi_band(score: Column) -> Column:
     return (
         F.when(score < K.PSI_STABLE, "stable").when(score <= K.PSI_WATCH, "watch").otherwise("anomalous")
     )
 
 
-def entropy_of(shares: Column) -> Column:
-    """Shannon entropy (bits) of an array of shares, renormalised by their total; 0 when empty."""
-    total = F.aggregate(shares, F.lit(0.0), lambda acc, s: acc + s)
-    bits = F.aggregate(
-        shares,
-        F.lit(0.0),
-        lambda acc, s: acc + F.when(s > 0, -(s / total) * F.log2(s / total)).otherwise(0.0),
-    )
-    return F.coalesce(F.when(total > 0, F.round(bits, 6)), F.lit(0.0))
-
-
 def value_key(column: Column, data_type: T.DataType) -> Column:
     """A categorical value as a distribution key: booleans as True/False, null under its own key."""
     text = column.cast("string")

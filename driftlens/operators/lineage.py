@@ -1,7 +1,8 @@
 """Dependency graph: edges, blast radius from many sources at once, owners and affected SQL.
 
 Nodes come from a manifest (see ``sources.manifest``) or any frame with a ``uid`` column; edges are (src, dst) pairs
-from upstream to downstream.
+from upstream to downstream. Ids belong to a graph: ``graph`` is part of every key, so many manifests that use the same
+ids are searched together and stay apart. A frame without it is one graph, named by the empty text.
 """
 
 from __future__ import annotations
@@ -10,21 +11,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import not_blank, severity
-from ..staging import new_path, stage
+from ..staging import new_path, stage_bucketed
+
+
+def in_graph(rows: DataFrame) -> DataFrame:
+    return rows if "graph" in rows.columns else rows.withColumn("graph", F.lit(""))
 
 
 def edges(nodes: DataFrame) -> DataFrame:
-    """Distinct upstream-to-downstream pairs; dependencies on unknown nodes are dropped."""
-    pairs = nodes.select(F.explode("depends_on").alias("src"), F.col("uid").alias("dst")).distinct()
-    return pairs.join(nodes.select(F.col("uid").alias("src")), "src", "left_semi").select("src", "dst")
+    """Distinct upstream-to-downstream pairs of each graph; dependencies on unknown nodes are dropped."""
+    known = in_graph(nodes)
+    pairs = known.select("graph", F.explode("depends_on").alias("src"), F.col("uid").alias("dst")).distinct()
+    return pairs.join(known.select("graph", F.col("uid").alias("src")), ["graph", "src"], "left_semi").select("graph", "src", "dst")
 
 
 def find_sources(nodes: DataFrame, requests: DataFrame) -> DataFrame:
-    """Source node of each requested ``source_table``: by table name or by source and table, first match.
+    """Source node of each requested ``source_table`` in each graph: by table name or by source and table, first match.
 
     Requests that match nothing give no row.
     """
-    sources = nodes.where("resource_type = 'source'").select(
+    sources = in_graph(nodes).where("resource_type = 'source'").select(
+        "graph",
         "uid",
         "position",
         F.explode(
@@ -33,23 +40,24 @@ def find_sources(nodes: DataFrame, requests: DataFrame) -> DataFrame:
     )
     return (
         requests.join(sources, "source_table")
-        .groupBy(*requests.columns)
+        .groupBy(*requests.columns, "graph")
         .agg(F.min_by("uid", "position").alias("start_uid"))
     )
 
 
 def reachable(edge_rows: DataFrame, starts: DataFrame, max_hops: int | None = None) -> DataFrame:
-    """Every node reachable from each start, with its shortest hop: (start_uid, uid, hop), starts excluded.
+    """Every node reachable from each start, with its shortest hop: (graph, start_uid, uid, hop), starts excluded.
 
     A breadth-first search by joins: each hop joins the frontier with the edges, keeps one row per (start, node),
-    drops what was reached before and writes the rest down. All starts advance together, cycles end by themselves,
-    and only the emptiness of a hop is looked at outside the cluster.
+    drops what was reached before and writes the rest down. The edges are written once, bucketed by their upstream
+    end, so that only the frontier moves. All starts advance together, cycles end by themselves, and only the
+    emptiness of a hop is looked at outside the cluster.
     """
     spark = edge_rows.sparkSession
-    linked = stage(edge_rows.select("src", "dst"), "edges")
+    linked = stage_bucketed(in_graph(edge_rows).select("graph", "src", "dst"), "edges", "graph", "src")
     root = new_path(spark, "reached")
-    frontier = starts.select("start_uid", F.col("start_uid").alias("uid"), F.lit(0).alias("hop")).distinct()
-    schema = "start_uid string, uid string, hop int"
+    frontier = in_graph(starts).select("graph", "start_uid", F.col("start_uid").alias("uid"), F.lit(0).alias("hop")).distinct()
+    schema, node = "graph string, start_uid string, uid string, hop int", ["graph", "start_uid", "uid"]
     frontier.write.parquet(f"{root}/hop=0")
     hop = 0
     while max_hops is None or hop < max_hops:
@@ -57,10 +65,11 @@ def reachable(edge_rows: DataFrame, starts: DataFrame, max_hops: int | None = No
         visited = spark.read.schema(schema).parquet(*[f"{root}/hop={h}" for h in range(hop + 1)])
         hop += 1
         step = (
-            frontier.join(linked, frontier["uid"] == linked["src"])
-            .select("start_uid", F.col("dst").alias("uid"))
+            frontier.withColumnRenamed("uid", "src")
+            .join(linked, ["graph", "src"])
+            .select("graph", "start_uid", F.col("dst").alias("uid"))
             .distinct()
-            .join(visited.select("start_uid", "uid"), ["start_uid", "uid"], "left_anti")
+            .join(visited.select(*node), node, "left_anti")
             .withColumn("hop", F.lit(hop))
         )
         step.write.parquet(f"{root}/hop={hop}")
@@ -79,7 +88,8 @@ def blast_radius(
 ) -> DataFrame:
     """Downstream nodes of each (source_table, changed_column, start_uid), nearest first by ``hop``."""
     reached = reachable(edge_rows, starts, max_hops)
-    described = nodes.select(
+    described = in_graph(nodes).select(
+        "graph",
         "uid",
         "resource_type",
         "name",
@@ -88,11 +98,12 @@ def blast_radius(
     )
     column = F.coalesce("changed_column", F.lit(""))
     return (
-        reached.join(starts, "start_uid")
-        .join(described, "uid")
+        reached.join(in_graph(starts), ["graph", "start_uid"])
+        .join(described, ["graph", "uid"])
         .select(
             "source_table",
             "changed_column",
+            "graph",
             "start_uid",
             "uid",
             "hop",
@@ -107,24 +118,26 @@ def blast_radius(
 
 def blast_edges(nodes: DataFrame, edge_rows: DataFrame, starts: DataFrame, reached: DataFrame) -> DataFrame:
     """Edges among a start and what it reaches, by node name; nodes of equal name merge."""
-    members = reached.select("start_uid", "uid").unionByName(
-        starts.select("start_uid", F.col("start_uid").alias("uid"))
+    given = in_graph(starts)
+    members = reached.select("graph", "start_uid", "uid").unionByName(
+        given.select("graph", "start_uid", F.col("start_uid").alias("uid"))
     ).distinct()
-    named = members.join(nodes.select("uid", "name"), "uid")
-    upstream = named.select("start_uid", F.col("uid").alias("src"), F.col("name").alias("from_name"))
-    downstream = named.select("start_uid", F.col("uid").alias("dst"), F.col("name").alias("to_name"))
+    named = members.join(in_graph(nodes).select("graph", "uid", "name"), ["graph", "uid"])
+    upstream = named.select("graph", "start_uid", F.col("uid").alias("src"), F.col("name").alias("from_name"))
+    downstream = named.select("graph", "start_uid", F.col("uid").alias("dst"), F.col("name").alias("to_name"))
     return (
-        upstream.join(edge_rows, "src")
-        .join(downstream, ["start_uid", "dst"])
-        .select("start_uid", "from_name", "to_name")
+        upstream.join(in_graph(edge_rows), ["graph", "src"])
+        .join(downstream, ["graph", "start_uid", "dst"])
+        .select("graph", "start_uid", "from_name", "to_name")
         .distinct()
     )
 
 
 def models_sql(nodes: DataFrame, names: DataFrame) -> DataFrame:
     """SQL and file path of the models with the given ``name``s."""
-    models = nodes.where("resource_type = 'model'").join(names.select("name").distinct(), "name", "left_semi")
+    models = in_graph(nodes).where("resource_type = 'model'").join(names.select("name").distinct(), "name", "left_semi")
     return models.select(
+        "graph",
         "uid",
         "name",
         F.coalesce(
@@ -139,7 +152,7 @@ def models_sql(nodes: DataFrame, names: DataFrame) -> DataFrame:
 def summary_lines(requests: DataFrame, blast: DataFrame) -> DataFrame:
     """The text summary of every requested (source_table, changed_column): a heading, then one line per node.
 
-    Lines read in (hop, uid) order. A request without downstream nodes, or with an unknown source, says so.
+    Lines read in (hop, graph, uid) order. A request without downstream nodes, or with an unknown source, says so.
     """
     key = ["source_table", "changed_column"]
     subject = F.concat_ws(".", *key)
@@ -149,22 +162,25 @@ def summary_lines(requests: DataFrame, blast: DataFrame) -> DataFrame:
         F.lit("  ["), F.upper("severity"), F.lit("] "), F.col("node_type"), F.lit(": "), F.col("name"), owner, flag
     )
     asked = requests.select(*key).distinct()
-    found = blast.select(*key).distinct().withColumn("found", F.lit(True))
-    headings = asked.join(found, key, "left").select(
+    found = blast.select(*[F.col(c).alias(f"found_{c}") for c in key]).distinct().withColumn("found", F.lit(True))
+    same = F.col(key[0]).eqNullSafe(F.col(f"found_{key[0]}")) & F.col(key[1]).eqNullSafe(F.col(f"found_{key[1]}"))
+    headings = asked.join(found, same, "left").select(
         *key,
         F.lit(0).alias("hop"),
+        F.lit("").alias("graph"),
         F.lit("").alias("uid"),
         F.when(F.col("found"), F.concat(F.lit("Blast radius for "), subject, F.lit(":")))
         .otherwise(F.concat(F.lit("No downstream dependencies for "), subject))
         .alias("line"),
     )
-    return headings.unionByName(blast.select(*key, "hop", "uid", line.alias("line")))
+    return headings.unionByName(blast.select(*key, "hop", "graph", "uid", line.alias("line")))
 
 
 def display_nodes(blast: DataFrame, starts: DataFrame) -> DataFrame:
     """Graph nodes for display: the flagged source first, then everything downstream."""
-    source = starts.select(
+    source = in_graph(starts).select(
         "source_table",
+        "graph",
         F.lit(0).alias("hop"),
         F.col("source_table").alias("id"),
         F.lit("source").alias("node_type"),
@@ -174,14 +190,14 @@ def display_nodes(blast: DataFrame, starts: DataFrame) -> DataFrame:
     )
     return source.unionByName(
         blast.select(
-            "source_table", "hop", F.col("name").alias("id"), "node_type", "severity", "owner", "references_column"
+            "source_table", "graph", "hop", F.col("name").alias("id"), "node_type", "severity", "owner", "references_column"
         )
     )
 
 
 def hop_layers(reached: DataFrame) -> DataFrame:
     """Size of every layer per start."""
-    return reached.groupBy("start_uid", "hop").agg(F.count(F.lit(1)).alias("nodes"))
+    return reached.groupBy("graph", "start_uid", "hop").agg(F.count(F.lit(1)).alias("nodes"))
 
 
 def hop_positions(reached: DataFrame) -> DataFrame:
@@ -192,9 +208,12 @@ def hop_positions(reached: DataFrame) -> DataFrame:
     from .ordered import running_totals
 
     placed = running_totals(
-        reached.select("start_uid", "hop", "uid"), ["uid"], {"upto": F.lit(1)}, group=["start_uid", "hop"]
+        in_graph(reached).select("graph", "start_uid", "hop", "uid"),
+        ["uid"],
+        {"upto": F.lit(1)},
+        group=["graph", "start_uid", "hop"],
     )
-    return placed.select("start_uid", "hop", "uid", (F.col("upto") - 1).cast("bigint").alias("place"))
+    return placed.select("graph", "start_uid", "hop", "uid", (F.col("upto") - 1).cast("bigint").alias("place"))
 
 
 def affected_owners(blast: DataFrame) -> DataFrame:

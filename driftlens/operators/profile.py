@@ -269,11 +269,3 @@ HEADER = ["fingerprint_id", "dataset_id", "table_name", "computed_at", "row_coun
 def column_rows(fps: DataFrame, keep: list[str] = HEADER) -> DataFrame:
     """Long form: one row per fingerprint and column."""
     return fps.select(*keep, F.explode("columns").alias("column")).select(*keep, "column.*")
-
-
-def value_rows(fps: DataFrame, keep: list[str] = HEADER) -> DataFrame:
-    """Long form: one row per fingerprint, column and kept value, with the unrounded share."""
-    exploded = column_rows(fps, keep).select(
-        *keep, "position", F.col("name").alias("column_name"), F.explode("distribution").alias("value", "share")
-    )
-    return exploded

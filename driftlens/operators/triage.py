@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from .drift import KEY, value_shifts
-from .lineage import node_sql
+from .lineage import in_graph, node_sql
 
 RENAME_TOLERANCE = 0.01
 
@@ -124,17 +124,18 @@ def stale_literals(pairs: DataFrame, blast: DataFrame, nodes: DataFrame) -> Data
     ``pairs`` has (table_name, column_name, old_value, new_value); ``blast`` comes from ``lineage.blast_radius`` for the
     renamed columns. One row per model and breaking snippet, with the snippet and the model's SQL after replacement.
     """
-    models = nodes.where("resource_type = 'model'").select(
+    models = in_graph(nodes).where("resource_type = 'model'").select(
+        "graph",
         "uid",
         F.coalesce("original_file_path", "path", F.concat(F.lit("models/"), "name", F.lit(".sql"))).alias("file_path"),
         node_sql(nodes).alias("sql"),
     )
     referencing = blast.where("references_column and node_type = 'model'").select(
-        F.col("source_table").alias("table_name"), F.col("changed_column").alias("column_name"), "uid", "name"
-    )
+        F.col("source_table").alias("table_name"), F.col("changed_column").alias("column_name"), "graph", "uid", "name"
+    ).distinct()
     pattern = F.concat(F.lit(r"(?:\w+\.)?\b"), F.col("column_name"), F.lit(r"\s*=\s*'(?:[^']|'')*'"))
     snippets = (
-        referencing.join(models, "uid")
+        referencing.join(models, ["graph", "uid"])
         .withColumn("original_snippet", F.explode(F.array_distinct(F.regexp_extract_all("sql", pattern, F.lit(0)))))
         .withColumn("old_value", F.replace(F.regexp_extract("original_snippet", r"'((?:[^']|'')*)'$", 1), F.lit("''"), F.lit("'")))
     )
@@ -149,6 +150,7 @@ def stale_literals(pairs: DataFrame, blast: DataFrame, nodes: DataFrame) -> Data
         .select(
             "table_name",
             "column_name",
+            "graph",
             F.col("uid").alias("model_uid"),
             F.col("name").alias("model_name"),
             "file_path",

@@ -425,7 +425,7 @@ def drift_class(spark, d):
 @query
 def stale_literals(spark, d):
     """Models whose SQL still filters on a renamed value, with the corrected SQL."""
-    nodes = stage(manifest_nodes(R.customer_manifests(spark, d)).drop("graph").dropDuplicates(["uid"]), "nodes")
+    nodes = stage(manifest_nodes(R.customer_manifests(spark, d)), "nodes")
     pairs = stage(triage.rename_pairs(_rename_reports(spark, d)), "pairs")
     requests = pairs.select(
         F.col("table_name").alias("source_table"), F.col("column_name").alias("changed_column")
@@ -476,7 +476,7 @@ def sync_check(spark, d):
     after, before = R.rename_loads(spark, d)
     path = new_path(spark, "history")
     H.store(H.replicate(profile.fingerprint_loads(before), R.BASELINE_OFFSETS, R.moment(R.AS_OF)), path)
-    nodes = stage(manifest_nodes(R.customer_manifests(spark, d)).drop("graph").dropDuplicates(["uid"]), "nodes")
+    nodes = stage(manifest_nodes(R.customer_manifests(spark, d)), "nodes")
     result = check_syncs(spark, after, path, nodes=nodes)
     downstream = result.blast.groupBy(F.col("source_table").alias("table_name")).agg(F.count(F.lit(1)).alias("downstream"))
     fixes = result.fixes.groupBy("table_name").agg(F.count(F.lit(1)).alias("fixes"))
@@ -548,7 +548,7 @@ def manifest_node_table(spark, d):
 
 @query
 def lineage_edges(spark, d):
-    return lineage.edges(R.key_graph(spark, d))
+    return lineage.edges(stage(R.key_graph(spark, d), "nodes")).select("src", "dst")
 
 
 @query
@@ -564,14 +564,14 @@ def blast_radius(spark, d):
 def blast_edges(spark, d):
     nodes, edge_rows, starts = _region_blast(spark, d)
     reached = lineage.reachable(edge_rows, starts)
-    return lineage.blast_edges(nodes, edge_rows, starts, reached)
+    return lineage.blast_edges(nodes, edge_rows, starts, reached).drop("graph")
 
 
 @query
 def blast_display(spark, d):
     """Distinct display rows (flagged source, then downstream assets) with how many nodes each stands for."""
     nodes, edge_rows, starts = _region_blast(spark, d)
-    rows = lineage.display_nodes(lineage.blast_radius(nodes, edge_rows, starts), starts)
+    rows = lineage.display_nodes(lineage.blast_radius(nodes, edge_rows, starts), starts).drop("graph")
     return rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("nodes"))
 
 
@@ -595,13 +595,13 @@ def owners(spark, d):
 @query
 def hop_layers(spark, d):
     nodes, edge_rows, starts = _region_blast(spark, d)
-    return lineage.hop_layers(lineage.reachable(edge_rows, starts))
+    return lineage.hop_layers(lineage.reachable(edge_rows, starts)).drop("graph")
 
 
 @query
 def hop_positions(spark, d):
     nodes, edge_rows, starts = _region_blast(spark, d)
-    return lineage.hop_positions(lineage.reachable(edge_rows, starts))
+    return lineage.hop_positions(lineage.reachable(edge_rows, starts)).drop("graph")
 
 
 @query

@@ -40,3 +40,12 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stage_bucketed(df: DataFrame, label: str, *keys: str) -> DataFrame:
+    """Write ``df`` once, bucketed by ``keys``: later joins on them leave it where it is."""
+    spark = df.sparkSession
+    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"{label}_{uuid.uuid4().hex}"
+    df.repartition(count, *keys).write.bucketBy(count, *keys).option("path", new_path(spark, label)).saveAsTable(name)
+    return spark.table(name)

@@ -1,4 +1,5 @@
 import math
+import statistics
 from datetime import datetime
 
 import pytest
@@ -6,15 +7,16 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from driftlens.functions import psi_band, psi_of_maps
+from driftlens.functions import psi_band, psi_of_shares
 from driftlens.operators import drift
 
-from conftest import LABELS, RENAMED, STAGE_IDS, column, fingerprint, frame, stage_columns
+from conftest import DEPOT_ROWS, MODES, MODES_AFTER, PARCEL_ROWS, ZONES, column, depot_columns, fingerprint, frame, renamed
 
 
 def psi(spark, current, baseline):
-    df = spark.createDataFrame([(current, baseline)], "a map<string,double>, e map<string,double>")
-    return df.select(psi_of_maps(F.col("a"), F.col("e"))).first()[0]
+    shares = [(current.get(k, 0.0), baseline.get(k, 0.0)) for k in sorted({*current, *baseline})]
+    df = spark.createDataFrame([(shares,)], "s array<struct<current:double,baseline:double>>")
+    return df.select(psi_of_shares(F.col("s"))).first()[0]
 
 
 def plain_psi(current, baseline):
@@ -24,28 +26,28 @@ def plain_psi(current, baseline):
 
 
 @pytest.fixture(scope="module")
-def reports(baseline, after_rename):
-    rows = drift.check_tables(after_rename, baseline).collect()
+def reports(past, after_rename):
+    rows = drift.check_tables(after_rename, past).collect()
     return {r.table_name: r for r in rows}
 
 
 def test_identical_distributions_score_zero(spark):
-    assert psi(spark, LABELS, LABELS) == 0.0
-    assert psi(spark, STAGE_IDS, STAGE_IDS) == 0.0
+    assert psi(spark, MODES, MODES) == 0.0
+    assert psi(spark, ZONES, ZONES) == 0.0
 
 
 def test_noise_stays_below_the_threshold(spark):
-    noisy = {k: v * (1 + 0.01 * i) for i, (k, v) in enumerate(LABELS.items())}
+    noisy = {k: v * (1 + 0.01 * i) for i, (k, v) in enumerate(MODES.items())}
     total = sum(noisy.values())
-    assert psi(spark, {k: v / total for k, v in noisy.items()}, LABELS) < 0.25
+    assert psi(spark, {k: v / total for k, v in noisy.items()}, MODES) < 0.25
 
 
 @pytest.mark.parametrize(
     "current, baseline, expected",
     [
-        (RENAMED, LABELS, 1.407746),
-        ({"new": 0.5, "existing": 0.5}, {"existing": 1.0}, 3.447663),
-        ({("x" if k == "contractsent" else k): v for k, v in STAGE_IDS.items()}, STAGE_IDS, 1.859079),
+        (MODES_AFTER, MODES, 2 * 0.239 * math.log(240)),
+        ({"wet": 0.25, "dry": 0.75}, {"dry": 1.0}, 0.249 * math.log(250) - 0.25 * math.log(0.75)),
+        (renamed(ZONES, "hills", "uplands"), ZONES, 2 * 0.229 * math.log(230)),
         ({}, {}, 0.0),
     ],
 )
@@ -71,26 +73,28 @@ def test_score_is_symmetric_and_not_negative(spark, a, b):
 
 
 def test_rename_is_flagged(reports):
-    stage = reports["stage"]
-    assert stage.is_anomalous and stage.max_psi_column == "label"
-    assert stage.max_psi_score == pytest.approx(1.407746)
-    assert stage.baseline_count == 5 and stage.baseline_includes_synthetic
-    assert stage.anomaly_reason == "column 'label' PSI=1.408 (threshold 0.25)"
-    assert stage.threshold_multiple == 5.6
-    assert stage.max_psi_current_dist["Contract Under Review"] == pytest.approx(1 / 7)
-    assert "Contract Under Review" not in stage.max_psi_baseline_dist
+    depot = reports["depot"]
+    score = plain_psi(MODES_AFTER, MODES)
+    assert depot.is_anomalous and depot.max_psi_column == "mode"
+    assert depot.max_psi_score == pytest.approx(score, abs=1e-6)
+    assert depot.baseline_count == len(DEPOT_ROWS) and depot.baseline_includes_synthetic
+    assert depot.anomaly_reason == f"column 'mode' PSI={score:.3f} (threshold 0.25)"
+    assert depot.threshold_multiple == round(score / 0.25, 1)
+    assert depot.max_psi_current_dist["railway"] == pytest.approx(MODES["rail"])
+    assert "railway" not in depot.max_psi_baseline_dist
 
 
 def test_fact_table_is_clean(reports):
-    deal = reports["deal"]
-    assert not deal.is_anomalous and deal.anomaly_reason is None
-    assert deal.row_count_z_score == pytest.approx(-1.2649)
+    parcel = reports["parcel"]
+    assert not parcel.is_anomalous and parcel.anomaly_reason is None
+    z = (9010 - statistics.mean(PARCEL_ROWS)) / statistics.stdev(PARCEL_ROWS)
+    assert parcel.row_count_z_score == pytest.approx(z, abs=1e-4)
 
 
 def test_report_score_equals_the_direct_score(reports):
-    entry = next(d for d in reports["stage"].column_drifts if d.column_name == "label")
+    entry = next(d for d in reports["depot"].column_drifts if d.column_name == "mode")
     assert entry.drift_type == "PSI_CATEGORICAL" and entry.is_anomalous
-    assert entry.psi_score == pytest.approx(plain_psi(RENAMED, LABELS), rel=1e-4)
+    assert entry.psi_score == pytest.approx(plain_psi(MODES_AFTER, MODES), rel=1e-4)
 
 
 def one_report(spark, current, baseline, **options):
@@ -99,18 +103,18 @@ def one_report(spark, current, baseline, **options):
 
 
 def test_columns_added_removed_and_retyped(spark):
-    old = [fingerprint(f"b{i}", "stage", 10 + i, 7, stage_columns(LABELS)) for i in range(3)]
-    columns = [column(0, "label", LABELS), column(1, "extra", {"a": 0.6, "b": 0.4}), column(2, "is_closed", mean=0.3, stddev=0.1)]
-    report = one_report(spark, fingerprint("n", "stage", 20, 7, columns), old)
-    assert report.columns_added == ["extra"]
-    assert report.columns_removed == ["probability"]
-    assert report.columns_type_changed == ["is_closed"]
+    old = [fingerprint(f"b{i}", "depot", 10 + i, 7, depot_columns(MODES)) for i in range(3)]
+    columns = [column(0, "mode", MODES), column(1, "crane", {"yes": 0.6, "no": 0.4}), column(2, "heated", mean=0.6, stddev=0.1)]
+    report = one_report(spark, fingerprint("n", "depot", 20, 7, columns), old)
+    assert report.columns_added == ["crane"]
+    assert report.columns_removed == ["floor_area"]
+    assert report.columns_type_changed == ["heated"]
     assert report.is_anomalous
-    assert report.anomaly_reason == "columns added: ['extra']; columns removed: ['probability']"
+    assert report.anomaly_reason == "columns added: ['crane']; columns removed: ['floor_area']"
 
 
 def test_missing_baseline(spark):
-    now = fingerprint("n", "stage", 20, 7, stage_columns(LABELS))
+    now = fingerprint("n", "depot", 20, 7, depot_columns(MODES))
     report = one_report(spark, now, [])
     assert report.status == "no_baseline" and report.is_anomalous is None
     with pytest.raises(Exception, match="no baseline"):
@@ -179,18 +183,18 @@ def test_rolling_comparison_equals_single_checks(spark):
         assert by_id[f"f{i}"].baseline_count == min(i, 7)
 
 
-def test_shifts_leaders_and_movers(baseline, after_rename):
-    found = drift.check_tables(after_rename, baseline).persist()
+def test_shifts_leaders_and_movers(past, after_rename):
+    found = drift.check_tables(after_rename, past).persist()
     shifts = {(r.value, r["shift"]) for r in drift.value_shifts(found).collect()}
-    assert shifts == {("Contract Sent", "DISAPPEARED"), ("Contract Under Review", "APPEARED")}
-    movers = [r for r in drift.top_movers(found).collect() if r.table_name == "stage"]
-    assert len(movers) == 7
+    assert shifts == {("rail", "DISAPPEARED"), ("railway", "APPEARED")}
+    movers = [r for r in drift.top_movers(found).collect() if r.table_name == "depot"]
+    assert len(movers) == len(MODES) + 1
     assert {(r.value, r.current_pct, r.baseline_pct) for r in movers if r["rank"] <= 2} == {
-        ("Contract Sent", 0.0, 14.3),
-        ("Contract Under Review", 14.3, 0.0),
+        ("rail", 0.0, 24.0),
+        ("railway", 24.0, 0.0),
     }
-    leaders = drift.leading_values(found, 3).where("column_name = 'stage_id' and side = 'current'").collect()
-    assert [r.value for r in sorted(leaders, key=lambda r: r["rank"])] == ["qualifiedtobuy", "contractsent", "presentationscheduled"]
+    leaders = drift.leading_values(found, 2).where("column_name = 'zone' and side = 'current'").collect()
+    assert [r.value for r in sorted(leaders, key=lambda r: r["rank"])] == ["north", "delta"]
     log = {r.table_name: r for r in drift.drift_log(found).collect()}
-    assert log["stage"].is_anomalous and log["stage"].psi == pytest.approx(1.407746)
+    assert log["depot"].is_anomalous and log["depot"].psi == pytest.approx(plain_psi(MODES_AFTER, MODES), abs=1e-6)
     found.unpersist()

@@ -1,3 +1,4 @@
+import json
 import os
 import random
 
@@ -30,12 +31,18 @@ def radius(spark, nodes, edges, *pairs):
 
 
 def test_nodes_and_edges(nodes, edges):
-    assert nodes.count() == 5
-    assert {(r.src, r.dst) for r in edges.collect()} == {
-        ("source.shop.crm.deal", "model.shop.stg_deals"),
-        ("source.shop.crm.stage", "model.shop.stg_deals"),
-        ("model.shop.stg_deals", "model.shop.fct_pipeline"),
-        ("model.shop.fct_pipeline", "exposure.shop.board"),
+    assert nodes.count() == 9
+    named = {(r.src.split(".")[-1], r.dst.split(".")[-1]) for r in edges.collect()}
+    assert named == {
+        ("parcel", "base_parcel"),
+        ("depot", "base_depot"),
+        ("base_parcel", "lane_load"),
+        ("base_depot", "lane_load"),
+        ("base_depot", "lane_cost"),
+        ("lane_load", "night_report"),
+        ("lane_cost", "night_report"),
+        ("night_report", "dispatch_screen"),
+        ("lane_cost", "cost_sheet"),
     }
 
 
@@ -45,61 +52,79 @@ def test_later_map_wins_on_the_same_id(spark):
     assert {(r.uid, r.name, r.resource_type) for r in rows} == {("x", "new", "source"), ("y", "y", "model")}
 
 
-def test_full_chain(spark, nodes, edges):
-    blast, _ = radius(spark, nodes, edges, ("stage", "label"))
-    rows = [(r.hop, r.name, r.severity, r.owner, r.references_column) for r in blast.orderBy("hop").collect()]
+def test_branches_meet_again_at_their_shortest_hop(spark, nodes, edges):
+    blast, _ = radius(spark, nodes, edges, ("depot", "mode"))
+    rows = [(r.hop, r.name, r.severity, r.owner, r.references_column) for r in blast.orderBy("hop", "name").collect()]
     assert rows == [
-        (1, "stg_deals", "critical", None, True),
-        (2, "fct_pipeline", "high", None, False),
-        (3, "board", "medium", "VP of Sales", False),
+        (1, "base_depot", "critical", None, True),
+        (2, "lane_cost", "high", None, False),
+        (2, "lane_load", "high", None, False),
+        (3, "cost_sheet", "medium", "costs@example.org", False),
+        (3, "night_report", "medium", None, False),
+        (4, "dispatch_screen", "low", "Night desk", False),
     ]
 
 
 def test_look_up_by_qualified_name_unknown_name_and_without_column(spark, nodes, edges):
-    blast, starts = radius(spark, nodes, edges, ("crm.stage", "label"), ("nonexistent", "label"), ("deal", ""))
-    assert {r.source_table for r in starts.collect()} == {"crm.stage", "deal"}
+    blast, starts = radius(spark, nodes, edges, ("ops.depot", "mode"), ("warehouse", "mode"), ("parcel", ""))
+    assert {r.source_table for r in starts.collect()} == {"ops.depot", "parcel"}
     rows = blast.collect()
-    assert len([r for r in rows if r.source_table == "crm.stage"]) == 3
-    deal = [r for r in rows if r.source_table == "deal"]
-    assert {r.name for r in deal} == {"stg_deals", "fct_pipeline", "board"}
-    assert not any(r.references_column for r in deal)
+    assert len([r for r in rows if r.source_table == "ops.depot"]) == 6
+    parcel = [r for r in rows if r.source_table == "parcel"]
+    assert {r.name for r in parcel} == {"base_parcel", "lane_load", "night_report", "dispatch_screen"}
+    assert not any(r.references_column for r in parcel)
 
 
 def test_column_match_is_a_substring_test(spark, nodes, edges):
-    blast, _ = radius(spark, nodes, edges, ("stage", "abel"))
-    assert [r.name for r in blast.where("references_column").collect()] == ["stg_deals"]
+    blast, _ = radius(spark, nodes, edges, ("depot", "loor_ar"))
+    assert {r.name for r in blast.where("references_column").collect()} == {"base_depot", "lane_cost"}
 
 
 def test_summary(spark, nodes, edges):
-    asked = requests(spark, ("stage", "label"), ("unknown", "label"))
+    asked = requests(spark, ("parcel", "weight"), ("barn", "weight"), ("depot", None))
     blast = lineage.blast_radius(nodes, edges, lineage.find_sources(nodes, asked))
     rows = lineage.summary_lines(asked, blast).orderBy("source_table", "hop", "uid").collect()
-    assert [r.line for r in rows if r.source_table == "stage"] == [
-        "Blast radius for stage.label:",
-        "  [CRITICAL] model: stg_deals [references column]",
-        "  [HIGH] model: fct_pipeline",
-        "  [MEDIUM] exposure: board (owner: VP of Sales)",
+    assert [r.line for r in rows if r.source_table == "parcel"] == [
+        "Blast radius for parcel.weight:",
+        "  [CRITICAL] model: base_parcel [references column]",
+        "  [HIGH] model: lane_load [references column]",
+        "  [MEDIUM] model: night_report",
+        "  [LOW] exposure: dispatch_screen (owner: Night desk)",
     ]
-    assert [r.line for r in rows if r.source_table == "unknown"] == ["No downstream dependencies for unknown.label"]
+    assert [r.line for r in rows if r.source_table == "barn"] == ["No downstream dependencies for barn.weight"]
+    unnamed = [r.line for r in rows if r.source_table == "depot"]
+    assert unnamed[0] == "Blast radius for depot:" and len(unnamed) == 7
 
 
 def test_models_sql(spark, nodes):
-    names = spark.createDataFrame([("stg_deals",), ("fct_pipeline",), ("board",)], "name string")
+    names = spark.createDataFrame([("base_depot",), ("lane_cost",), ("night_report",), ("cost_sheet",)], "name string")
     rows = {r.name: (r.file_path, r.sql) for r in lineage.models_sql(nodes, names).collect()}
-    assert set(rows) == {"stg_deals", "fct_pipeline"}
-    assert rows["stg_deals"][0] == "models/staging/stg_deals.sql"
-    assert rows["fct_pipeline"] == ("marts/fct_pipeline.sql", "select stage_name, count(*) from stg_deals group by stage_name")
+    assert set(rows) == {"base_depot", "lane_cost", "night_report"}
+    assert rows["base_depot"][0] == "models/base/base_depot.sql"
+    assert rows["lane_cost"] == ("lanes/lane_cost.sql", "select depot_id, floor_area * 3 as cost from base_depot")
+    assert rows["night_report"][0] == "models/night_report.sql"
 
 
 def test_display_edges_layers_and_owners(spark, nodes, edges):
-    blast, starts = radius(spark, nodes, edges, ("stage", "label"))
+    blast, starts = radius(spark, nodes, edges, ("parcel", "weight"))
     reached = lineage.reachable(edges, starts)
     shown = lineage.display_nodes(blast, starts).orderBy("hop").collect()
-    assert [(r.id, r.severity) for r in shown][0] == ("stage", "flagged") and len(shown) == 4
+    assert [(r.id, r.severity) for r in shown][0] == ("parcel", "flagged") and len(shown) == 5
     pairs = {(r.from_name, r.to_name) for r in lineage.blast_edges(nodes, edges, starts, reached).collect()}
-    assert pairs == {("stage", "stg_deals"), ("stg_deals", "fct_pipeline"), ("fct_pipeline", "board")}
-    assert {(r.hop, r.nodes) for r in lineage.hop_layers(reached).collect()} == {(1, 1), (2, 1), (3, 1)}
-    assert [(r.owner, r.asset_count) for r in lineage.affected_owners(blast).collect()] == [("VP of Sales", 3)]
+    assert pairs == {("parcel", "base_parcel"), ("base_parcel", "lane_load"), ("lane_load", "night_report"), ("night_report", "dispatch_screen")}
+    assert {(r.hop, r.nodes) for r in lineage.hop_layers(reached).collect()} == {(1, 1), (2, 1), (3, 1), (4, 1)}
+    assert [(r.owner, r.asset_count) for r in lineage.affected_owners(blast).collect()] == [("Night desk", 4)]
+
+
+def test_graphs_that_share_ids_stay_apart(spark):
+    def document(downstream):
+        models = {d: {"name": d, "depends_on": {"nodes": ["s"]}} for d in downstream}
+        return json.dumps({"nodes": models, "sources": {"s": {"name": "t", "resource_type": "source"}}})
+
+    texts = [("first", document(["a", "b"])), ("second", document(["b", "c"]))]
+    nodes = manifest_nodes(spark.createDataFrame(texts, "graph string, value string"))
+    blast, _ = radius(spark, nodes, lineage.edges(nodes), ("t", "x"))
+    assert {(r.graph, r.name) for r in blast.collect()} == {("first", "a"), ("first", "b"), ("second", "b"), ("second", "c")}
 
 
 def test_random_graph_with_cycles_against_plain_search(spark):
@@ -133,13 +158,13 @@ def test_hop_positions(spark):
 
 
 def test_stale_literal_is_found_and_fixed(spark, nodes, edges):
-    blast, _ = radius(spark, nodes, edges, ("stage", "label"))
+    blast, _ = radius(spark, nodes, edges, ("depot", "mode"))
     pairs = spark.createDataFrame(
-        [("stage", "label", "Contract Sent", "Contract's New"), ("stage", "label", "Closed", "Shut")],
+        [("depot", "mode", "rail", "rail 'n' road"), ("depot", "mode", "pipe", "tube")],
         "table_name string, column_name string, old_value string, new_value string",
     )
     (fix,) = triage.stale_literals(pairs, blast, nodes).collect()
-    assert fix.model_name == "stg_deals" and fix.file_path == "models/staging/stg_deals.sql"
-    assert fix.original_snippet == "s.label = 'Contract Sent'"
-    assert fix.fixed_snippet == "s.label = 'Contract''s New'"
-    assert fix.fixed_sql.endswith("where s.label = 'Contract''s New'")
+    assert fix.model_name == "base_depot" and fix.file_path == "models/base/base_depot.sql"
+    assert fix.original_snippet == "d.mode = 'rail'"
+    assert fix.fixed_snippet == "d.mode = 'rail ''n'' road'"
+    assert fix.fixed_sql.endswith("where d.mode = 'rail ''n'' road'")

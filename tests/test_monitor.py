@@ -10,7 +10,7 @@ from driftlens.sources.connectors import connector_tables, schema_of_tables
 from driftlens.sources.sync_events import accepted, fan_out, read_sync_events
 from driftlens.sources.tables import read_watch_list, table_metadata, watch_list
 
-from conftest import LABELS, column, fingerprint, frame
+from conftest import MODES, column, fingerprint, frame
 
 NOW = datetime(2026, 5, 1, 12)
 
@@ -36,7 +36,7 @@ def test_table_metadata_of_files(spark, tmp_path):
 
 def test_watch_lists_read_alike(spark, tmp_path):
     entries = [
-        {"dataset": "crm", "table": "stage", "priority": "critical", "profile_columns": ["label"]},
+        {"dataset": "crm", "table": "depot", "priority": "critical", "profile_columns": ["mode"]},
         {"dataset": "crm", "table": "contact", "priority": "standard"},
     ]
     (tmp_path / "w.json").write_text(json.dumps({"watched_tables": entries}, indent=1))
@@ -45,20 +45,20 @@ def test_watch_lists_read_alike(spark, tmp_path):
     rows = [read_watch_list(spark, str(tmp_path / f)).collect() for f in ("w.json", "w.yaml")]
     assert rows[0] == rows[1]
     assert [(r.dataset_id, r.table_name, r.priority, r.profile_columns) for r in rows[0]] == [
-        ("crm", "stage", "critical", ["label"]),
+        ("crm", "depot", "critical", ["mode"]),
         ("crm", "contact", "standard", None),
     ]
 
 
 def test_connector_config_skips_what_is_not_an_object(spark):
-    config = {"data": {"schemas": {"crm": {"tables": {"stage": {"enabled": True}, "deal": {}, "bad": 5, "off": {"enabled": False}}}, "odd": "x", "ads": {"tables": {"stage": {"enabled": True}}}, "empty": {}}}}
+    config = {"data": {"schemas": {"crm": {"tables": {"depot": {"enabled": True}, "parcel": {}, "bad": 5, "off": {"enabled": False}}}, "odd": "x", "ads": {"tables": {"depot": {"enabled": True}}}, "empty": {}}}}
     configs = spark.createDataFrame([("c", json.dumps(config)), ("d", "{}")], "connector_id string, config string")
     tables = connector_tables(configs)
-    assert {(r.schema_name, r.table_name, r.enabled) for r in tables.collect()} == {("crm", "stage", True), ("crm", "deal", False), ("crm", "off", False), ("ads", "stage", True)}
-    assert {r.table_name: r.schema_name for r in schema_of_tables(tables).collect()} == {"stage": "crm", "deal": "crm", "off": "crm"}
-    covered = spark.createDataFrame([("crm", "deal"), ("other", "off")], "dataset_id string, table_name string")
+    assert {(r.schema_name, r.table_name, r.enabled) for r in tables.collect()} == {("crm", "depot", True), ("crm", "parcel", False), ("crm", "off", False), ("ads", "depot", True)}
+    assert {r.table_name: r.schema_name for r in schema_of_tables(tables).collect()} == {"depot": "crm", "parcel": "crm", "off": "crm"}
+    covered = spark.createDataFrame([("crm", "parcel"), ("other", "off")], "dataset_id string, table_name string")
     rows = monitor.in_display_order(monitor.coverage(tables, covered)).collect()
-    assert [(r.schema_name, r.table_name, r.has_baseline) for r in rows] == [("crm", "deal", True), ("crm", "off", True), ("ads", "stage", False), ("crm", "stage", False)]
+    assert [(r.schema_name, r.table_name, r.has_baseline) for r in rows] == [("crm", "parcel", True), ("crm", "off", True), ("ads", "depot", False), ("crm", "depot", False)]
     assert tuple(monitor.coverage_summary(monitor.coverage(tables, covered)).first()) == ("c", 4, 2, 50)
 
 
@@ -93,16 +93,16 @@ def log_frame(spark, rows):
 
 
 def test_trend_and_summary(spark):
-    log = log_frame(spark, [(NOW + timedelta(minutes=i), i / 100, "c", "crm", "deal" if i else "stage", i > 25, f"r{i:03d}") for i in range(300)])
+    log = log_frame(spark, [(NOW + timedelta(minutes=i), i / 100, "c", "crm", "parcel" if i else "depot", i > 25, f"r{i:03d}") for i in range(300)])
     trend = monitor.drift_trend(log).collect()
     assert len(trend) == 200 and [trend[0].report_id, trend[-1].report_id] == ["r100", "r299"]
     states = spark.createDataFrame([("a", "pending"), ("b", "quarantined"), ("c", "pending")], "report_id string, state string")
-    watched = spark.createDataFrame([("stage",), ("deal",)], "table_name string")
-    preferred = monitor.summary(log, states, watched, "stage").first()
+    watched = spark.createDataFrame([("depot",), ("parcel",)], "table_name string")
+    preferred = monitor.summary(log, states, watched, "depot").first()
     assert (preferred.tables_watched, preferred.active_incidents, preferred.latest_psi, preferred.is_anomalous) == (2, 2, 0.0, False)
     fallback = monitor.summary(log, states, watched, "nowhere").first()
     assert (fallback.latest_psi, fallback.is_anomalous) == (2.99, True)
-    empty = monitor.summary(log.limit(0), states.limit(0), watched, "stage").first()
+    empty = monitor.summary(log.limit(0), states.limit(0), watched, "depot").first()
     assert (empty.active_incidents, empty.latest_psi, empty.is_anomalous) == (0, None, False)
 
 
@@ -119,37 +119,37 @@ def test_activity_and_lookups(spark):
 def deals(spark):
     rows = [("sent", 100.0, datetime(2026, 6, 1), False), ("sent", 50.0, datetime(2026, 1, 1), False), ("sent", 7.0, NOW, None), ("sent", 9.0, NOW, True), ("won", 30.0, NOW, False), ("lost", 1.0, NOW, False)]
     facts = spark.createDataFrame(rows, "stage_id string, amount double, close_date timestamp, is_deleted boolean")
-    stages = spark.createDataFrame([("sent", "Contract Sent"), ("won", "Won"), ("new", "New")], "stage_id string, label string")
+    stages = spark.createDataFrame([("sent", "Under offer"), ("won", "Won"), ("new", "New")], "stage_id string, label string")
     return facts, stages
 
 
 def test_kpis(deals):
     facts, stages = deals
     now = F.lit(NOW.isoformat()).cast("timestamp")
-    assert tuple(monitor.kpi_by_label(facts, stages, "Contract Sent").first()) == (150.0, 2)
-    assert tuple(monitor.kpi_by_label(facts, stages, "Contract Under Review").first()) == (0.0, 0)
-    assert tuple(monitor.kpi_open(facts, stages, "Contract Sent", now).first()) == (100.0, 1)
+    assert tuple(monitor.kpi_by_label(facts, stages, "Under offer").first()) == (150.0, 2)
+    assert tuple(monitor.kpi_by_label(facts, stages, "Bid placed").first()) == (0.0, 0)
+    assert tuple(monitor.kpi_open(facts, stages, "Under offer", now).first()) == (100.0, 1)
     assert {tuple(r) for r in monitor.value_at_risk(facts, stages, ["sent", "new"]).collect()} == {("sent", 150.0), ("new", 0.0)}
     mart = {tuple(r) for r in monitor.mart_by_stage(monitor.staged_facts(facts, stages), now).collect()}
-    assert mart == {("Contract Sent", 2, 150.0, 100.0), ("Won", 1, 30.0, 30.0)}
+    assert mart == {("Under offer", 2, 150.0, 100.0), ("Won", 1, 30.0, 30.0)}
     assert [tuple(r) for r in monitor.stage_totals(facts).collect()] == [("sent", 4, 166.0), ("won", 1, 30.0), ("lost", 1, 1.0)]
 
 
 def test_history_round_trip(spark, tmp_path):
     path = str(tmp_path / "history")
-    rows = [fingerprint(f"{t}{i}", t, 1 + i, 7 + i, [column(0, "label", LABELS)], synthetic=i < 2) for t in ("stage", "deal") for i in range(12)]
+    rows = [fingerprint(f"{t}{i}", t, 1 + i, 7 + i, [column(0, "mode", MODES)], synthetic=i < 2) for t in ("depot", "parcel") for i in range(12)]
     fps = frame(spark, rows)
     H.store(fps.where("computed_at < timestamp_ntz '2026-05-08'"), path)
     H.store(fps, path)
     H.store(fps, path)
     stored = H.read_history(spark, path)
     assert stored.count() == 24
-    assert {r.columns[0].distribution["Contract Sent"] for r in stored.collect()} == {1 / 7}
+    assert {r.columns[0].distribution["rail"] for r in stored.collect()} == {MODES["rail"]}
     assert H.read_history(spark, path, since="2026-05-11").count() == 4
     newest = H.recent(stored, 3).where("table_name = 'deal'").orderBy("recency").collect()
     assert [r.fingerprint_id for r in newest] == ["deal11", "deal10", "deal9"]
-    assert [r.fingerprint_id for r in H.listing(stored, "crm", "stage", 2).collect()] == ["stage11", "stage10"]
-    gone = H.matching("stage", "crm", is_synthetic=False, computed_from=F.lit("2026-05-05").cast("timestamp_ntz"))
+    assert [r.fingerprint_id for r in H.listing(stored, "crm", "depot", 2).collect()] == ["depot11", "depot10"]
+    gone = H.matching("depot", "crm", is_synthetic=False, computed_from=F.lit("2026-05-05").cast("timestamp_ntz"))
     H.rewrite_without(spark, path, gone, str(tmp_path / "clean"))
     clean = H.read_history(spark, str(tmp_path / "clean"))
     assert clean.count() == 24 - 8 and clean.where("table_name = 'deal'").count() == 12
@@ -157,7 +157,7 @@ def test_history_round_trip(spark, tmp_path):
 
 
 def test_baseline_copies(spark):
-    live = frame(spark, [fingerprint("live", "stage", 20, 7, [column(0, "label", LABELS)], synthetic=True)])
+    live = frame(spark, [fingerprint("live", "depot", 20, 7, [column(0, "mode", MODES)], synthetic=True)])
     now = F.lit("2026-05-20 00:00:00").cast("timestamp_ntz")
     copies = H.replicate(live, H.capture_offsets(), now).collect()
     assert sorted(r.computed_at.day for r in copies) == [8, 11, 14, 17, 20]

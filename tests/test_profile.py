@@ -5,7 +5,6 @@ import warnings
 import pytest
 from pyspark.sql import functions as F
 
-from driftlens.functions import entropy_of
 from driftlens.operators import profile, selection
 from driftlens.operators.quantiles import exact_quantiles
 from driftlens.sources.tables import catalog
@@ -42,9 +41,11 @@ def test_entropy(spark):
     assert columns["single"].entropy == 0.0
 
 
-def test_entropy_of_shares_renormalises(spark):
-    df = spark.createDataFrame([([0.2, 0.2],), ([1.0],), ([],), ([0.0, 0.5],)], "s array<double>")
-    assert [r[0] for r in df.select(entropy_of(F.col("s"))).collect()] == [1.0, 0.0, 0.0, 0.0]
+def test_entropy_renormalises_the_kept_values(spark):
+    """Of thirty equal values twenty are kept; their shares count as the whole."""
+    _, columns = whole(spark.createDataFrame([(f"v{i:02d}",) for i in range(30)], "v string"))
+    assert len(columns["v"].distribution) == 20
+    assert columns["v"].entropy == pytest.approx(math.log2(20), abs=1e-6)
 
 
 def test_empty_table(spark):

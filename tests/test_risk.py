@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from driftlens.operators import risk
 
-from conftest import LABELS, RENAMED, column, fingerprint, frame
+from conftest import MODES, MODES_AFTER, column, fingerprint, frame
 from test_drift import plain_psi
 
 
@@ -46,17 +46,17 @@ def test_leave_one_out_equals_the_naive_form(spark, seed):
 
 def test_profile_of_a_drifting_table(spark):
     rows = [
-        fingerprint(f"f{i}", "stage", 1 + i, 7, [column(0, "steady", {"x": 1.0}), column(1, "label", RENAMED if i in (3, 9) else LABELS)])
+        fingerprint(f"f{i}", "depot", 1 + i, 7, [column(0, "steady", {"x": 1.0}), column(1, "mode", MODES_AFTER if i in (3, 9) else MODES)])
         for i in range(10)
-    ] + [fingerprint("only", "young", 1, 7, [column(0, "label", LABELS)])]
+    ] + [fingerprint("only", "young", 1, 7, [column(0, "mode", MODES)])]
     got = {r.table_name: r for r in risk.risk_profiles(frame(spark, rows), as_of()).collect()}
-    stage = got["stage"]
-    assert (stage.fingerprint_count, stage.anomaly_count, stage.volatile_column) == (10, 1, "label")
-    assert stage.recent_anomaly_days == 28.0  # the fourth of May
-    others = mean_of([RENAMED if i == 3 else LABELS for i in range(9)])
-    expected = plain_psi(RENAMED, others)
-    assert stage.max_psi == pytest.approx(expected, abs=1e-4)
-    assert stage.avg_max_psi == pytest.approx(expected / 2, abs=1e-4)
+    depot = got["depot"]
+    assert (depot.fingerprint_count, depot.anomaly_count, depot.volatile_column) == (10, 1, "mode")
+    assert depot.recent_anomaly_days == 28.0  # the fourth of May
+    others = mean_of([MODES_AFTER if i == 3 else MODES for i in range(9)])
+    expected = plain_psi(MODES_AFTER, others)
+    assert depot.max_psi == pytest.approx(expected, abs=1e-4)
+    assert depot.avg_max_psi == pytest.approx(expected / 2, abs=1e-4)
     young = got["young"]
     assert (young.sufficient_history, young.anomaly_count, young.max_psi, young.volatile_column) == (False, 0, 0.0, None)
 
@@ -85,7 +85,7 @@ def test_score_and_level(spark, count, days, psi, enough, score, level):
 
 
 def test_reason_text(spark):
-    rows = [(2, 3.5, "label", 9), (1, 0.0, None, 9), (0, None, None, 9)]
+    rows = [(2, 3.5, "mode", 9), (1, 0.0, None, 9), (0, None, None, 9)]
     df = spark.createDataFrame(rows, "c int, d double, n string, f int")
     texts = [r[0] for r in df.select(risk.risk_reason(F.col("c"), F.col("d"), F.col("n"), F.col("f"))).collect()]
     assert texts == [
@@ -96,23 +96,23 @@ def test_reason_text(spark):
 
 
 def test_forecast_takes_the_age_of_the_strongest_log_entry(spark):
-    history = frame(spark, [fingerprint(f"f{i}", "stage", 1 + i, 7, [column(0, "label", LABELS)]) for i in range(4)])
+    history = frame(spark, [fingerprint(f"f{i}", "depot", 1 + i, 7, [column(0, "mode", MODES)]) for i in range(4)])
     log = spark.createDataFrame(
         [
-            (datetime(2026, 5, 29), 0.4, "label", "crm", "stage", True, "r3"),
-            (datetime(2026, 5, 20), 1.4, "label", "crm", "stage", True, "r1"),
-            (datetime(2026, 5, 25), 1.4, "label", "crm", "stage", True, "r2"),
-            (datetime(2026, 5, 31), 9.0, "label", "crm", "stage", False, "r4"),
-            (datetime(2026, 5, 30), 0.5, "label", "crm", "young", True, "r5"),
+            (datetime(2026, 5, 29), 0.4, "mode", "crm", "depot", True, "r3"),
+            (datetime(2026, 5, 20), 1.4, "mode", "crm", "depot", True, "r1"),
+            (datetime(2026, 5, 25), 1.4, "mode", "crm", "depot", True, "r2"),
+            (datetime(2026, 5, 31), 9.0, "mode", "crm", "depot", False, "r4"),
+            (datetime(2026, 5, 30), 0.5, "mode", "crm", "young", True, "r5"),
         ],
         "logged_at timestamp_ntz, psi double, column_name string, dataset_id string, table_name string, is_anomalous boolean, report_id string",
     )
     watched = spark.createDataFrame(
-        [("crm", "stage", True), ("crm", "young", True), ("crm", "broken", False)], "dataset_id string, table_name string, readable boolean"
+        [("crm", "depot", True), ("crm", "young", True), ("crm", "broken", False)], "dataset_id string, table_name string, readable boolean"
     )
     rows = risk.risk_forecast(watched, risk.risk_profiles(history, as_of()), risk.log_signals(log, as_of())).collect()
-    assert [r.table_name for r in rows] == ["stage", "young", "broken"]
-    stage, young, broken = rows
-    assert (stage.recent_anomaly_days, stage.anomaly_count, stage.max_psi, stage.risk_score) == (12.0, 1, 1.4, 38)
+    assert [r.table_name for r in rows] == ["depot", "young", "broken"]
+    depot, young, broken = rows
+    assert (depot.recent_anomaly_days, depot.anomaly_count, depot.max_psi, depot.risk_score) == (12.0, 1, 1.4, 38)
     assert (young.risk_score, young.risk_level, young.anomaly_count) == (5, "LOW", 1)
     assert (broken.risk_score, broken.risk_level) == (0, "UNKNOWN")

@@ -12,7 +12,8 @@ from driftlens.sources.manifest import read_manifest
 from driftlens.sources.sync_events import stream_sync_events
 from driftlens.streaming.sync_trigger import check_on_sync
 
-from conftest import LABELS, STAGE_IDS
+from conftest import MODES, MODES_AFTER, ZONES
+from test_drift import plain_psi
 
 MANIFEST = os.path.join(os.path.dirname(__file__), "fixtures", "manifest.json")
 
@@ -23,55 +24,55 @@ def at(text):
 
 @pytest.fixture(scope="module")
 def tables(spark):
-    stage = spark.createDataFrame([(name, i / 10) for i, name in enumerate(LABELS)], "label string, probability double")
-    deal = spark.createDataFrame([(k, 1000.0 + i) for k, share in STAGE_IDS.items() for i in range(round(share * 100))], "stage_id string, amount double")
-    return stage, deal
+    depots = [(mode, 900.0 + 35 * i) for mode, share in MODES.items() for i in range(round(share * 100))]
+    parcels = [(zone, 2.5 + 0.25 * i) for zone, share in ZONES.items() for i in range(round(share * 100))]
+    return spark.createDataFrame(depots, "mode string, floor_area double"), spark.createDataFrame(parcels, "zone string, weight double")
 
 
 @pytest.fixture(scope="module")
 def history(spark, tables, tmp_path_factory):
-    stage, deal = tables
-    now = at("2026-05-20 00:00:00")
-    live = fingerprint_loads([Load(stage, "crm", "stage", now, per_sync=False), Load(deal, "crm", "deal", now, per_sync=False)])
+    depot, parcel = tables
+    now = at("2027-03-20 00:00:00")
+    live = fingerprint_loads([Load(depot, "crm", "depot", now, per_sync=False), Load(parcel, "crm", "parcel", now, per_sync=False)])
     path = str(tmp_path_factory.mktemp("meta") / "fingerprints")
     H.store(H.replicate(live, H.capture_offsets(), now), path)
     return path
 
 
 def test_rename_from_load_to_fix(spark, tables, history, tmp_path):
-    stage, deal = tables
-    now = at("2026-05-22 12:00:00")
-    renamed = relabel(stage, "label", "Contract Sent", "Contract Under Review")
-    loads = [Load(renamed, "crm", "stage", now, per_sync=False), Load(deal, "crm", "deal", now, per_sync=False)]
+    depot, parcel = tables
+    now = at("2027-03-22 12:00:00")
+    renamed = relabel(depot, "mode", "rail", "railway")
+    loads = [Load(renamed, "crm", "depot", now, per_sync=False), Load(parcel, "crm", "parcel", now, per_sync=False)]
     log = str(tmp_path / "log")
     nodes = read_manifest(spark, MANIFEST).persist()
     result = check_syncs(spark, loads, history, log, nodes)
     check_syncs(spark, loads, history, log)  # a repeat logs nothing new
     assert spark.read.parquet(log).count() == 2
     classes = {r.table_name: r for r in result.classes.collect()}
-    assert classes["stage"].classification == "SILENT_SEMANTIC_FAILURE" and classes["stage"].others_clean
-    assert classes["deal"].next_step == "clean"
-    assert [r.report_id for r in result.opened.collect()] == [classes["stage"].report_id]
-    assert [r.name for r in result.blast.orderBy("hop").collect()] == ["stg_deals", "fct_pipeline", "board"]
+    assert classes["depot"].classification == "SILENT_SEMANTIC_FAILURE" and classes["depot"].others_clean
+    assert classes["parcel"].next_step == "clean"
+    assert [r.report_id for r in result.opened.collect()] == [classes["depot"].report_id]
+    assert [r.name for r in result.blast.orderBy("hop", "name").collect()] == ["base_depot", "lane_cost", "lane_load", "cost_sheet", "night_report", "dispatch_screen"]
     (fix,) = result.fixes.collect()
-    assert fix.fixed_snippet == "s.label = 'Contract Under Review'"
+    assert fix.fixed_snippet == "d.mode = 'railway'"
     score = {r.table_name: r.max_psi_score for r in result.reports.collect()}
-    assert score["stage"] == pytest.approx(1.407746) and score["deal"] == 0.0
+    assert score["depot"] == pytest.approx(plain_psi(MODES_AFTER, MODES), abs=1e-6) and score["parcel"] == 0.0
 
 
 def test_check_on_sync_events(spark, tables, history, tmp_path):
-    stage, deal = tables
+    depot, parcel = tables
     events = [
-        {"event": "sync_end", "connector_id": "c", "schema": "crm", "table": "stage"},
-        {"event": "sync_start", "connector_id": "c", "schema": "crm", "table": "deal"},
+        {"event": "sync_end", "connector_id": "c", "schema": "crm", "table": "depot"},
+        {"event": "sync_start", "connector_id": "c", "schema": "crm", "table": "parcel"},
         {"event": "sync_end", "connector_id": "c", "schema": "crm", "table": "unwatched"},
     ]
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "e.json").write_text("\n".join(json.dumps(e) for e in events))
-    now = "2026-05-23 00:00:00"
+    now = "2027-03-23 00:00:00"
     loaders = {
-        ("crm", "stage"): lambda s: Load(stage, "crm", "stage", at(now), per_sync=False),
-        ("crm", "deal"): lambda s: Load(deal, "crm", "deal", at(now), per_sync=False),
+        ("crm", "depot"): lambda s: Load(depot, "crm", "depot", at(now), per_sync=False),
+        ("crm", "parcel"): lambda s: Load(parcel, "crm", "parcel", at(now), per_sync=False),
     }
     seen = []
     query = check_on_sync(
@@ -79,5 +80,5 @@ def test_check_on_sync_events(spark, tables, history, tmp_path):
         on_check=lambda r: seen.extend(r.classes.collect()), available_now=True,
     )
     query.awaitTermination()
-    assert [(r.table_name, r.next_step) for r in seen] == [("stage", "clean")]
-    assert [r.table_name for r in spark.read.parquet(str(tmp_path / "log")).collect()] == ["stage"]
+    assert [(r.table_name, r.next_step) for r in seen] == [("depot", "clean")]
+    assert [r.table_name for r in spark.read.parquet(str(tmp_path / "log")).collect()] == ["depot"]

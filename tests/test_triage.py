@@ -1,8 +1,10 @@
+import random
+
 import pytest
 
 from driftlens.operators import drift, triage
 
-from conftest import LABELS, RENAMED, column, fingerprint, frame
+from conftest import MODES, MODES_AFTER, column, fingerprint, frame
 
 
 def judged(spark, current, baseline):
@@ -55,14 +57,14 @@ def test_classes(spark):
 
 
 def test_rename_with_a_clean_fact_table(spark):
-    old = history("stage", [column(0, "label", LABELS)], lambda i: 7) + history("deal", [column(0, "stage_id", LABELS)])
+    old = history("depot", [column(0, "mode", MODES)], lambda i: 7) + history("parcel", [column(0, "zone", MODES)])
     now = [
-        fingerprint("s", "stage", 20, 7, [column(0, "label", RENAMED)]),
-        fingerprint("d", "deal", 20, 100, [column(0, "stage_id", LABELS)]),
+        fingerprint("s", "depot", 20, 7, [column(0, "mode", MODES_AFTER)]),
+        fingerprint("d", "parcel", 20, 100, [column(0, "zone", MODES)]),
     ]
     got = judged(spark, now, old)
-    assert got["stage"].classification == "SILENT_SEMANTIC_FAILURE" and got["stage"].others_clean
-    assert got["deal"].next_step == "clean"
+    assert got["depot"].classification == "SILENT_SEMANTIC_FAILURE" and got["depot"].others_clean
+    assert got["parcel"].next_step == "clean"
 
 
 @pytest.mark.parametrize("share, found", [(0.2, [("c", "x")]), (0.215, [])])
@@ -78,3 +80,37 @@ def test_two_renames_are_matched_by_share(spark):
     now = [fingerprint("n", "t", 20, 100, [column(0, "v", {"a": 0.5, "y": 0.3, "x": 0.2})])]
     reports = drift.compare(drift.recent_members(frame(spark, now), frame(spark, old)))
     assert {(r.old_value, r.new_value) for r in triage.rename_pairs(reports).collect()} == {("b", "y"), ("c", "x")}
+
+
+def test_an_unrelated_value_that_vanishes_hides_no_rename(spark):
+    old = history("t", [column(0, "v", {"c": 0.5, "a": 0.3, "b": 0.2})])
+    now = [fingerprint("n", "t", 20, 100, [column(0, "v", {"c": 0.8, "x": 0.2})])]
+    reports = drift.compare(drift.recent_members(frame(spark, now), frame(spark, old)))
+    assert [(r.old_value, r.new_value) for r in triage.rename_pairs(reports).collect()] == [("b", "x")]
+    assert triage.classify(reports).first().classification == "SILENT_SEMANTIC_FAILURE"
+
+
+def closest(old, new, tolerance):
+    """Pairs by share, the closest first, each value once."""
+    near = sorted((round(abs(a - b), 9), o, n) for o, a in old.items() for n, b in new.items() if round(abs(a - b), 9) <= tolerance)
+    found = []
+    for _, o, n in near:
+        if all(o != x and n != y for x, y in found):
+            found.append((o, n))
+    return set(found)
+
+
+def test_rename_pairs_of_random_distributions(spark):
+    rng = random.Random(12)
+    olds, news, expected = [], [], {}
+    for i in range(40):
+        vanished = {f"o{j}": rng.choice([0.02, 0.03, 0.035, 0.04, 0.08]) for j in range(rng.randint(0, 5))}
+        appeared = {f"n{j}": rng.choice([0.02, 0.028, 0.04, 0.055, 0.08]) for j in range(rng.randint(0, 5))}
+        olds += history(f"t{i}", [column(0, "v", {"stays": 0.5, **vanished})])
+        news.append(fingerprint(f"now{i}", f"t{i}", 20, 100, [column(0, "v", {"stays": 0.5, **appeared})]))
+        expected[f"t{i}"] = closest(vanished, appeared, 0.01)
+    reports = drift.compare(drift.recent_members(frame(spark, news), frame(spark, olds)))
+    got = {t: set() for t in expected}
+    for r in triage.rename_pairs(reports).collect():
+        got[r.table_name].add((r.old_value, r.new_value))
+    assert got == expected

@@ -46,8 +46,12 @@ def any_stale(ages: DataFrame) -> DataFrame:
     return ages.agg(F.coalesce(F.bool_or("is_stale"), F.lit(False)).alias("any_stale"))
 
 
-def coverage(tables: DataFrame, covered: DataFrame) -> DataFrame:
-    """Configured tables with a baseline flag: by schema and table, or by the bare table name alone."""
+def coverage(tables: DataFrame, covered: DataFrame, dataset_id: str) -> DataFrame:
+    """Configured tables with a baseline flag: by schema and table, or by the bare table name alone.
+
+    Only the history of one dataset counts: a table of the same name elsewhere covers nothing here.
+    """
+    covered = covered.where(F.col("dataset_id") == dataset_id)
     full = covered.select(
         F.col("dataset_id").alias("schema_name"), "table_name", F.lit(True).alias("by_schema")
     ).distinct()

@@ -20,6 +20,10 @@ from ..functions import live_rows
 from .selection import CATEGORICAL, ProfiledColumn, profiled_columns
 
 TOP_TYPE = "array<struct<value:string,cnt:bigint>>"
+STATS_TYPE = (
+    "array<struct<position:int,name:string,data_type:string,kind:string,null_pct:double,distinct_count:bigint,"
+    f"min_val:double,max_val:double,mean:double,stddev:double,quantiles:array<double>,top:{TOP_TYPE}>>"
+)
 
 
 def _text(value: str) -> str:
@@ -121,6 +125,7 @@ class Load(NamedTuple):
     connection_id: str = "local"
     project_id: str = "local"
     is_synthetic: bool = False
+    with_columns: bool = True
 
 
 _TABLE = ["dataset_id", "table_name", "connection_id", "project_id", "is_synthetic", "schema_hash", "computed_at"]
@@ -156,10 +161,20 @@ def distinct_counts(df: DataFrame, keys: list[str], columns: list[ProfiledColumn
     return result
 
 
+def header_only(load: Load) -> Load:
+    """The same load without column statistics: one count per sync and no shuffle by value."""
+    return load._replace(with_columns=False)
+
+
+def only_kind(load: Load, kind: str) -> Load:
+    """The same load with the columns of one kind."""
+    return load._replace(profile_columns=[c.name for c in profiled_columns(load.df.schema, load.profile_columns) if c.kind == kind])
+
+
 def _parts(load: Load, top: str, distinct: str, accuracy: int, tracked_values: int) -> list[DataFrame]:
     """Partial rows of one table: the wide aggregate, then the top values and distinct counts as maps per sync."""
     df = load.df
-    columns = profiled_columns(df.schema, load.profile_columns)
+    columns = profiled_columns(df.schema, load.profile_columns) if load.with_columns else []
     if K.DELETED_FLAG in df.columns:
         df = df.where(live_rows(F.col(K.DELETED_FLAG)))
     identity = [
@@ -182,6 +197,8 @@ def _parts(load: Load, top: str, distinct: str, accuracy: int, tracked_values: i
                 _column_statistics(c, distinct == "exact", accuracy, top == "approx", tracked_values) for c in columns
             )
             + ")"
+            if columns
+            else f"cast(array() as {STATS_TYPE})"
         ).alias("stats"),
     )
     parts = [statistics.select(*identity, "row_count", "stats")]
@@ -193,7 +210,7 @@ def _parts(load: Load, top: str, distinct: str, accuracy: int, tracked_values: i
             F.map_from_entries(F.collect_list(F.struct("position", "values"))).alias("top")
         )
         parts.append(by_sync.select(*identity, "top"))
-    if distinct == "exact":
+    if distinct == "exact" and columns:
         by_sync = distinct_counts(source, keys, columns).groupBy(*keys).agg(
             F.map_from_entries(F.collect_list(F.struct("position", "distinct_count"))).alias("distincts")
         )
@@ -212,7 +229,7 @@ def fingerprint_loads(
     """Fingerprints of any number of tables in one job.
 
     ``top="approx"`` replaces the exact value counts by a mergeable sketch, which needs no shuffle by value and no
-    second scan: the choice for wide tables and near-unique columns. ``distinct="exact"`` costs a shuffle by value of
+    second scan: the choice for wide tables and near-unique columns; ``top="none"`` counts no values. ``distinct="exact"`` costs a shuffle by value of
     every column; quantiles here are always sketches (see ``quantiles`` for exact ones).
     """
     rows = None

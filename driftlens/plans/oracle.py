@@ -28,7 +28,7 @@ def _cells(dataset, table, sync, source, columns) -> str:
 
 
 _EVENTS = _cells(
-    "app", "events", _DAY, "events", [("event_type", "c"), ("props", "c"), ("value", "n"), ("user_id", "n")]
+    "app", "events", _DAY, "events", [("event_type", "c"), ("props", "c"), ("user_id", "n"), ("value", "n")]
 )
 _ORDERS = _cells(
     "sales", "orders", "CAST(date_trunc('month', o_orderdate) AS TIMESTAMP)", "orders",
@@ -174,6 +174,24 @@ FROM cols JOIN sizes USING (table_name)
 )
 
 
+_STALE_AFTER = 21600
+_TIMES = " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, max({c}) AS last_modified_at, count(*) AS row_count FROM {t}" for t, c in R.TIME_COLUMNS.items()
+)
+_sql(
+    "freshness",
+    f"""WITH loaded AS ({_TIMES}), wanted AS (SELECT unnest({[*_ALL, "not_loaded"]}) AS table_name),
+ages AS (SELECT table_name, last_modified_at,
+  CAST(round((epoch_us(TIMESTAMP '{R.AS_OF}') - epoch_us(last_modified_at)) / 1e6) AS BIGINT) AS age_seconds, row_count
+  FROM wanted LEFT JOIN loaded USING (table_name))
+SELECT *, coalesce(age_seconds > {_STALE_AFTER}, false) AS is_stale, {_STALE_AFTER} AS threshold_seconds,
+  CASE WHEN age_seconds IS NOT NULL THEN least(age_seconds / {_STALE_AFTER}.0::DOUBLE * 100, 100) END AS used_pct,
+  CASE WHEN age_seconds >= {_STALE_AFTER} THEN 'red' WHEN age_seconds >= 0.75 * {_STALE_AFTER} THEN 'amber'
+    WHEN age_seconds IS NOT NULL THEN 'green' END AS band,
+  (SELECT bool_or(coalesce(age_seconds > {_STALE_AFTER}, false)) FROM ages) AS any_stale FROM ages""",
+)
+
+
 def _numeric_profile(table: str, columns: list[str]) -> list[str]:
     quantiles = ", ".join(f"CAST(quantile_disc({{c}}, {p / 100}) AS DOUBLE) AS p{p}" for p in (1, 25, 50, 75, 99))
     return [
@@ -215,8 +233,9 @@ kept AS (SELECT *, cnt / sum(cnt) OVER (PARTITION BY table_name, column_name)::D
 
 _TEXT = [
     ("part", "p_name"), ("part", "p_brand"), ("part", "p_type"), ("customer", "c_name"), ("customer", "c_mktsegment"),
-    ("events", "event_type"), ("events", "props"), ("conversations", "role"), ("documents", "lang"),
-    ("documents", "source"), ("pages", "url"),
+    ("events", "event_type"), ("events", "props"), ("conversations", "role"), ("conversations", "text"),
+    ("documents", "text"), ("documents", "lang"), ("documents", "source"), ("pages", "url"), ("pages", "html"),
+    ("benchmark", "text"),
 ]
 _sql(
     "profile_categorical",
@@ -253,7 +272,7 @@ _sql(
 more AS (SELECT sync, col, count(DISTINCT coalesce(sval, CAST(nval AS VARCHAR))) AS distinct_count, min(nval) AS lo, max(nval) AS hi
   FROM cells GROUP BY ALL)
 SELECT strftime(s.sync, '%Y-%m-%d') AS sync_day,
-  left(sha256('event_type:string,props:string,ts:timestamp_ntz,user_id:bigint,value:double'), 16) AS schema_hash,
+  left(sha256('event_id:bigint,event_type:string,props:string,ts:timestamp_ntz,user_id:bigint,value:double'), 16) AS schema_hash,
   f.rc AS row_count, s.pos AS position, s.col AS column_name,
   CASE s.col WHEN 'value' THEN 'double' WHEN 'user_id' THEN 'bigint' ELSE 'string' END AS data_type,
   s.null_pct, m.distinct_count, m.lo AS min_value, m.hi AS max_value, round(s.mean, 4) AS mean, round(s.sd, 4) AS stddev, e.entropy
@@ -300,7 +319,7 @@ FROM (SELECT count(*) AS row_count FROM orders), (VALUES (12), (9), (6), (3), (0
 )
 _COVERED = (
     "(SELECT DISTINCT o_orderstatus AS dataset_id, o_orderpriority AS table_name FROM orders "
-    "WHERE o_orderdate >= TIMESTAMP '2001-08-01' AND o_totalprice > 100000)"
+    f"WHERE (o_orderstatus, o_orderpriority) IN ({', '.join(map(str, R.COVERED))}))"
 )
 _sql(
     "covered_tables",
@@ -364,6 +383,8 @@ lists AS (SELECT d.d, coalesce((SELECT string_agg(col, ',' ORDER BY col) FROM cu
     + """, judged AS (SELECT r.*, (SELECT max(p.psi) FROM psi p JOIN old_cols o USING (ds, tbl, sync, col)
   JOIN stats s USING (ds, tbl, sync, col) WHERE p.sync = r.sync) AS psi, (SELECT max(least(z / 3, 2)) FROM shift s WHERE s.sync = r.sync) AS num FROM report r)
 SELECT strftime(l.d, '%Y-%m-%d') AS sync_day, columns_added, columns_removed, columns_type_changed,
+  concat_ws('; ', CASE WHEN columns_added <> '' THEN 'columns added: [''' || replace(columns_added, ',', ''', ''') || ''']' END,
+    CASE WHEN columns_removed <> '' THEN 'columns removed: [''' || replace(columns_removed, ',', ''', ''') || ''']' END) AS columns_reason,
   (coalesce(greatest(psi, num), psi, num, 0) > 0.25 OR abs(rcz) > 3 OR columns_added <> '' OR columns_removed <> '') AS is_anomalous
 FROM lists l JOIN judged j ON CAST(j.sync AS DATE) = l.d""",
 )
@@ -467,7 +488,8 @@ _sql(
     + f"""SELECT c.ds AS dataset_id, c.tbl AS table_name, classification, affected_columns, max_col AS max_psi_column,
   round(score, 6) AS max_psi_score, CAST(0.25 AS DOUBLE) AS psi_threshold, 'pending' AS state,
   (SELECT CAST(count(*) AS INTEGER) FROM aligned a WHERE a.ds = c.ds AND a.tbl = c.tbl AND a.col = c.max_col AND base > 0) AS baseline_values,
-  (SELECT CAST(count(*) AS INTEGER) FROM aligned a WHERE a.ds = c.ds AND a.tbl = c.tbl AND a.col = c.max_col AND cur > 0) AS current_values
+  (SELECT CAST(count(*) AS INTEGER) FROM aligned a WHERE a.ds = c.ds AND a.tbl = c.tbl AND a.col = c.max_col AND cur > 0) AS current_values,
+  {R.DETECTION_SECONDS}.0::DOUBLE AS time_to_detect_seconds, round((11520 - {R.DETECTION_SECONDS}) / 3600.0::DOUBLE, 2) AS hours_saved_this_incident
 FROM classes c WHERE {_STEP} = 'pending_approval' AND c.ds <> 'market'""",
 )
 _MODEL_SQL = (
@@ -716,7 +738,7 @@ _sql(
     "SELECT o_custkey AS connector_id, o_orderpriority AS table_name, min(o_orderstatus) AS schema_name FROM orders GROUP BY 1, 2",
 )
 _COVERAGE = f"""(SELECT o_custkey AS connector_id, o_orderstatus AS schema_name, o_orderpriority AS table_name, bool_or(o_totalprice > 400000) AS enabled,
-  o_orderpriority IN (SELECT table_name FROM {_COVERED}) AS has_baseline FROM orders GROUP BY 1, 2, 3)"""
+  o_orderpriority IN (SELECT table_name FROM {_COVERED} WHERE dataset_id = '{R.COVERED_DATASET}') AS has_baseline FROM orders GROUP BY 1, 2, 3)"""
 _sql("coverage", f"SELECT * FROM {_COVERAGE}")
 _sql(
     "coverage_summary",
@@ -727,7 +749,7 @@ _sql(
     "drift_trend",
     _chain(_HISTORIES)
     + f"""SELECT strftime(sync, '%Y-%m-%d') AS sync_day, ds || '.' || tbl AS table_key, round(score, 6) AS psi, max_col AS column_name,
-  {_ANOMALOUS} AS is_anomalous FROM report WHERE nb > 0 ORDER BY sync DESC, ds || '.' || tbl DESC LIMIT 100""",
+  {_ANOMALOUS} AS is_anomalous FROM report WHERE nb > 0 ORDER BY sync DESC, ds || '.' || tbl DESC LIMIT 200""",
 )
 _INCIDENTS = """
 log AS (SELECT 'r' || (event_id // 3) AS report_id, ts, event_id AS seq,
@@ -839,7 +861,12 @@ _sql("sync_changes", _CHANGES)
 _sql("stream_sync_changes", _CHANGES)
 _sql(
     "stream_daily_drift",
-    _chain(_cells("app", "events", _DAY, "events", [("event_type", "c"), ("value", "n"), ("user_id", "n")]))
+    _chain(
+        _cells(
+            "app", "events", _DAY, "(SELECT * FROM events WHERE event_type IS DISTINCT FROM 'error')",
+            [("event_type", "c"), ("props", "c"), ("user_id", "n"), ("value", "n")],
+        )
+    )
     + f"""SELECT strftime(sync, '%Y-%m-%d') AS sync_day, round(score, 6) AS psi, max_col AS column_name, {_ANOMALOUS} AS is_anomalous
 FROM report WHERE nb > 0""",
 )

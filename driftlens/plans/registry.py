@@ -60,25 +60,33 @@ def table_catalog(spark, d):
 
 @query
 def freshness(spark, d):
+    """Age of every table at a fixed time, by the newest value of its own time column; tables without one are unknown."""
     wanted = spark.createDataFrame([(t,) for t in [*TABLES, "not_loaded"]], "table_name string")
-    metadata = table_metadata({t: read_table(spark, d, t) for t in TABLES})
-    ages = monitor.freshness(wanted, metadata, F.current_timestamp())
+    loaded = R.all_of(
+        [
+            read_table(spark, d, table).agg(
+                F.lit(table).alias("table_name"), F.max(column).alias("last_modified_at"), F.count(F.lit(1)).alias("row_count")
+            )
+            for table, column in R.TIME_COLUMNS.items()
+        ]
+    )
+    ages = monitor.freshness(wanted, loaded, R.moment(R.AS_OF))
     return monitor.freshness_bands(ages).withColumn("any_stale", monitor.any_stale(ages).scalar())
 
 
 # --- profiles --------------------------------------------------------------------------------------------------
 
 
-def _whole_tables(spark, d, **options):
+def _whole_tables(spark, d, kind, **options):
     now = R.moment(R.AS_OF)
     loads = [profile.Load(read_table(spark, d, t), "main", t, now, per_sync=False) for t in ("orders", "lineitem")]
-    return profile.fingerprint_loads(loads, **options)
+    return profile.fingerprint_loads([profile.only_kind(load, kind) for load in loads], **options)
 
 
 @query
 def profile_numeric(spark, d):
     """Counts, moments, exact distinct counts and exact quantiles of every numeric column of orders and lineitem."""
-    stats = profile.column_rows(_whole_tables(spark, d, distinct="exact")).where("kind = 'numeric'")
+    stats = profile.column_rows(_whole_tables(spark, d, selection.NUMERIC, distinct="exact", top="none"))
     parts = []
     for t in ("orders", "lineitem"):
         df = read_table(spark, d, t)
@@ -105,7 +113,7 @@ def profile_numeric(spark, d):
 
 @query
 def profile_categorical(spark, d):
-    rows = profile.column_rows(_whole_tables(spark, d, distinct="exact")).where("kind = 'categorical'")
+    rows = profile.column_rows(_whole_tables(spark, d, selection.CATEGORICAL, distinct="exact"))
     return rows.select(
         "table_name",
         F.col("name").alias("column_name"),
@@ -124,13 +132,14 @@ def _text_tables(spark, d):
         "part": ["p_name", "p_brand", "p_type"],
         "customer": ["c_name", "c_mktsegment"],
         "events": ["event_type", "props"],
-        "conversations": ["role"],
-        "documents": ["lang", "source"],
-        "pages": ["url"],
+        "conversations": ["role", "text"],
+        "documents": ["text", "lang", "source"],
+        "pages": ["url", "html"],
+        "benchmark": ["text"],
     }
     return profile.fingerprint_loads(
         [
-            profile.Load(read_table(spark, d, t).select(*columns), "main", t, now, per_sync=False)
+            profile.Load(read_table(spark, d, t), "main", t, now, per_sync=False, profile_columns=columns)
             for t, columns in wanted.items()
         ]
     )
@@ -203,13 +212,14 @@ def live_profile(spark, d):
 
 @query
 def recent_fingerprints(spark, d):
-    fps = profile.fingerprint_loads([R.events_by_day(spark, d), R.lineitem_by_month(spark, d)])
+    loads = [R.events_by_day(spark, d), R.lineitem_by_month(spark, d)]
+    fps = profile.fingerprint_loads([profile.header_only(load) for load in loads])
     return H.recent(fps).select("dataset_id", "table_name", _day(), "recency", "row_count")
 
 
 @query
 def fingerprint_listing(spark, d):
-    return H.listing(profile.fingerprint_loads([R.events_by_day(spark, d)]), "app", "events").select(_day(), "row_count")
+    return H.listing(profile.fingerprint_loads([profile.header_only(R.events_by_day(spark, d))]), "app", "events").select(_day(), "row_count")
 
 
 @query
@@ -227,10 +237,13 @@ def history_store(spark, d):
 
 @query
 def history_delete(spark, d):
-    """The history less the real fingerprints of one table from a time on."""
-    fps = profile.fingerprint_loads([R.events_by_day(spark, d), R.orders_by_month(spark, d)])
+    """Delete by rewrite: store a history, rewrite it less the real fingerprints of one table, read the copy back."""
+    path, cleaned = new_path(spark, "history"), new_path(spark, "history")
+    loads = [profile.header_only(R.events_by_day(spark, d)), profile.header_only(R.orders_by_month(spark, d))]
+    H.store(profile.fingerprint_loads(loads), path)
     gone = H.matching("events", "app", is_synthetic=False, computed_from=R.moment("2024-01-20 00:00:00"))
-    return H.without(fps, gone).select("dataset_id", "table_name", _day(), "row_count")
+    H.rewrite_without(spark, path, gone, cleaned)
+    return H.read_history(spark, cleaned).select("dataset_id", "table_name", _day(), "row_count")
 
 
 @query
@@ -245,9 +258,16 @@ def baseline_capture(spark, d):
     )
 
 
+def _covered(spark, d):
+    """Tables with a fingerprint in a stored history."""
+    path = new_path(spark, "history")
+    H.store(profile.fingerprint_loads(R.baseline_loads(spark, d)), path)
+    return H.covered_tables(H.read_history(spark, path))
+
+
 @query
 def covered_tables(spark, d):
-    return R.covered(spark, d)
+    return _covered(spark, d)
 
 
 # --- drift -----------------------------------------------------------------------------------------------------
@@ -257,13 +277,12 @@ def _profiled(*loads):
     return stage(profile.fingerprint_loads(list(loads)), "fingerprints")
 
 
+def _loads(spark, d):
+    return [R.events_by_day(spark, d), R.orders_by_month(spark, d), R.lineitem_by_month(spark, d), R.documents_by_source(spark, d)]
+
+
 def _histories(spark, d):
-    return _profiled(
-        R.events_by_day(spark, d),
-        R.orders_by_month(spark, d),
-        R.lineitem_by_month(spark, d),
-        R.documents_by_source(spark, d),
-    )
+    return _profiled(*_loads(spark, d))
 
 
 def _rolling_reports(fps):
@@ -317,7 +336,8 @@ def null_shift(spark, d):
 
 @query
 def row_count_z(spark, d):
-    rows = _rolling_reports(_histories(spark, d)).where("status = 'compared'")
+    fps = _profiled(*[profile.header_only(load) for load in _loads(spark, d)])
+    rows = _rolling_reports(fps).where("status = 'compared'")
     return rows.select("dataset_id", "table_name", _day(), "row_count", "baseline_count", "row_count_z_score")
 
 
@@ -340,7 +360,10 @@ def schema_delta(spark, d):
     return (
         _rolling_reports(fps)
         .where("status = 'compared'")
-        .select(_day(), _joined("columns_added"), _joined("columns_removed"), _joined("columns_type_changed"), "is_anomalous")
+        .select(
+            _day(), _joined("columns_added"), _joined("columns_removed"), _joined("columns_type_changed"), "is_anomalous",
+            F.coalesce(F.regexp_extract("anomaly_reason", "(columns .*)$", 1), F.lit("")).alias("columns_reason"),
+        )
     )
 
 
@@ -457,16 +480,21 @@ def _verdicts(spark, d):
         "report_id", F.timestamp_add("HOUR", F.lit(1), "computed_at").alias("at"), F.lit(1).cast("bigint").alias("seq"),
         F.lit(incidents.APPROVE).alias("action"),
     )
-    return triage.verdicts(reports, classes, incidents.decisions(opened, approved))
+    received = opened.select("report_id", F.col("opened_at").alias("received_at"))
+    impact = triage.detection_impact(
+        received.withColumn("detected_at", F.timestamp_add("SECOND", F.lit(R.DETECTION_SECONDS), "received_at"))
+    )
+    return triage.verdicts(reports, classes, incidents.decisions(opened, approved), impact)
 
 
 @query
 def verdict_rows(spark, d):
-    """Open verdicts: report, class and incident state in one row."""
+    """Open verdicts: report, class, incident state and impact in one row."""
     return monitor.in_state(_verdicts(spark, d), K.PENDING).select(
         "dataset_id", "table_name", "classification", _joined("affected_columns"), "max_psi_column", "max_psi_score",
         "psi_threshold", "state",
         F.size("max_psi_baseline_dist").alias("baseline_values"), F.size("max_psi_current_dist").alias("current_values"),
+        "time_to_detect_seconds", "hours_saved_this_incident",
     )
 
 
@@ -689,12 +717,12 @@ def schema_lookup(spark, d):
 
 @query
 def coverage(spark, d):
-    return monitor.in_display_order(monitor.coverage(R.configured_tables(spark, d), R.covered(spark, d)))
+    return monitor.in_display_order(monitor.coverage(R.configured_tables(spark, d), _covered(spark, d), R.COVERED_DATASET))
 
 
 @query
 def coverage_summary(spark, d):
-    return monitor.coverage_summary(monitor.coverage(R.configured_tables(spark, d), R.covered(spark, d)))
+    return monitor.coverage_summary(monitor.coverage(R.configured_tables(spark, d), _covered(spark, d), R.COVERED_DATASET))
 
 
 def _event_log(spark, d):
@@ -706,7 +734,7 @@ def drift_trend(spark, d):
     log = drift.drift_log(_rolling_reports(_histories(spark, d)))
     # report ids differ between engines, so checks of the same day are told apart by table here
     named = log.withColumn("report_id", F.concat_ws(".", "dataset_id", "table_name"))
-    return monitor.drift_trend(named, 100).select(
+    return monitor.drift_trend(named).select(
         _day("logged_at"), F.col("report_id").alias("table_key"), "psi", "column_name", "is_anomalous"
     )
 
@@ -715,7 +743,7 @@ def drift_trend(spark, d):
 def monitor_summary(spark, d):
     log = stage(_event_log(spark, d), "log")
     states = incidents.decisions(R.opened_incidents(spark, d), R.incident_events(spark, d))
-    watched = R.covered(spark, d)
+    watched = _covered(spark, d)
     return monitor.summary(log, states, watched, "events").withColumn("latest_checked_at", R.day_text("latest_checked_at"))
 
 
@@ -802,9 +830,11 @@ def auto_reenabled(spark, d):
     opened = R.opened_incidents(spark, d)
     states = incidents.decisions(opened, events)
     checked = incidents.check_merges(events.select("report_id").distinct(), states, R.merge_states(spark, d))
-    back = incidents.merge_events(checked).select("report_id", F.lit(True).alias("merged"))
-    final = F.when(F.col("merged"), K.REENABLED).otherwise(F.col("state"))
-    return states.join(back, "report_id", "left").groupBy(final.alias("state")).agg(F.count(F.lit(1)).alias("incidents"))
+    # the merges go back into the log as events, and the log decides; a merge counts from the decision on
+    held = states.select("report_id", "decided_at")
+    merged = incidents.merge_events(checked, first_seq=1 << 40).join(held, "report_id").withColumn("at", F.greatest("at", "decided_at"))
+    folded = events.unionByName(merged.select(*events.columns))
+    return incidents.decisions(opened, folded).groupBy("state").agg(F.count(F.lit(1)).alias("incidents"))
 
 
 @query
@@ -827,9 +857,10 @@ def stream_daily_drift(spark, d):
     from ..streaming.drift_check import check_stream, current_log
 
     root = new_path(spark, "stream-drift")
-    stream = _event_stream(spark, d).select("ts", "event_type", "value", "user_id")
+    deleted = F.when(F.col("event_type") == "error", True).alias(K.DELETED_FLAG)
+    stream = _event_stream(spark, d).select("*", deleted)
     check_stream(
-        stream, root, "app", "events", "ts", profile_columns=["event_type", "value", "user_id"], available_now=True
+        stream, root, "app", "events", "ts", profile_columns=["event_type", "value", "user_id", "props"], available_now=True
     ).awaitTermination()
     return current_log(spark, root).select(_day("logged_at"), "psi", "column_name", "is_anomalous")
 

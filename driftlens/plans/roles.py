@@ -11,6 +11,8 @@ from ..sources import history as H
 from ..sources.tables import read_table
 
 AS_OF = "2024-02-01 00:00:00"
+TIME_COLUMNS = {"events": "ts", "orders": "o_orderdate", "lineitem": "l_shipdate"}
+DETECTION_SECONDS = 42
 OPEN_FROM = "2000-01-01 00:00:00"
 RENAMED_REGION = ("EUROPE", "EUROPE AND UK")
 RENAMED_SEGMENT = ("BUILDING", "CONSTRUCTION")
@@ -35,32 +37,30 @@ def events_by_day(spark: SparkSession, folder: str) -> Load:
     df = read_table(spark, folder, "events")
     day = F.col("ts").cast("date").cast("timestamp_ntz")
     chosen = ["event_type", "value", "user_id", "props"]
-    return Load(df.select("ts", *chosen), "app", "events", day, profile_columns=chosen)
+    return Load(df, "app", "events", day, profile_columns=chosen)
 
 
 def orders_by_month(spark: SparkSession, folder: str) -> Load:
-    df = read_table(spark, folder, "orders").select("o_orderdate", "o_orderstatus", "o_orderpriority", "o_totalprice")
     month = F.trunc(F.col("o_orderdate").cast("date"), "month").cast("timestamp_ntz")
-    return Load(df, "sales", "orders", month)
+    chosen = ["o_orderstatus", "o_orderpriority", "o_totalprice"]
+    return Load(read_table(spark, folder, "orders"), "sales", "orders", month, profile_columns=chosen)
 
 
 def lineitem_by_month(spark: SparkSession, folder: str) -> Load:
-    df = read_table(spark, folder, "lineitem").select(
-        "l_shipdate", "l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice", "l_discount", "l_tax"
-    )
     month = F.trunc(F.col("l_shipdate").cast("date"), "month").cast("timestamp_ntz")
-    return Load(df, "sales", "lineitem", month)
+    chosen = ["l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    return Load(read_table(spark, folder, "lineitem"), "sales", "lineitem", month, profile_columns=chosen)
 
 
 def documents_by_source(spark: SparkSession, folder: str) -> Load:
     """Sources stand for loads: source n is the load of day n. Unlabelled documents give the nulls."""
-    docs = read_table(spark, folder, "documents").select("doc_id", "lang", "source", "n_chars")
+    docs = read_table(spark, folder, "documents")
     labels = read_table(spark, folder, "labels")
     joined = docs.join(labels, "doc_id", "left")
     number = F.regexp_extract("source", r"(\d+)$", 1).cast("int")
     load = F.date_add(F.lit("2024-01-01").cast("date"), number).cast("timestamp_ntz")
     return Load(
-        joined.select("source", "lang", "n_chars", "quality", "toxic"),
+        joined,
         "corpus",
         "documents",
         load,
@@ -381,11 +381,15 @@ def configured_tables(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def covered(spark: SparkSession, folder: str) -> DataFrame:
-    """Tables with a baseline: the status and priority of the newest orders."""
-    newest = read_table(spark, folder, "orders").where(F.col("o_orderdate") >= moment("2001-08-01 00:00:00"))
-    return H.covered_tables(
-        newest.where(F.col("o_totalprice") > 100000).select(
-            F.col("o_orderstatus").alias("dataset_id"), F.col("o_orderpriority").alias("table_name")
-        )
-    )
+COVERED_DATASET = "F"
+COVERED = (("F", "1-URGENT"), ("F", "3-MEDIUM"), ("O", "2-HIGH"), ("O", "3-MEDIUM"), ("P", "5-LOW"))
+
+
+def baseline_loads(spark: SparkSession, folder: str) -> list[Load]:
+    """Orders as many tables: the status is the dataset, the priority the table. Some of them have a past."""
+    orders = read_table(spark, folder, "orders")
+    year = F.trunc(F.col("o_orderdate").cast("date"), "year").cast("timestamp_ntz")
+    return [
+        Load(orders.where((F.col("o_orderstatus") == dataset) & (F.col("o_orderpriority") == table)), dataset, table, year, with_columns=False)
+        for dataset, table in COVERED
+    ]

@@ -25,11 +25,18 @@ def _laid_out(rows: DataFrame, time_column: str) -> DataFrame:
 
 
 def _append_new(rows: DataFrame, path: str, id_column: str, time_column: str) -> None:
-    """Append the rows whose id is not stored yet. The look-up reads just the id column of the dates at hand."""
-    fresh = rows.withColumn("computed_date", F.to_date(time_column))
+    """Append the rows whose id is not stored yet; of several rows with one id one is taken.
+
+    The look-up reads just the id column, and only of the dates at hand: the stored ids are first joined to the distinct
+    new dates, which prunes their partitions at run time; an anti-join alone would read the whole history.
+    """
+    fresh = rows.withColumn("computed_date", F.to_date(time_column)).dropDuplicates([id_column, "computed_date"])
     try:
-        present = rows.sparkSession.read.parquet(path).select(id_column, "computed_date")
-        fresh = fresh.join(present, [id_column, "computed_date"], "left_anti")
+        stored = rows.sparkSession.read.parquet(path).select(id_column, "computed_date")
+        dates = fresh.select("computed_date").distinct().where("computed_date is not null")
+        present = stored.join(dates, "computed_date").select(F.col(id_column).alias("stored_id"))
+        undated = stored.where("computed_date is null").select(F.col(id_column).alias("stored_id"))
+        fresh = fresh.join(present.unionByName(undated), F.col(id_column) == F.col("stored_id"), "left_anti")
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -77,8 +84,8 @@ def matching(
 
 
 def without(history: DataFrame, predicate: Column) -> DataFrame:
-    """The history less the matching rows."""
-    return history.where(~predicate)
+    """The history less the matching rows; a row for which the predicate is unknown stays."""
+    return history.where(~F.coalesce(predicate, F.lit(False)))
 
 
 def rewrite_without(spark: SparkSession, path: str, predicate: Column, new_path: str) -> None:

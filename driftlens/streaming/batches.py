@@ -24,10 +24,7 @@ def read_batches(spark: SparkSession, root: str, schema: str) -> DataFrame:
 
 
 def read_batch(spark: SparkSession, root: str, batch_id: int, schema: str) -> DataFrame:
-    """One batch; empty when it was never written, as before the first one."""
-    try:
-        return spark.read.schema(schema).parquet(f"{root}/batch={batch_id}")
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
+    """One batch; empty before the first one. A later batch that is not there is an error, not an empty state."""
+    if batch_id < 0:
         return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{root}/batch={batch_id}")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import constants as K
-from ..functions import value_key
+from ..functions import live_rows, value_key
 from ..operators.drift import compare, drift_log, rolling_members
 from ..operators.selection import CATEGORICAL, ProfiledColumn, profiled_columns
 from .batches import read_batches, write_batch
@@ -44,8 +44,13 @@ def _cell(column: ProfiledColumn) -> Column:
 def window_groups(
     stream: DataFrame, time_column: str, window: str, lateness: str, profile_columns: list[str] | None = None
 ) -> DataFrame:
-    """Counters per (window, column, value) for categorical and per (window, column) for numeric columns."""
+    """Counters per (window, column, value) for categorical and per (window, column) for numeric columns.
+
+    Deleted rows are left out as in a batch profile; rows with an unknown flag are counted.
+    """
     columns = profiled_columns(stream.schema, profile_columns)
+    if K.DELETED_FLAG in stream.columns:
+        stream = stream.where(live_rows(F.col(K.DELETED_FLAG)))
     # the watermark needs an instant, which a zone-less timestamp is not
     timed = stream.withColumn("__at", F.col(time_column).cast("timestamp")).withWatermark("__at", lateness)
     cells = timed.select("__at", F.explode(F.array(*[_cell(c) for c in columns])).alias("cell"))
@@ -67,14 +72,13 @@ def window_groups(
 
 def fingerprints_of_groups(groups: DataFrame, dataset_id: str, table_name: str) -> DataFrame:
     """Fingerprints (as far as a comparison needs them) from the latest groups of each window."""
-    per_column = Window.partitionBy("sync", "position")
-    best = per_column.orderBy(F.desc("cnt"), "value")
-    sized = (
-        groups.withColumn("rows", F.sum("cnt").over(per_column))
-        .withColumn("all_filled", F.sum("filled").over(per_column))
-        .withColumn("rank", F.row_number().over(best))
-        .where(F.col("rank") <= K.TOP_VALUES)
+    # sizes are summed on the map side, and each task keeps its own best values before the shuffle
+    sizes = groups.groupBy(F.col("sync").alias("of_sync"), F.col("position").alias("of_position")).agg(
+        F.sum("cnt").alias("rows"), F.sum("filled").alias("all_filled")
     )
+    best = Window.partitionBy("sync", "position").orderBy(F.desc("cnt"), "value")
+    kept = groups.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= K.TOP_VALUES)
+    sized = kept.join(sizes, (F.col("sync") == F.col("of_sync")) & (F.col("position") == F.col("of_position")))
     entry = F.when(F.col("kind") == CATEGORICAL, F.struct(F.col("value").alias("key"), (F.col("cnt") / F.col("rows")).alias("value")))
     columns = sized.groupBy("sync", "position", "name", "data_type").agg(
         F.max("rows").alias("rows"),

@@ -57,9 +57,12 @@ def test_connector_config_skips_what_is_not_an_object(spark):
     assert {(r.schema_name, r.table_name, r.enabled) for r in tables.collect()} == {("crm", "depot", True), ("crm", "parcel", False), ("crm", "off", False), ("ads", "depot", True)}
     assert {r.table_name: r.schema_name for r in schema_of_tables(tables).collect()} == {"depot": "crm", "parcel": "crm", "off": "crm"}
     covered = spark.createDataFrame([("crm", "parcel"), ("other", "off")], "dataset_id string, table_name string")
-    rows = monitor.in_display_order(monitor.coverage(tables, covered)).collect()
-    assert [(r.schema_name, r.table_name, r.has_baseline) for r in rows] == [("crm", "parcel", True), ("crm", "off", True), ("ads", "depot", False), ("crm", "depot", False)]
-    assert tuple(monitor.coverage_summary(monitor.coverage(tables, covered)).first()) == ("c", 4, 2, 50)
+    rows = monitor.in_display_order(monitor.coverage(tables, covered, "crm")).collect()
+    # a table of the same name in another dataset covers nothing
+    assert [(r.schema_name, r.table_name, r.has_baseline) for r in rows] == [("crm", "parcel", True), ("ads", "depot", False), ("crm", "depot", False), ("crm", "off", False)]
+    assert tuple(monitor.coverage_summary(monitor.coverage(tables, covered, "crm")).first()) == ("c", 4, 1, 25)
+    elsewhere = monitor.coverage(tables, covered, "other").where("has_baseline").collect()
+    assert [(r.schema_name, r.table_name) for r in elsewhere] == [("crm", "off")]
 
 
 @pytest.mark.parametrize("total, monitored, pct", [(8, 1, 12), (8, 3, 38), (3, 1, 33), (1, 1, 100)])

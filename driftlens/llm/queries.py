@@ -74,3 +74,40 @@ def op4_repeated_bytes(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.join(read(spark, folder, "documents"))
+
+
+# SQL forms. Where an operator learns, estimates or hashes beyond SQL there is none; see the tests.
+
+_WORD = r"[^\x20\x09-\x0D]+"
+
+ORACLE["op1_quality_rules"] = rf"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+split AS (SELECT r, doc_id, text, regexp_extract_all(text, '{_WORD}') AS w,
+  [x for x in string_split(text, chr(10)) if regexp_matches(x, '{_WORD}')] AS lines FROM docs),
+windows AS (SELECT r, unnest(range(1, len(w) - 3)) AS i, w FROM split),
+named AS (SELECT r, i, array_to_string(w[i : i + 4], ' ') AS x FROM windows),
+twice AS (SELECT r, i FROM named QUALIFY count(*) OVER (PARTITION BY r, x) > 1),
+covered AS (SELECT r, count(DISTINCT i + o) AS n FROM twice, (SELECT unnest(range(5)) AS o) GROUP BY r),
+base AS (SELECT doc_id, text, w, len(lines) AS n_lines, len(w) AS n_words, CAST(list_sum([length(x) for x in w]) AS BIGINT) AS word_chars,
+  length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+  len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words
+  FROM split LEFT JOIN covered c USING (r)),
+judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  len([x for x in w if regexp_matches(x, '[A-Za-z]') OR regexp_matches(x, '[^\x00-\x7F]')]) AS n_alpha,
+  length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS n_letters FROM base)
+SELECT doc_id, n_words, coalesce(word_chars, 0) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND 100 * n_symbols <= 10 * n_words AND coalesce(word_chars, 0) BETWEEN 2 * n_words AND 14 * n_words
+    AND 100 * n_alpha >= 80 * n_words AND 100 * n_dup_lines <= 30 * n_lines AND 100 * n_upper <= 50 * n_letters AS kept FROM judged
+"""
+
+ORACLE["op6_jaccard_join"] = rf"""
+WITH RECURSIVE split AS (SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS w FROM documents),
+grams AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + least(len(w), 4) - 1], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(len(w), 4) + 2)) AS i FROM split WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY 1),
+met AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM met JOIN sizes s ON s.doc_id = x JOIN sizes t ON t.doc_id = y WHERE 100 * c >= 85 * (s.n + t.n - c)),
+reached AS (SELECT doc_id, doc_id AS other FROM split UNION SELECT r.doc_id, l.y FROM reached r JOIN links l ON l.x = r.other)
+SELECT doc_id, any_value(coalesce(n, 0)) AS n_shingles, min(other) AS component_id FROM reached LEFT JOIN sizes USING (doc_id) GROUP BY doc_id
+"""

@@ -26,7 +26,9 @@ HEADLINES = (
     "approximate_profile",
     "fingerprint_daily",
     "drift_report",
+    "drift_trend",
     "drift_class",
+    "sync_check",
     "risk_forecast",
     "lineage_edges",
     "blast_radius",

@@ -192,6 +192,14 @@ SELECT *, coalesce(age_seconds > {_STALE_AFTER}, false) AS is_stale, {_STALE_AFT
 )
 
 
+_sql(
+    "watched_columns",
+    f"""WITH cols AS (SELECT DISTINCT table_name, column_name, data_type FROM information_schema.columns WHERE table_name IN {tuple(_ALL)})
+SELECT table_name, column_name, 'categorical' AS status FROM cols WHERE data_type = 'VARCHAR'
+UNION ALL SELECT table_name, 'region_code', CASE WHEN bool_or(data_type = 'VARCHAR') THEN 'warning' ELSE 'error' END FROM cols GROUP BY 1""",
+)
+
+
 def _numeric_profile(table: str, columns: list[str]) -> list[str]:
     quantiles = ", ".join(f"CAST(quantile_disc({{c}}, {p / 100}) AS DOUBLE) AS p{p}" for p in (1, 25, 50, 75, 99))
     return [
@@ -735,7 +743,8 @@ _sql(
 )
 _sql(
     "schema_lookup",
-    "SELECT o_custkey AS connector_id, o_orderpriority AS table_name, min(o_orderstatus) AS schema_name FROM orders GROUP BY 1, 2",
+    "SELECT o_custkey AS connector_id, o_orderpriority AS table_name, "
+    f"arg_min(o_orderstatus, list_position({list(R.SCHEMA_ORDER)}, o_orderstatus)) AS schema_name FROM orders GROUP BY 1, 2",
 )
 _COVERAGE = f"""(SELECT o_custkey AS connector_id, o_orderstatus AS schema_name, o_orderpriority AS table_name, bool_or(o_totalprice > 400000) AS enabled,
   o_orderpriority IN (SELECT table_name FROM {_COVERED} WHERE dataset_id = '{R.COVERED_DATASET}') AS has_baseline FROM orders GROUP BY 1, 2, 3)"""

@@ -14,7 +14,7 @@ from ..sources import history as H
 from ..sources.connectors import connector_tables, schema_of_tables
 from ..sources.manifest import manifest_nodes
 from ..sources.sync_events import accepted, fan_out, sync_events
-from ..sources.tables import catalog, read_table, table_metadata
+from ..sources.tables import catalog, read_table, read_watch_list, table_metadata
 from ..staging import new_path, stage
 from . import roles as R
 from .sync_check import check_syncs
@@ -74,6 +74,17 @@ def freshness(spark, d):
     return monitor.freshness_bands(ages).withColumn("any_stale", monitor.any_stale(ages).scalar())
 
 
+@query
+def watched_columns(spark, d):
+    """Every column a watch list names, with its kind, or the status of one that its table does not have."""
+    columns = catalog(spark, {t: read_table(spark, d, t) for t in TABLES}, "main")
+    path = new_path(spark, "watch-list")
+    R.watch_document(columns).write.text(path)
+    watched = read_watch_list(spark, path)
+    found = selection.profilable_columns(columns, watched).select("table_name", "column_name", F.col("kind").alias("status"))
+    return found.unionByName(selection.missing_columns(columns, watched).select("table_name", "column_name", "status"))
+
+
 # --- profiles --------------------------------------------------------------------------------------------------
 
 
@@ -710,9 +721,8 @@ def connector_table_list(spark, d):
 
 @query
 def schema_lookup(spark, d):
-    return schema_of_tables(
-        connector_tables(R.connector_configs(spark, d)).withColumn("schema_position", F.col("schema_name"))
-    )
+    """The first schema of each table in the order of the document."""
+    return schema_of_tables(connector_tables(R.ordered_configs(spark, d)))
 
 
 @query
@@ -783,9 +793,8 @@ def sync_fan_out(spark, d):
     """Every accepted sync event checks every watched table."""
     watched = read_table(spark, d, "region").select(F.lit("crm").alias("dataset_id"), F.col("r_name").alias("table_name"))
     syncs = accepted(sync_events(R.raw_sync_events(spark, d))).select("connector_id", "received_at")
-    return fan_out(syncs, watched).groupBy("connector_id", "dataset_id", "table_name").agg(
-        F.count(F.lit(1)).alias("checks")
-    )
+    counted = syncs.groupBy("connector_id").agg(F.count(F.lit(1)).alias("checks"))
+    return fan_out(counted, watched).select("connector_id", "dataset_id", "table_name", "checks")
 
 
 @query

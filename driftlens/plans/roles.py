@@ -381,6 +381,31 @@ def configured_tables(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+SCHEMA_ORDER = ("P", "F", "O")
+
+
+def ordered_configs(spark: SparkSession, folder: str) -> DataFrame:
+    """One configuration document per customer with several schemas, in an order that is not the alphabet's."""
+    entry = F.transform(F.array_sort(F.collect_set("o_orderpriority")), lambda p: F.format_string('"%s":{"enabled":true}', p))
+    schemas = read_table(spark, folder, "orders").groupBy("o_custkey", "o_orderstatus").agg(F.concat_ws(",", entry).alias("tables"))
+    part = F.format_string('"%s":{"tables":{%s}}', F.col("o_orderstatus"), F.col("tables"))
+    documents = schemas.groupBy("o_custkey").agg(*[F.max(F.when(F.col("o_orderstatus") == s, part)).alias(s) for s in SCHEMA_ORDER])
+    return documents.select(
+        F.col("o_custkey").alias("connector_id"),
+        F.format_string('{"data":{"schemas":{%s}}}', F.concat_ws(",", *SCHEMA_ORDER)).alias("config"),
+    )
+
+
+def watch_document(columns: DataFrame) -> DataFrame:
+    """A watch list over a catalog: every table's own columns of text, and one that no table has."""
+    text = F.array_sort(F.collect_list(F.when(F.col("data_type") == "string", F.col("column_name"))))
+    entries = columns.groupBy("dataset_id", "table_name").agg(F.concat(text, F.array(F.lit("region_code"))).alias("profile_columns"))
+    entry = F.struct(
+        F.col("dataset_id").alias("dataset"), F.col("table_name").alias("table"), F.lit("high").alias("priority"), "profile_columns"
+    )
+    return entries.agg(F.to_json(F.struct(F.collect_list(entry).alias("watched_tables"))).alias("value"))
+
+
 COVERED_DATASET = "F"
 COVERED = (("F", "1-URGENT"), ("F", "3-MEDIUM"), ("O", "2-HIGH"), ("O", "3-MEDIUM"), ("P", "5-LOW"))
 

@@ -24,19 +24,22 @@ def _laid_out(rows: DataFrame, time_column: str) -> DataFrame:
     return dated.hint("rebalance", "computed_date").sortWithinPartitions(*TABLE_KEY, time_column)
 
 
+def between_dates(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Stored rows from the first to the last date of ``fresh``, and those without a date; whole partitions are pruned."""
+    span = [fresh.agg(f("computed_date")).scalar() for f in (F.min, F.max)]
+    return stored.where(F.col("computed_date").isNull() | F.col("computed_date").between(*span))
+
+
 def _append_new(rows: DataFrame, path: str, id_column: str, time_column: str) -> None:
     """Append the rows whose id is not stored yet; of several rows with one id one is taken.
 
-    The look-up reads just the id column, and only of the dates at hand: the stored ids are first joined to the distinct
-    new dates, which prunes their partitions at run time; an anti-join alone would read the whole history.
+    The look-up reads just the id column, and only of the partitions between the first and the last new date; an
+    anti-join alone would read the whole history.
     """
     fresh = rows.withColumn("computed_date", F.to_date(time_column)).dropDuplicates([id_column, "computed_date"])
     try:
-        stored = rows.sparkSession.read.parquet(path).select(id_column, "computed_date")
-        dates = fresh.select("computed_date").distinct().where("computed_date is not null")
-        present = stored.join(dates, "computed_date").select(F.col(id_column).alias("stored_id"))
-        undated = stored.where("computed_date is null").select(F.col(id_column).alias("stored_id"))
-        fresh = fresh.join(present.unionByName(undated), F.col(id_column) == F.col("stored_id"), "left_anti")
+        present = between_dates(rows.sparkSession.read.parquet(path).select(id_column, "computed_date"), fresh)
+        fresh = fresh.join(present.withColumnRenamed(id_column, "stored_id").drop("computed_date"), F.col(id_column) == F.col("stored_id"), "left_anti")
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise

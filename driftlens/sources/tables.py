@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,7 +56,9 @@ def read_watch_list(spark: SparkSession, path: str) -> DataFrame:
 
         import yaml
 
-        text = json.dumps(yaml.safe_load(Path(path).read_text(encoding="utf-8")))
+        # read by Spark, so that the list may lie where the tables lie; it is one small document
+        document = spark.read.text(path, wholetext=True).first()
+        text = json.dumps(yaml.safe_load(document.value if document else ""))
         document = spark.createDataFrame([(text,)], "value string").select(
             F.from_json("value", WATCH_LIST_SCHEMA).alias("doc")
         ).select("doc.watched_tables")

@@ -3,35 +3,44 @@
 A profile is a few kilobytes per sync, but the scan behind it may be terabytes. Whatever is read more than
 once downstream is therefore written once, as parquet, in the folder the cluster names in
 ``spark.checkpoint.dir``. This also cuts the lineage, so that a lost executor costs a re-read, not a re-scan.
+
+Results are lazy and read what is staged, so nothing is removed behind their back: call ``release`` when the results of
+a session are used up. It also runs when the driver's Python ends.
 """
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_root: str | None = None
+CHECKPOINT = "spark.checkpoint.dir"
+
+_paths: dict[str, list[str]] = {}
+_tables: dict[str, list[str]] = {}
 
 
 def staging_root(spark: SparkSession) -> str:
-    """The shared folder for written intermediates; a temporary folder only in local mode."""
-    global _local_root
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir", None
-    )
-    if configured:
-        return configured.rstrip("/") + "/driftlens"
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    if _local_root is None:
-        _local_root = tempfile.mkdtemp(prefix="driftlens-")
-    return _local_root
+    """The shared folder for written intermediates. Only a local session that names none gets one of its own."""
+    configured = spark.conf.get(CHECKPOINT, None) or spark.sparkContext.getConf().get(CHECKPOINT, None)
+    if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT} to a folder that every executor can reach")
+        configured = tempfile.mkdtemp(prefix="driftlens-")
+        spark.conf.set(CHECKPOINT, configured)
+    return configured.rstrip("/") + "/driftlens"
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{staging_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{staging_root(spark)}/{label}-{uuid.uuid4().hex}"
+    application = spark.sparkContext.applicationId
+    if application not in _paths:
+        _paths[application] = []
+        atexit.register(_at_exit, spark)
+    _paths[application].append(path)
+    return path
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -46,6 +55,25 @@ def stage_bucketed(df: DataFrame, label: str, *keys: str) -> DataFrame:
     """Write ``df`` once, bucketed by ``keys``: later joins on them leave it where it is."""
     spark = df.sparkSession
     count = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"{label}_{uuid.uuid4().hex}"
-    df.repartition(count, *keys).write.bucketBy(count, *keys).option("path", new_path(spark, label)).saveAsTable(name)
+    path = new_path(spark, label)
+    name = f"staged_{uuid.uuid4().hex}"
+    df.repartition(count, *keys).write.bucketBy(count, *keys).option("path", path).saveAsTable(name)
+    _tables.setdefault(spark.sparkContext.applicationId, []).append(name)
     return spark.table(name)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove everything this application has staged; results that still read it become unusable."""
+    application = spark.sparkContext.applicationId
+    for name in _tables.pop(application, []):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    configuration = spark.sparkContext._jsc.hadoopConfiguration()
+    written = _paths.get(application, [])
+    while written:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(written.pop())
+        path.getFileSystem(configuration).delete(path, True)
+
+
+def _at_exit(spark: SparkSession) -> None:
+    if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+        release(spark)

@@ -24,7 +24,6 @@ because own columns start with ``_r_``.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -36,7 +35,7 @@ from pyspark.sql import functions as F
 from driftlens.llm import texts
 from driftlens.llm.texts import mix, signed, span_hashes, text_slices, word_spans
 from driftlens.llm.workers import map_arrow
-from driftlens.staging import stage
+from driftlens.staging import stage, stage_bucketed
 
 LENGTH = 400
 WIDTHS = (64, 8, 1)
@@ -201,15 +200,6 @@ def _sorted_once(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     return repeats, rest
 
 
-def bucketed(docs: DataFrame, text: str) -> DataFrame:
-    """The rows with ``_r_key``, a hash of the whole row's id and text, written once and bucketed by it."""
-    spark = docs.sparkSession
-    name = f"repeats_{uuid.uuid4().hex}"
-    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs.repartition(count, "_r_key").write.bucketBy(count, "_r_key").saveAsTable(name)
-    return spark.table(name)
-
-
 def repeated(
     docs: DataFrame,
     length: int = LENGTH,
@@ -228,7 +218,8 @@ def repeated(
     widths = tuple(w for w in widths if w == 1 or 4 * w <= length)
     kind = docs.schema[id_col].dataType.simpleString()
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = bucketed(docs.withColumn("_r_key", F.xxhash64(F.col(id_col).cast("string"), body)), text)
+    # equal rows share a key and a result
+    rows = stage_bucketed(docs.withColumn("_r_key", F.xxhash64(F.col(id_col).cast("string"), body)), "repeat-rows", "_r_key")
     lean = rows.select("_r_key", F.col(id_col).alias("_r_doc"), F.col(text).cast("string").alias("_r_text"))
     digits = stage(
         map_arrow(lean.select("_r_key", "_r_text"), _first_digits(words, length, gram), "_r_core long, _r_key long, _r_n long"),

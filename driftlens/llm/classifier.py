@@ -155,7 +155,8 @@ def fit(
 ) -> Model:
     """A model from at most ``sample_rows`` labelled texts that are not held out.
 
-    An id with several labels counts with its smallest; only the sample comes to the driver.
+    An id with several labels counts with its smallest, an id with several rows with its least text; only the sample
+    comes to the driver.
     """
     wanted = (
         labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
@@ -167,7 +168,8 @@ def fit(
     sample = (
         docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"))
         .join(F.broadcast(wanted), F.col("id") == F.col("label_id"))
-        .select("id", "text", "label")
+        .groupBy("id", "label")
+        .agg(F.min("text").alias("text"))
         .toPandas()
         .sort_values(["id", "text"], kind="stable")
     )

@@ -19,11 +19,12 @@ import math
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftlens.llm.texts import WORD
 from driftlens.llm.workers import ship
+from driftlens.operators.ordered import running_totals
 from driftlens.staging import stage
 
 MAX_COPIES = 3
@@ -44,15 +45,11 @@ def targets(sizes: DataFrame, weights: Sequence[float] = (1.0, 2.0, 3.0), limit:
     number; each round finds it by one sum over the sources.
     """
     by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    # one row per source; a rank over names needs them in one order
-    order = Window.orderBy(F.col("source").isNull(), F.col("source"))
+    # ranks by range partitions, so that millions of sources are no single task's work
+    ranked = running_totals(by_source.withColumn("is_null", F.col("source").isNull()), ["is_null", "source"], {"place": F.lit(1)})
     cycle = F.array(*[F.lit(float(w)) for w in weights])
-    sources = stage(
-        by_source.withColumn("place", F.row_number().over(order) - 1).withColumn(
-            "weight", F.element_at(cycle, (F.col("place") % len(weights) + 1).cast("int"))
-        ),
-        "mix-sources",
-    )
+    weight = F.element_at(cycle, ((F.col("place") - 1) % len(weights) + 1).cast("int"))
+    sources = stage(ranked.withColumn("weight", weight), "mix-sources")
     total = sources.agg(F.sum("source_size")).first()[0] or 0
     level, most = 0.0, F.col("source_size") * float(limit)
     while True:
@@ -155,8 +152,7 @@ def mix(
     Rounding works in chunks of about ``chunk_rows`` documents of one source, dealt by a hash of the id, so a hot
     source is spread over many tasks; each chunk misses its tokens by less than half of its shortest document.
     """
-    spark = docs.sparkSession
-    ship(spark)
+    ship(docs.sparkSession)
     sizes = stage(
         docs.select(
             F.col(id_col).alias("id"),

@@ -17,6 +17,8 @@ from .skew import SALT, salted_join
 
 # The actions an operator can take.
 APPROVE, DISMISS, REENABLE, INVESTIGATE = "approve", "dismiss", "reenable", "investigate"
+# how an incident enters the log; it decides nothing
+OPEN = "open"
 
 
 def new_syncs(polls: DataFrame) -> DataFrame:

@@ -21,12 +21,16 @@ def check_on_sync(
     log_path: str,
     checkpoint: str,
     on_check: Callable[[SyncCheck], None] | None = None,
+    nodes: DataFrame | None = None,
+    incident_path: str | None = None,
+    keep: bool = True,
     available_now: bool = False,
 ) -> StreamingQuery:
     """Profile and compare every watched table a completed sync names.
 
     ``events`` comes from ``sources.sync_events``; ``loaders`` maps (dataset, table) of the watch list to what is to be
-    profiled. Tables synced in the same micro-batch are checked in one plan, and the log takes each check once.
+    profiled. Tables synced in the same micro-batch are checked in one plan, and the log takes each check once. The new
+    fingerprints join the history unless ``keep`` is off; with ``nodes`` each check is traced downstream.
     """
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
@@ -36,7 +40,7 @@ def check_on_sync(
         due = synced.join(watched, ["dataset_id", "table_name"], "left_semi").collect()
         if due:
             loads = [loaders[(row.dataset_id, row.table_name)](batch.sparkSession) for row in due]
-            result = check_syncs(batch.sparkSession, loads, history_path, log_path)
+            result = check_syncs(batch.sparkSession, loads, history_path, log_path, nodes, keep, incident_path)
             if on_check:
                 on_check(result)
 

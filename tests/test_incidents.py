@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftlens.operators import incidents, ordered, triage
+from driftlens.operators.skew import SALT, salted_join
 
 START = datetime(2026, 1, 1)
 
@@ -112,3 +113,14 @@ def test_impact(spark):
     got = {r.report_id: r for r in triage.detection_impact(df).collect()}
     assert (got["a"].time_to_detect_seconds, got["a"].hours_saved_this_incident) == (42.0, 3.19)
     assert (got["b"].hours_saved_this_incident, got["b"].incidents_caught_total, got["b"].total_hours_saved) == (0.0, 2, 3.19)
+
+
+def test_a_hot_key_is_spread_without_changing_the_result(spark):
+    large = spark.range(400).select(F.when(F.col("id") % 4 < 3, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 40)).alias("key"), "id")
+    small = large.select("key").distinct().withColumn("name", F.upper("key"))
+    plain = sorted((r.key, r.id, r.name) for r in large.join(small, "key", "left").collect())
+    for rows_per_salt in (1, 25, 1000):
+        joined = salted_join(large, small, ["key"], ["id"], "left", rows_per_salt)
+        assert sorted((r.key, r.id, r.name) for r in joined.collect()) == plain
+        salts = joined.where("key = 'hot'").select(SALT).distinct().count()
+        assert salts > 5 if rows_per_salt < 1000 else salts == 1

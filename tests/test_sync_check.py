@@ -46,9 +46,15 @@ def test_rename_from_load_to_fix(spark, tables, history, tmp_path):
     loads = [Load(renamed, "crm", "depot", now, per_sync=False), Load(parcel, "crm", "parcel", now, per_sync=False)]
     log = str(tmp_path / "log")
     nodes = read_manifest(spark, MANIFEST).persist()
-    result = check_syncs(spark, loads, history, log, nodes)
-    check_syncs(spark, loads, history, log)  # a repeat logs nothing new
+    opened = str(tmp_path / "incidents")
+    result = check_syncs(spark, loads, history, log, nodes, incident_path=opened, detected_after=90)
+    check_syncs(spark, loads, history, log, incident_path=opened)  # a repeat logs nothing new
     assert spark.read.parquet(log).count() == 2
+    (event,) = spark.read.parquet(opened).collect()
+    (verdict,) = result.verdicts.collect()
+    assert event.report_id == verdict.report_id and event.action == "open"
+    assert (verdict.table_name, verdict.state, verdict.downstream_nodes, verdict.suggested_fixes, verdict.fix_status) == ("depot", "pending", 6, 1, "suggested")
+    assert verdict.time_to_detect_seconds == 90.0 and verdict.hours_saved_this_incident == pytest.approx((11520 - 90) / 3600, abs=0.006)
     classes = {r.table_name: r for r in result.classes.collect()}
     assert classes["depot"].classification == "SILENT_SEMANTIC_FAILURE" and classes["depot"].others_clean
     assert classes["parcel"].next_step == "clean"
@@ -82,3 +88,5 @@ def test_check_on_sync_events(spark, tables, history, tmp_path):
     query.awaitTermination()
     assert [(r.table_name, r.next_step) for r in seen] == [("depot", "clean")]
     assert [r.table_name for r in spark.read.parquet(str(tmp_path / "log")).collect()] == ["depot"]
+    kept = H.read_history(spark, history).where(F.col("computed_at") == at(now)).collect()
+    assert [r.table_name for r in kept] == ["depot"]

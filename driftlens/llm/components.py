@@ -30,16 +30,19 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("least").alias("b"))).where("a <> b")
 
 
+def _settled(links: DataFrame) -> bool:
+    """Whether every node has one link, to a root that has none."""
+    chained = links.join(links.select(F.col("b").alias("a")).distinct(), "a", "left_semi")
+    twice = links.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
+    return chained.select("a").unionByName(twice).isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every linked node that is not itself the least of its component; ``links`` has (a, b)."""
     down = stage(
         links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links"
     )
-    before = None
-    while True:
-        after = down.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if after == before:
-            return down.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = after
+    while not _settled(down):
         large = stage(_large_star(down).where("a <> b").distinct(), "links")
         down = stage(_small_star(large).distinct(), "links")
+    return down.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -359,7 +359,11 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str = "doc_i
         "near-classes",
     )
     met = stage(tiles(docs, size, percent, text), "near-met")
-    heads = met.groupBy("tile").agg(F.min("class").alias("head"), F.count("*").alias("members"))
+    # the class that meets others in the most tiles is the one least edited: most of a tile's classes are linked to it
+    weighted = met.join(met.groupBy("class").agg(F.count("*").alias("meets")), "class")
+    heads = weighted.groupBy("tile").agg(
+        F.max(F.struct("meets", "class"))["class"].alias("head"), F.count("*").alias("members")
+    )
     star = met.join(heads, "tile").where(F.col("class") != F.col("head")).select(F.col("class").alias("a"), F.col("head").alias("b")).distinct()
     tried = stage(_bounded(star, classes, percent), "near-pairs")
     links = _exact(docs, tried, classes, size, percent, id_col, text)

@@ -149,14 +149,14 @@ def test_history_round_trip(spark, tmp_path):
     assert stored.count() == 24
     assert {r.columns[0].distribution["rail"] for r in stored.collect()} == {MODES["rail"]}
     assert H.read_history(spark, path, since="2026-05-11").count() == 4
-    newest = H.recent(stored, 3).where("table_name = 'deal'").orderBy("recency").collect()
-    assert [r.fingerprint_id for r in newest] == ["deal11", "deal10", "deal9"]
+    newest = H.recent(stored, 3).where("table_name = 'parcel'").orderBy("recency").collect()
+    assert [r.fingerprint_id for r in newest] == ["parcel11", "parcel10", "parcel9"]
     assert [r.fingerprint_id for r in H.listing(stored, "crm", "depot", 2).collect()] == ["depot11", "depot10"]
     gone = H.matching("depot", "crm", is_synthetic=False, computed_from=F.lit("2026-05-05").cast("timestamp_ntz"))
     H.rewrite_without(spark, path, gone, str(tmp_path / "clean"))
     clean = H.read_history(spark, str(tmp_path / "clean"))
-    assert clean.count() == 24 - 8 and clean.where("table_name = 'deal'").count() == 12
-    assert {r.table_key for r in H.covered_tables(clean).collect()} == {"crm.stage", "crm.deal"}
+    assert clean.count() == 24 - 8 and clean.where("table_name = 'parcel'").count() == 12
+    assert {r.table_key for r in H.covered_tables(clean).collect()} == {"crm.depot", "crm.parcel"}
 
 
 def test_baseline_copies(spark):

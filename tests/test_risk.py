@@ -89,7 +89,7 @@ def test_reason_text(spark):
     df = spark.createDataFrame(rows, "c int, d double, n string, f int")
     texts = [r[0] for r in df.select(risk.risk_reason(F.col("c"), F.col("d"), F.col("n"), F.col("f"))).collect()]
     assert texts == [
-        "Column 'label' drifted 2 time(s) in recent history, most recently 4 days ago.",
+        "Column 'mode' drifted 2 time(s) in recent history, most recently 4 days ago.",
         "Column 'None' drifted 1 time(s) in recent history, most recently recently.",
         "No significant drift history — baseline is stable across 9 fingerprints.",
     ]

@@ -35,13 +35,13 @@ def _identifier(name: str) -> str:
 
 
 def _column_statistics(
-    column: ProfiledColumn, exact_distinct: bool, accuracy: int, approximate_top: bool, tracked_values: int
+    column: ProfiledColumn, exact_distinct: bool, accuracy: int, approximate_top: bool, tracked_values: int, kept_values: int
 ) -> str:
     """The aggregate expressions of one column, as one SQL struct."""
     c = _identifier(column.name)
     x = f"cast({c} as double)"
     if column.kind == CATEGORICAL:
-        sketch = f"approx_top_k({_label(column)}, {K.TOP_VALUES}, {tracked_values})"
+        sketch = f"approx_top_k({_label(column)}, {kept_values}, {tracked_values})"
         top = f"transform({sketch}, e -> named_struct('value', e.item, 'cnt', e.count))"
         moments = ["cast(null as double)"] * 4 + ["cast(null as array<double>)"]
         moments.append(top if approximate_top else f"cast(null as {TOP_TYPE})")
@@ -171,7 +171,7 @@ def only_kind(load: Load, kind: str) -> Load:
     return load._replace(profile_columns=[c.name for c in profiled_columns(load.df.schema, load.profile_columns) if c.kind == kind])
 
 
-def _parts(load: Load, top: str, distinct: str, accuracy: int, tracked_values: int) -> list[DataFrame]:
+def _parts(load: Load, top: str, distinct: str, accuracy: int, tracked_values: int, kept_values: int) -> list[DataFrame]:
     """Partial rows of one table: the wide aggregate, then the top values and distinct counts as maps per sync."""
     df = load.df
     columns = profiled_columns(df.schema, load.profile_columns) if load.with_columns else []
@@ -194,7 +194,7 @@ def _parts(load: Load, top: str, distinct: str, accuracy: int, tracked_values: i
         F.expr(
             "array("
             + ", ".join(
-                _column_statistics(c, distinct == "exact", accuracy, top == "approx", tracked_values) for c in columns
+                _column_statistics(c, distinct == "exact", accuracy, top == "approx", tracked_values, kept_values) for c in columns
             )
             + ")"
             if columns
@@ -204,7 +204,7 @@ def _parts(load: Load, top: str, distinct: str, accuracy: int, tracked_values: i
     parts = [statistics.select(*identity, "row_count", "stats")]
     categorical = [c for c in columns if c.kind == CATEGORICAL]
     if top == "exact" and categorical:
-        best = top_values(value_counts(source, keys, categorical), keys)
+        best = top_values(value_counts(source, keys, categorical), keys, kept_values)
         by_column = best.groupBy(*keys, "position").agg(F.collect_list(F.struct("value", "cnt")).alias("values"))
         by_sync = by_column.groupBy(*keys).agg(
             F.map_from_entries(F.collect_list(F.struct("position", "values"))).alias("top")
@@ -225,16 +225,19 @@ def fingerprint_loads(
     distinct: str = "approx",
     accuracy: int = 10_000,
     tracked_values: int = 10_000,
+    kept_values: int = K.TOP_VALUES,
 ) -> DataFrame:
     """Fingerprints of any number of tables in one job.
 
+    ``kept_values`` of each categorical column make its distribution; ``cut_shares`` tells what the others hold.
+
     ``top="approx"`` replaces the exact value counts by a mergeable sketch, which needs no shuffle by value and no
     second scan: the choice for wide tables and near-unique columns; ``top="none"`` counts no values. ``distinct="exact"`` costs a shuffle by value of
     every column; quantiles here are always sketches (see ``quantiles`` for exact ones).
     """
     rows = None
     for load in loads:
-        for part in _parts(load, top, distinct, accuracy, tracked_values):
+        for part in _parts(load, top, distinct, accuracy, tracked_values, kept_values):
             rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
     for name, kind in (("top", f"map<int,{TOP_TYPE}>"), ("distincts", "map<int,bigint>")):
         if name not in rows.columns:
@@ -286,3 +289,10 @@ HEADER = ["fingerprint_id", "dataset_id", "table_name", "computed_at", "row_coun
 def column_rows(fps: DataFrame, keep: list[str] = HEADER) -> DataFrame:
     """Long form: one row per fingerprint and column."""
     return fps.select(*keep, F.explode("columns").alias("column")).select(*keep, "column.*")
+
+
+def cut_shares(fps: DataFrame, keep: list[str] = HEADER) -> DataFrame:
+    """Share of each categorical column's rows whose value is not among the kept ones: 0 unless the column is cut."""
+    kept = F.aggregate(F.map_values("distribution"), F.lit(0.0), lambda total, share: total + share)
+    rows = column_rows(fps, keep).where((F.col("kind") == CATEGORICAL) & (F.size("distribution") > 0))
+    return rows.select(*keep, "position", F.col("name").alias("column_name"), F.greatest(F.round(1 - kept, 6), F.lit(0.0)).alias("cut_share"))

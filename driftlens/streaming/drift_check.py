@@ -70,14 +70,14 @@ def window_groups(
     )
 
 
-def fingerprints_of_groups(groups: DataFrame, dataset_id: str, table_name: str) -> DataFrame:
+def fingerprints_of_groups(groups: DataFrame, dataset_id: str, table_name: str, kept_values: int = K.TOP_VALUES) -> DataFrame:
     """Fingerprints (as far as a comparison needs them) from the latest groups of each window."""
     # sizes are summed on the map side, and each task keeps its own best values before the shuffle
     sizes = groups.groupBy(F.col("sync").alias("of_sync"), F.col("position").alias("of_position")).agg(
         F.sum("cnt").alias("rows"), F.sum("filled").alias("all_filled")
     )
     best = Window.partitionBy("sync", "position").orderBy(F.desc("cnt"), "value")
-    kept = groups.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= K.TOP_VALUES)
+    kept = groups.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= kept_values)
     sized = kept.join(sizes, (F.col("sync") == F.col("of_sync")) & (F.col("position") == F.col("of_position")))
     entry = F.when(F.col("kind") == CATEGORICAL, F.struct(F.col("value").alias("key"), (F.col("cnt") / F.col("rows")).alias("value")))
     columns = sized.groupBy("sync", "position", "name", "data_type").agg(
@@ -125,6 +125,7 @@ def check_stream(
     lateness: str = "2 days",
     profile_columns: list[str] | None = None,
     n: int = K.BASELINE_SYNCS,
+    kept_values: int = K.TOP_VALUES,
     available_now: bool = False,
 ) -> StreamingQuery:
     """Check every window as it fills; the drift log is written to ``root/log``.
@@ -149,7 +150,7 @@ def check_stream(
         last = dates.where(F.col("sync_date") >= F.lit(span.b)).orderBy("sync_date").limit(n + 1)
         start, end = first.agg(F.min("sync_date")).first()[0], last.agg(F.max("sync_date")).first()[0]
         near = latest_groups(spark, root).where(F.col("sync_date").between(F.lit(start), F.lit(end)))
-        members = rolling_members(fingerprints_of_groups(near, dataset_id, table_name), n)
+        members = rolling_members(fingerprints_of_groups(near, dataset_id, table_name, kept_values), n)
         checked = drift_log(compare(members)).where(F.to_date("logged_at") >= F.lit(span.a))
         write_batch(checked, f"{root}/log", batch_id)
 

@@ -48,6 +48,22 @@ def test_entropy_renormalises_the_kept_values(spark):
     assert columns["v"].entropy == pytest.approx(math.log2(20), abs=1e-6)
 
 
+@pytest.mark.parametrize("kept, cut", [(20, round(10 / 30, 6)), (30, 0.0), (3, 0.9)])
+def test_a_cut_distribution_shows_its_tail(spark, kept, cut):
+    rows = spark.createDataFrame([(f"v{i:02d}", 1.0) for i in range(30)], "v string, x double")
+    fps = profile.fingerprints(rows, "d", "t", F.lit("2027-03-01").cast("timestamp_ntz"), per_sync=False, kept_values=kept)
+    (row,) = profile.cut_shares(fps).collect()
+    assert (row.column_name, row.cut_share) == ("v", pytest.approx(cut, abs=1e-6))
+
+
+def test_headers_have_counts_and_no_columns(spark):
+    load = profile.Load(spark.createDataFrame([("a", 1.0), ("b", 2.0)], "v string, x double"), "d", "t", F.lit("2027-03-01").cast("timestamp_ntz"), per_sync=False)
+    row = profile.fingerprint_loads([profile.header_only(load)]).first()
+    assert row.row_count == 2 and row.columns == [] and row.schema_hash == profile.schema_hash(load.df.schema)
+    only = profile.fingerprint_loads([profile.only_kind(load, "numeric")], top="none").first()
+    assert [c.name for c in only.columns] == ["x"]
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "label string, amount double")
     row, columns = whole(df)

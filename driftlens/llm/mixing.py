@@ -28,7 +28,6 @@ from driftlens.operators.ordered import running_totals
 from driftlens.staging import stage
 
 MAX_COPIES = 3
-CHUNK_ROWS = 1_000
 STEPS = 40
 TOLERANCE = 1e-9
 
@@ -126,16 +125,27 @@ def tilts(
     return {name: rows.select("value", "target", "tilt") for name, rows in state.items()}
 
 
-def _round(group: pd.DataFrame, limit: int) -> pd.DataFrame:
-    """Whole copies, longest document first; what rounding leaves over is carried to the next."""
-    group = group.sort_values(["size", "tie"], ascending=[False, True], kind="stable")
-    carry, copies = 0.0, []
-    for size, rate in zip(group["size"], group["rate"]):
-        due = rate * size + carry
-        taken = min(max(int(due / size + 0.5), 0), limit)
-        carry = due - taken * size
+def _deal(classes: pd.DataFrame, limit: int) -> pd.DataFrame:
+    """Whole copies of each size class of one source, longest first.
+
+    Each class takes the share that its size has in what is still due, rounded, but keeps what is left reachable by
+    the shorter classes at 0 to ``limit`` copies wherever it can.
+    """
+    classes = classes.sort_values("size", ascending=False, kind="stable")
+    due, rest, copies = float(classes["target"].iloc[0]), int((classes["size"] * classes["n"]).sum()), []
+    for size, n in zip(classes["size"].tolist(), classes["n"].tolist()):
+        share = n * due / rest
+        rest -= size * n
+        most, least = due / size, (due - limit * rest) / size
+        low, high = math.ceil(least - 1e-9), math.floor(most + 1e-9)
+        if low <= high:
+            taken = min(max(math.floor(share + 0.5), low), high)
+        else:  # no count leaves a reachable rest: the nearer side
+            taken = high + 1 if high + 1 - most < least - high else high
+        taken = min(max(taken, 0), limit * n)
+        due -= taken * size
         copies.append(taken)
-    return group.assign(copies=copies)
+    return classes.assign(copies=copies)
 
 
 def mix(
@@ -145,12 +155,15 @@ def mix(
     id_col: str = "doc_id",
     text: str = "text",
     source: str = "source",
-    chunk_rows: int = CHUNK_ROWS,
+    chunk_rows: int | None = None,
 ) -> DataFrame:
     """id, source, size, source_size, target, rate, copies, taken; one row per document.
 
-    Rounding works in chunks of about ``chunk_rows`` documents of one source, dealt by a hash of the id, so a hot
-    source is spread over many tasks; each chunk misses its tokens by less than half of its shortest document.
+    A source misses its target by at most half of its shortest document, unless a document is longer than all shorter
+    ones together can make up for. One task sees the distinct sizes of a source, whose number is at most the square
+    root of twice the source's tokens. The copies of a class are dealt by place in the order of a hash of id and text;
+    places are counted over even range chunks, so neither a hot source nor a hot size is one task's work. Chunks (of
+    about ``chunk_rows`` rows, else the session's shuffle partitions) never change the result.
     """
     ship(docs.sparkSession)
     sizes = stage(
@@ -159,6 +172,7 @@ def mix(
             F.col(source).cast("string").alias("source"),
             word_count(F.col(text)).alias("size"),
             F.xxhash64(F.col(id_col).cast("string"), F.col(text)).alias("tie"),
+            F.monotonically_increasing_id().alias("row"),  # spreads equal rows; written once, so it stays
         ),
         "mix-sizes",
     )
@@ -169,23 +183,25 @@ def mix(
     parts = wanted.join(solved.select("value", "tilt"), F.col("source").eqNullSafe(F.col("value")), "left").select(
         F.col("source").alias("s"), "target", "source_size",
         F.coalesce(F.least(F.exp("tilt"), F.lit(float(limit))), F.lit(0.0)).alias("rate"),
-        F.ceil(F.col("n_docs") / chunk_rows).alias("chunks"),
-    )
-    rated = sizes.join(parts, F.col("source").eqNullSafe(F.col("s"))).select(
-        "id", "source", "size", "tie", "target", "source_size",
-        F.when(F.col("size") == 0, 0.0).otherwise(F.col("rate")).alias("rate"),
-        F.pmod(F.xxhash64("tie"), F.col("chunks")).alias("chunk"),
     )
-    kind = sizes.schema["id"].dataType.simpleString()
+    counts = sizes.groupBy(F.col("source").alias("c_source"), "size").agg(F.count("*").alias("n"))
+    classes = counts.join(parts, F.col("c_source").eqNullSafe(F.col("s"))).drop("s")
+    schema = "c_source string, size long, n long, target double, source_size long, rate double, copies long"
 
-    def rounded(group: pd.DataFrame) -> pd.DataFrame:
+    def dealt(group: pd.DataFrame) -> pd.DataFrame:
         some = group["size"] > 0
-        return pd.concat([_round(group[some], limit), group[~some].assign(copies=0)]).drop(columns=["chunk", "tie"])
+        full = [_deal(group[some], limit)] if some.any() else []
+        return pd.concat([*full, group[~some].assign(copies=0, rate=0.0)])
 
-    out = rated.groupBy("source", "chunk").applyInPandas(
-        rounded, f"id {kind}, source string, size long, target double, source_size long, rate double, copies int"
+    deals = stage(
+        classes.groupBy("c_source").applyInPandas(dealt, schema).withColumnsRenamed({"size": "c_size", "copies": "all_copies"}),
+        "mix-deals",
     )
-    return out.select(
+    chunks = max(1, -(-sizes.count() // chunk_rows)) if chunk_rows else None
+    placed = running_totals(sizes, ["tie", "row"], {"place": F.lit(1)}, ["source", "size"], chunks)
+    joined = placed.join(deals, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("size") == F.col("c_size")))
+    extra = F.when(F.col("place") <= F.col("all_copies") % F.col("n"), 1).otherwise(0)
+    return joined.withColumn("copies", (F.expr("all_copies div n") + extra).cast("int")).select(
         F.col("id").alias(id_col), "source", "size", "source_size", "target", "rate", "copies",
         (F.col("copies") * F.col("size")).cast("long").alias("taken"),
     )

@@ -64,6 +64,20 @@ def test_mix_meets_its_targets(docs, rows, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_a_very_long_text_is_made_up_for_by_the_whole_source(spark):
+    rows = [(i, "w " * (1 + i % 40), "a") for i in range(4000)] + [(4000, "w " * 40_001, "a")]
+    rows += [(5000 + i, "w " * 50, "b") for i in range(3000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    out = mixing.mix(frame, weights=(3.0, 4.0)).collect()
+    for source, shortest in (("a", 1), ("b", 50)):
+        own = [r for r in out if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= shortest / 2 + 1e-6
+    short = [r.copies for r in out if r.doc_id < 4000]
+    assert max(short) - min(short) <= 1
+    again = mixing.mix(frame, weights=(3.0, 4.0), chunk_rows=1000).collect()
+    assert {r.doc_id: r.copies for r in again} == {r.doc_id: r.copies for r in out}
+
+
 def test_newton_meets_two_kinds_of_targets_at_once(spark):
     cells = spark.createDataFrame([("a", "x", 100), ("a", "y", 300), ("b", "x", 200), ("b", "y", 50)], "s string, l string, mass long")
     wanted = {

@@ -82,6 +82,11 @@ def encode(vectors: np.ndarray, middle: np.ndarray, turn: np.ndarray) -> tuple[n
     return np.packbits(signs > 0, axis=1), np.column_stack([factor, offset, error]), near
 
 
+def exact(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products summed in one order for every row, block and batch; a matrix product gives equal rows unequal bits."""
+    return (vectors * query).sum(axis=1)
+
+
 def search_block(
     query_ids: np.ndarray,
     queries: np.ndarray,
@@ -103,22 +108,28 @@ def search_block(
     guess += (queries @ middle.T)[:, near]
     away = np.sqrt(np.maximum((queries**2).sum(axis=1)[:, None] - 2 * queries @ middle.T + (middle**2).sum(axis=1), 0))
     bound = epsilon * error * away[:, near] + 1e-6
+    # equal vectors are found together, so that ties among them go to the smaller id
+    _, same = np.unique((vectors + 0.0).view(f"V{vectors.itemsize * dim}").ravel(), return_inverse=True)
+    groups = same.max(initial=-1) + 1
     for i, own in enumerate(query_ids):
         other = ids != own
         first = min(len(ids), k + 44)
         lead = np.argpartition(-guess[i], first - 1)[:first]
         lead = lead[other[lead]]
-        scores = vectors[lead] @ queries[i]
+        scores = exact(vectors[lead], queries[i])
         mark = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) >= k else -np.inf
         more = guess[i] + bound[i] >= mark
+        if groups < len(ids):
+            hit = np.zeros(groups, dtype=bool)
+            hit[same[more]] = True
+            hit[same[lead]] = True
+            more = hit[same]
         more[lead] = False
         more = np.flatnonzero(more & other)
         found = np.concatenate([lead, more])
-        scores = np.concatenate([scores, vectors[more] @ queries[i]])
+        scores = np.concatenate([scores, exact(vectors[more], queries[i])])
         best = np.lexsort((ids[found], -scores))[:k]
-        # the score that is returned is summed in one order for every block and batch
-        exact = (vectors[found[best]] * queries[i]).sum(axis=1)
-        yield int(own), ids[found[best]], exact
+        yield int(own), ids[found[best]], scores[best]
 
 
 def usable(vector: Column) -> Column:

@@ -134,6 +134,24 @@ def test_neighbours_of_awkward_rows(spark, empty):
     assert neighbours.search(nothing, F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_ties_in_a_block_of_many_copies_go_to_the_smaller_id():
+    rng = np.random.default_rng(11)
+    turn = neighbours.rotation(64)
+    for _ in range(12):
+        vectors = rng.standard_normal((700, 64))
+        q = rng.standard_normal(64)
+        copies = rng.permutation(700)[:300]
+        vectors[copies] = q + 0.3 * rng.standard_normal(64)
+        ids = rng.permutation(700).astype(np.int64)
+        middle = neighbours.centres(vectors, 4)
+        codes, scalars, near = neighbours.encode(vectors, middle, turn)
+        asks = ids[copies[0]]
+        ((_, got, scores),) = neighbours.search_block(np.array([asks]), q[None, :], ids, vectors, codes, scalars, near, middle, turn, 20, neighbours.EPSILON)
+        ids, exact = ids[ids != asks], (vectors * q).sum(axis=1)[ids != asks]
+        best = np.lexsort((ids, -exact))[:20]
+        assert got.tolist() == ids[best].tolist() and scores.tolist() == exact[best].tolist()
+
+
 def test_recall_on_the_given_vectors(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     vectors = {r.vec_id: np.array(r.embedding, dtype=np.float64) for r in table.collect()}

@@ -49,7 +49,8 @@ class Encoder:
     """Ids of a text by a tokenizer file.
 
     Where the file is a plain byte-level merge table whose ids stand in merge order, the same ids come from the faster
-    merge loop of ``tiktoken``, fed with the file's own vocabulary; any other file is left to ``tokenizers``.
+    merge loop of ``tiktoken``, fed with the file's own vocabulary; any other file, and any text that holds one of the
+    file's added tokens, is left to ``tokenizers``.
     """
 
     def __init__(self, path: str):
@@ -57,11 +58,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
         self.kind = np.uint16 if self.size <= 1 << 16 else np.uint32
         with open(path, encoding="utf-8") as f:
-            self.merger = self._merger(json.load(f))
+            known = json.load(f)
+        self.added = [t["content"] for t in known.get("added_tokens", [])]
+        self.merger = self._merger(known)
 
     @staticmethod
     def _merger(known: dict):
@@ -83,7 +85,7 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
 
     def ids(self, text: str) -> bytes:
-        if self.merger is None:
+        if self.merger is None or any(t in text for t in self.added):
             return self.whole(text)
         return np.array(self.merger.encode_ordinary(text), dtype=self.kind).tobytes()
 

@@ -387,3 +387,11 @@ def test_packing_is_an_exact_round_trip(docs, rows, empty):
 def test_pieces_give_the_ids_of_the_whole_text(text):
     tool = packing.encoder(public_tokenizers.path("byte_bpe_50k.json"))
     assert tool.ids(text) == tool.whole(text)
+
+
+@pytest.mark.parametrize("text", ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  y", "<|endoftext", "plain text"])
+def test_ids_are_those_of_the_untouched_tokenizer(text):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tool = packing.Encoder(path)
+    expected = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(tool.ids(text), dtype=tool.kind).tolist() == expected

@@ -28,6 +28,7 @@ from driftlens.operators.ordered import running_totals
 from driftlens.staging import stage
 
 MAX_COPIES = 3
+PART_COPIES = 1_000
 STEPS = 40
 TOLERANCE = 1e-9
 
@@ -210,13 +211,38 @@ def mix(
 def repeat_rows(docs: DataFrame, weights: Sequence[float] = (1.0, 2.0, 3.0), limit: int = MAX_COPIES, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """All columns of the rows, each as often as the mix takes it.
 
-    The rates of rows that share id and text are added up and dealt to them alike, so each such row appears as often
-    as their mean, rounded; other rows appear exactly as often as ``mix`` says.
+    Rows are matched by 128 bits of hash over all columns. Rows that are equal in all of them get the sum of their
+    copies: they are brought to one row map-side, and its copies are laid out in parts of ``PART_COPIES``.
     """
-    key = F.xxhash64(F.col(id_col).cast("string"), F.col(source).cast("string"), F.col(text))
-    keyed = docs.withColumn("_m_key", key)
-    own = keyed.select(F.col("_m_key"), F.col(text).alias("text"), F.col(source).alias("source"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    # types that cannot be hashed are hashed as text
+    odd = [any(t in f.dataType.simpleString() for t in ("map<", "variant")) for f in docs.schema]
+    hashed = [F.to_json(F.struct(c)) if o else c for c, o in zip(columns, odd)]
+    keyed = docs.withColumn("_m_key", F.struct(F.xxhash64(*hashed).alias("a"), F.xxhash64(F.lit(1), *hashed).alias("b")))
+    own = keyed.select("_m_key", F.col(text).alias("text"), F.col(source).alias("source"))
     taken = mix(own, weights, limit, "_m_key", "text", "source")
-    copies = taken.groupBy(F.col("_m_key").alias("_m_k")).agg(F.round(F.avg("copies")).cast("int").alias("_m_copies")).where("_m_copies > 0")
-    joined = keyed.join(copies, F.col("_m_key") == F.col("_m_k"))
-    return joined.withColumn("_m_copy", F.explode(F.sequence(F.lit(1), F.col("_m_copies")))).select(*docs.columns)
+    copies = stage(
+        taken.groupBy(F.col("_m_key").alias("_m_k"))
+        .agg(F.count("*").alias("_m_rows"), F.sum("copies").alias("_m_copies"))
+        .where("_m_copies > 0"),
+        "mix-copies",
+    )
+    key = F.col("_m_key") == F.col("_m_k")
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_m_copies")))
+    out = keyed.join(copies.where("_m_rows = 1"), key).withColumn("_m_copy", each).select(*columns)
+    several = copies.where("_m_rows > 1")
+    if not several.limit(1).count():
+        return out
+    one = (
+        keyed.select("_m_key", F.struct(*columns).alias("_m_row"))
+        .join(several, key)
+        .groupBy("_m_key")
+        .agg(F.first("_m_row").alias("_m_row"), F.first("_m_copies").alias("_m_all"))
+    )
+    parts = one.withColumn("_m_part", F.explode(F.expr(f"sequence(0L, (_m_all - 1) div {PART_COPIES})")))
+    laid = (
+        parts.withColumn("_m_copies", F.least(F.lit(PART_COPIES).cast("long"), F.col("_m_all") - F.col("_m_part") * PART_COPIES))
+        .repartition("_m_key", "_m_part")
+        .withColumn("_m_copy", each)
+    )
+    return out.unionByName(laid.select(*[F.col(f"_m_row.`{c}`") for c in docs.columns]))

@@ -96,6 +96,22 @@ def test_repeated_rows_of_the_mix_keep_their_columns(docs):
     assert out.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 6
 
 
+def test_equal_rows_of_the_mix_are_taken_at_their_rate(spark):
+    rows = [(None, "x y z", "a", {"k": 1})] * 700 + [(i, f"u v {i}", "a", {"k": i}) for i in range(300)]
+    rows += [(1000 + i, f"p q {i}", "b", {}) for i in range(1000)] + [(7, "u v 7", "a", {"k": 8})]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, `odd.name` map<string, long>").repartition(3)
+    for weights in ((1.0, 4.0), (7.0, 3.0)):
+        target = {r.source: r.target for r in mixing.mix(frame, weights).select("source", "target").distinct().collect()}
+        out = mixing.repeat_rows(frame, weights)
+        assert out.columns == frame.columns
+        got = Counter((r[0], r[1], r[2], tuple(r[3].items())) for r in out.collect())
+        assert set(got) <= {(r[0], r[1], r[2], tuple(r[3].items())) for r in rows}
+        for source in "ab":
+            assert abs(3 * sum(n for r, n in got.items() if r[2] == source) - target[source]) <= 1.5
+        share = got[None, "x y z", "a", (("k", 1),)] / 700
+        assert abs(share - target["a"] / 3003) < 0.1
+
+
 # --- neighbours
 
 

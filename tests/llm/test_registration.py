@@ -53,6 +53,12 @@ def test_stages(spark):
     assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n <> 2048").count() <= 1
 
 
+def test_close_languages_are_no_reason_to_go(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").where(F.col("text").rlike("[A-Za-z]"))
+    pair = docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "en").otherwise("en-GB"))
+    assert corpus_pipeline.known_language(spark, pair, DATA).count() == pair.count()
+
+
 def test_stages_take_empty_tables(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(0)
     for _, function in corpus_pipeline.STAGES:

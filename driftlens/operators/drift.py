@@ -163,11 +163,12 @@ def _column_drifts(threshold: float) -> Column:
     )
 
 
-# Entries are ordered by position, so the first of the best scores wins a tie.
+# Entries are ordered by position, so the first of the best scores wins a tie. Scores are compared as they are shown, by six
+# places: what lies below is noise of the order in which rows were summed.
 _BEST = """
 aggregate(filter(compared, c -> c.score is not null),
   cast(null as struct<name:string,score:double,shares:array<struct<value:string,current:double,baseline:double>>,has_values:boolean>),
-  (acc, c) -> case when acc is null or c.score > acc.score
+  (acc, c) -> case when acc is null or round(c.score, 6) > round(acc.score, 6)
     then named_struct('name', c.name, 'score', c.score, 'shares', c.shares, 'has_values', c.has_values) else acc end)
 """
 

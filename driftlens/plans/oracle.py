@@ -139,7 +139,7 @@ nulls AS (SELECT s.ds, s.tbl, s.sync, s.col, abs(s.null_pct - o.null_pct) AS mov
           FROM stats s JOIN old_cols o USING (ds, tbl, sync, col)),
 scores AS (SELECT p.ds, p.tbl, p.sync, p.col, s.pos, p.psi AS score FROM psi p JOIN stats s USING (ds, tbl, sync, col)
            UNION ALL SELECT ds, tbl, sync, col, pos, least(z / 3, 2) FROM shift),
-best AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY ds, tbl, sync ORDER BY score DESC, pos) = 1),
+best AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY ds, tbl, sync ORDER BY round(score, 6) DESC, pos) = 1),
 report AS (SELECT c.ds, c.tbl, c.sync, c.rc, coalesce(o.nb, 0) AS nb, b.col AS max_col, coalesce(b.score, 0) AS score,
            CASE WHEN o.nb >= 2 AND o.sigma > 0 THEN (c.rc - o.mu) / o.sigma ELSE 0 END AS rcz
            FROM currents c LEFT JOIN old_rows o USING (ds, tbl, sync) LEFT JOIN best b USING (ds, tbl, sync))

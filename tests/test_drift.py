@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from driftlens.functions import psi_band, psi_of_shares
 from driftlens.operators import drift
 
-from conftest import DEPOT_ROWS, MODES, MODES_AFTER, PARCEL_ROWS, ZONES, column, depot_columns, fingerprint, frame, renamed
+from scenario import DEPOT_ROWS, MODES, MODES_AFTER, PARCEL_ROWS, ZONES, column, depot_columns, fingerprint, frame, renamed
 
 
 def psi(spark, current, baseline):

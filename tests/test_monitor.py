@@ -10,7 +10,7 @@ from driftlens.sources.connectors import connector_tables, schema_of_tables
 from driftlens.sources.sync_events import accepted, fan_out, read_sync_events
 from driftlens.sources.tables import read_watch_list, table_metadata, watch_list
 
-from conftest import MODES, column, fingerprint, frame
+from scenario import MODES, column, fingerprint, frame
 
 NOW = datetime(2026, 5, 1, 12)
 

@@ -12,7 +12,7 @@ from driftlens.sources.tables import read_table, table_metadata
 
 import __spark_entry__ as entry_point
 
-from conftest import DATA
+from scenario import DATA
 
 QUERIES, ORACLE = entry_point.queries(), entry_point.oracle_sql()
 TABLES = (

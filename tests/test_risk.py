@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from driftlens.operators import risk
 
-from conftest import MODES, MODES_AFTER, column, fingerprint, frame
+from scenario import MODES, MODES_AFTER, column, fingerprint, frame
 from test_drift import plain_psi
 
 

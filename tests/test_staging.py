@@ -7,7 +7,7 @@ from driftlens.sources import history as H
 from driftlens.staging import CHECKPOINT, release, stage, stage_bucketed
 from driftlens.streaming.batches import read_batch, write_batch
 
-from conftest import MODES, column, fingerprint, frame
+from scenario import MODES, column, fingerprint, frame
 
 
 def folders(spark):

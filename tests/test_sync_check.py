@@ -12,7 +12,7 @@ from driftlens.sources.manifest import read_manifest
 from driftlens.sources.sync_events import stream_sync_events
 from driftlens.streaming.sync_trigger import check_on_sync
 
-from conftest import MODES, MODES_AFTER, ZONES
+from scenario import MODES, MODES_AFTER, ZONES
 from test_drift import plain_psi
 
 MANIFEST = os.path.join(os.path.dirname(__file__), "fixtures", "manifest.json")

@@ -4,7 +4,7 @@ import pytest
 
 from driftlens.operators import drift, triage
 
-from conftest import MODES, MODES_AFTER, column, fingerprint, frame
+from scenario import MODES, MODES_AFTER, column, fingerprint, frame
 
 
 def judged(spark, current, baseline):

@@ -9,8 +9,10 @@ Two characters that stand side by side in no piece can never be joined, so a tex
 each part is merged on its own. Parts repeat, as words do: each worker keeps the results of short parts in a bounded
 store, so that the agenda runs once for most words. Long parts are merged every time.
 
-Normalisation (the vocabulary's own rules) is left to the library. ``digest`` also encodes every batch with the library
-itself and says for each text whether both agree.
+Normalisation (the vocabulary's own rules) is left to the library. ``digest`` checks the agenda against the library in
+every Arrow batch: each part that the worker does not know yet is encoded by both, behind a character that joins nothing,
+and a row says whether all its parts agreed. As no piece crosses a cut, texts agree when their parts do; ``disagreeing``
+compares whole texts. Vocabularies without bytes, or whose normalisation would change a part, are checked by whole texts.
 
 Defined results: a null text is empty and has no ids; a very long text is one value of one row, held by the task that
 reads it; rows are independent, so repeated rows get equal results; an empty table gives an empty result; other columns
@@ -39,6 +41,7 @@ from driftlens.llm.workers import map_arrow
 SPACE = "▁"
 KEPT_PARTS = 3 << 17
 SHORT = 48
+GROUP_CHARS = 1 << 19
 
 # Fixed values of the model file: kinds of pieces, and the merge type of the trainer.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -108,7 +111,12 @@ class Pieces:
         # the agenda takes the least rank first
         self.rank = {name: -self.scores[i] for name, i in self.joined.items()}
         self.unused = {name for name, i in self.joined.items() if self.kinds[i] == UNUSED}
-        self.store: dict[str, tuple[tuple[int, ...], str, str]] = {}
+        # what the worker knows of short parts: (number of ids, ids as text, decoded text, whether the library agrees)
+        self.store: dict[str, tuple[int, str, str, bool]] = {}
+        self.lone = next(chr(c) for c in (10, 1, *range(0xE000, 0xF8FF)) if not self.number[c])
+        self.lead = self.library.encode(self.lone)
+        kept = self.library.normalize(f"{self.lone}  a ").endswith(f"{self.lone}{SPACE}{SPACE}a{SPACE}")
+        self.by_parts = bool(self.byte_ids) and kept
 
     def merge(self, part: str) -> list[str]:
         """The symbols left when no adjacent pair is a piece."""
@@ -120,22 +128,23 @@ class Pieces:
 
     def _merge_short(self, symbols: list[str], made: dict[str, tuple[str, str]]) -> list[str]:
         """The agenda has a place for each adjacent pair, in their order; few places are searched faster than kept sorted."""
-        rank, unused = self.rank.get, self.unused
-        agenda = [rank(a + b, math.inf) for a, b in zip(symbols, symbols[1:])]
+        rank, unused, never = self.rank.get, self.unused, math.inf
+        agenda = [rank(a + b, never) for a, b in zip(symbols, symbols[1:])]
         while agenda:
             best = min(agenda)
-            if best == math.inf:
+            if best == never:
                 break
             i = agenda.index(best)  # the leftmost of equals
-            piece = symbols[i] + symbols[i + 1]
+            right = symbols.pop(i + 1)
+            piece = symbols[i] + right
             if unused and piece in unused:
-                made[piece] = (symbols[i], symbols[i + 1])
-            symbols[i : i + 2] = [piece]
+                made[piece] = (symbols[i], right)
+            symbols[i] = piece
             del agenda[i]
             if i < len(agenda):
-                agenda[i] = rank(piece + symbols[i + 1], math.inf)
+                agenda[i] = rank(piece + symbols[i + 1], never)
             if i:
-                agenda[i - 1] = rank(symbols[i - 1] + piece, math.inf)
+                agenda[i - 1] = rank(symbols[i - 1] + piece, never)
         return symbols
 
     def _merge_long(self, symbols: list[str], made: dict[str, tuple[str, str]]) -> list[str]:
@@ -178,34 +187,65 @@ class Pieces:
         cuts = (np.flatnonzero(~self.meet[code[:-1], code[1:]]) + 1).tolist()
         return [normal[a:b] for a, b in zip([0, *cuts], [*cuts, len(normal)])]
 
-    def part(self, part: str) -> tuple[tuple[int, ...], str, str]:
-        """(ids, ids as text, decoded text without regard to the start of a text) of one part."""
-        if part in self.store:
-            return self.store[part]
-        ids: list[int] = []
+    def ids(self, part: str) -> list[int]:
+        """The ids of one part."""
+        out: list[int] = []
         for symbol in self.merge(part):
             found = self.reserved.get(symbol, self.joined.get(symbol))
             if found is not None and found != self.unknown:
-                ids.append(found)
+                out.append(found)
             elif self.byte_ids:
-                ids += (self.byte_ids[b] for b in symbol.encode())
-            elif not ids or ids[-1] != self.unknown:
-                ids.append(self.unknown)
-        result = tuple(ids), ",".join(map(str, ids)), self.surface(ids)
-        if len(part) <= SHORT:
-            if len(self.store) >= KEPT_PARTS:
-                self.store.clear()
-            self.store[part] = result
-        return result
+                out += (self.byte_ids[b] for b in symbol.encode())
+            elif not out or out[-1] != self.unknown:
+                out.append(self.unknown)
+        return out
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
         for part in self.parts(self.library.normalize(text)):
-            ids = self.part(part)[0]
+            ids = self.ids(part)
             # a run of unknown symbols is one id
             out += ids[1:] if out and ids[0] == self.unknown == out[-1] else ids
         return out
 
+    def _described(self, parts: list[str]) -> list[tuple[int, str, str, bool]]:
+        """What the worker is to know of each part."""
+        own = [self.ids(p) for p in parts]
+        theirs = self.library.encode([self.lone + p.replace(SPACE, " ") for p in parts], num_threads=1)
+        lead = len(self.lead)
+        return [
+            (len(ids), ",".join(map(str, ids)), self.surface(ids), ids == other[lead:] and self.lead == other[:lead])
+            for ids, other in zip(own, theirs)
+        ]
+
+    def described(self, texts: list[str]) -> list[tuple[int, str, str, bool]]:
+        """(number of ids, ids as decimal text, decoded text, whether the library agrees) of each text."""
+        if not self.by_parts:
+            own = [self.encode(t) for t in texts]
+            return [(len(i), ",".join(map(str, i)), self.decode(i), self.agrees(t, i)) for t, i in zip(texts, own)]
+        cut = [self.parts(self.library.normalize(t)) for t in texts]
+        if len(self.store) > KEPT_PARTS:
+            self.store.clear()
+        store = self.store
+        new = list({p for parts in cut for p in parts if p not in store})
+        here = dict(zip(new, self._described(new)))
+        store.update((p, known) for p, known in here.items() if len(p) <= SHORT)
+        out = []
+        for parts in cut:
+            if not parts:
+                out.append((0, "", "", True))
+                continue
+            counts, ids, surfaces, agree = zip(*[store.get(p) or here[p] for p in parts])
+            text, first = "".join(surfaces), ids[0].partition(",")[0]
+            # the space that every text is given at its start
+            lead = self.names[int(first)].startswith(SPACE)
+            out.append((sum(counts), ",".join(ids), text[1:] if lead else text, all(agree)))
+        return out
+
+    def agrees(self, text: str, ids: list[int]) -> bool:
+        """Whether the library gives a whole text these ids, and these ids the same text."""
+        return self.library.encode(text, num_threads=1) == ids and self.library.decode(ids) == self.decode(ids)
+
     def surface(self, ids) -> str:
         """The text of a run of ids inside a text. Bytes that form no character become replacement characters."""
         out: list[str] = []
@@ -236,18 +276,6 @@ class Pieces:
         piece = self.names[ids[start]] if start < len(ids) and self.kinds[ids[start]] in (NORMAL, UNUSED) else ""
         return text[1:] if piece.startswith(SPACE) else text
 
-    def described(self, text: str) -> tuple[int, str, str]:
-        """(number of ids, ids as decimal text, decoded text) of one text."""
-        if self.byte_ids is None:
-            ids = self.encode(text)
-            return len(ids), ",".join(map(str, ids)), self.decode(ids)
-        store, part = self.store, self.part
-        found = [store.get(p) or part(p) for p in self.parts(self.library.normalize(text))]
-        decoded = "".join([f[2] for f in found])
-        if found and self.names[found[0][0][0]].startswith(SPACE):
-            decoded = decoded[1:]
-        return sum([len(f[0]) for f in found]), ",".join([f[1] for f in found]), decoded
-
 
 def characters(run: bytearray) -> str:
     """UTF-8 with one replacement character for every byte that belongs to no character."""
@@ -309,35 +337,54 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", into: str = "decoded")
     return map_arrow(kept, run, schema)
 
 
+def _groups(texts: list[str]) -> Iterator[list[str]]:
+    """Consecutive texts with about ``GROUP_CHARS`` characters; a longer text is a group of its own."""
+    group, size = [], 0
+    for text in texts:
+        if group and size + len(text) > GROUP_CHARS:
+            yield group
+            group, size = [], 0
+        group.append(text)
+        size += len(text)
+    if group:
+        yield group
+
+
 def digest(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, n_tokens, ids_sha256, decoded_sha256 and whether the library gives the same ids and the same text."""
+    """id, n_tokens, ids_sha256, decoded_sha256, and whether the library agreed with the agenda on every part."""
     model = load(path)
     given = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"))
     kind = given.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _loaded(model)
-        library = pieces.library
         for batch in batches:
-            counts, ids_sha, text_sha, agrees = [], [], [], []
-            for text in batch.column(1):
-                text = text.as_py() or ""
-                count, ids, decoded = pieces.described(text)
-                counts.append(count)
-                ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
-                text_sha.append(hashlib.sha256(decoded.encode()).hexdigest())
-                theirs = library.encode(text, num_threads=1)
-                agrees.append(",".join(map(str, theirs)) == ids and library.decode(theirs) == decoded)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(counts, type=pa.int64()),
-                    pa.array(ids_sha, type=pa.string()),
-                    pa.array(text_sha, type=pa.string()),
-                    pa.array(agrees, type=pa.bool_()),
-                ],
-                names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256", "library_agrees"],
-            )
+            first = 0
+            for group in _groups([t or "" for t in batch.column(1).to_pylist()]):
+                found = pieces.described(group)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(first, len(group)),
+                        pa.array([f[0] for f in found], type=pa.int64()),
+                        *(pa.array([hashlib.sha256(f[i].encode()).hexdigest() for f in found], type=pa.string()) for i in (1, 2)),
+                        pa.array([f[3] for f in found], type=pa.bool_()),
+                    ],
+                    names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256", "library_agrees"],
+                )
+                first += len(group)
 
     schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, library_agrees boolean"
     return map_arrow(given, run, schema)
+
+
+def disagreeing(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """The rows whose whole text the library encodes, or whose ids it decodes, otherwise."""
+    model = load(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = _loaded(model)
+        for batch in batches:
+            texts = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+            yield batch.filter(pa.array([not pieces.agrees(t, pieces.encode(t)) for t in texts], type=pa.bool_()))
+
+    return map_arrow(docs, run, docs.schema)

@@ -207,6 +207,18 @@ def test_pieces_there_and_back(spark, docs, rows, library):
     assert again.columns == [*docs.columns, "more", "ids"]
 
 
+def test_whole_texts_agree_with_the_library(spark, docs):
+    assert pieces.disagreeing(docs, MODEL).count() == 0
+    assert pieces.disagreeing(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), MODEL).count() == 0
+
+
+def test_a_disagreement_is_shown(vocabulary, monkeypatch):
+    monkeypatch.setattr(vocabulary, "store", {})
+    monkeypatch.setattr(vocabulary, "merge", list)
+    assert [f[3] for f in vocabulary.described(["", "the words", "\n"])] == [True, False, True]
+    assert not vocabulary.agrees("the words", vocabulary.encode("the words"))
+
+
 def test_pieces_of_an_empty_table(spark, empty):
     assert pieces.digest(empty, MODEL).count() == 0
     assert pieces.decode(pieces.encode(empty, MODEL), MODEL).count() == 0
@@ -221,7 +233,9 @@ def test_pieces_of_any_text(library, vocabulary, text):
     ids = library.encode(text)
     assert vocabulary.encode(text) == ids
     assert vocabulary.decode(ids) == library.decode(ids)
-    assert vocabulary.described(text) == (len(ids), ",".join(map(str, ids)), library.decode(ids))
+    assert vocabulary.described([text, "", text]) == [
+        (len(ids), ",".join(map(str, ids)), library.decode(ids), True), (0, "", "", True), (len(ids), ",".join(map(str, ids)), library.decode(ids), True)
+    ]
 
 
 @settings(max_examples=300, deadline=None)
@@ -241,8 +255,10 @@ def test_both_forms_of_the_agenda(library, vocabulary):
 
 def test_the_store_of_parts_is_bounded(vocabulary, monkeypatch):
     monkeypatch.setattr(pieces, "KEPT_PARTS", 10)
-    vocabulary.encode(" ".join(f"word{i}" for i in range(100)))
-    assert len(vocabulary.store) <= 10
+    text = " ".join(f"word{i}" for i in range(100))
+    known = vocabulary.described([text])
+    assert vocabulary.described(["a"]) and len(vocabulary.store) <= 10
+    assert vocabulary.described([text]) == known
 
 
 def field(number, value):

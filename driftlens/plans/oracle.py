@@ -774,12 +774,14 @@ states AS (SELECT report_id, opened_at, CASE WHEN at_return > 0 THEN 'reenabled'
     WHEN story[at_decision] = 'd' THEN 'dismissed' ELSE 'pending' END AS state,
   CASE story[at_decision] WHEN 'a' THEN 'approve' WHEN 'd' THEN 'dismiss' END AS decision,
   CASE WHEN at_decision > 0 THEN seqs[at_decision] END AS decided_seq, CASE WHEN at_return > 0 THEN seqs[at_return] END AS reenabled_seq,
-  CASE WHEN at_return > 0 THEN times[at_return] END AS reenabled_at FROM placed)
+  CASE WHEN at_return > 0 THEN times[at_return] END AS reenabled_at, CASE WHEN at_decision > 0 THEN times[at_decision] END AS decided_at
+  FROM placed)
 """
 _MERGES = """
-best AS (SELECT 'r' || (event_id // 3) AS report_id, arg_max(event_id, (value, event_id)) AS pr_number, max(value) AS top FROM events
+best AS (SELECT 'r' || (event_id // 3) AS report_id, arg_max(event_id, (value, event_id)) AS pr_number,
+  arg_max(ts, (value, event_id)) AS merged_at, max(value) AS top FROM events
   WHERE value > 20 GROUP BY 1),
-merges AS (SELECT report_id, pr_number, CASE WHEN top > 60 THEN 'closed' ELSE 'open' END AS pr_state, top > 60 AS merged,
+merges AS (SELECT report_id, pr_number, CASE WHEN top > 60 THEN 'closed' ELSE 'open' END AS pr_state, top > 60 AS merged, merged_at,
   'https://example.com/pr/' || pr_number AS pr_url FROM best)
 """
 _STATES = "SELECT report_id, state, decision, decided_seq, reenabled_seq FROM states"
@@ -868,6 +870,24 @@ _CHANGES = """SELECT connector_id, seq, last_seen, succeeded_at FROM (SELECT 'c'
   FROM events WHERE value >= 10) WHERE last_seen <> succeeded_at"""
 _sql("sync_changes", _CHANGES)
 _sql("stream_sync_changes", _CHANGES)
+_sql(
+    "stream_merged_incidents",
+    "WITH "
+    + _INCIDENTS
+    + ", "
+    + _MERGES
+    + """SELECT report_id, pr_number, (epoch_us(greatest(merged_at, decided_at)) - epoch_us(opened_at)) // 1000000 AS elapsed_seconds,
+  epoch_us(greatest(merged_at, decided_at)) AS closed_us FROM states JOIN merges USING (report_id) WHERE state = 'quarantined' AND merged""",
+)
+_sql(
+    "stream_staleness",
+    f"""WITH loads AS (SELECT DISTINCT 'c' || user_id AS table_name, epoch_us(ts) AS us FROM events),
+gaps AS (SELECT *, lead(us) OVER (PARTITION BY table_name ORDER BY us) AS following FROM loads),
+late AS (SELECT *, us + {R.SILENT_SECONDS * 1_000_000} AS due FROM gaps)
+SELECT table_name, 'stale' AS alarm, us AS loaded_us, due AS at_us FROM late
+  WHERE coalesce(following > due, due // 1000 < (SELECT max(us) // 1000 FROM loads))
+UNION ALL SELECT table_name, 'recovered', us, following FROM late WHERE following > due""",
+)
 _sql(
     "stream_daily_drift",
     _chain(

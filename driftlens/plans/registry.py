@@ -888,11 +888,34 @@ def stream_sync_changes(spark, d):
 def stream_incident_state(spark, d):
     from ..streaming.incident_state import current_state, track_incidents
 
-    root = new_path(spark, "stream-incidents")
-    stream = track_incidents(
-        R.incident_events_of(_event_stream(spark, d)), R.opened_incidents(spark, d), root, available_now=True
-    )
-    stream.awaitTermination()
-    return current_state(spark, root, stream.lastProgress.batchId).select(
-        "report_id", "state", "decision", "decided_seq", "reenabled_seq"
-    )
+    root, opened = new_path(spark, "stream-incidents"), R.opened_incidents(spark, d)
+    track_incidents(R.incident_events_of(_event_stream(spark, d)), opened, root, available_now=True).awaitTermination()
+    return current_state(spark, root, opened).select("report_id", "state", "decision", "decided_seq", "reenabled_seq")
+
+
+@query
+def stream_merged_incidents(spark, d):
+    """Incidents closed by the merge of their fix, and how long that took: state changes and merges joined as streams."""
+    from ..streaming.incident_state import stream_transitions, track_incidents
+    from ..streaming.merges import close_on_merge, closed_by_merge
+
+    root, opened = new_path(spark, "stream-merges"), R.opened_incidents(spark, d)
+    merges = R.merge_states(spark, d)
+    merges.write.parquet(f"{root}/merges")
+    track_incidents(R.incident_events_of(_event_stream(spark, d)), opened, root, available_now=True).awaitTermination()
+    merged = spark.readStream.schema(merges.schema).parquet(f"{root}/merges")
+    close_on_merge(stream_transitions(spark, root), merged, root, available_now=True, horizon="400 days").awaitTermination()
+    closed = closed_by_merge(spark, root, opened).where(F.col("status") == K.REENABLED)
+    return closed.select("report_id", "pr_number", "elapsed_seconds", R.micros_of("closed_at").alias("closed_us"))
+
+
+@query
+def stream_staleness(spark, d):
+    """Alarms of connectors that showed no event for two days, by timers."""
+    from ..streaming.staleness import raised_alarms, watch_staleness
+
+    root = new_path(spark, "stream-staleness")
+    loads = R.polls_of(_event_stream(spark, d)).select(F.col("connector_id").alias("table_name"), F.col("polled_at").alias("loaded_at"))
+    watch_staleness(loads, root, available_now=True, threshold_seconds=R.SILENT_SECONDS, lateness="0 seconds").awaitTermination()
+    alarms = raised_alarms(spark, root)
+    return alarms.select("table_name", "alarm", R.micros_of("last_loaded_at").alias("loaded_us"), R.micros_of("at").alias("at_us"))

@@ -29,6 +29,14 @@ def day_text(column: str = "computed_at") -> Column:
     return F.col(column).cast("date").cast("string")
 
 
+def micros_of(column: str) -> Column:
+    """Microseconds of a moment since 1970, read off its wall clock."""
+    return F.timestamp_diff("MICROSECOND", moment("1970-01-01 00:00:00"), F.col(column).cast("timestamp_ntz"))
+
+
+SILENT_SECONDS = 172_800
+
+
 # sync histories
 
 

@@ -21,10 +21,3 @@ def read_batches(spark: SparkSession, root: str, schema: str) -> DataFrame:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], f"{schema}, batch bigint")
-
-
-def read_batch(spark: SparkSession, root: str, batch_id: int, schema: str) -> DataFrame:
-    """One batch; empty before the first one. A later batch that is not there is an error, not an empty state."""
-    if batch_id < 0:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{root}/batch={batch_id}")

@@ -2,47 +2,93 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 
 from ..functions import constants as K
-from ..operators.incidents import APPROVE, REENABLE, decisions
-from .batches import read_batch, write_batch
+from ..operators.incidents import APPROVE, DISMISS, REENABLE
+from .keyed import append_to, gathered, micros, moment, read_appended, stepped, stream_appended
 
-_STATE = (
+TRANSITION = (
     "report_id string, opened_at timestamp, state string, decision string, decided_at timestamp, "
-    "decided_seq bigint, reenabled_at timestamp, reenabled_seq bigint"
+    "decided_seq bigint, reenabled_at timestamp, reenabled_seq bigint, step int"
+)
+_EMITTED = (
+    "report_id string, opened bigint, state string, decision string, decided bigint, decided_seq bigint, "
+    "reenabled bigint, reenabled_seq bigint, step int"
 )
+_STATE = "decision string, decided bigint, decided_seq bigint, reenabled bigint, reenabled_seq bigint"
 
 
-def track_incidents(actions: DataFrame, opened: DataFrame, root: str, available_now: bool = False) -> StreamingQuery:
-    """Fold operator actions (report_id, at, seq, action) into the state of every opened incident.
+def _step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The first decision counts, and the first re-enabling after an approval; nothing else moves an incident.
+
+    What decided it in an earlier micro-batch came before everything in this one.
+    """
+    decision = decided = decided_seq = None
+    if state.exists:
+        decision, decided, decided_seq, reenabled, _ = state.get
+        if decision != APPROVE or reenabled is not None:
+            return
+    rows = gathered(frames, ["at", "seq"])
+    if decision is None:
+        deciding = rows[rows["action"].isin((APPROVE, DISMISS))]
+        if not len(deciding):
+            return
+        first = deciding.iloc[0]
+        decision, decided, decided_seq = first["action"], int(first["at"]), int(first["seq"])
+        rows = rows[(rows["at"] > decided) | ((rows["at"] == decided) & (rows["seq"] > decided_seq))]
+    returns = rows[rows["action"] == REENABLE]
+    back = (int(returns["at"].iloc[0]), int(returns["seq"].iloc[0])) if decision == APPROVE and len(returns) else (None, None)
+    if state.exists and back[0] is None:
+        return
+    state.update((decision, decided, decided_seq, *back))
+    now = K.REENABLED if back[0] is not None else K.QUARANTINED if decision == APPROVE else K.DISMISSED
+    row = {
+        "report_id": [key[0]], "opened": [key[1]], "state": [now], "decision": [decision], "decided": [decided],
+        "decided_seq": [decided_seq], "reenabled": [back[0]], "reenabled_seq": [back[1]], "step": [1 if back[0] is None else 2],
+    }
+    yield pd.DataFrame(row).astype({"reenabled": "Int64", "reenabled_seq": "Int64"})
+
+
+def transitions(actions: DataFrame, opened: DataFrame) -> DataFrame:
+    """State changes of incidents, as a stream, from operator actions (report_id, at, seq, action).
 
-    Each micro-batch starts from the state the one before wrote: the events that decided an incident count as
-    earlier than everything that arrives later. Only the newest state folder is ever read.
+    ``opened`` has one row (report_id, opened_at) per incident and is looked up per micro-batch; actions on incidents that
+    are not open, or before they were, are passed over. Spark holds five values for each decided incident and nothing for
+    the others. Every change is emitted once, with the state after it.
     """
+    known = opened.select("report_id", micros("opened_at").alias("opened"))
+    moves = actions.where(F.col("action").isin(APPROVE, DISMISS, REENABLE)).select(
+        "report_id", micros("at").alias("at"), F.col("seq").cast("bigint").alias("seq"), "action"
+    )
+    on_open = moves.dropna().join(known, "report_id").where("at >= opened")
+    changes = stepped(on_open, ["report_id", "opened"], _step, _EMITTED, _STATE)
+    return changes.select(
+        "report_id", moment("opened").alias("opened_at"), "state", "decision", moment("decided").alias("decided_at"),
+        "decided_seq", moment("reenabled").alias("reenabled_at"), "reenabled_seq", "step",
+    )
+
+
+def track_incidents(actions: DataFrame, opened: DataFrame, root: str, available_now: bool = False) -> StreamingQuery:
+    """Append every state change to ``root/transitions``."""
+    return append_to(transitions(actions, opened), root, "transitions", available_now)
+
+
+def stream_transitions(spark: SparkSession, root: str) -> DataFrame:
+    return stream_appended(spark, root, "transitions", TRANSITION)
+
 
-    def on_batch(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        known = read_batch(spark, f"{root}/state", batch_id - 1, _STATE)
-        decided = known.where("decision is not null").select(
-            "report_id", F.col("decided_at").alias("at"), F.col("decided_seq").alias("seq"), F.col("decision").alias("action")
-        )
-        restored = known.where("reenabled_at is not null").select(
-            "report_id", F.col("reenabled_at").alias("at"), F.col("reenabled_seq").alias("seq"), F.lit(REENABLE).alias("action")
-        )
-        kept = decided.withColumn("arrival", F.lit(0)).unionByName(restored.withColumn("arrival", F.lit(1)))
-        new = batch.select("report_id", F.col("at").cast("timestamp").alias("at"), "seq", "action")
-        events = kept.unionByName(new.withColumn("arrival", F.lit(2)))
-        open_now = opened.select("report_id", F.col("opened_at").cast("timestamp").alias("opened_at"))
-        state = decisions(open_now, events, order=("arrival", "at", "seq"))
-        write_batch(state.select(*[c.split()[0] for c in _STATE.split(", ")]), f"{root}/state", batch_id)
-
-    writer = actions.writeStream.foreachBatch(on_batch).option("checkpointLocation", f"{root}/checkpoint")
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
-
-
-def current_state(spark: SparkSession, root: str, batch_id: int) -> DataFrame:
-    """The state after a micro-batch (``query.lastProgress.batchId`` of the stream)."""
-    return read_batch(spark, f"{root}/state", batch_id, _STATE)
+def current_state(spark: SparkSession, root: str, opened: DataFrame) -> DataFrame:
+    """The state of every opened incident after what has arrived so far."""
+    fields = [c.strip().split()[0] for c in TRANSITION.split(", ")][2:-1]
+    log = read_appended(spark, root, "transitions", TRANSITION)
+    newest = log.groupBy("report_id").agg(F.max_by(F.struct(*fields), "step").alias("s"))
+    return opened.select("report_id", "opened_at").join(newest.select("report_id", "s.*"), "report_id", "left").withColumn(
+        "state", F.coalesce("state", F.lit(K.PENDING))
+    )

@@ -2,51 +2,66 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 
 from ..functions import not_blank
-from ..operators.ordered import previous_value
-from .batches import read_batch, read_batches, write_batch
+from .keyed import append_to, gathered, micros, moment, read_appended, stepped
 
-_POLL = "connector_id string, polled_at timestamp, seq bigint, succeeded_at string"
-_CHANGE = _POLL + ", last_seen string"
+CHANGE = "connector_id string, polled_at timestamp, seq bigint, last_seen string, succeeded_at string"
+_EMITTED = "connector_id string, at bigint, seq bigint, last_seen string, succeeded_at string"
+_STATE = "at bigint, seq bigint, succeeded_at string"
 
 
-def watch_syncs(polls: DataFrame, root: str, available_now: bool = False) -> StreamingQuery:
-    """Write every poll that shows a new sync to ``root/changes``.
+def _step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Compare each poll with the one before it; the newest poll of the connector is the state."""
+    rows = gathered(frames, ["at", "seq"])
+    last = None
+    if state.exists:
+        at, seq, last = state.get
+        rows = rows[(rows["at"] > at) | ((rows["at"] == at) & (rows["seq"] > seq))]
+    if not len(rows):
+        return
+    seen = rows["succeeded_at"].shift(1)
+    seen.iloc[0] = last
+    newest = rows.iloc[-1]
+    state.update((int(newest["at"]), int(newest["seq"]), newest["succeeded_at"]))
+    changed = seen.notna() & (seen != rows["succeeded_at"])
+    yield pd.DataFrame(
+        {
+            "connector_id": key[0],
+            "at": rows["at"][changed],
+            "seq": rows["seq"][changed],
+            "last_seen": seen[changed],
+            "succeeded_at": rows["succeeded_at"][changed],
+        }
+    )
+
 
-    The last value seen per connector is kept as one small table per micro-batch, read back by the next one, so a
-    replayed batch starts from the same state and writes the same rows. Within a batch the rows are ordered by poll
-    time in even chunks; a busy connector is not one task's work.
+def sync_changes(polls: DataFrame) -> DataFrame:
+    """Polls (connector_id, polled_at, seq, succeeded_at) that show a new sync, as a stream.
+
+    Empty values are skipped, and the first value seen of a connector only sets its baseline. A poll that arrives after
+    a later one of its connector has been seen tells nothing new and is passed over; within a micro-batch the polls are
+    put in order. Polls without a connector, time or number are passed over too.
     """
+    asked = polls.select(
+        "connector_id", micros("polled_at").alias("at"), F.col("seq").cast("bigint").alias("seq"),
+        not_blank(F.col("succeeded_at")).alias("succeeded_at"),
+    ).dropna()
+    changes = stepped(asked, ["connector_id"], _step, _EMITTED, _STATE)
+    return changes.select("connector_id", moment("at").alias("polled_at"), "seq", "last_seen", "succeeded_at")
+
 
-    def on_batch(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = read_batch(spark, f"{root}/last_seen", batch_id - 1, _POLL).withColumn("arrival", F.lit(0))
-        now = (
-            batch.select(
-                "connector_id", F.col("polled_at").cast("timestamp").alias("polled_at"), "seq",
-                not_blank(F.col("succeeded_at")).alias("succeeded_at"),
-            )
-            .where("succeeded_at is not null")
-            .withColumn("arrival", F.lit(1))
-        )
-        rows = before.unionByName(now).persist()
-        order = ["arrival", "polled_at", "seq"]
-        with_last = previous_value(rows, ["connector_id"], order, "succeeded_at", "last_seen")
-        fired = with_last.where("arrival = 1 and last_seen is not null and last_seen <> succeeded_at")
-        write_batch(fired.drop("arrival"), f"{root}/changes", batch_id)
-        last = rows.groupBy("connector_id").agg(
-            F.max_by(F.struct("polled_at", "seq", "succeeded_at"), F.struct(*order)).alias("r")
-        )
-        write_batch(last.select("connector_id", "r.*"), f"{root}/last_seen", batch_id)
-        rows.unpersist()
-
-    writer = polls.writeStream.foreachBatch(on_batch).option("checkpointLocation", f"{root}/checkpoint")
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+def watch_syncs(polls: DataFrame, root: str, available_now: bool = False) -> StreamingQuery:
+    """Append every poll that shows a new sync to ``root/changes``."""
+    return append_to(sync_changes(polls), root, "changes", available_now)
 
 
 def detected_changes(spark: SparkSession, root: str) -> DataFrame:
-    return read_batches(spark, f"{root}/changes", _CHANGE).drop("batch")
+    return read_appended(spark, root, "changes", CHANGE)

@@ -1,35 +1,13 @@
-"""Arrow functions on Spark's Python workers.
-
-A function of this package is sent by name, so the workers must be able to import the package. Where it is not
-installed on them, Spark's own file server hands them a small archive of the sources.
-"""
+"""Arrow functions on Spark's Python workers."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-
-_shipped: set[str] = set()
-
+from pyspark.sql import DataFrame
 
-def ship(spark: SparkSession) -> None:
-    """Once per application: let every worker import this package."""
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    package = Path(__file__).resolve().parent.parent
-    archive = os.path.join(tempfile.mkdtemp(prefix="ship-"), f"{package.name}.zip")
-    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
-        for source in sorted(package.rglob("*.py")):
-            out.write(source, source.relative_to(package.parent))
-    context.addPyFile(archive)
-    _shipped.add(context.applicationId)
+from driftlens.shipping import ship
 
 
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:

@@ -272,6 +272,16 @@ SELECT strftime(sync, '%Y-%m-%d') AS sync_day, col AS column_name, count(*) AS r
   round(count(*) FILTER (WHERE missing) / count(*)::DOUBLE, 6) AS null_pct, round(avg(nval), 4) AS mean,
   CAST(count(DISTINCT sval) AS INTEGER) AS kept_values FROM cells GROUP BY sync, col""",
 )
+_sql(
+    "weekly_profile",
+    f"""WITH cells AS ({_cells("app", "events", "CAST(date_trunc('week', ts) AS TIMESTAMP)", "events",
+        [("event_type", "c"), ("props", "c"), ("user_id", "n"), ("value", "n")])})
+SELECT strftime(sync, '%Y-%m-%d') AS sync_day, col AS column_name, count(*) AS row_count,
+  round(count(*) FILTER (WHERE missing) / count(*)::DOUBLE, 6) AS null_pct, min(nval) AS min_value, max(nval) AS max_value,
+  round(avg(nval), 4) AS mean, round(stddev_samp(nval), 4) AS stddev,
+  count(DISTINCT coalesce(sval, CAST(nval AS VARCHAR))) AS distinct_count, true AS distinct_within, true AS quantiles_within, true AS top_within
+FROM cells GROUP BY sync, col""",
+)
 _sql(
     "fingerprint_daily",
     _chain(_EVENTS)

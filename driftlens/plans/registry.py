@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..operators import drift, incidents, lineage, monitor, profile, risk, selection, triage
+from ..operators import drift, incidents, lineage, monitor, profile, risk, selection, sketches, triage
 from ..operators.quantiles import exact_quantiles
 from ..sources import history as H
 from ..sources.connectors import connector_tables, schema_of_tables
@@ -185,6 +185,26 @@ def approximate_profile(spark, d):
     )
 
 
+@query
+def weekly_profile(spark, d):
+    """Weekly profiles merged from stored daily states, and whether each estimate is within its bound of the exact value.
+
+    The profile itself reads the states alone; the table is read for the exact values beside it.
+    """
+    load, path = R.events_by_day(spark, d), new_path(spark, "states")
+    H.store_states(sketches.states(load), path)
+    H.store_states(sketches.states(load), path)  # a repeat adds nothing
+    week = F.date_trunc("week", "computed_at").cast("timestamp_ntz").alias("week")
+    by_week = H.read_history(spark, path).select("*", week)
+    weeks = stage(sketches.estimates(sketches.merged(by_week, ["week", "name", "kind"])), "weeks")
+    rows = load.df.select(F.date_trunc("week", "ts").cast("timestamp_ntz").alias("week"), *load.profile_columns)
+    return R.with_exact(weeks, rows).select(
+        _day("week"), F.col("name").alias("column_name"), "row_count", "null_pct", F.col("min_val").alias("min_value"),
+        F.col("max_val").alias("max_value"), F.round("mean", 4).alias("mean"), F.round("stddev", 4).alias("stddev"),
+        F.col("exact_distinct").alias("distinct_count"), "distinct_within", "quantiles_within", "top_within",
+    )
+
+
 @query
 def fingerprint_daily(spark, d):
     """The whole history of the events table in one job."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import constants as K
 from ..operators.profile import Load, fingerprint_loads
 from ..operators.selection import relabel
 from ..sources import history as H
@@ -426,3 +427,40 @@ def baseline_loads(spark: SparkSession, folder: str) -> list[Load]:
         Load(orders.where((F.col("o_orderstatus") == dataset) & (F.col("o_orderpriority") == table)), dataset, table, year, with_columns=False)
         for dataset, table in COVERED
     ]
+
+
+def with_exact(weeks: DataFrame, rows: DataFrame) -> DataFrame:
+    """Weekly estimates with the exact distinct count, and whether every estimate is within its bound.
+
+    Values are counted by (week, column, value) with map-side sums, so that neither a week nor a value is one task's work.
+    """
+    columns = [c for c in rows.columns if c != "week"]
+    cells = rows.select("week", *[F.col(c).cast("string").alias(c) for c in columns]).unpivot(["week"], columns, "name", "value")
+    numbers = [c for c, kind in rows.dtypes if kind not in ("string", "timestamp_ntz")]
+    counted = cells.groupBy("week", "name", "value").agg(F.count(F.lit(1)).alias("cnt"))
+    known = weeks.select(
+        "week", "name", "row_count", "filled_count", "rank_bound", "count_bound",
+        F.coalesce("quantiles", F.array().cast("array<double>")).alias("quantiles"),
+        F.map_from_entries(F.coalesce("top_values", F.array().cast("array<struct<value:string,cnt:bigint>>"))).alias("top"),
+    )
+    met = counted.join(F.broadcast(known), ["week", "name"])  # a few rows a week
+    x = F.when(F.col("name").isin(numbers), F.col("value").cast("double"))
+    below = [F.sum(F.when(x < F.get("quantiles", F.lit(i)), F.col("cnt")).otherwise(0)).alias(f"below{i}") for i in range(5)]
+    upto = [F.sum(F.when(x <= F.get("quantiles", F.lit(i)), F.col("cnt")).otherwise(0)).alias(f"upto{i}") for i in range(5)]
+    listed = F.col("top")[F.coalesce("value", F.lit(K.NULL_KEY))]
+    exact = met.groupBy("week", "name").agg(
+        F.count("value").alias("exact_distinct"), *below, *upto,
+        F.count(listed).alias("listed"),
+        F.bool_and(F.coalesce(F.abs(listed - F.col("cnt")) <= F.col("count_bound"), F.lit(True))).alias("counts_within"),
+    )
+    out = weeks.join(exact, ["week", "name"])
+    near = F.lit(True)
+    for i, percent in enumerate(K.QUANTILE_PERCENTS):
+        low, high = F.col(f"below{i}") / F.col("filled_count"), F.col(f"upto{i}") / F.col("filled_count")
+        near = near & (low <= percent / 100 + F.col("rank_bound")) & (high >= percent / 100 - F.col("rank_bound"))
+    return out.select(
+        "*",
+        (F.abs(F.col("distinct_count") - F.col("exact_distinct")) <= F.col("distinct_bound")).alias("distinct_within"),
+        F.when(F.col("quantiles").isNotNull(), near).otherwise(True).alias("quantiles_within"),
+        (F.col("counts_within") & (F.col("listed") == F.coalesce(F.size("top_values"), F.lit(0)))).alias("top_within"),
+    ).drop("distinct_count")

@@ -56,6 +56,11 @@ def append_log(log: DataFrame, path: str) -> None:
     _append_new(log, path, "report_id", "logged_at")
 
 
+def store_states(states: DataFrame, path: str) -> None:
+    """Append sketch states that are not stored yet (see ``operators.sketches``)."""
+    _append_new(states, path, "state_id", "computed_at")
+
+
 def recent(history: DataFrame, n: int = K.BASELINE_SYNCS) -> DataFrame:
     """The newest ``n`` fingerprints of every table, newest first (``recency`` 1 is the newest).
 

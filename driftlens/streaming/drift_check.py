@@ -1,13 +1,14 @@
 """Streaming drift check: event-time windows are the syncs, each one compared with the windows before it.
 
-The stream keeps only counters and moments per (window, column, value), combined on the map side. Every micro-batch
-writes the groups it changed; the check then reads the latest version of the groups it needs, rebuilds the affected
-windows' fingerprints and compares them with the batch operators.
+The stream keeps one state of bounded size per (window, column): counters, moments and a sketch of frequent values, all
+combined on the map side. Every micro-batch replaces the stored states of the windows it changed; the check then rebuilds
+the affected windows' fingerprints and compares them with the batch operators. A window's partition is replaced as a
+whole, so that a replayed batch leaves the same files and nothing piles up.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -15,11 +16,12 @@ from ..functions import constants as K
 from ..functions import live_rows, value_key
 from ..operators.drift import compare, drift_log, rolling_members
 from ..operators.selection import CATEGORICAL, ProfiledColumn, profiled_columns
-from .batches import read_batches, write_batch
+from ..operators.sketches import TRACKED_VALUES
+from .batches import read_windows, replace_windows, windows_around
 
 _GROUP = (
-    "sync timestamp, position int, name string, data_type string, kind string, value string, cnt bigint, "
-    "filled bigint, mean double, stddev double, sync_date date"
+    "sync timestamp, position int, name string, data_type string, kind string, cnt bigint, filled bigint, mean double, "
+    "stddev double, top array<struct<value:string,cnt:bigint>>"
 )
 _LOG = (
     "logged_at timestamp, psi double, column_name string, dataset_id string, table_name string, "
@@ -42,11 +44,14 @@ def _cell(column: ProfiledColumn) -> Column:
 
 
 def window_groups(
-    stream: DataFrame, time_column: str, window: str, lateness: str, profile_columns: list[str] | None = None
-) -> DataFrame:
-    """Counters per (window, column, value) for categorical and per (window, column) for numeric columns.
-
-    Deleted rows are left out as in a batch profile; rows with an unknown flag are counted.
+    stream: DataFrame, time_column: str, window: str, lateness: str, profile_columns: list[str] | None = None,
+    tracked_values: int = TRACKED_VALUES,
+) -> DataFrame:
+    """One row per (window, column), with its counters, its moments and its most frequent values.
+
+    Values are exact while a window's column has fewer than three quarters of ``tracked_values`` of them, and within the
+    sketch's bound beyond (see ``operators.sketches``). Deleted rows are left out as in a batch profile; rows with an
+    unknown flag are counted.
     """
     columns = profiled_columns(stream.schema, profile_columns)
     if K.DELETED_FLAG in stream.columns:
@@ -54,16 +59,20 @@ def window_groups(
     # the watermark needs an instant, which a zone-less timestamp is not
     timed = stream.withColumn("__at", F.col(time_column).cast("timestamp")).withWatermark("__at", lateness)
     cells = timed.select("__at", F.explode(F.array(*[_cell(c) for c in columns])).alias("cell"))
+    frequent = F.call_function(
+        "approx_top_k_estimate", F.call_function("approx_top_k_accumulate", "cell.value", F.lit(tracked_values)), F.lit(tracked_values)
+    )
     return (
         cells.groupBy(
             F.window("__at", window).alias("window"),
-            *[F.col(f"cell.{f}").alias(f) for f in ("position", "name", "data_type", "kind", "value")],
+            *[F.col(f"cell.{f}").alias(f) for f in ("position", "name", "data_type", "kind")],
         )
         .agg(
             F.count(F.lit(1)).alias("cnt"),
             F.count_if(F.col("cell.filled")).alias("filled"),
             F.avg("cell.x").alias("mean"),
             F.stddev_samp("cell.x").alias("stddev"),
+            F.transform(frequent, lambda e: F.struct(e["item"].alias("value"), e["count"].alias("cnt"))).alias("top"),
         )
         .withColumn("sync", F.col("window.start"))
         .drop("window")
@@ -71,27 +80,22 @@ def window_groups(
 
 
 def fingerprints_of_groups(groups: DataFrame, dataset_id: str, table_name: str, kept_values: int = K.TOP_VALUES) -> DataFrame:
-    """Fingerprints (as far as a comparison needs them) from the latest groups of each window."""
-    # sizes are summed on the map side, and each task keeps its own best values before the shuffle
-    sizes = groups.groupBy(F.col("sync").alias("of_sync"), F.col("position").alias("of_position")).agg(
-        F.sum("cnt").alias("rows"), F.sum("filled").alias("all_filled")
-    )
-    best = Window.partitionBy("sync", "position").orderBy(F.desc("cnt"), "value")
-    kept = groups.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= kept_values)
-    sized = kept.join(sizes, (F.col("sync") == F.col("of_sync")) & (F.col("position") == F.col("of_position")))
-    entry = F.when(F.col("kind") == CATEGORICAL, F.struct(F.col("value").alias("key"), (F.col("cnt") / F.col("rows")).alias("value")))
-    columns = sized.groupBy("sync", "position", "name", "data_type").agg(
-        F.max("rows").alias("rows"),
-        F.round(1 - F.max("all_filled") / F.max("rows"), 6).alias("null_pct"),
-        F.max("mean").alias("mean"),
-        F.max("stddev").alias("stddev"),
-        F.map_from_entries(F.collect_list(entry)).alias("distribution"),
+    """Fingerprints (as far as a comparison needs them) from the states of each window."""
+    best = F.slice(F.array_sort(F.transform("top", lambda e: F.struct((-e["cnt"]).alias("least"), e["value"].alias("value")))), 1, kept_values)
+    share = F.transform(best, lambda e: F.struct(e["value"].alias("key"), (-e["least"] / F.col("cnt")).alias("value")))
+    cell = F.struct(
+        "position",
+        "name",
+        "data_type",
+        F.round(1 - F.col("filled") / F.col("cnt"), 6).alias("null_pct"),
+        "mean",
+        "stddev",
+        F.map_from_entries(F.when(F.col("kind") == CATEGORICAL, share).otherwise(F.slice(share, 1, 0))).alias("distribution"),
     )
-    cell = F.struct("position", "name", "data_type", "null_pct", "mean", "stddev", "distribution")
     identity = F.concat_ws("|", F.lit(dataset_id), F.lit(table_name), F.col("sync").cast("string"))
     return (
-        columns.groupBy("sync")
-        .agg(F.max("rows").alias("row_count"), F.collect_list(cell).alias("columns"))
+        groups.groupBy("sync")
+        .agg(F.max("cnt").alias("row_count"), F.collect_list(cell).alias("columns"))
         .select(
             F.left(F.sha2(identity, 256), F.lit(32)).alias("fingerprint_id"),
             F.col("sync").alias("computed_at"),
@@ -107,13 +111,6 @@ def fingerprints_of_groups(groups: DataFrame, dataset_id: str, table_name: str,
     )
 
 
-def latest_groups(spark: SparkSession, root: str) -> DataFrame:
-    """The newest version of every group. Counters only grow, so the latest batch has the final word."""
-    keys = ["sync_date", "sync", "position", "name", "data_type", "kind", "value"]
-    newest = F.max_by(F.struct("cnt", "filled", "mean", "stddev"), "batch").alias("g")
-    return read_batches(spark, f"{root}/groups", _GROUP).groupBy(*keys).agg(newest).select(*keys, "g.*")
-
-
 def check_stream(
     stream: DataFrame,
     root: str,
@@ -126,33 +123,32 @@ def check_stream(
     profile_columns: list[str] | None = None,
     n: int = K.BASELINE_SYNCS,
     kept_values: int = K.TOP_VALUES,
+    tracked_values: int = TRACKED_VALUES,
     available_now: bool = False,
 ) -> StreamingQuery:
     """Check every window as it fills; the drift log is written to ``root/log``.
 
-    A window that changes also changes the baseline of the ``n`` windows after it, so these are checked again. The
-    log is replaced per micro-batch, and ``current_log`` takes each window's newest entry.
+    A window that changes also changes the baseline of the ``n`` windows after it, so these are checked again, and their
+    log entries replaced.
     """
-    groups = window_groups(stream, time_column, window, lateness, profile_columns)
+    groups = window_groups(stream, time_column, window, lateness, profile_columns, tracked_values)
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        write_batch(
-            batch.withColumn("sync_date", F.to_date("sync")), f"{root}/groups", batch_id, ["sync_date"]
-        )
-        written = read_batches(spark, f"{root}/groups", _GROUP).where(F.col("batch") == batch_id)
-        span = written.agg(F.min("sync_date").alias("a"), F.max("sync_date").alias("b")).first()
-        if span.a is None:
-            return
+        spark, path = batch.sparkSession, f"{root}/groups"
+        batch.persist()  # a row per window and column, read twice
+        try:
+            start = F.unix_micros("sync")
+            span = batch.agg(F.min(start).alias("first"), F.max(start).alias("last")).first()
+            if span["first"] is None:
+                return
+            replace_windows(batch, path, "sync")
+        finally:
+            batch.unpersist()
         # only the partitions of the affected windows, their baselines and their successors are read
-        dates = read_batches(spark, f"{root}/groups", _GROUP).select("sync_date").distinct()
-        first = dates.where(F.col("sync_date") <= F.lit(span.a)).orderBy(F.desc("sync_date")).limit(n + 1)
-        last = dates.where(F.col("sync_date") >= F.lit(span.b)).orderBy("sync_date").limit(n + 1)
-        start, end = first.agg(F.min("sync_date")).first()[0], last.agg(F.max("sync_date")).first()[0]
-        near = latest_groups(spark, root).where(F.col("sync_date").between(F.lit(start), F.lit(end)))
+        near = read_windows(spark, path, _GROUP, *windows_around(spark, path, _GROUP, span["first"], span["last"], n))
         members = rolling_members(fingerprints_of_groups(near, dataset_id, table_name, kept_values), n)
-        checked = drift_log(compare(members)).where(F.to_date("logged_at") >= F.lit(span.a))
-        write_batch(checked, f"{root}/log", batch_id)
+        checked = drift_log(compare(members)).where(F.unix_micros("logged_at") >= span["first"])
+        replace_windows(checked, f"{root}/log", "logged_at")
 
     writer = (
         groups.writeStream.outputMode("update")
@@ -163,8 +159,5 @@ def check_stream(
 
 
 def current_log(spark: SparkSession, root: str) -> DataFrame:
-    """The newest log entry of every window."""
-    fields = [c.strip().split()[0] for c in _LOG.split(", ")]
-    log = read_batches(spark, f"{root}/log", _LOG)
-    newest = F.max_by(F.struct(*fields), "batch").alias("e")
-    return log.groupBy("report_id").agg(newest).select("e.*")
+    """The log entry of every window."""
+    return read_windows(spark, f"{root}/log", _LOG)

@@ -1,11 +1,13 @@
 import os
 
+from datetime import datetime, timezone
+
 import pytest
 from pyspark.sql import functions as F
 
 from driftlens.sources import history as H
 from driftlens.staging import CHECKPOINT, release, stage, stage_bucketed
-from driftlens.streaming.batches import read_batch, write_batch
+from driftlens.streaming.batches import read_windows, replace_windows, windows_around
 
 from scenario import MODES, column, fingerprint, frame
 
@@ -36,13 +38,23 @@ def test_bucketed_rows_are_joined_in_place(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-def test_a_missing_state_is_an_error_after_the_first_batch(spark, tmp_path):
-    root = str(tmp_path / "state")
-    assert read_batch(spark, root, -1, "a int").count() == 0
-    write_batch(spark.createDataFrame([(1,)], "a int"), root, 0)
-    assert read_batch(spark, root, 0, "a int").count() == 1
-    with pytest.raises(Exception, match="batch=1"):
-        read_batch(spark, root, 1, "a int")
+def test_windows_are_replaced_as_a_whole(spark, tmp_path):
+    path, schema = str(tmp_path / "windows"), "at timestamp, n int"
+    assert read_windows(spark, path, schema).count() == 0
+
+    def write(rows):
+        frame = spark.createDataFrame([(datetime(2026, 1, day), n) for day, n in rows], schema)
+        replace_windows(frame, path, "at")
+
+    write([(1, 1), (1, 2), (2, 3), (4, 4)])
+    for _ in range(2):  # a replay leaves the same files
+        write([(2, 9), (3, 8)])
+    assert sorted((r["at"].day, r["n"]) for r in read_windows(spark, path, schema).collect()) == [(1, 1), (1, 2), (2, 9), (3, 8), (4, 4)]
+    assert len(list((tmp_path / "windows").glob("window_us=*"))) == 4
+    second = int(datetime(2026, 1, 2, tzinfo=timezone.utc).timestamp()) * 1_000_000
+    day = 86_400_000_000
+    assert windows_around(spark, path, schema, second, second + day, 1) == (second - day, second + 2 * day)
+    assert sorted(r["n"] for r in read_windows(spark, path, schema, second, second + day).collect()) == [8, 9]
 
 
 def test_append_reads_only_the_dates_at_hand(spark, tmp_path):

@@ -47,6 +47,21 @@ def test_stream_of_loads_equals_the_batch_comparison(spark, tmp_path):
     batch = {r.logged_at.date(): (r.psi, r.column_name, r.is_anomalous) for r in log.collect()}
     assert streamed == batch and len(batch) == 13
     assert batch[datetime(2026, 1, 10).date()][2]
+    # two columns a window are held, however many values they have, and every window has one folder
+    assert max(op["numRowsTotal"] for p in query.recentProgress for op in p["stateOperators"]) <= 2 * 14
+    assert len(list((tmp_path / "out/groups").glob("window_us=*"))) == 14
+
+
+def test_near_unique_columns_do_not_grow_the_state(spark, tmp_path):
+    rows = [(datetime(2026, 1, 1 + i // 400, i % 24), f"id{i}") for i in range(1200)]
+    add(spark, rows, "ts timestamp_ntz, key string", tmp_path / "in")
+    query = check_stream(
+        file_stream(spark, str(tmp_path / "in"), "ts timestamp_ntz, key string"), str(tmp_path / "out"), "app", "ids", "ts",
+        tracked_values=64, available_now=True,
+    )
+    query.awaitTermination()
+    assert max(op["numRowsTotal"] for p in query.recentProgress for op in p["stateOperators"]) <= 3
+    assert current_log(spark, str(tmp_path / "out")).count() == 2
 
 
 POLL = "connector_id string, polled_at timestamp_ntz, seq bigint, succeeded_at string"

@@ -2,11 +2,12 @@
 
 Every document gets a rate, the number of copies it is worth. Of all rates that give each source (or each value of
 further constrained columns) its target number of tokens and stay under a limit, the ones wanted are closest to 1 in
-relative entropy, measured in tokens. Its solution is an exponential tilt, ``min(limit, exp(sum of l))`` with one
-multiplier ``l`` for each constrained value. The dual is convex and is solved by Newton steps guarded by a bracket.
-Each step is one grouped sum over cells, the distinct combinations of constrained values with their tokens, so a hot
-source is summed map-side like any other. Rates are then rounded to whole copies, the rounding error being carried
-from longer to shorter documents.
+relative entropy over documents. The solution tilts exponentially by tokens: ``min(limit, exp(l * size))`` with one
+multiplier ``l`` for each constrained value (the sum of a document's, where several columns are constrained). The dual is
+convex and is solved by Newton steps guarded by a bracket. Each step is one grouped sum over cells, the distinct
+combinations of constrained values and sizes with their documents, so a hot source is summed map-side like any other.
+Rates are then rounded to whole copies, the tokens that rounding leaves over or short being carried from longer to
+all shorter documents.
 
 Defined results: a null text has size 0 and is never taken; sources of equal name are one source, the null source is
 one of its own and comes last; repeated rows are documents of their own; an empty table gives an empty result; only
@@ -19,7 +20,7 @@ import math
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from driftlens.llm.texts import WORD
@@ -75,11 +76,11 @@ def tilts(
 ) -> dict[str, DataFrame]:
     """The multipliers of each constrained column: {column: (value, target, tilt)}.
 
-    ``cells`` has the constrained columns and ``mass``, their tokens; ``wanted[column]`` has (value, target). The
-    dual's slope at a value is ``sum(mass * rate) - target`` and its curvature ``sum(mass * rate)`` over cells under
-    the limit, so values of one column are independent and one Newton step treats them all; several columns take
-    turns. The slope rises with the multiplier: a step that would leave the bracket is replaced by the bracket's
-    middle. Only the number of open values comes to the driver.
+    ``cells`` has the constrained columns, ``size`` and ``n``, the documents of that size; ``wanted[column]`` has (value,
+    target). The dual's slope at a value is ``sum(n * size * rate) - target`` and its curvature
+    ``sum(n * size^2 * rate)`` over cells under the limit, so values of one column are independent and one Newton step
+    treats them all; several columns take turns. The slope rises with the multiplier: a step that would leave the
+    bracket is replaced by the bracket's middle. Only the number of open values comes to the driver.
     """
     top = F.log(F.lit(float(limit)))
     state = {
@@ -96,10 +97,10 @@ def tilts(
             for other, rows in state.items():
                 side = rows.select(F.col("value").alias(f"v_{other}"), F.col("tilt").alias(f"t_{other}"))
                 joined = joined.join(side, F.col(other).eqNullSafe(F.col(f"v_{other}")))
-                exponent = exponent + F.col(f"t_{other}")
-            got = F.col("mass") * F.exp(F.least(exponent, top))
+                exponent = exponent + F.col(f"t_{other}") * F.col("size")
+            got = F.col("n") * F.col("size") * F.exp(F.least(exponent, top))
             sums = joined.groupBy(f"v_{name}").agg(
-                F.sum(got).alias("got"), F.sum(F.when(exponent < top, got).otherwise(0.0)).alias("slope")
+                F.sum(got).alias("got"), F.sum(F.when(exponent < top, got * F.col("size")).otherwise(0.0)).alias("slope")
             )
             gap = F.coalesce(F.col("got"), F.lit(0.0)) - F.col("target")
             is_open = F.abs(gap) > F.col("target") * tolerance
@@ -109,35 +110,35 @@ def tilts(
             # with one column the bracket is final; with several the others move it, so it is opened again
             if len(wanted) > 1:
                 low, high = F.lit(-64.0), F.lit(2 * math.log(limit))
-            state[name] = stage(
-                state[name]
-                .join(sums, F.col("value").eqNullSafe(F.col(f"v_{name}")), "left")
-                .select(
-                    "value", "target", low.alias("low"), high.alias("high"), is_open.alias("open"),
-                    F.when(~is_open, F.col("tilt"))
-                    .when((jump > low) & (jump < high), jump)
-                    .otherwise((low + high) / 2).alias("tilt"),
-                ),
-                "mix-state",
+            moved = state[name].join(sums, F.col("value").eqNullSafe(F.col(f"v_{name}")), "left").select(
+                "value", "target", low.alias("low"), high.alias("high"), is_open.alias("open"),
+                F.when(~is_open, F.col("tilt")).when((jump > low) & (jump < high), jump).otherwise((low + high) / 2).alias("tilt"),
             )
-            still_open += state[name].where("open").count()
+            seen = Observation()
+            state[name] = stage(moved.observe(seen, F.count_if("open").alias("open")), "mix-state")
+            still_open += seen.get["open"]
         if not still_open:
             break
     return {name: rows.select("value", "target", "tilt") for name, rows in state.items()}
 
 
-def _deal(classes: pd.DataFrame, limit: int) -> pd.DataFrame:
-    """Whole copies of each size class of one source, longest first.
+def rounded(classes: pd.DataFrame, limit: int) -> pd.DataFrame:
+    """Whole copies of each size class of one source from the rates, longest first.
 
-    Each class takes the share that its size has in what is still due, rounded, but keeps what is left reachable by
-    the shorter classes at 0 to ``limit`` copies wherever it can.
+    What the whole copies of a class leave over of the tokens it was due, or take too many of, is carried to all shorter
+    classes in proportion to the tokens they are due themselves. A class keeps what is left reachable by the shorter
+    ones at 0 to ``limit`` copies wherever it can.
     """
     classes = classes.sort_values("size", ascending=False, kind="stable")
-    due, rest, copies = float(classes["target"].iloc[0]), int((classes["size"] * classes["n"]).sum()), []
-    for size, n in zip(classes["size"].tolist(), classes["n"].tolist()):
-        share = n * due / rest
-        rest -= size * n
-        most, least = due / size, (due - limit * rest) / size
+    sizes, numbers = classes["size"].tolist(), classes["n"].tolist()
+    asked = (classes["n"] * classes["size"] * classes["rate"]).tolist()
+    due = rest = math.fsum(asked)
+    tokens, copies = sum(s * n for s, n in zip(sizes, numbers)), []
+    for size, n, own in zip(sizes, numbers, asked):
+        share = own * due / rest / size if rest > 0 else 0.0
+        tokens -= size * n
+        rest -= own
+        most, least = due / size, (due - limit * tokens) / size
         low, high = math.ceil(least - 1e-9), math.floor(most + 1e-9)
         if low <= high:
             taken = min(max(math.floor(share + 0.5), low), high)
@@ -160,11 +161,11 @@ def mix(
 ) -> DataFrame:
     """id, source, size, source_size, target, rate, copies, taken; one row per document.
 
-    A source misses its target by at most half of its shortest document, unless a document is longer than all shorter
-    ones together can make up for. One task sees the distinct sizes of a source, whose number is at most the square
-    root of twice the source's tokens. The copies of a class are dealt by place in the order of a hash of id and text;
-    places are counted over even range chunks, so neither a hot source nor a hot size is one task's work. Chunks (of
-    about ``chunk_rows`` rows, else the session's shuffle partitions) never change the result.
+    A source misses its target by at most half of its shortest document, unless the documents shorter than one that was
+    rounded cannot make up for it within 0 to ``limit`` copies. One task sees the distinct sizes of a source, whose
+    number is at most the square root of twice the source's tokens. The copies of a class are dealt by place in the
+    order of a hash of id and text; places are counted over even range chunks, so neither a hot source nor a hot size is
+    one task's work. Chunks (of about ``chunk_rows`` rows, else the session's shuffle partitions) never change the result.
     """
     ship(docs.sparkSession)
     sizes = stage(
@@ -178,21 +179,22 @@ def mix(
         "mix-sizes",
     )
     wanted = stage(targets(sizes, weights, limit), "mix-targets")
-    cells = stage(sizes.groupBy("source").agg(F.sum("size").alias("mass")).where("mass > 0"), "mix-cells")
+    cells = stage(sizes.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-cells")
     asked = wanted.where("source_size > 0").select(F.col("source").alias("value"), "target")
-    solved = tilts(cells, {"source": asked}, limit)["source"]
+    solved = tilts(cells.where("size > 0"), {"source": asked}, limit)["source"]
     parts = wanted.join(solved.select("value", "tilt"), F.col("source").eqNullSafe(F.col("value")), "left").select(
-        F.col("source").alias("s"), "target", "source_size",
-        F.coalesce(F.least(F.exp("tilt"), F.lit(float(limit))), F.lit(0.0)).alias("rate"),
-    )
-    counts = sizes.groupBy(F.col("source").alias("c_source"), "size").agg(F.count("*").alias("n"))
-    classes = counts.join(parts, F.col("c_source").eqNullSafe(F.col("s"))).drop("s")
+        F.col("source").alias("s"), "target", "source_size", "tilt"
+    )
+    rate = F.when(F.col("size") > 0, F.least(F.exp(F.col("tilt") * F.col("size")), F.lit(float(limit)))).otherwise(0.0)
+    classes = cells.join(parts, F.col("source").eqNullSafe(F.col("s"))).select(
+        F.col("source").alias("c_source"), "size", "n", "target", "source_size", rate.alias("rate")
+    )
     schema = "c_source string, size long, n long, target double, source_size long, rate double, copies long"
 
     def dealt(group: pd.DataFrame) -> pd.DataFrame:
         some = group["size"] > 0
-        full = [_deal(group[some], limit)] if some.any() else []
-        return pd.concat([*full, group[~some].assign(copies=0, rate=0.0)])
+        full = [rounded(group[some], limit)] if some.any() else []
+        return pd.concat([*full, group[~some].assign(copies=0)])
 
     deals = stage(
         classes.groupBy("c_source").applyInPandas(dealt, schema).withColumnsRenamed({"size": "c_size", "copies": "all_copies"}),

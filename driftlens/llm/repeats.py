@@ -33,13 +33,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftlens.llm import texts
-from driftlens.llm.texts import mix, signed, span_hashes, text_slices, word_spans
+from driftlens.llm.texts import PIECE, gram_hashes, mix, signed, span_hashes, text_slices, word_spans
 from driftlens.llm.workers import map_arrow
+from driftlens.operators.skew import salted_join
 from driftlens.staging import stage, stage_bucketed
 
 LENGTH = 400
 WIDTHS = (64, 8, 1)
-PIECE = 1 << 20
+KIND_SALTS = 64
+RUNS_PER_SALT = 1_000
 _PLACE = 24  # bits of a position inside a piece
 
 RECORD = "_r_core long, _r_full long, _r_full2 long, _r_key long, _r_doc {}, _r_at long, _r_lo long, _r_hi long"
@@ -49,19 +51,12 @@ def symbols(data: np.ndarray, offsets: np.ndarray, words: bool) -> tuple[np.ndar
     """(symbols, offsets of texts in them, first byte and end byte of each symbol)."""
     if not words:
         at = np.arange(len(data))
-        return data.astype(np.uint64), offsets, at, at + 1
+        return data, offsets, at, at + 1
     starts, ends = word_spans(data, offsets)
     values = texts.word_hashes(data, starts, ends)
     return values, np.searchsorted(starts, offsets), starts, ends
 
 
-def sums_of(values: np.ndarray, which: int = 0) -> np.ndarray:
-    up, _ = texts.powers(which, len(values) + 1)
-    out = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum((values + np.uint64(1)) * up[: len(values)], out=out[1:])
-    return out
-
-
 def sliding_min(keys: np.ndarray, width: int) -> np.ndarray:
     """Least key of each ``width`` neighbours, by block prefixes and suffixes."""
     n = len(keys)
@@ -80,10 +75,8 @@ def runs(values: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> Ite
     mask = np.uint64((1 << _PLACE) - 1)
     for first in range(0, max(total - length + 1, 0), PIECE):
         part = values[first : first + PIECE + length - 1]
-        n = len(part)
-        sums = sums_of(part)
-        at = np.arange(n - gram + 1)
-        hashes = span_hashes(sums, at, at + gram)
+        hashes = gram_hashes(part, gram)
+        at = np.arange(len(hashes))
         least = sliding_min((hashes & ~mask) | at.astype(np.uint64), length - gram + 1)
         anchor = (least & mask).astype(np.int64)
         window = np.arange(len(anchor))
@@ -138,7 +131,6 @@ def _records(words: bool, length: int, gram: int, width: int | None) -> Callable
             edges = items.offsets.to_numpy()
             inner = items.values
             for first, values, offsets in _each_slice(batch.column(2), words):
-                sums, sums2 = sums_of(values, 0), sums_of(values, 1)
                 a, b = edges[first], edges[first + len(offsets) - 1]
                 owner = np.repeat(np.arange(len(offsets) - 1), np.diff(edges[first : first + len(offsets)]))
                 if width is None:
@@ -162,12 +154,12 @@ def _records(words: bool, length: int, gram: int, width: int | None) -> Callable
                     step = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + least[pick]
                     at, row, base = at[pick], owner[pick], at[pick] - width * step
                     lo, hi = np.maximum(lo[pick], base - width + 1), np.minimum(hi[pick], base)
-                    core = mix(span_hashes(sums, base, base - width + 1 + length) + step.astype(np.uint64))
+                    core = mix(span_hashes(values, base, base - width + 1 + length) + step.astype(np.uint64))
                 if not len(at):
                     continue
                 place = mix((at - hi).astype(np.uint64) << np.uint64(32) | (at - lo).astype(np.uint64))
-                full = mix(span_hashes(sums, lo, hi + length) + place)
-                full2 = mix(span_hashes(sums2, lo, hi + length, 1) + place)
+                full = mix(span_hashes(values, lo, hi + length) + place)
+                full2 = mix(span_hashes(values, lo, hi + length, 1) + place)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(signed(core)),
@@ -187,8 +179,15 @@ def _sorted_once(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One digit: (repeats, runs to be cut). A run is a repeat if the same run occurs elsewhere."""
     here = F.struct("_r_doc", "_r_key", "_r_lo")
     same = records.groupBy("_r_core", "_r_full", "_r_full2").agg(F.count("*").alias("n"), F.min(here).alias("first"))
-    kinds = same.groupBy("_r_core").agg(F.count("*").alias("kinds"), F.sum("n").alias("all"))
-    known = same.join(kinds, "_r_core").where("all > 1")
+    # a common digit may have very many different runs: they are counted by salt, and looked up by salt
+    salt = F.pmod(F.col("_r_full"), F.lit(KIND_SALTS))
+    kinds = (
+        same.groupBy("_r_core", salt.alias("salt"))
+        .agg(F.count("*").alias("kinds"), F.sum("n").alias("all"))
+        .groupBy("_r_core")
+        .agg(F.sum("kinds").alias("kinds"), F.sum("all").alias("all"))
+    )
+    known = salted_join(same, kinds, ["_r_core"], ["_r_full"], rows_per_salt=RUNS_PER_SALT).where("all > 1")
     judged = stage(
         records.join(known, ["_r_core", "_r_full", "_r_full2"]).select(
             "_r_key", "_r_at", "_r_lo", "_r_hi", "n", "kinds", (here == F.col("first")).alias("is_first")

@@ -7,7 +7,6 @@ are ASCII, so splitting the UTF-8 bytes gives the same words as splitting the ch
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +20,15 @@ _SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-_BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
-_MASK = (1 << 64) - 1
+PIECE = 1 << 20
+# two independent hashes: two odd factors and a seed each
+_FACTORS = tuple(
+    tuple(np.uint64(x) for x in row)
+    for row in (
+        (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x2545F4914F6CDD1D),
+        (0xD1B54A32D192ED03, 0x94D049BB133111EB, 0x5851F42D4C957F2D),
+    )
+)
 
 
 def text_slices(column, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -67,22 +73,6 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.flatnonzero(inside & before), np.flatnonzero(inside & after) + 1
 
 
-@lru_cache(maxsize=4)
-def _powers(which: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    def series(base: int) -> np.ndarray:
-        out = np.full(size, base, dtype=np.uint64)
-        out[0] = 1
-        return np.multiply.accumulate(out)
-
-    return series(_BASES[which]), series(pow(_BASES[which], -1, 1 << 64))
-
-
-def powers(which: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of a base and of its inverse modulo 2**64."""
-    room = max(SLICE_BYTES * 2, 1 << max(size, 1).bit_length())
-    return _powers(which, room)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Spreads 64-bit values: neighbouring inputs give unrelated outputs."""
     x = x ^ (x >> np.uint64(30))
@@ -93,23 +83,84 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def prefix_sums(data: np.ndarray, which: int = 0) -> np.ndarray:
-    """Sums over which the hash of any span takes two look-ups."""
-    up, _ = powers(which, len(data) + 1)
-    out = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=out[1:])
+def _pair(left: np.ndarray, right: np.ndarray, which: int) -> np.ndarray:
+    """One number for two, in this order. No sum of products: texts with structure must not cancel out."""
+    out = left * _FACTORS[which][0]
+    out += right
+    out ^= out >> np.uint64(32)
+    out *= _FACTORS[which][1]
+    out ^= out >> np.uint64(29)
+    return out
+
+
+def _doubled(values: np.ndarray, which: int, wanted: set[int]) -> dict[int, np.ndarray]:
+    """{k: hash of the 2**k symbols from each place on}, by pairs of pairs."""
+    seed = _FACTORS[which][2]
+    out = {}
+
+    def climb(level: np.ndarray, k: int, last: int) -> None:
+        while True:
+            if k in wanted:
+                out[k] = level
+            if k >= last:
+                return
+            half = 1 << k
+            level = _pair(level[: max(len(level) - half, 0)], level[half:], which)
+            k += 1
+
+    if values.dtype != np.uint8:
+        climb(mix(values ^ seed), 0, max(wanted))
+        return out
+    small = {k for k in wanted if k < 3}
+    if small:
+        climb(mix(values.astype(np.uint64) ^ seed), 0, max(small))
+    if len(small) < len(wanted):
+        # eight bytes are one number
+        count = max(len(values) - 7, 0)
+        eight = np.ndarray((count,), dtype="<u8", buffer=np.ascontiguousarray(values), strides=(1,)) if count else np.zeros(0, dtype=np.uint64)
+        climb(mix(eight ^ seed), 3, max(wanted))
+    return out
+
+
+def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """64-bit hash of each span of symbols, wherever it stands; 0 and 1 name independent hashes.
+
+    A span is two overlapping runs of 2**k symbols, which determine it. Runs are hashed piece by piece, so that a long
+    text needs no more memory than a piece. Symbols are bytes or 64-bit numbers; spans are not empty.
+    """
+    starts, size = np.asarray(starts), np.asarray(ends) - np.asarray(starts)
+    out = np.zeros(len(starts), dtype=np.uint64)
+    if not len(starts):
+        return out
+    power = np.frexp(size.astype(np.float64))[1] - 1
+    longest = int(size.max())
+    order = np.argsort(starts, kind="stable")
+    in_order = starts[order]
+    first = int(in_order[0])
+    while first is not None:
+        a, b = np.searchsorted(in_order, (first, first + PIECE))
+        mine = order[a:b]
+        levels = _doubled(values[first : first + PIECE + longest], which, set(np.unique(power[mine]).tolist()))
+        for k, level in levels.items():
+            some = mine[power[mine] == k]
+            at = starts[some] - first
+            ends_at = at + size[some] - (1 << k)
+            out[some] = _pair(_pair(level[at], level[ends_at], which), size[some].astype(np.uint64), which)
+        first = int(in_order[b]) if b < len(order) else None
     return out
 
 
-def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """64-bit hash of each span's bytes, wherever it stands."""
-    _, down = powers(which, len(sums))
-    raw = (sums[ends] - sums[starts]) * down[starts]
-    return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+def gram_hashes(values: np.ndarray, size: int, which: int = 0) -> np.ndarray:
+    """The hash of ``span_hashes`` for each run of ``size`` symbols."""
+    k = size.bit_length() - 1
+    level, count = _doubled(values, which, {k})[k], max(len(values) - size + 1, 0)
+    shift = size - (1 << k)
+    whole = np.full(count, size, dtype=np.uint64)
+    return _pair(_pair(level[:count], level[shift : shift + count], which), whole, which)
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return span_hashes(prefix_sums(data), starts, ends)
+    return span_hashes(np.ascontiguousarray(data), starts, ends)
 
 
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:

@@ -166,6 +166,41 @@ def test_equal_rows_of_the_mix_are_taken_at_their_rate(spark):
         assert abs(share - target["a"] / 3003) < 0.1
 
 
+# --- structured texts
+
+
+def opposite_strings(size):
+    bits = [bin(i).count("1") & 1 for i in range(size)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_structured_words_are_different_documents(spark):
+    rows = [(i, w) for size in (1024, 2048) for i, w in enumerate(opposite_strings(size), size)]
+    out = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in out.collect()} == {i: i for i, _ in rows}
+
+
+def kept_by_hand(texts, length):
+    seen = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+    out = []
+    for t in texts:
+        gone = [False] * len(t)
+        for i in range(len(t) - length + 1):
+            if seen[t[i : i + length]] > 1:
+                gone[i : i + length] = [True] * length
+        out.append(bytes(b for b, g in zip(t, gone) if not g))
+    return out
+
+
+def test_structured_texts_lose_only_their_repeats(spark):
+    rng = random.Random(9)
+    shared = "".join(rng.choice("cdefgh") for _ in range(464))
+    rows = [(i, f"{a}{shared}{'xyz'[:i % 3]}") for i, a in enumerate([*opposite_strings(256), *opposite_strings(1024), *opposite_strings(270)])]
+    expected = kept_by_hand([t.encode() for _, t in rows], 400)
+    out = {r.doc_id: (r.n_removed, r.kept_sha256) for r in repeats.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {i: (len(t) - len(k), hashlib.sha256(k).hexdigest()) for (i, t), k in zip(rows, expected)}
+
+
 # --- neighbours
 
 

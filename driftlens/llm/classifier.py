@@ -1,8 +1,8 @@
 """Quality classifier with supervised subword embeddings.
 
-A text's features are its words, the byte n-grams inside its words, and a mark for each word that repeats the word
-before it or one seen earlier; each is hashed to one of ``buckets`` learned vectors. The vectors of a text are averaged and a linear layer
-with softmax gives the probability of label 1. Vectors and layer are trained by stochastic gradient descent in numpy
+A text's features are its words, its pairs of neighbouring words, and the n-grams of the characters of each word with a
+border before and after it; each is hashed to one of ``buckets`` learned vectors. The vectors of a text are averaged and
+a linear layer with softmax gives the probability of label 1. Vectors and layer are trained by stochastic gradient descent in numpy
 on at most ``sample_rows`` labelled texts, the first in order of a hash of their id.
 
 Scoring needs only the difference of the two classes' outputs for each bucket, one number, so a text's score is the
@@ -10,7 +10,8 @@ mean of one gathered array; the model that travels to the tasks is ``buckets`` n
 
 Defined results: a null, empty or wordless text has no feature and scores the share of label 1 in the sample; with no
 usable label every score is 0.5, and with labels of one kind only the constant 1 or 0; null labels are not learned
-from; repeated rows are scored one by one; an empty table gives an empty result; only id and text are read.
+from, nor are texts longer than ``sample_bytes`` (they are scored whole, in the task that reads them); repeated rows are
+scored one by one; an empty table gives an empty result; only id and text are read.
 """
 
 from __future__ import annotations
@@ -23,16 +24,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftlens.llm.texts import span_hashes, prefix_sums, text_slices, word_spans
+from driftlens.llm.texts import mix, text_slices, word_hashes, word_spans
 from driftlens.llm.workers import map_arrow
 
 BUCKET_BITS = 17
 DIM = 12
 SAMPLE_ROWS = 4000
-EPOCHS = 10
-RATE = 0.8
+SAMPLE_BYTES = 1 << 17
+EPOCHS = 15
+RATE = 0.3
+VECTOR_RATE = 40.0  # times the rate
 SEED = 11
-GRAMS = (2, 3, 4)
+GRAMS = (3, 4, 5)
+BORDER = 1 << 21  # no code point
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 CUT = 0.7
 
 
@@ -41,35 +46,47 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(code point, first byte) of every character of UTF-8 bytes."""
+    first = np.flatnonzero((data & 0xC0) != 0x80)
+    padded = np.concatenate([data, np.zeros(3, dtype=np.uint8)]).astype(np.uint32)
+    b0, b1, b2, b3 = (padded[first + i] for i in range(4))
+    two = (b0 & 0x1F) << 6 | b1 & 0x3F
+    three = (b0 & 0x0F) << 12 | (b1 & 0x3F) << 6 | b2 & 0x3F
+    four = (b0 & 0x07) << 18 | (b1 & 0x3F) << 12 | (b2 & 0x3F) << 6 | b3 & 0x3F
+    return np.where(b0 < 0x80, b0, np.where(b0 < 0xE0, two, np.where(b0 < 0xF0, three, four))), first
+
+
 def features(data: np.ndarray, offsets: np.ndarray, bits: int = BUCKET_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """(row, bucket) of every feature of the texts of one slice."""
+    """(row, bucket) of every feature of the texts of one slice: words, pairs of words, and n-grams of their characters."""
     starts, ends = word_spans(data, offsets)
     shift = np.uint64(64 - bits)
-    hashes = span_hashes(prefix_sums(data), starts, ends)
+    hashes = word_hashes(data, starts, ends)
     rows = np.searchsorted(offsets, starts, side="right") - 1
     out_rows, out = [rows], [(hashes >> shift).astype(np.int64)]
-    if len(starts) > 1:
-        again = np.flatnonzero((hashes[1:] == hashes[:-1]) & (rows[1:] == rows[:-1])) + 1
-        out_rows.append(rows[again])
-        out.append(np.full(len(again), 1, dtype=np.int64))
-        order = np.lexsort((hashes, rows))
-        seen = order[1:][(hashes[order[1:]] == hashes[order[:-1]]) & (rows[order[1:]] == rows[order[:-1]])]
-        out_rows.append(rows[seen])
-        out.append(np.full(len(seen), 2, dtype=np.int64))
-    lengths = ends - starts
-    inside = np.arange(int(lengths.sum())) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
-    left = np.repeat(ends, lengths) - inside
-    owner = np.repeat(rows, lengths)
-    code = data.astype(np.uint64)
-    packed = code.copy()
+    pair = np.flatnonzero(rows[1:] == rows[:-1])
+    out_rows.append(rows[pair])
+    out.append((mix(hashes[pair] * _ODD + hashes[pair + 1]) >> shift).astype(np.int64))
+    if not len(starts):
+        return out_rows[0], out[0]
+    # the characters of each word between a border before and a border after it
+    code, first = characters(data)
+    a, b = np.searchsorted(first, starts), np.searchsorted(first, ends)
+    lengths = b - a + 2
+    begin = np.cumsum(lengths) - lengths
+    symbols = np.full(int(lengths.sum()), BORDER, dtype=np.uint64)
+    owner = np.repeat(np.arange(len(starts)), lengths)
+    place = np.arange(len(symbols)) - begin[owner]
+    inside = (place > 0) & (place < lengths[owner] - 1)
+    symbols[inside] = code[(a[owner] + place - 1)[inside]]
+    left = lengths[owner] - place
+    packed = symbols.copy()
     for n in range(2, max(GRAMS) + 1):
-        packed[: len(packed) - n + 1] += code[n - 1 :] << np.uint64(8 * (n - 1))
+        packed = packed[: len(symbols) - n + 1] * _ODD + symbols[n - 1 :]
         if n in GRAMS:
-            some = left >= n
-            grams = packed[inside[some]] & np.uint64((1 << (8 * n)) - 1)
-            grams = (grams + np.uint64(n << 40)) * np.uint64(0x9E3779B97F4A7C15)
-            out.append((grams >> shift).astype(np.int64))
-            out_rows.append(owner[some])
+            some = np.flatnonzero(left[: len(packed)] >= n)
+            out.append((mix(packed[some] ^ np.uint64(n)) >> shift).astype(np.int64))
+            out_rows.append(rows[owner[some]])
     return np.concatenate(out_rows), np.concatenate(out)
 
 
@@ -82,7 +99,8 @@ def bags(texts: pa.Array, bits: int = BUCKET_BITS) -> list[tuple[np.ndarray, np.
         row, bucket = key >> bits, key & ((1 << bits) - 1)
         edges = np.searchsorted(row, np.arange(len(offsets)))
         for a, b in zip(edges[:-1], edges[1:]):
-            out.append((bucket[a:b], count[a:b] / max(count[a:b].sum(), 1)))
+            weight = count[a:b] / max(count[a:b].sum(), 1)
+            out.append((bucket[a:b].astype(np.int32), weight.astype(np.float32)))
     return out
 
 
@@ -112,6 +130,7 @@ def train(
     dim: int = DIM,
     epochs: int = EPOCHS,
     rate: float = RATE,
+    vector_rate: float = VECTOR_RATE,
     seed: int = SEED,
 ) -> Model:
     """Stochastic gradient descent over single texts with a falling rate; the same input gives the same model."""
@@ -139,8 +158,8 @@ def train(
             back = layer @ out
             layer -= step * np.outer(hidden, out)
             bias -= 0.1 * step * out
-            # each vector moves by its weight in the mean; the scale undoes the smallness of single weights
-            vectors[bucket] -= (step * 40) * weight[:, None] * back
+            # a vector moves by its weight in the mean, which is small: vectors have a rate of their own
+            vectors[bucket] -= (step * vector_rate) * weight[:, None] * back
             done += 1
     return Model(vectors @ (layer[:, 1] - layer[:, 0]), float(bias[1] - bias[0]), share)
 
@@ -152,8 +171,9 @@ def fit(
     text: str = "text",
     label: str = "quality",
     sample_rows: int = SAMPLE_ROWS,
+    sample_bytes: int = SAMPLE_BYTES,
 ) -> Model:
-    """A model from at most ``sample_rows`` labelled texts that are not held out.
+    """A model from at most ``sample_rows`` labelled texts of at most ``sample_bytes`` each that are not held out.
 
     An id with several labels counts with its smallest, an id with several rows with its least text; only the sample
     comes to the driver.
@@ -167,7 +187,8 @@ def fit(
     )
     sample = (
         docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"))
-        .join(F.broadcast(wanted), F.col("id") == F.col("label_id"))
+        .where(F.coalesce(F.octet_length("text"), F.lit(0)) <= sample_bytes)
+        .join(F.broadcast(wanted), F.col("id") == F.col("label_id"))  # sample_rows rows at most
         .groupBy("id", "label")
         .agg(F.min("text").alias("text"))
         .toPandas()

@@ -38,13 +38,14 @@ from driftlens.staging import stage
 BAND = 1.5
 BITMAP_BITS = 2048
 BLOCK = 2048
+SET_BYTES = 1 << 18
 GROUP_ROWS = 1 << 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
     """The sorted distinct n-gram hashes of each text."""
-    for _, data, offsets in text_slices(column):
+    for _, data, offsets in text_slices(column, SET_BYTES):
         data = lower_ascii(data)
         starts, ends = word_spans(data, offsets)
         words = word_hashes(data, starts, ends)

@@ -21,6 +21,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 PIECE = 1 << 20
+HASH_BLOCK = 1 << 16
 # two independent hashes: two odd factors and a seed each
 _FACTORS = tuple(
     tuple(np.uint64(x) for x in row)
@@ -125,22 +126,21 @@ def _doubled(values: np.ndarray, which: int, wanted: set[int]) -> dict[int, np.n
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
     """64-bit hash of each span of symbols, wherever it stands; 0 and 1 name independent hashes.
 
-    A span is two overlapping runs of 2**k symbols, which determine it. Runs are hashed piece by piece, so that a long
-    text needs no more memory than a piece. Symbols are bytes or 64-bit numbers; spans are not empty.
+    A span is two overlapping runs of 2**k symbols, which determine it. Runs are hashed block by block, so that a long
+    text needs no more memory than a block and its longest span. Symbols are bytes or 64-bit numbers; spans are not empty.
     """
     starts, size = np.asarray(starts), np.asarray(ends) - np.asarray(starts)
     out = np.zeros(len(starts), dtype=np.uint64)
     if not len(starts):
         return out
     power = np.frexp(size.astype(np.float64))[1] - 1
-    longest = int(size.max())
     order = np.argsort(starts, kind="stable")
     in_order = starts[order]
     first = int(in_order[0])
     while first is not None:
-        a, b = np.searchsorted(in_order, (first, first + PIECE))
+        a, b = np.searchsorted(in_order, (first, first + HASH_BLOCK))
         mine = order[a:b]
-        levels = _doubled(values[first : first + PIECE + longest], which, set(np.unique(power[mine]).tolist()))
+        levels = _doubled(values[first : first + HASH_BLOCK + int(size[mine].max())], which, set(np.unique(power[mine]).tolist()))
         for k, level in levels.items():
             some = mine[power[mine] == k]
             at = starts[some] - first
@@ -152,11 +152,14 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which:
 
 def gram_hashes(values: np.ndarray, size: int, which: int = 0) -> np.ndarray:
     """The hash of ``span_hashes`` for each run of ``size`` symbols."""
-    k = size.bit_length() - 1
-    level, count = _doubled(values, which, {k})[k], max(len(values) - size + 1, 0)
-    shift = size - (1 << k)
-    whole = np.full(count, size, dtype=np.uint64)
-    return _pair(_pair(level[:count], level[shift : shift + count], which), whole, which)
+    k, count = size.bit_length() - 1, max(len(values) - size + 1, 0)
+    shift, out = size - (1 << k), np.empty(count, dtype=np.uint64)
+    for first in range(0, count, HASH_BLOCK):
+        n = min(HASH_BLOCK, count - first)
+        level = _doubled(values[first : first + n + size - 1], which, {k})[k]
+        pairs = _pair(level[:n], level[shift : shift + n], which)
+        out[first : first + n] = _pair(pairs, np.full(n, size, dtype=np.uint64), which)
+    return out
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

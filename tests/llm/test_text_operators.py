@@ -202,12 +202,14 @@ def test_span_hashes_are_equal_where_spans_are(values, size, as_bytes, which):
     assert (texts.span_hashes(data, shuffled, shuffled + size, which) == h[::-1]).all()
 
 
-def test_span_hashes_do_not_depend_on_pieces(monkeypatch):
+def test_span_hashes_do_not_depend_on_blocks(monkeypatch):
     data = np.frombuffer(b"abcabdabcabc" * 50, dtype=np.uint8)
     starts = np.arange(500)
     whole = texts.span_hashes(data, starts, starts + 7 + starts % 60)
-    monkeypatch.setattr(texts, "PIECE", 64)
+    grams = texts.gram_hashes(data, 13)
+    monkeypatch.setattr(texts, "HASH_BLOCK", 64)
     assert (texts.span_hashes(data, starts, starts + 7 + starts % 60) == whole).all()
+    assert (texts.gram_hashes(data, 13) == grams).all()
 
 
 # --- classifier

@@ -535,6 +535,46 @@ _sql(
     + " UNION ALL "
     + _stale("customer", "c_mktsegment", "c", *R.RENAMED_SEGMENT),
 )
+_RENAMING = (
+    "(SELECT c_custkey, r_name, 'select count(*) n from {{ ref(''middle_' || c_custkey || ''') }} v where v.zone in (''none'', ''' "
+    "AS opening FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
+)
+_sql(
+    "column_trace",
+    f"""SELECT CAST(c_custkey AS VARCHAR) AS graph, replace(uid, '#', CAST(c_custkey AS VARCHAR)) AS uid, "column", exact
+FROM {_RENAMING}, (VALUES ('source.crm.region', 'r_name', true), ('model.crm.base_#', 'area', true),
+  ('model.crm.middle_#', 'zone', true), ('model.crm.middle_#', 'loud', false)) AS t(uid, "column", exact)""",
+)
+_sql(
+    "traced_blast",
+    f"""SELECT CAST(c_custkey AS VARCHAR) AS graph, 'model.crm.' || name || '_' || c_custkey AS uid, hop,
+  name = 'base' AS references_column, true AS traces_column
+FROM {_RENAMING}, (VALUES ('base', 1::INTEGER), ('middle', 2), ('last', 3)) AS t(name, hop)""",
+)
+_OLD, _NEW = R.RENAMED_REGION
+_LAST = "opening || '{0}'') or ''{1}'' = ZONE or loud = ''" + _OLD + "'''"
+_BROKEN = (
+    "SELECT 'region' AS table_name, 'r_name' AS column_name, 'last_' || c_custkey AS model_name, "
+    "'models/last_' || c_custkey || '.sql' AS file_path, 'zone' AS column_there, true AS certain, "
+    f"'{_OLD}' AS old_value, '{_NEW}' AS new_value, "
+)
+_WITH_OLD = f"FROM {_RENAMING} WHERE r_name = '{_OLD}'"
+_sql(
+    "broken_literals",
+    " UNION ALL ".join(
+        f"{_BROKEN}'{form}' AS form, '{before}' AS original_snippet, '{after}' AS fixed_snippet, "
+        f"{_LAST.format(*literals)} AS fixed_sql {_WITH_OLD}"
+        for form, before, after, literals in (
+            ("in", f"v.zone in (''none'', ''{_OLD}'')", f"v.zone in (''none'', ''{_NEW}'')", (_NEW, _OLD)),
+            ("reversed", f"''{_OLD}'' = ZONE", f"''{_NEW}'' = ZONE", (_OLD, _NEW)),
+        )
+    ),
+)
+_sql(
+    "repaired_models",
+    "SELECT 'model.crm.last_' || c_custkey AS model_uid, 'last_' || c_custkey AS model_name, 2::INTEGER AS fixed_literals, "
+    f"0::BIGINT AS uncertain_literals, {_LAST.format(_NEW, _NEW)} AS fixed_sql {_WITH_OLD}",
+)
 _sql(
     "sync_check",
     _chain("", scenario=_SCENARIO)

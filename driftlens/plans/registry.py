@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..operators import drift, incidents, lineage, monitor, profile, risk, selection, sketches, triage
+from ..operators import columns, drift, incidents, lineage, monitor, profile, risk, selection, sketches, triage
 from ..operators.quantiles import exact_quantiles
 from ..sources import history as H
 from ..sources.connectors import connector_tables, schema_of_tables
@@ -491,6 +491,60 @@ def stale_literals(spark, d):
     )
 
 
+def _traced(spark, d, requests):
+    nodes = stage(manifest_nodes(R.renaming_manifests(spark, d)), "nodes")
+    starts = stage(lineage.find_sources(nodes, requests), "starts")
+    facts = stage(columns.column_facts(nodes), "facts")
+    return nodes, starts, facts, columns.trace(facts, starts)
+
+
+def _region_request(spark):
+    return spark.range(1).select(F.lit("region").alias("source_table"), F.lit("r_name").alias("changed_column"))
+
+
+@query
+def column_trace(spark, d):
+    """The names that the region's name has in every model it reaches, and whether it gets there as it is."""
+    _, _, _, traced = _traced(spark, d, _region_request(spark))
+    return traced.where("part = 0").select("graph", "uid", "column", "exact")
+
+
+@query
+def traced_blast(spark, d):
+    """Blast radius with the column found by its own name in the text, and under the names it goes on under."""
+    nodes, starts, facts, traced = _traced(spark, d, _region_request(spark))
+    blast = lineage.blast_radius(nodes, lineage.edges(nodes), starts)
+    return columns.flag_traced(blast, facts, traced).select(
+        "graph", "uid", "hop", "references_column", "traces_column"
+    )
+
+
+def _broken(spark, d):
+    pairs = stage(triage.rename_pairs(_rename_reports(spark, d)), "pairs")
+    requests = pairs.select(
+        F.col("table_name").alias("source_table"), F.col("column_name").alias("changed_column")
+    ).distinct()
+    nodes, _, facts, traced = _traced(spark, d, requests)
+    return columns.broken_literals(pairs, facts, traced, nodes), nodes
+
+
+@query
+def broken_literals(spark, d):
+    """Literals of a renamed value, wherever the column goes by another name."""
+    broken, _ = _broken(spark, d)
+    return broken.select(
+        "table_name", "column_name", "model_name", "file_path", "column_there", "form", "certain", "old_value", "new_value",
+        "original_snippet", "fixed_snippet", "fixed_sql",
+    )
+
+
+@query
+def repaired_models(spark, d):
+    """Every model with a broken literal, with all its literals replaced."""
+    broken, nodes = _broken(spark, d)
+    return columns.repaired_models(stage(broken, "broken"), nodes).drop("graph")
+
+
 @query
 def impact_running(spark, d):
     """Time to detect and hours saved, with running totals over all incidents."""

@@ -286,6 +286,48 @@ def customer_manifests(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(key.alias("graph"), F.to_json(document).alias("value"))
 
 
+def renaming_manifests(spark: SparkSession, folder: str) -> DataFrame:
+    """One manifest document per customer, whose three models carry the region's name on under other names."""
+    customer = read_table(spark, folder, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey"))
+    nation = read_table(spark, folder, "nation").select("n_nationkey", F.col("n_regionkey").alias("r_regionkey"))
+    region = read_table(spark, folder, "region").select("r_regionkey", "r_name")
+    rows = customer.join(nation, "n_nationkey").join(region, "r_regionkey")
+    key = F.col("c_custkey").cast("string")
+
+    def model(name, sql, upstream):
+        return F.struct(
+            F.concat(F.lit(f"{name}_"), key).alias("name"),
+            F.lit("model").alias("resource_type"),
+            F.concat(F.lit(f"models/{name}_"), key, F.lit(".sql")).alias("original_file_path"),
+            sql.alias("raw_code"),
+            F.struct(F.array(upstream).alias("nodes")).alias("depends_on"),
+        )
+
+    def uid(name):
+        return F.concat(F.lit(f"model.crm.{name}_"), key)
+
+    base = F.lit("select g.r_regionkey, g.r_name as area from crm.region g -- g.r_name = 'EUROPE'")
+    middle = F.format_string(
+        "with t as (select * from {{ ref('base_%s') }}) select t.area zone, upper(t.area) as loud from t", key
+    )
+    last = F.format_string(
+        "select count(*) n from {{ ref('middle_%s') }} v where v.zone in ('none', '%s') or '%s' = ZONE or loud = '%s'",
+        key, "r_name", "r_name", "r_name",
+    )
+    source = F.struct(
+        F.lit("region").alias("name"), F.lit("source").alias("resource_type"), F.lit("crm").alias("source_name")
+    )
+    document = F.struct(
+        F.create_map(
+            uid("base"), model("base", base, F.lit("source.crm.region")),
+            uid("middle"), model("middle", middle, uid("base")),
+            uid("last"), model("last", last, uid("middle")),
+        ).alias("nodes"),
+        F.create_map(F.lit("source.crm.region"), source).alias("sources"),
+    )
+    return rows.select(key.alias("graph"), F.to_json(document).alias("value"))
+
+
 # event logs
 
 

@@ -7,11 +7,13 @@ grouped minimum finds with map-side combining: no event list of a busy incident
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import not_blank, seconds_between
+from ..sources.history import between_dates
 from .ordered import previous_value
 from .skew import SALT, salted_join
 
@@ -90,9 +92,25 @@ def event_outcomes(decided: DataFrame, events: DataFrame) -> DataFrame:
     return joined.select("report_id", "at", "seq", "action", outcome.alias("outcome"))
 
 
+# what tells one event of the log from another
+EVENT_KEY = ["report_id", "at", "seq", "action"]
+
+
 def append_events(events: DataFrame, path: str) -> None:
-    """Append to the incident event log (the audit trail)."""
-    events.withColumn("event_date", F.to_date("at")).write.mode("append").partitionBy("event_date").parquet(path)
+    """Append to the incident event log (the audit trail) what it does not hold yet: a repeated batch adds nothing.
+
+    Only the key columns are looked up, and only on the days between the first and the last new event.
+    """
+    fresh = events.withColumn("event_date", F.to_date("at")).dropDuplicates(EVENT_KEY)
+    try:
+        stored = between_dates(events.sparkSession.read.parquet(path).select(*EVENT_KEY, "event_date"), fresh, "event_date")
+        present = stored.select(*[F.col(c).alias(f"stored_{c}") for c in EVENT_KEY])
+        same = [F.col(c).eqNullSafe(F.col(f"stored_{c}")) for c in EVENT_KEY]
+        fresh = fresh.join(present, same, "left_anti")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    fresh.write.mode("append").partitionBy("event_date").parquet(path)
 
 
 def check_merges(requested: DataFrame, decided: DataFrame, merges: DataFrame) -> DataFrame:

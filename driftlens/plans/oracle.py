@@ -329,6 +329,7 @@ _sql(
     "count(*) AS row_count FROM events WHERE ts < TIMESTAMP '2024-01-20' GROUP BY 3 UNION ALL "
     "SELECT 'sales', 'orders', strftime(date_trunc('month', o_orderdate), '%Y-%m-%d'), count(*) FROM orders GROUP BY 3",
 )
+ORACLE["history_delete_in_place"] = ORACLE["history_delete"]
 _sql(
     "baseline_capture",
     f"""SELECT 'orders' AS table_name, strftime(TIMESTAMP '{R.AS_OF}' - INTERVAL 1 DAY * days, '%Y-%m-%d') AS sync_day,
@@ -844,6 +845,8 @@ _sql(
     + """SELECT strftime(ts, '%Y-%m-%d') AS event_day, action, count(*) AS events, count(DISTINCT report_id) AS incidents
 FROM log WHERE ts >= TIMESTAMP '2024-01-10' GROUP BY 1, 2""",
 )
+for _name in ("incident_log_replayed", "stream_incident_log"):
+    ORACLE[_name] = ORACLE["incident_log"].replace("WHERE ts >= TIMESTAMP '2024-01-10' ", "")
 _sql(
     "event_outcomes",
     "WITH "

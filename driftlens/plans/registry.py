@@ -277,6 +277,16 @@ def history_delete(spark, d):
     return H.read_history(spark, cleaned).select("dataset_id", "table_name", _day(), "row_count")
 
 
+@query
+def history_delete_in_place(spark, d):
+    """The same delete on the stored history itself: only the dates that hold matches are written again."""
+    path = new_path(spark, "history")
+    loads = [profile.header_only(R.events_by_day(spark, d)), profile.header_only(R.orders_by_month(spark, d))]
+    H.store(profile.fingerprint_loads(loads), path)
+    H.delete_where(spark, path, H.matching("events", "app", is_synthetic=False, computed_from=R.moment("2024-01-20 00:00:00")))
+    return H.read_history(spark, path).select("dataset_id", "table_name", _day(), "row_count")
+
+
 @query
 def baseline_capture(spark, d):
     """Five staggered copies of a live profile, each with its own id."""
@@ -888,6 +898,17 @@ def incident_log(spark, d):
     )
 
 
+@query
+def incident_log_replayed(spark, d):
+    """The event log after a batch came twice: it holds every event once."""
+    path, events = new_path(spark, "incident-log"), R.incident_events(spark, d)
+    incidents.append_events(events.where("action <> 'dismiss'"), path)
+    incidents.append_events(events, path)
+    return spark.read.parquet(path).groupBy(F.col("event_date").cast("string").alias("event_day"), "action").agg(
+        F.count(F.lit(1)).alias("events"), F.count_distinct("report_id").alias("incidents")
+    )
+
+
 @query
 def event_outcomes(spark, d):
     events = R.incident_events(spark, d)
@@ -967,6 +988,19 @@ def stream_incident_state(spark, d):
     return current_state(spark, root, opened).select("report_id", "state", "decision", "decided_seq", "reenabled_seq")
 
 
+@query
+def stream_incident_log(spark, d):
+    """The event log written by a stream whose source delivers every event twice."""
+    from ..streaming.event_log import LOG, log_events
+
+    root, twice = new_path(spark, "stream-log"), F.explode(F.array(F.lit(1), F.lit(2))).alias("delivery")
+    events = R.incident_events_of(_event_stream(spark, d)).select("*", twice)
+    log_events(events, root, lateness="400 days", available_now=True).awaitTermination()
+    return spark.read.parquet(f"{root}/{LOG}").groupBy(F.col("event_date").cast("string").alias("event_day"), "action").agg(
+        F.count(F.lit(1)).alias("events"), F.count_distinct("report_id").alias("incidents")
+    )
+
+
 @query
 def stream_merged_incidents(spark, d):
     """Incidents closed by the merge of their fix, and how long that took: state changes and merges joined as streams."""

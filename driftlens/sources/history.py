@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,10 +26,10 @@ def _laid_out(rows: DataFrame, time_column: str) -> DataFrame:
     return dated.hint("rebalance", "computed_date").sortWithinPartitions(*TABLE_KEY, time_column)
 
 
-def between_dates(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+def between_dates(stored: DataFrame, fresh: DataFrame, date: str = "computed_date") -> DataFrame:
     """Stored rows from the first to the last date of ``fresh``, and those without a date; whole partitions are pruned."""
-    span = [fresh.agg(f("computed_date")).scalar() for f in (F.min, F.max)]
-    return stored.where(F.col("computed_date").isNull() | F.col("computed_date").between(*span))
+    span = [fresh.agg(f(date)).scalar() for f in (F.min, F.max)]
+    return stored.where(F.col(date).isNull() | F.col(date).between(*span))
 
 
 def _append_new(rows: DataFrame, path: str, id_column: str, time_column: str) -> None:
@@ -102,6 +104,70 @@ def rewrite_without(spark: SparkSession, path: str, predicate: Column, new_path:
     _laid_out(kept, "computed_at").write.partitionBy("computed_date").parquet(new_path)
 
 
+_JOURNAL = "_delete-"  # readers skip names that start with an underscore
+
+
+def _files(spark: SparkSession, path: str):
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
+
+
+def _on_dates(dates: list) -> Column:
+    """Partition predicate of the given dates; None stands for rows without one."""
+    known = F.col("computed_date").isin([d for d in dates if d is not None])
+    return known | F.col("computed_date").isNull() if None in dates else known
+
+
+def delete_where(spark: SparkSession, path: str, predicate: Column) -> None:
+    """Delete the matching rows of the history at ``path`` in place, rewriting only the dates that hold some.
+
+    Rows for which the predicate is unknown stay. What stays of those dates is first written beside the history, closed by
+    the list of the dates; only then are the dates replaced and emptied ones removed. A run that is interrupted before the
+    list is written has changed nothing. One that is interrupted later is brought to its end by ``finish_deletes``, which
+    the next delete calls first: until then a date holds its old or its new rows, or has them in the folder beside. Other
+    dates keep their files, and with nothing to delete nothing is written. One writer at a time is assumed; the driver
+    sees one value per date.
+    """
+    finish_deletes(spark, path)
+    stored = spark.read.parquet(path)
+    dates = [r[0] for r in stored.where(predicate).select("computed_date").distinct().toLocalIterator()]
+    if not dates:
+        return
+    journal = f"{path.rstrip('/')}/{_JOURNAL}{uuid.uuid4().hex}"
+    kept = without(stored.where(_on_dates(dates)), predicate).sortWithinPartitions("computed_date", *TABLE_KEY, "computed_at")
+    kept.write.parquet(f"{journal}/rows")
+    touched = spark.createDataFrame([(d,) for d in dates], "computed_date date")
+    touched.coalesce(1).write.parquet(f"{journal}/dates")
+    finish_deletes(spark, path)
+
+
+def finish_deletes(spark: SparkSession, path: str) -> None:
+    """Carry out deletes that were decided but not finished, and forget those that were never decided."""
+    files, folder = _files(spark, path)
+    if not files.exists(folder):
+        return
+    for status in files.listStatus(folder):
+        journal = status.getPath()
+        if not journal.getName().startswith(_JOURNAL):
+            continue
+        if files.exists(_files(spark, f"{journal}/dates/_SUCCESS")[1]):
+            _replace_dates(spark, path, str(journal))
+        files.delete(journal, True)
+
+
+def _replace_dates(spark: SparkSession, path: str, journal: str) -> None:
+    rows = spark.read.parquet(f"{journal}/rows")
+    replaced = rows.hint("rebalance", "computed_date").sortWithinPartitions("computed_date", *TABLE_KEY, "computed_at")
+    replaced.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("computed_date").parquet(path)
+    left = rows.select("computed_date").distinct().withColumn("left", F.lit(True))
+    touched = spark.read.parquet(f"{journal}/dates").alias("t")
+    same = F.col("t.computed_date").eqNullSafe(F.col("l.computed_date"))
+    for (emptied,) in touched.join(left.alias("l"), same, "left_anti").toLocalIterator():
+        name = "__HIVE_DEFAULT_PARTITION__" if emptied is None else emptied.isoformat()
+        files, gone = _files(spark, f"{path.rstrip('/')}/computed_date={name}")
+        files.delete(gone, True)
+
+
 def replicate(fingerprints: DataFrame, offsets_days: list[int], as_of: Column) -> DataFrame:
     """Baseline capture: one copy of each fingerprint per offset, dated that many days before ``as_of``.
 

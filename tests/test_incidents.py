@@ -79,7 +79,17 @@ def test_event_log_is_partitioned_by_day(spark, tmp_path):
     incidents.append_events(events, str(tmp_path / "log"))
     incidents.append_events(events.limit(1), str(tmp_path / "log"))
     back = spark.read.parquet(str(tmp_path / "log"))
-    assert back.count() == 3 and back.select("event_date").distinct().count() == 2
+    assert back.count() == 2 and back.select("event_date").distinct().count() == 2
+
+
+def test_event_log_takes_an_event_once(spark, tmp_path):
+    path = str(tmp_path / "log")
+    rows = [("a", START, 1, "approve"), ("a", START, 1, "approve"), (None, None, None, None), ("a", START, 1, "dismiss")]
+    _, events = frames(spark, rows, {"a": START})
+    for batch in (events, events.limit(2), events.limit(0), events.unionByName(frames(spark, [("b", START, 2, "approve")], {"b": START})[1])):
+        incidents.append_events(batch, path)
+    kept = [(r.report_id, r.seq, r.action) for r in spark.read.parquet(path).collect()]
+    assert sorted(kept, key=str) == sorted([("a", 1, "approve"), (None, None, None), ("a", 1, "dismiss"), ("b", 2, "approve")], key=str)
 
 
 def test_new_syncs_skip_empty_values_and_the_first_one(spark):

@@ -159,6 +159,59 @@ def test_history_round_trip(spark, tmp_path):
     assert {r.table_key for r in H.covered_tables(clean).collect()} == {"crm.depot", "crm.parcel"}
 
 
+def files_of(path):
+    return {p for p in path.rglob("*.parquet")}
+
+
+def test_delete_in_place_rewrites_only_the_dates_it_must(spark, tmp_path):
+    path = tmp_path / "history"
+    fps = frame(spark, [fingerprint(f"{t}{i}", t, 1 + i, 7 + i, [column(0, "mode", MODES)]) for t in ("depot", "parcel") for i in range(6)])
+    H.store(fps.where("not (table_name = 'parcel' and day(computed_at) = 3)"), str(path))
+    before = files_of(path)
+    H.delete_where(spark, str(path), H.matching("depot", "crm", computed_from=F.lit("2026-05-03").cast("timestamp_ntz")))
+    left = H.read_history(spark, str(path))
+    assert {(r.table_name, r.computed_at.day) for r in left.collect()} == {("depot", 1), ("depot", 2), *[("parcel", d) for d in (1, 2, 4, 5, 6)]}
+    same = {p for p in before if p.parent.name in ("computed_date=2026-05-01", "computed_date=2026-05-02")}
+    assert same and same <= files_of(path)
+    assert not (path / "computed_date=2026-05-03").exists()  # nothing stays of this date
+    assert [p.name for p in path.iterdir() if p.name.startswith("_delete-")] == []
+    after = files_of(path)
+    H.delete_where(spark, str(path), H.matching("nothing", "crm"))
+    assert files_of(path) == after
+    H.delete_where(spark, str(path), F.lit(None).cast("boolean"))
+    assert files_of(path) == after
+
+
+@pytest.mark.parametrize("decided", [False, True])
+def test_an_interrupted_delete_is_finished_or_forgotten(spark, tmp_path, monkeypatch, decided):
+    path = str(tmp_path / "history")
+    fps = frame(spark, [fingerprint(f"{t}{i}", t, 1 + i, 7 + i, [column(0, "mode", MODES)]) for t in ("depot", "parcel") for i in range(3)])
+    H.store(fps, path)
+
+    def stop(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as patched, pytest.raises(RuntimeError):
+        if decided:
+            patched.setattr(H, "_replace_dates", stop)
+        else:
+            patched.setattr(type(spark), "createDataFrame", stop)
+        H.delete_where(spark, path, H.matching("depot", "crm"))
+    assert H.read_history(spark, path).count() == 6
+    H.finish_deletes(spark, path)
+    assert H.read_history(spark, path).count() == (3 if decided else 6)
+    H.finish_deletes(spark, path)
+    assert not list((tmp_path / "history").glob("_delete-*"))
+
+
+def test_rows_without_a_date_can_be_deleted(spark, tmp_path):
+    path = str(tmp_path / "history")
+    fps = frame(spark, [fingerprint(f"d{i}", "depot", 1 + i, 7 + i, [column(0, "mode", MODES)]) for i in range(2)])
+    H.store(fps.withColumn("computed_at", F.when(F.col("fingerprint_id") != "d0", F.col("computed_at"))), path)
+    H.delete_where(spark, path, F.col("fingerprint_id") == "d0")
+    assert [r.fingerprint_id for r in H.read_history(spark, path).collect()] == ["d1"]
+
+
 def test_baseline_copies(spark):
     live = frame(spark, [fingerprint("live", "depot", 20, 7, [column(0, "mode", MODES)], synthetic=True)])
     now = F.lit("2026-05-20 00:00:00").cast("timestamp_ntz")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from driftlens.operators import drift, incidents, monitor, profile
 from driftlens.streaming.drift_check import check_stream, current_log
+from driftlens.streaming.event_log import log_events
 from driftlens.streaming.incident_state import current_state, stream_transitions, track_incidents
 from driftlens.streaming.merges import close_on_merge, closed_by_merge
 from driftlens.streaming.staleness import raised_alarms, stale_now, watch_staleness
@@ -235,3 +236,19 @@ def test_alarms_equal_the_freshness_view(spark, tmp_path):
     for table in last:
         mine = [x[1] for x in sorted(alarms, key=lambda x: x[2]) if x[0] == table]
         assert mine == (["stale", "recovered"] * len(mine))[: len(mine)]
+
+
+def test_a_replayed_batch_adds_no_row_to_the_log(spark, tmp_path):
+    schema = "report_id string, at timestamp_ntz, seq bigint, action string"
+    days = [[(f"r{i % 5}", START + timedelta(days=day, minutes=i), day * 50 + i, "approve") for i in range(50)] for day in range(6)]
+    sent, held = set(), []
+    for day, rows in enumerate(days):
+        again = rows + rows[:20] + (days[day - 1][30:] if day else []) + [("r", None, None, None)]
+        add(spark, again, schema, tmp_path / "in")
+        sent |= set(rows)
+        query = log_events(file_stream(spark, str(tmp_path / "in"), schema), str(tmp_path / "out"), lateness="1 day", available_now=True)
+        query.awaitTermination()  # a new run goes on where the last one ended
+        held += [op["numRowsTotal"] for p in query.recentProgress for op in p["stateOperators"]]
+        rows_back = [(r.report_id, r.seq) for r in spark.read.parquet(str(tmp_path / "out/events")).collect()]
+        assert len(rows_back) == len(set(rows_back)) and set(rows_back) == {(r[0], r[2]) for r in sent}
+    assert max(held) <= 4 * 50  # the keys of twice the lateness and of one batch, not of all days

@@ -736,6 +736,19 @@ _sql(
     + """SELECT DISTINCT source_table, owner, asset_count FROM
   (SELECT source_table, owner, count(*) OVER (PARTITION BY source_table) AS asset_count FROM blast) WHERE owner IS NOT NULL""",
 )
+_sql(
+    "reach_changes",
+    _REACH
+    + """, edges2 AS (SELECT src, dst FROM edges WHERE NOT (dst LIKE 'customer:%' AND
+    dst IN (SELECT uid FROM nodes WHERE name IN ('segment BUILDING', 'segment MACHINERY')))
+  UNION SELECT 'region:' || n_regionkey, 'customer:' || c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey
+    WHERE c_mktsegment = 'BUILDING'),
+walk2 AS (SELECT 'region:' || r_regionkey AS start, 'region:' || r_regionkey AS uid, 0 AS hop FROM region
+  UNION SELECT w.start, e.dst, w.hop + 1 FROM walk2 w JOIN edges2 e ON e.src = w.uid),
+reached2 AS (SELECT start, uid, CAST(min(hop) AS INTEGER) AS hop FROM walk2 GROUP BY ALL HAVING min(hop) > 0)
+SELECT start AS start_uid, uid, a.hop AS hop_before, b.hop AS hop_after FROM reached a FULL JOIN reached2 b USING (start, uid)
+WHERE a.hop IS DISTINCT FROM b.hop""",
+)
 _sql("hop_layers", _REACH + "SELECT start AS start_uid, hop, count(*) AS nodes FROM reached GROUP BY ALL")
 _sql(
     "hop_positions",

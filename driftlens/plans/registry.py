@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..operators import columns, drift, incidents, lineage, monitor, profile, risk, selection, sketches, triage
+from ..operators import columns, drift, incidents, lineage, monitor, profile, reach, risk, selection, sketches, triage
 from ..operators.quantiles import exact_quantiles
 from ..sources import history as H
 from ..sources.connectors import connector_tables, schema_of_tables
@@ -715,6 +715,30 @@ def owners(spark, d):
     return lineage.affected_owners(lineage.blast_radius(nodes, edge_rows, starts))
 
 
+@query
+def reach_changes(spark, d):
+    """Pairs whose hop changes when customers of one segment move up to their region and those of another go.
+
+    Of the orders of moved customers the shipments come nearer too, unless the supplier's way was as short.
+    """
+    nodes, edge_rows, starts = _region_blast(spark, d)
+    edge_rows = stage(edge_rows, "edges")
+    above = edge_rows.join(nodes.where("resource_type = 'source'").select(F.col("uid").alias("src")), "src").select(
+        "graph", F.col("src").alias("top"), F.col("dst").alias("src")
+    )
+
+    def of_segment(name):
+        return nodes.where(F.col("name") == f"segment {name}").select(F.col("uid").alias("dst"))
+
+    into = edge_rows.join(of_segment("BUILDING").unionByName(of_segment("MACHINERY")), "dst")
+    moved = edge_rows.join(of_segment("BUILDING"), "dst").join(above, ["graph", "src"])
+    changed = edge_rows.join(into.select("graph", "src", "dst"), ["graph", "src", "dst"], "left_anti").unionByName(
+        moved.select("graph", F.col("top").alias("src"), "dst")
+    )
+    reached = lineage.reachable(edge_rows, starts)
+    return reach.reach_changes(reached, edge_rows, stage(changed, "edges"), starts).drop("graph")
+
+
 @query
 def hop_layers(spark, d):
     nodes, edge_rows, starts = _region_blast(spark, d)

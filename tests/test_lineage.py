@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from driftlens.operators import lineage, triage
+from driftlens.operators import lineage, reach, triage
 from driftlens.sources.manifest import manifest_nodes, read_manifest
 
 PATH = os.path.join(os.path.dirname(__file__), "fixtures", "manifest.json")
@@ -150,6 +150,57 @@ def test_random_graph_with_cycles_against_plain_search(spark):
     assert {(r.start_uid, r.uid) for r in near} == {k for k, h in expected.items() if h == 1}
 
 
+def plain_reach(pairs, starts):
+    out = {}
+    for start in starts:
+        distance, frontier = {start: 0}, [start]
+        while frontier:
+            step = []
+            for node in frontier:
+                for a, b in pairs:
+                    if a == node and b not in distance:
+                        distance[b] = distance[node] + 1
+                        step.append(b)
+            frontier = step
+        out.update({(start, n): h for n, h in distance.items() if h})
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_reach_is_kept_up_when_edges_come_and_go(spark, seed):
+    rng = random.Random(seed)
+    old = {(f"n{rng.randrange(40)}", f"n{rng.randrange(40)}") for _ in range(90)} | {("n0", f"n{i}") for i in range(5, 12)}
+    gone = set(rng.sample(sorted(old), 15)) if seed != 2 else set()
+    new = (old - gone) | ({(f"n{rng.randrange(44)}", f"n{rng.randrange(44)}") for _ in range(8)} if seed != 3 else set())
+    names = ["n0", "n1", "n2"]
+    graphs = ["g", "h"]  # nothing changes in the second
+
+    def frame(by):
+        return spark.createDataFrame([(g, *e) for g in graphs for e in sorted(by[g])], "graph string, src string, dst string")
+
+    starts = spark.createDataFrame([(g, n) for g in graphs for n in names], "graph string, start_uid string")
+    before, after = frame({"g": old, "h": old}), frame({"g": new, "h": old})
+    reached = lineage.reachable(before, starts)
+    changes = reach.reach_changes(reached, before, after, starts)
+    first, last = plain_reach(old, names), plain_reach(new, names)
+    expected = {(s, n): (first.get((s, n)), last.get((s, n))) for s, n in first.keys() | last.keys() if first.get((s, n)) != last.get((s, n))}
+    rows = changes.collect()
+    assert {r.graph for r in rows} == {"g"}
+    assert {(r.start_uid, r.uid): (r.hop_before, r.hop_after) for r in rows} == expected and expected
+    kept_up = {(r.graph, r.start_uid, r.uid): r.hop for r in reach.with_changes(reached, changes).collect()}
+    assert kept_up == {("g", *k): h for k, h in last.items()} | {("h", *k): h for k, h in first.items()}
+
+
+def test_a_change_at_a_leaf_and_no_change_at_all(spark):
+    chain = [(f"n{i}", f"n{i + 1}") for i in range(6)]
+    edges = spark.createDataFrame(chain, "src string, dst string")
+    starts = spark.createDataFrame([("n0",)], "start_uid string")
+    reached = lineage.reachable(edges, starts)
+    fewer = spark.createDataFrame(chain[:-1], "src string, dst string")
+    assert [(r.uid, r.hop_before, r.hop_after) for r in reach.reach_changes(reached, edges, fewer, starts).collect()] == [("n6", 6, None)]
+    assert reach.reach_changes(reached, edges, edges, starts).count() == 0
+
+
 def test_hop_positions(spark):
     reached = spark.createDataFrame([("s", f"n{i:03d}", 1 if i < 90 else 2) for i in range(100)], "start_uid string, uid string, hop int")
     rows = lineage.hop_positions(reached).collect()

@@ -23,13 +23,24 @@ _FACT_COLUMNS = [part.split()[0] for part in FACT_SCHEMA.split(", ")]
 _PLACE = "uid string, part int, column string, exact boolean"
 
 
+_OFFSETS = ("from_part", "to_part", "literal_start", "literal_stop", "snippet_start", "snippet_stop")
+_ROWS = 20_000  # facts handed back at once
+
+
+def _table(rows: list[tuple]) -> pd.DataFrame:
+    table = pd.DataFrame(rows, columns=["graph", "uid", *_FACT_COLUMNS])
+    return table.astype(dict.fromkeys(_OFFSETS, "Int32"))
+
+
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    rows: list[tuple] = []
     for batch in batches:
         for graph, uid, sql in zip(batch["graph"], batch["uid"], batch["sql"]):
-            rows = pd.DataFrame([(graph, uid, *row) for row in facts(sql)], columns=["graph", "uid", *_FACT_COLUMNS])
-            for name in ("from_part", "to_part", "literal_start", "literal_stop", "snippet_start", "snippet_stop"):
-                rows[name] = rows[name].astype("Int32")
-            yield rows
+            rows += [(graph, uid, *row) for row in facts(sql)]
+            if len(rows) >= _ROWS:
+                yield _table(rows)
+                rows = []
+    yield _table(rows)
 
 
 def _with_sql(nodes: DataFrame) -> DataFrame:

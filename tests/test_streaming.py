@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from driftlens.operators import drift, incidents, monitor, profile
 from driftlens.streaming.drift_check import check_stream, current_log
 from driftlens.streaming.event_log import log_events
-from driftlens.streaming.incident_state import current_state, stream_transitions, track_incidents
+from driftlens.streaming.incident_state import current_state, stream_transitions, track_incidents, transitions
+from driftlens.streaming.keyed import append_to
 from driftlens.streaming.merges import close_on_merge, closed_by_merge
 from driftlens.streaming.staleness import raised_alarms, stale_now, watch_staleness
 from driftlens.streaming.sync_watch import detected_changes, watch_syncs
@@ -159,6 +160,21 @@ def test_actions_out_of_order(spark, tmp_path):
     assert sum(state_writes(second)) == 1 and sum(state_writes(third)) == 0
 
 
+def test_incidents_share_states(spark, tmp_path):
+    log, opened = random_log(7, events=400)
+    opened_frame, events = frames(spark, log, opened)
+    in_files(events, str(tmp_path / "in"), ["at", "seq"], 2)
+    actions = file_stream(spark, str(tmp_path / "in"), ACTION)
+    query = append_to(transitions(actions, opened_frame, buckets=3), str(tmp_path / "out"), "transitions", True)
+    query.awaitTermination()
+    states = current_state(spark, str(tmp_path / "out"), opened_frame).collect()
+    batch = {r.report_id: (r.state, r.decided_seq, r.reenabled_seq) for r in incidents.decisions(opened_frame, events).collect()}
+    assert {r.report_id: (r.state, r.decided_seq, r.reenabled_seq) for r in states} == batch
+    # a state, and a call of Python, a bucket and not an incident
+    assert sum(r.state != "pending" for r in states) > 3
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 3
+
+
 MERGE = "report_id string, pr_number bigint, merged boolean, merged_at timestamp_ntz, pr_url string"
 
 

@@ -40,6 +40,9 @@ def manifest_nodes(documents: DataFrame) -> DataFrame:
         .select("graph", F.explode(F.expr(f"concat({listed})")).alias("entry"))
         .select("graph", "entry.*")
     )
+    # nodes shrink many times when packed, so parts merged by their packed size would be large ones to sort
+    count = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    entries = entries.repartition(count, "graph", "uid")
     same_id = Window.partitionBy("graph", "uid")
     latest = (
         entries.withColumn("first_mention", F.min(F.struct("map_rank", "place")).over(same_id))

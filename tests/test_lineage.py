@@ -219,3 +219,12 @@ def test_stale_literal_is_found_and_fixed(spark, nodes, edges):
     assert fix.original_snippet == "d.mode = 'rail'"
     assert fix.fixed_snippet == "d.mode = 'rail ''n'' road'"
     assert fix.fixed_sql.endswith("where d.mode = 'rail ''n'' road'")
+
+
+def test_manifest_parts_are_not_merged(spark):
+    """Rows that pack well are dealt over all parts, also where few packed bytes would be merged into one."""
+    text = '{"nodes": {%s}}' % ", ".join(f'"n{i}": {{"name": "n{i}"}}' for i in range(200))
+    nodes = manifest_nodes(spark.createDataFrame([("g", text)], "graph string, value string"))
+    parts = {r.part for r in nodes.select(F.spark_partition_id().alias("part")).collect()}
+    assert len(parts) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert nodes.count() == 200

@@ -21,8 +21,10 @@ def in_graph(rows: DataFrame) -> DataFrame:
 def edges(nodes: DataFrame) -> DataFrame:
     """Distinct upstream-to-downstream pairs of each graph; dependencies on unknown nodes are dropped."""
     known = in_graph(nodes)
-    pairs = known.select("graph", F.explode("depends_on").alias("src"), F.col("uid").alias("dst")).distinct()
-    return pairs.join(known.select("graph", F.col("uid").alias("src")), ["graph", "src"], "left_semi").select("graph", "src", "dst")
+    pairs = known.select("graph", F.explode(F.array_distinct("depends_on")).alias("src"), F.col("uid").alias("dst"))
+    # the join deals the pairs by their upstream end, and in that place they are made distinct
+    met = pairs.join(known.select("graph", F.col("uid").alias("src")), ["graph", "src"], "left_semi")
+    return met.select("graph", "src", "dst").distinct()
 
 
 def find_sources(nodes: DataFrame, requests: DataFrame) -> DataFrame:
@@ -48,10 +50,10 @@ def find_sources(nodes: DataFrame, requests: DataFrame) -> DataFrame:
 def reachable(edge_rows: DataFrame, starts: DataFrame, max_hops: int | None = None) -> DataFrame:
     """Every node reachable from each start, with its shortest hop: (graph, start_uid, uid, hop), starts excluded.
 
-    A breadth-first search by joins: each hop joins the frontier with the edges, keeps one row per (start, node),
-    drops what was reached before and writes the rest down. The edges are written once, bucketed by their upstream
-    end, so that only the frontier moves. All starts advance together, cycles end by themselves, and only the
-    emptiness of a hop is looked at outside the cluster.
+    A breadth-first search by joins: each hop joins the frontier with the edges, keeps what was not reached before, once
+    per (start, node), and writes it down. The edges are written once, bucketed by their upstream end, so that only the
+    frontier moves. All starts advance together, cycles end by themselves, and only the emptiness of a hop is looked at
+    outside the cluster.
     """
     spark = edge_rows.sparkSession
     linked = stage_bucketed(in_graph(edge_rows).select("graph", "src", "dst"), "edges", "graph", "src")
@@ -64,15 +66,14 @@ def reachable(edge_rows: DataFrame, starts: DataFrame, max_hops: int | None = No
         frontier = spark.read.schema(schema).parquet(f"{root}/hop={hop}")
         visited = spark.read.schema(schema).parquet(*[f"{root}/hop={h}" for h in range(hop + 1)])
         hop += 1
-        step = (
+        found = (
             frontier.withColumnRenamed("uid", "src")
             .join(linked, ["graph", "src"])
-            .select("graph", "start_uid", F.col("dst").alias("uid"))
-            .distinct()
-            .join(visited.select(*node), node, "left_anti")
-            .withColumn("hop", F.lit(hop))
+            .select("graph", "start_uid", F.col("dst").alias("uid"), F.lit(hop).alias("hop"))
         )
-        step.write.parquet(f"{root}/hop={hop}")
+        # one grouping drops what comes twice and what an earlier hop reached
+        first = found.unionByName(visited.where("uid is not null")).groupBy(*node).agg(F.min("hop").alias("hop"))
+        first.where(F.col("hop") == hop).write.parquet(f"{root}/hop={hop}")
         if spark.read.schema(schema).parquet(f"{root}/hop={hop}").isEmpty():
             break
     return spark.read.schema(schema).parquet(*[f"{root}/hop={h}" for h in range(hop + 1)]).where("hop > 0")
@@ -121,7 +122,7 @@ def blast_edges(nodes: DataFrame, edge_rows: DataFrame, starts: DataFrame, reach
     given = in_graph(starts)
     members = reached.select("graph", "start_uid", "uid").unionByName(
         given.select("graph", "start_uid", F.col("start_uid").alias("uid"))
-    ).distinct()
+    )
     named = members.join(in_graph(nodes).select("graph", "uid", "name"), ["graph", "uid"])
     upstream = named.select("graph", "start_uid", F.col("uid").alias("src"), F.col("name").alias("from_name"))
     downstream = named.select("graph", "start_uid", F.col("uid").alias("dst"), F.col("name").alias("to_name"))

@@ -228,3 +228,16 @@ def test_manifest_parts_are_not_merged(spark):
     parts = {r.part for r in nodes.select(F.spark_partition_id().alias("part")).collect()}
     assert len(parts) == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert nodes.count() == 200
+
+
+def test_edges_and_hops_with_repeats(spark):
+    """Nodes that come twice, dependencies named twice and nodes without an id."""
+    rows = [("a", []), ("b", ["a", "a", "x"]), ("b", ["a"]), ("c", ["b", "a"]), (None, ["a", "b"]), ("d", None)]
+    edges = lineage.edges(spark.createDataFrame(rows, "uid string, depends_on array<string>"))
+    assert sorted((r.src, r.dst or "") for r in edges.collect()) == [("a", ""), ("a", "b"), ("a", "c"), ("b", ""), ("b", "c")]
+    # one exchange deals the pairs, for the join and for making them distinct
+    plan = edges._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("Join")
+    starts = spark.createDataFrame([("a",)], "start_uid string")
+    found = sorted((r.uid or "", r.hop) for r in lineage.reachable(edges, starts).collect())
+    assert found == [("", 1), ("", 2), ("b", 1), ("c", 1)]

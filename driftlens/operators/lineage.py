@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import not_blank, severity
-from ..staging import new_path, stage_bucketed
+from ..staging import deal, is_bucketed, new_path, stage, stage_bucketed
 
 
 def in_graph(rows: DataFrame) -> DataFrame:
@@ -19,12 +19,25 @@ def in_graph(rows: DataFrame) -> DataFrame:
 
 
 def edges(nodes: DataFrame) -> DataFrame:
-    """Distinct upstream-to-downstream pairs of each graph; dependencies on unknown nodes are dropped."""
+    """Distinct upstream-to-downstream pairs of each graph; dependencies on unknown nodes are dropped.
+
+    What nodes depend on is made distinct before it is looked up, and what is unknown is written down: a missing node
+    that most nodes name is one row there, and its pairs go before any exchange. The rest are dealt by their upstream end
+    once, and in that place they are made distinct.
+    """
     known = in_graph(nodes)
-    pairs = known.select("graph", F.explode(F.array_distinct("depends_on")).alias("src"), F.col("uid").alias("dst"))
-    # the join deals the pairs by their upstream end, and in that place they are made distinct
-    met = pairs.join(known.select("graph", F.col("uid").alias("src")), ["graph", "src"], "left_semi")
-    return met.select("graph", "src", "dst").distinct()
+    named = known.select("graph", F.explode(F.array_distinct("depends_on")).alias("src"), F.col("uid").alias("dst"))
+    pairs = named.where("graph is not null and src is not null")
+    missing = pairs.select("graph", "src").distinct().join(
+        known.select("graph", F.col("uid").alias("src")), ["graph", "src"], "left_anti"
+    )
+    return deal(pairs.join(stage(missing, "missing"), ["graph", "src"], "left_anti"), "graph", "src").distinct()
+
+
+def stage_edges(nodes: DataFrame) -> DataFrame:
+    """``edges`` written once as ``reachable`` reads them, bucketed by their upstream end from where they lie."""
+    # a graph that is a fixed value would be left out of the exchange
+    return stage_bucketed(edges(nodes), "edges", "graph", "src", dealt="graph" in nodes.columns)
 
 
 def find_sources(nodes: DataFrame, requests: DataFrame) -> DataFrame:
@@ -56,7 +69,9 @@ def reachable(edge_rows: DataFrame, starts: DataFrame, max_hops: int | None = No
     outside the cluster.
     """
     spark = edge_rows.sparkSession
-    linked = stage_bucketed(in_graph(edge_rows).select("graph", "src", "dst"), "edges", "graph", "src")
+    linked = edge_rows
+    if not is_bucketed(edge_rows, "graph", "src"):
+        linked = stage_bucketed(in_graph(edge_rows).select("graph", "src", "dst"), "edges", "graph", "src")
     root = new_path(spark, "reached")
     frontier = in_graph(starts).select("graph", "start_uid", F.col("start_uid").alias("uid"), F.lit(0).alias("hop")).distinct()
     schema, node = "graph string, start_uid string, uid string, hop int", ["graph", "start_uid", "uid"]

@@ -241,3 +241,24 @@ def test_edges_and_hops_with_repeats(spark):
     starts = spark.createDataFrame([("a",)], "start_uid string")
     found = sorted((r.uid or "", r.hop) for r in lineage.reachable(edges, starts).collect())
     assert found == [("", 1), ("", 2), ("b", 1), ("c", 1)]
+
+
+def test_a_missing_node_that_all_name_is_looked_up_once(spark, monkeypatch):
+    """What is unknown is one row however many nodes name it, so that no task gets all of their pairs."""
+    rows = [(f"n{i}", [f"n{i // 2}", "nowhere", None, "nowhere"]) for i in range(1, 400)] + [("n0", None), ("n7", ["n0"]), ("n7", ["n0"])]
+    nodes = spark.createDataFrame(rows, "uid string, depends_on array<string>")
+    written = {}
+    monkeypatch.setattr(lineage, "stage", lambda df, label: written.setdefault(label, df))
+    edges = lineage.edges(nodes)
+    assert [tuple(r) for r in written["missing"].collect()] == [("", "nowhere")]
+    assert sorted((r.src, r.dst) for r in edges.collect()) == sorted([(f"n{i // 2}", f"n{i}") for i in range(1, 400)] + [("n0", "n7")])
+
+
+def test_staged_edges_are_not_written_again(spark, monkeypatch):
+    nodes = spark.createDataFrame([("g", "a", []), ("g", "b", ["a"]), ("h", "b", ["a"])], "graph string, uid string, depends_on array<string>")
+    edges = lineage.stage_edges(nodes)
+    starts = spark.createDataFrame([("g", "a"), ("h", "a")], "graph string, start_uid string")
+    labels, write = [], lineage.stage_bucketed
+    monkeypatch.setattr(lineage, "stage_bucketed", lambda df, label, *keys, **more: labels.append(label) or write(df, label, *keys, **more))
+    assert [tuple(r) for r in lineage.reachable(edges, starts).collect()] == [("g", "a", "b", 1)] and labels == []
+    assert lineage.reachable(edges.limit(1), starts).count() == 1 and labels == ["edges"]

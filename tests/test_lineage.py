@@ -262,3 +262,14 @@ def test_staged_edges_are_not_written_again(spark, monkeypatch):
     monkeypatch.setattr(lineage, "stage_bucketed", lambda df, label, *keys, **more: labels.append(label) or write(df, label, *keys, **more))
     assert [tuple(r) for r in lineage.reachable(edges, starts).collect()] == [("g", "a", "b", 1)] and labels == []
     assert lineage.reachable(edges.limit(1), starts).count() == 1 and labels == ["edges"]
+
+
+def test_changed_edges_are_told_apart_in_one_grouping(spark, monkeypatch):
+    starts = spark.createDataFrame([("n0",)], "start_uid string")
+    old = spark.createDataFrame([("n0", "n1"), ("n0", "n1"), ("n1", "n2"), ("n2", None)], "src string, dst string")
+    new = spark.createDataFrame([("n0", "n1"), ("n0", "n2"), ("n0", "n2"), ("n2", None)], "src string, dst string")
+    written, write = {}, reach.stage
+    monkeypatch.setattr(reach, "stage", lambda df, label: written.setdefault(label, write(df, label)))
+    changes = reach.reach_changes(lineage.reachable(old, starts), old, new, starts)
+    assert sorted((r.src, r.dst, r["was"], r["is"]) for r in written["differing"].collect()) == [("n0", "n2", 0, 1), ("n1", "n2", 1, 0)]
+    assert [(r.uid, r.hop_before, r.hop_after) for r in changes.collect()] == [("n2", 2, 1)]

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,23 +19,24 @@ from ..staging import new_path, stage, stage_bucketed
 from .lineage import in_graph, node_sql
 
 ASKED = ["source_table", "changed_column", "graph", "start_uid"]
-_FACT_COLUMNS = [part.split()[0] for part in FACT_SCHEMA.split(", ")]
+_FACTS = [tuple(part.split()) for part in FACT_SCHEMA.split(", ")]
+_ARROW = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
 _PLACE = "uid string, part int, column string, exact boolean"
 
 
-_OFFSETS = ("from_part", "to_part", "literal_start", "literal_stop", "snippet_start", "snippet_stop")
 _ROWS = 20_000  # facts handed back at once
 
 
-def _table(rows: list[tuple]) -> pd.DataFrame:
-    table = pd.DataFrame(rows, columns=["graph", "uid", *_FACT_COLUMNS])
-    return table.astype(dict.fromkeys(_OFFSETS, "Int32"))
+def _table(rows: list[tuple]) -> pa.RecordBatch:
+    schema = pa.schema([("graph", pa.string()), ("uid", pa.string()), *((c, _ARROW[kind]) for c, kind in _FACTS)])
+    columns = zip(*rows) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, schema)], schema=schema)
 
 
-def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows: list[tuple] = []
     for batch in batches:
-        for graph, uid, sql in zip(batch["graph"], batch["uid"], batch["sql"]):
+        for graph, uid, sql in zip(*(batch.column(c).to_pylist() for c in ("graph", "uid", "sql"))):
             rows += [(graph, uid, *row) for row in facts(sql)]
             if len(rows) >= _ROWS:
                 yield _table(rows)
@@ -56,7 +57,7 @@ def column_facts(nodes: DataFrame) -> DataFrame:
     """
     ship(nodes.sparkSession)
     known = in_graph(nodes)
-    found = _with_sql(nodes).mapInPandas(_scan, f"graph string, uid string, {FACT_SCHEMA}")
+    found = _with_sql(nodes).mapInArrow(_scan, f"graph string, uid string, {FACT_SCHEMA}")
     is_source = F.col("resource_type") == "source"
     name = F.lower("name")
     own = F.when(is_source, F.concat(F.lit("source:"), F.lower("source_name"), F.lit("."), name)).otherwise(
@@ -70,9 +71,11 @@ def column_facts(nodes: DataFrame) -> DataFrame:
         .distinct()
         .join(names, ["graph", "from_uid"])
     )
-    inner = found.where("relation is null").withColumn("from_uid", F.col("uid")).drop("relation")
-    outer = found.where("relation is not null").join(upstream, ["graph", "uid", "relation"]).drop("relation")
-    return inner.unionByName(outer.select(*inner.columns))
+    # inner places and relations in one pass, as each reference to the scan would run it again
+    own_place = F.col("relation").isNull()
+    met = found.join(upstream, ["graph", "uid", "relation"], "left").where(own_place | F.col("from_uid").isNotNull())
+    columns = [c for c, _ in _FACTS if c != "relation"]
+    return met.select("graph", "uid", *columns, F.when(own_place, F.col("uid")).otherwise(F.col("from_uid")).alias("from_uid"))
 
 
 def trace(column_facts: DataFrame, starts: DataFrame) -> DataFrame:

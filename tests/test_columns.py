@@ -6,6 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftlens.operators import columns, lineage
+from driftlens.plans import roles
+
+from scenario import DATA
 
 NODE = (
     "graph string, uid string, position struct<map_rank:int,place:int>, name string, resource_type string, source_name string, "
@@ -124,3 +127,14 @@ def test_generated_models_against_a_plain_search(spark):
     _, _, traced = followed(spark, table(spark, *rows))
     assert {(r.uid, r.column) for r in traced.where("uid <> start_uid").collect()} == expected and expected
     assert traced.where(~F.col("exact")).count() == 0
+
+
+def test_models_are_scanned_once(spark, chain):
+    plan = columns.column_facts(chain)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapIn") == 1
+
+
+def test_manifests_are_made_in_many_tasks(spark):
+    """A small table is one task to read, but its manifests are many times its size."""
+    for made in (roles.renaming_manifests, roles.customer_manifests):
+        assert made(spark, DATA).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -7,7 +7,8 @@ A text is the set of hashes of its word n-grams. Texts with equal sets are one c
   largest possible difference. A tile is the classes of a band that agree in a part. A class also joins the next band's
   scheme when a partner can lie there. A set with too few non-empty parts joins by single hashes as well.
 * In a tile every class is first compared with the tile's least class. Bitmaps of hashed n-grams bound the overlap
-  from above: a bit set only on one side is at least one n-gram more. Pairs that pass are compared exactly, by
+  from above: a bit set only on one side is at least one n-gram more. A bitmap grows with its set, as a full one tells
+  nothing; the longer of two is folded to the shorter. Pairs that pass are compared exactly, by
   intersecting sorted arrays. Tiles whose classes are then all connected need nothing more; in the others all pairs
   from different components are bounded by bitmaps, in blocks of bounded size, and the rest compared exactly.
 
@@ -27,6 +28,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +39,7 @@ from driftlens.staging import stage
 
 BAND = 1.5
 BITMAP_BITS = 2048
+MOST_BITMAP_BITS = 1 << 15
 BLOCK = 2048
 SET_BYTES = 1 << 18
 GROUP_ROWS = 1 << 16
@@ -65,9 +68,15 @@ def class_key(hashes: np.ndarray) -> int:
     return int(mix(np.array([total, len(hashes)], dtype=np.uint64) * _ODD).sum(dtype=np.uint64).astype(np.int64))
 
 
+def bitmap_bits(n: int) -> int:
+    """Bits of the bitmap of ``n`` n-grams: a power of two, at least two an n-gram within the limits."""
+    return min(max(BITMAP_BITS, 1 << (2 * n - 1).bit_length()), MOST_BITMAP_BITS)
+
+
 def bitmap(hashes: np.ndarray) -> bytes:
-    bits = np.zeros(BITMAP_BITS, dtype=np.uint8)
-    bits[(hashes >> np.uint64(20)) % np.uint64(BITMAP_BITS)] = 1
+    count = bitmap_bits(len(hashes))
+    bits = np.zeros(count, dtype=np.uint8)
+    bits[(hashes >> np.uint64(20)) % np.uint64(count)] = 1
     return np.packbits(bits).tobytes()
 
 
@@ -126,9 +135,21 @@ def may_link(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray, percent
     return 100 * most >= percent * (n + m - most)
 
 
-def _words(column: pa.Array) -> np.ndarray:
-    """Bitmaps of a batch as rows of 64-bit words."""
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(len(column), -1)
+def bitmap_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit words of all bitmaps of a batch, where each begins and the last ends)."""
+    sizes = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) // 8
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64), np.concatenate(([0], np.cumsum(sizes)))
+
+
+def folded(words: np.ndarray, edges: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+    """The bitmaps of ``rows`` as rows of ``size`` words, no more than any of them has: a bitmap's parts are united."""
+    out = np.empty((len(rows), size), dtype=np.uint64)
+    sizes = edges[rows + 1] - edges[rows]
+    for own in np.unique(sizes):
+        some = np.flatnonzero(sizes == own)
+        parts = words[edges[rows[some]][:, None] + np.arange(own)].reshape(len(some), -1, size)
+        out[some] = np.bitwise_or.reduce(parts, axis=1)
+    return out
 
 
 def described(docs: DataFrame, size: int, id_col: str, text: str) -> DataFrame:
@@ -238,7 +259,13 @@ def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 n, m = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
-                ok = may_link(n, m, _words(batch.column(4)), _words(batch.column(5)), percent)
+                x, y = bitmap_words(batch.column(4)), bitmap_words(batch.column(5))
+                least = np.minimum(np.diff(x[1]), np.diff(y[1]))
+                ok = np.zeros(batch.num_rows, dtype=bool)
+                for size in np.unique(least):
+                    some = np.flatnonzero(least == size)
+                    for rows in np.array_split(some, -(-len(some) // BLOCK)):
+                        ok[rows] = may_link(n[rows], m[rows], folded(*x, rows, size), folded(*y, rows, size), percent)
                 yield batch.select([0, 1]).filter(pa.array(ok))
 
     return map_arrow(joined, run, "a long, b long")
@@ -305,19 +332,25 @@ def _cross_pairs(open_tiles: DataFrame, classes: DataFrame, percent: int) -> Dat
         .select("tile", "p", "q", "own", "class", "root", "n", "bitmap")
     )
 
-    def pairs_of(own: np.ndarray, p: int, q: int, name: np.ndarray, root: np.ndarray, n: np.ndarray, bits: np.ndarray):
+    def pairs_of(own: np.ndarray, p: int, q: int, name: np.ndarray, root: np.ndarray, n: np.ndarray, words: np.ndarray, edges: np.ndarray):
         order = np.argsort(n, kind="stable")
-        own, name, root, n, bits = own[order], name[order], root[order], n[order], bits[order]
-        for i in range(len(n) - 1):
-            # partners are not smaller, and not too large
-            end = int(np.searchsorted(n, n[i] * 100 // percent, side="right"))
-            rest = slice(i + 1, end)
-            some = (root[rest] != root[i]) & ((own[rest] != own[i]) | (p == q))
-            some = np.flatnonzero(some) + i + 1
-            if len(some):
-                some = some[may_link(np.full(len(some), n[i]), n[some], bits[i][None, :], bits[some], percent)]
-                for j in some:
-                    yield max(name[i], name[j]), min(name[i], name[j])
+        own, name, root, n = own[order], name[order], root[order], n[order]
+        # larger sets have no shorter bitmaps
+        sizes = (edges[1:] - edges[:-1])[order]
+        for size in np.unique(sizes):
+            mine = np.flatnonzero(sizes == size)
+            first, last = int(mine[0]), int(np.searchsorted(n, n[mine[-1]] * 100 // percent, side="right"))
+            bits = folded(words, edges, order[first:last], size)
+            for i in mine:
+                # partners are not smaller, and not too large
+                end = int(np.searchsorted(n, n[i] * 100 // percent, side="right"))
+                rest = slice(i + 1, end)
+                some = (root[rest] != root[i]) & ((own[rest] != own[i]) | (p == q))
+                some = np.flatnonzero(some) + i + 1
+                if len(some):
+                    some = some[may_link(np.full(len(some), n[i]), n[some], bits[i - first][None, :], bits[some - first], percent)]
+                    for j in some:
+                        yield max(name[i], name[j]), min(name[i], name[j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -325,12 +358,12 @@ def _cross_pairs(open_tiles: DataFrame, classes: DataFrame, percent: int) -> Dat
         def work(table: pa.Table) -> pa.RecordBatch:
             cols = [table.column(i).combine_chunks() for i in range(8)]
             tile, p, q, own, name, root, n = (c.to_numpy(zero_copy_only=False) for c in cols[:7])
-            bits = _words(cols[7])
+            words, edges = bitmap_words(cols[7])
             begin = np.flatnonzero(np.concatenate(([True], (tile[1:] != tile[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1]))))
             out: set[tuple[int, int]] = set()
             for a, b in zip(begin, np.append(begin[1:], len(tile))):
                 if b - a > 1:
-                    out.update(pairs_of(own[a:b], p[a], q[a], name[a:b], root[a:b], n[a:b], bits[a:b]))
+                    out.update(pairs_of(own[a:b], p[a], q[a], name[a:b], root[a:b], n[a:b], words, edges[a : b + 1]))
             return pa.RecordBatch.from_arrays(
                 [pa.array([x for x, _ in out], type=pa.int64()), pa.array([y for _, y in out], type=pa.int64())], names=["a", "b"]
             )

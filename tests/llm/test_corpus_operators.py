@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -426,6 +427,41 @@ def test_bitmaps_never_rule_out_a_link():
         assert jaccard.may_link(np.array([len(x)]), np.array([len(y)]), bits(x), bits(y), 85)[0] or not jaccard.linked(x, y, 85)
 
 
+def test_bitmaps_of_large_sets_rule_out_strangers():
+    rng = np.random.default_rng(9)
+    bits = lambda s: np.frombuffer(jaccard.bitmap(s), dtype=np.uint64)[None, :]
+    for n in (2000, 6000, 20_000):
+        x, y = (rng.integers(0, 2**63, n, dtype=np.uint64) for _ in range(2))
+        assert not jaccard.may_link(np.array([n]), np.array([n]), bits(x), bits(y), 80)[0]
+
+
+def test_folded_bitmaps_are_those_of_fewer_bits(monkeypatch):
+    rng = np.random.default_rng(10)
+    sets = [np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in (3, 1000, 1100, 2500, 9000, 40_000)]
+    words, edges = jaccard.bitmap_words(pa.array([jaccard.bitmap(s) for s in sets], type=pa.binary()))
+    assert np.diff(edges).tolist() == [32, 32, 64, 128, 512, 512]
+    out = jaccard.folded(words, edges, np.array([5, 0, 2, 4, 1, 3]), 32)
+    monkeypatch.setattr(jaccard, "MOST_BITMAP_BITS", 2048)
+    assert [x.tobytes() for x in out] == [jaccard.bitmap(sets[i]) for i in (5, 0, 2, 4, 1, 3)]
+
+
+@pytest.mark.parametrize("block", [jaccard.BLOCK, 3])
+def test_sets_with_bitmaps_of_different_length_are_joined(spark, monkeypatch, block):
+    rng = random.Random(11)
+    rows = []
+    for _ in range(4):
+        base = [str(rng.randint(0, 10**6)) for _ in range(1150)]
+        for _ in range(6):  # 920 to 1,150 words: bitmaps of 2,048 and of 4,096 bits
+            w = base[: rng.randint(920, 1150)]
+            for _ in range(rng.randint(0, 30)):
+                w[rng.randrange(len(w))] = str(rng.randint(0, 10**6))
+            rows.append((len(rows) * 3 + 1, " ".join(w)))
+    assert len({jaccard.bitmap_bits(len(t.split())) for _, t in rows}) == 2
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert by_row(jaccard.join(frame, 1, 85)) == Counter(plain_join(rows, 1, 85))
+
+
 def test_one_of_each_group_stays(docs, rows, empty):
     out = jaccard.one_of_each(docs)
     joined = plain_join(rows, 5, 80)

@@ -7,37 +7,122 @@ ids are searched together and stay apart. A frame without it is one graph, named
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import not_blank, severity
-from ..staging import deal, is_bucketed, new_path, stage, stage_bucketed
+from ..staging import Growing, deal, stage, stage_bucketed
 
 
 def in_graph(rows: DataFrame) -> DataFrame:
     return rows if "graph" in rows.columns else rows.withColumn("graph", F.lit(""))
 
 
+def placed(rows: DataFrame, column: str = "uid") -> DataFrame:
+    """Rows with the ``place`` that the node named in ``column`` has. Different nodes may share one."""
+    return rows.withColumn("place", F.hash("graph", column))
+
+
+def same(*pairs: tuple[str, str]) -> Column:
+    """Whether columns are equal, for rows that meet by ``place``: written so that joins do not exchange rows by them."""
+    told = F.lit(True)
+    for one, other in pairs:
+        told = told & (F.col(one) <= F.col(other)) & (F.col(one) >= F.col(other))
+    return told
+
+
+def _shown(lies: DataFrame, *columns: str) -> DataFrame:
+    """Columns of what lies dealt by ``place``, which ``in_place`` finds again."""
+    rows = lies.select(*columns)
+    rows._in_place = lies
+    return rows
+
+
+def in_place(rows: DataFrame, column: str = "uid") -> DataFrame:
+    """Rows with their ``place``: as they lie where they are dealt by it, else to be exchanged by it."""
+    return getattr(rows, "_in_place", None) or placed(in_graph(rows), column)
+
+
+def links(edge_rows: DataFrame) -> tuple[DataFrame, ...]:
+    """Edges with the ``place`` of their upstream end: of ``stage_edges`` those that lead on and those that do not."""
+    return getattr(edge_rows, "_links", None) or (placed(in_graph(edge_rows).select("graph", "src", "dst"), "src"),)
+
+
+def stage_nodes(nodes: DataFrame) -> DataFrame:
+    """Nodes written once, bucketed by their place, so that what is found about nodes meets them without an exchange.
+
+    Only of sources the position is asked for, and kept.
+    """
+    given = in_graph(nodes).withColumn("position", F.when(F.col("resource_type") == "source", F.col("position")))
+    written = Growing(nodes.sparkSession, "nodes", "place").add(deal(placed(given), "place"))
+    return _shown(written, *given.columns)
+
+
+def _pairs(nodes: DataFrame, parted: bool = False) -> list[DataFrame]:
+    """``edges`` with the place of their upstream end, dealt by it; ``parted`` into those that lead on and those that do not."""
+    known, spark = in_place(nodes), nodes.sparkSession
+    # only a node that comes twice gives a pair twice; nodes that merely share a hash do no harm here
+    told = known.groupBy("place", F.xxhash64("graph", "uid")).count().where("count > 1").select("place")
+    repeated = not stage(told, "repeated").isEmpty()
+
+    def once(rows: DataFrame) -> DataFrame:
+        return rows.distinct() if repeated else rows
+
+    def named(rows: DataFrame, *more: str) -> DataFrame:
+        rows = rows.select("graph", F.explode(F.array_distinct("depends_on")).alias("src"), *more)
+        return rows.where("graph is not null and src is not null")
+
+    there = known.select(F.col("place").alias("known_place"), F.col("graph").alias("known_graph"), F.col("uid").alias("known_uid"))
+    node = (F.col("place") == F.col("known_place")) & same(("graph", "known_graph"), ("src", "known_uid"))
+    looked_up = deal(placed(named(known).distinct(), "src"), "place").join(there, node, "left")
+    looked_up = once(looked_up.select("place", "graph", "src", F.col("known_uid").isNotNull().alias("known")))
+    names = Growing(spark, "names", "place").add(looked_up)
+    missing = stage(names.where("not known").select("graph", "src"), "missing")
+
+    def pairs(rows: DataFrame) -> DataFrame:
+        rows = named(rows.withColumnRenamed("uid", "dst"), "dst").join(missing, ["graph", "src"], "left_anti")
+        return once(deal(placed(rows, "src"), "place"))
+
+    if not parted:
+        return [pairs(known)]
+    leading = names.where("known").select(F.col("place").alias("up_place"), F.col("graph").alias("up_graph"), F.col("src").alias("up"))
+    leads = (F.col("place") == F.col("up_place")) & same(("graph", "up_graph"), ("uid", "up"))
+    return [pairs(known.join(leading.hint("shuffle_hash"), leads, how)) for how in ("left_semi", "left_anti")]
+
+
 def edges(nodes: DataFrame) -> DataFrame:
     """Distinct upstream-to-downstream pairs of each graph; dependencies on unknown nodes are dropped.
 
     What nodes depend on is made distinct before it is looked up, and what is unknown is written down: a missing node
-    that most nodes name is one row there, and its pairs go before any exchange. The rest are dealt by their upstream end
-    once, and in that place they are made distinct.
+    that most nodes name is one row there, and its pairs go before any exchange. The rest are dealt by the place of their
+    upstream end once, and in that place they are made distinct, where a node comes twice.
     """
-    known = in_graph(nodes)
-    named = known.select("graph", F.explode(F.array_distinct("depends_on")).alias("src"), F.col("uid").alias("dst"))
-    pairs = named.where("graph is not null and src is not null")
-    missing = pairs.select("graph", "src").distinct().join(
-        known.select("graph", F.col("uid").alias("src")), ["graph", "src"], "left_anti"
-    )
-    return deal(pairs.join(stage(missing, "missing"), ["graph", "src"], "left_anti"), "graph", "src").distinct()
+    return _pairs(nodes)[0].select("graph", "src", "dst")
+
+
+def stage_edges(nodes: DataFrame, ends: bool = True) -> DataFrame:
+    """``edges`` as ``reachable`` reads them, written bucketed by the place of their upstream end from where they lie.
+
+    Those whose downstream end leads on lie apart from the others, which no search follows from hop to hop. Without ``ends``
+    the others are not written but made where they are read, which is less work when that is once.
+    """
+    parts = [rows.select("place", "graph", "src", "dst") for rows in _pairs(nodes, parted=True)]
+    parts[0] = Growing(nodes.sparkSession, "edges", "place").add(parts[0])
+    if ends:
+        parts[1] = Growing(nodes.sparkSession, "edges", "place").add(parts[1])
+    rows = parts[0].unionByName(parts[1]).select("graph", "src", "dst")
+    rows._links = tuple(parts)
+    return rows
 
 
-def stage_edges(nodes: DataFrame) -> DataFrame:
-    """``edges`` written once as ``reachable`` reads them, bucketed by their upstream end from where they lie."""
-    # a graph that is a fixed value would be left out of the exchange
-    return stage_bucketed(edges(nodes), "edges", "graph", "src", dealt="graph" in nodes.columns)
+def lay_edges(edge_rows: DataFrame) -> DataFrame:
+    """Any edges written once as they are, bucketed by the place of their upstream end."""
+    written = Growing(edge_rows.sparkSession, "edges", "place").add(deal(links(edge_rows)[0], "place"))
+    rows = written.select("graph", "src", "dst")
+    rows._links = (written,)
+    return rows
 
 
 def find_sources(nodes: DataFrame, requests: DataFrame) -> DataFrame:
@@ -64,34 +149,46 @@ def reachable(edge_rows: DataFrame, starts: DataFrame, max_hops: int | None = No
     """Every node reachable from each start, with its shortest hop: (graph, start_uid, uid, hop), starts excluded.
 
     A breadth-first search by joins: each hop joins the frontier with the edges, keeps what was not reached before, once
-    per (start, node), and writes it down. The edges are written once, bucketed by their upstream end, so that only the
-    frontier moves. All starts advance together, cycles end by themselves, and only the emptiness of a hop is looked at
-    outside the cluster.
+    per (start, node), and writes it down. Edges and hops are written bucketed by the place of the node, so that a frontier
+    meets the edges where it lies and only what it finds moves. Edges of ``stage_edges`` are followed only where they lead
+    on; the nodes at the ends are found once, from all hops together. All starts advance together, cycles end by themselves,
+    and only the emptiness of a hop is looked at outside the cluster.
     """
-    spark = edge_rows.sparkSession
-    linked = edge_rows
-    if not is_bucketed(edge_rows, "graph", "src"):
-        linked = stage_bucketed(in_graph(edge_rows).select("graph", "src", "dst"), "edges", "graph", "src")
-    root = new_path(spark, "reached")
-    frontier = in_graph(starts).select("graph", "start_uid", F.col("start_uid").alias("uid"), F.lit(0).alias("hop")).distinct()
-    schema, node = "graph string, start_uid string, uid string, hop int", ["graph", "start_uid", "uid"]
-    frontier.write.parquet(f"{root}/hop=0")
+    spark, (linked, *last) = edge_rows.sparkSession, links(edge_rows)
+    if not last:
+        linked = stage_bucketed(linked, "edges", "place")
+    node = ["place", "graph", "start_uid", "uid"]
+
+    def downstream(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+        met = (F.col("f.place") == F.col("e.place")) & same(("f.graph", "e.graph"), ("f.uid", "e.src"))
+        found = rows.alias("f").join(pairs.alias("e"), met)
+        return placed(found.select("f.graph", "f.start_uid", F.col("e.dst").alias("uid"), (F.col("f.hop") + 1).alias("hop")))
+
+    begun = in_graph(starts).select("graph", "start_uid", F.col("start_uid").alias("uid"), F.lit(0).alias("hop")).distinct()
+    log = Growing(spark, "reached", "place")
+    leads = F.lit(True).alias("leads")
+    reached = log.add(deal(placed(begun).select(*node, "hop", leads), "place"))
     hop = 0
     while max_hops is None or hop < max_hops:
-        frontier = spark.read.schema(schema).parquet(f"{root}/hop={hop}")
-        visited = spark.read.schema(schema).parquet(*[f"{root}/hop={h}" for h in range(hop + 1)])
+        found = downstream(reached.where(F.col("hop") == hop), linked).select(*node, "hop")
         hop += 1
-        found = (
-            frontier.withColumnRenamed("uid", "src")
-            .join(linked, ["graph", "src"])
-            .select("graph", "start_uid", F.col("dst").alias("uid"), F.lit(hop).alias("hop"))
-        )
         # one grouping drops what comes twice and what an earlier hop reached
-        first = found.unionByName(visited.where("uid is not null")).groupBy(*node).agg(F.min("hop").alias("hop"))
-        first.where(F.col("hop") == hop).write.parquet(f"{root}/hop={hop}")
-        if spark.read.schema(schema).parquet(f"{root}/hop={hop}").isEmpty():
+        rows = deal(found.unionByName(reached.where("uid is not null").select(*node, "hop")), "place")
+        first = rows.groupBy(*node).agg(F.min("hop").alias("hop")).where(F.col("hop") == hop)
+        reached = log.add(first.select("*", leads))
+        if reached.where(F.col("hop") == hop).isEmpty():
             break
-    return spark.read.schema(schema).parquet(*[f"{root}/hop={h}" for h in range(hop + 1)]).where("hop > 0")
+    for ends in last:
+        from_hops = reached if max_hops is None else reached.where(F.col("hop") < max_hops)
+        rows = deal(downstream(from_hops, ends), "place")
+        # what has no id is never the same
+        unknown = F.when(F.col("uid").isNull(), F.col("hop")).alias("unknown")
+        first = rows.groupBy(*node, unknown).agg(F.min("hop").alias("hop"))
+        reached = log.add(first.select(*node, "hop", F.lit(False).alias("leads")))
+    shown = _shown(reached.where("hop > 0"), "graph", "start_uid", "uid", "hop")
+    if max_hops is None:
+        shown._whole = (edge_rows, starts, reached.where("leads"))
+    return shown
 
 
 def node_sql(nodes: DataFrame) -> Column:
@@ -103,10 +200,11 @@ def blast_radius(
     nodes: DataFrame, edge_rows: DataFrame, starts: DataFrame, max_hops: int | None = None
 ) -> DataFrame:
     """Downstream nodes of each (source_table, changed_column, start_uid), nearest first by ``hop``."""
-    reached = reachable(edge_rows, starts, max_hops)
-    described = in_graph(nodes).select(
-        "graph",
-        "uid",
+    reached = in_place(reachable(edge_rows, starts, max_hops))
+    described = in_place(nodes).select(
+        F.col("place").alias("node_place"),
+        F.col("graph").alias("node_graph"),
+        F.col("uid").alias("node_uid"),
         "resource_type",
         "name",
         F.when(F.col("resource_type") == "exposure", F.coalesce(not_blank(F.col("owner_name")), "owner_email")).alias("owner"),
@@ -115,7 +213,7 @@ def blast_radius(
     column = F.coalesce("changed_column", F.lit(""))
     return (
         reached.join(in_graph(starts), ["graph", "start_uid"])
-        .join(described, ["graph", "uid"])
+        .join(described, (F.col("place") == F.col("node_place")) & same(("graph", "node_graph"), ("uid", "node_uid")))
         .select(
             "source_table",
             "changed_column",
@@ -133,20 +231,36 @@ def blast_radius(
 
 
 def blast_edges(nodes: DataFrame, edge_rows: DataFrame, starts: DataFrame, reached: DataFrame) -> DataFrame:
-    """Edges among a start and what it reaches, by node name; nodes of equal name merge."""
-    given = in_graph(starts)
-    members = reached.select("graph", "start_uid", "uid").unionByName(
-        given.select("graph", "start_uid", F.col("start_uid").alias("uid"))
-    )
-    named = members.join(in_graph(nodes).select("graph", "uid", "name"), ["graph", "uid"])
-    upstream = named.select("graph", "start_uid", F.col("uid").alias("src"), F.col("name").alias("from_name"))
-    downstream = named.select("graph", "start_uid", F.col("uid").alias("dst"), F.col("name").alias("to_name"))
-    return (
-        upstream.join(in_graph(edge_rows), ["graph", "src"])
-        .join(downstream, ["graph", "start_uid", "dst"])
-        .select("graph", "start_uid", "from_name", "to_name")
-        .distinct()
-    )
+    """Edges among a start and what it reaches, by node name; nodes of equal name merge.
+
+    Names and downstream ends are found in place. Where ``reached`` is, as it stands, what ``reachable`` gave without a limit
+    for these edges and starts, the far end of every edge is reached as well, and one exchange brings it to its name.
+    Otherwise one brings it to where its start reaches it.
+    """
+    names = in_place(nodes).select("place", "graph", "uid", "name").alias("n")
+    met = (F.col("m.place") == F.col("n.place")) & same(("m.graph", "n.graph"), ("m.uid", "n.uid"))
+    led = (F.col("m.place") == F.col("e.place")) & same(("m.graph", "e.graph"), ("m.uid", "e.src"))
+
+    def named(members: DataFrame) -> DataFrame:
+        return members.alias("m").join(names, met).select("m.place", "m.graph", "m.start_uid", "m.uid", "n.name")
+
+    def downstream(members: DataFrame) -> list[DataFrame]:
+        ends = [named(members).alias("m").join(pairs.alias("e"), led) for pairs in links(edge_rows)]
+        return [e.select("m.graph", "m.start_uid", F.col("e.dst").alias("uid"), F.col("m.name").alias("from_name")) for e in ends]
+
+    whole = getattr(reached, "_whole", None)
+    if whole and whole[0] is edge_rows and whole[1] is starts:
+        far = deal(placed(reduce(DataFrame.unionByName, downstream(whole[2]))), "place")
+        pairs = far.alias("m").join(names, met).select("m.graph", "m.start_uid", "m.from_name", F.col("n.name").alias("to_name"))
+    else:
+        given = placed(in_graph(starts).select("graph", "start_uid", F.col("start_uid").alias("uid")))
+        members = [in_place(reached), given]
+        # a key that is a number sorts many times faster than texts do
+        key = F.xxhash64("graph", "start_uid", "uid").alias("key")
+        far = reduce(DataFrame.unionByName, [e for m in members for e in downstream(m)]).select("*", key)
+        there = reduce(DataFrame.unionByName, [named(m).drop("place") for m in members]).select("*", key)
+        pairs = far.join(there.withColumnRenamed("name", "to_name"), ["key", "graph", "start_uid", "uid"])
+    return pairs.select("graph", "start_uid", "from_name", "to_name").distinct()
 
 
 def models_sql(nodes: DataFrame, names: DataFrame) -> DataFrame:
@@ -221,19 +335,16 @@ def hop_positions(reached: DataFrame) -> DataFrame:
 
     A layer may hold most of the graph, so the places are counted chunk by chunk.
     """
-    from .ordered import running_totals
+    from .ordered import places
 
-    placed = running_totals(
-        in_graph(reached).select("graph", "start_uid", "hop", "uid"),
-        ["uid"],
-        {"upto": F.lit(1)},
-        group=["graph", "start_uid", "hop"],
-    )
-    return placed.select("graph", "start_uid", "hop", "uid", (F.col("upto") - 1).cast("bigint").alias("place"))
+    rows = in_graph(reached).select("graph", "start_uid", "hop", "uid")
+    return places(rows, ["uid"], "place", group=["graph", "start_uid", "hop"])
 
 
 def affected_owners(blast: DataFrame) -> DataFrame:
     """Affected assets and distinct named owners per incident source."""
-    assets = blast.groupBy("source_table").agg(F.count(F.lit(1)).alias("asset_count"))
-    owners = blast.where("owner is not null").select("source_table", "owner").distinct()
+    # one pass over what is affected
+    owned = stage(blast.groupBy("source_table", "owner").agg(F.count(F.lit(1)).alias("n")), "owned")
+    assets = owned.groupBy("source_table").agg(F.sum("n").alias("asset_count"))
+    owners = owned.where("owner is not null").select("source_table", "owner")
     return owners.join(assets, "source_table")

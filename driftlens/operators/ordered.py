@@ -57,6 +57,22 @@ def running_totals(
     )
 
 
+def places(df: DataFrame, order: list[str], name: str, group: list[str], chunks: int | None = None) -> DataFrame:
+    """Add each row's place inside its group, from 0. Rows are exchanged and sorted once; rows of equal order come in any order.
+
+    A sorted chunk numbers its rows as it is written; one small row per (group, chunk) says by how much to move them.
+    """
+    keys = [*group, *order]
+    ranged = df.repartitionByRange(chunks, *keys) if chunks else df.repartitionByRange(*keys)
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = stage(ranged.sortWithinPartitions(*keys).select("*", F.spark_partition_id().alias("chunk"), at.alias("__at")), "chunks")
+    earlier = Window.partitionBy(*group).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    per_chunk = placed.groupBy(*group, "chunk").agg(F.min("__at").alias("first"), F.count(F.lit(1)).alias("n"))
+    shift = (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("__shift")
+    moved = _carried(placed, stage(per_chunk.select(*group, "chunk", shift), "shifts"), group)
+    return moved.select(*df.columns, (F.col("__at") + F.col("__shift")).alias(name))
+
+
 def previous_value(
     df: DataFrame, group: list[str], order: list[str], value: str, name: str, chunks: int | None = None
 ) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftlens.operators import lineage, reach, triage
+from driftlens.operators.ordered import places
 from driftlens.sources.manifest import manifest_nodes, read_manifest
 
 PATH = os.path.join(os.path.dirname(__file__), "fixtures", "manifest.json")
@@ -273,3 +274,74 @@ def test_changed_edges_are_told_apart_in_one_grouping(spark, monkeypatch):
     changes = reach.reach_changes(lineage.reachable(old, starts), old, new, starts)
     assert sorted((r.src, r.dst, r["was"], r["is"]) for r in written["differing"].collect()) == [("n0", "n2", 0, 1), ("n1", "n2", 1, 0)]
     assert [(r.uid, r.hop_before, r.hop_after) for r in changes.collect()] == [("n2", 2, 1)]
+
+
+def odd_nodes(spark, rng):
+    """Nodes of two graphs with cycles, repeats, missing and null dependencies, and nodes without an id."""
+    rows = [(g, f"n{i}", [f"n{rng.randrange(50)}" for _ in range(rng.randrange(4))] + ["nowhere", None], f"name {i % 7}") for g in "gh" for i in range(60)]
+    rows += rows[:9] + [("g", None, ["n1", "n2", "n3"], "none"), ("h", "n5", None, "again"), (None, "n1", ["n2"], "lost")]
+    return spark.createDataFrame(rows, "graph string, uid string, depends_on array<string>, name string").select(
+        "*", F.lit("model").alias("resource_type"), F.lit(0).alias("position")
+    )
+
+
+@pytest.mark.parametrize("max_hops", [None, 0, 1, 3])
+@pytest.mark.parametrize("ends", [True, False])
+def test_ends_of_the_graph_are_found_once(spark, monkeypatch, max_hops, ends):
+    """Nodes that lead nowhere are in no hop of the search, and the result is that of a search over all edges."""
+    nodes = odd_nodes(spark, random.Random(11))
+    plain = lineage.edges(nodes)
+    laid = lineage.stage_edges(lineage.stage_nodes(nodes), ends)
+    assert sorted(map(str, laid.collect())) == sorted(map(str, plain.collect()))
+    starts = spark.createDataFrame([(g, n) for g in "gh" for n in ("n1", "n4", "n59")], "graph string, start_uid string")
+    expected = sorted(map(str, lineage.reachable(plain, starts, max_hops).collect()))
+    added, add = [], lineage.Growing.add
+    monkeypatch.setattr(lineage.Growing, "add", lambda self, rows: added.append(rows) or add(self, rows))
+    assert sorted(map(str, lineage.reachable(laid, starts, max_hops).collect())) == expected
+    leading = {(r.graph, r.src) for r in plain.collect()}
+    hops = [{(r.graph, r.uid) for r in rows.collect()} for rows in added[1:]]
+    assert all(nodes <= leading for nodes in hops[:-1]) and not (hops[-1] & leading)
+
+
+def test_a_frontier_meets_edges_and_nodes_where_it_lies(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        nodes = lineage.stage_nodes(odd_nodes(spark, random.Random(12)).select("*", *[F.lit("").alias(c) for c in ("raw_code", "raw_sql", "compiled_code", "owner_name", "owner_email")]))
+        starts = spark.createDataFrame([("g", "n1", "t", "c")], "graph string, start_uid string, source_table string, changed_column string")
+        reached = lineage.in_place(lineage.reachable(lineage.stage_edges(nodes), starts))
+        names = lineage.in_place(nodes).select("place", "name")
+        plan = reached.join(names, "place")._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(place" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_edges_among_what_is_reached_without_asking_who_reaches_it(spark):
+    nodes = lineage.stage_nodes(odd_nodes(spark, random.Random(13)))
+    laid = lineage.stage_edges(nodes)
+    starts = spark.createDataFrame([(g, f"n{i}") for g in "gh" for i in (*range(6), 59)], "graph string, start_uid string")
+    reached = lineage.reachable(laid, starts)
+    whole = lineage.blast_edges(nodes, laid, starts, reached)
+    asked = lineage.blast_edges(nodes, laid, starts, reached.select("*"))  # another frame: nothing is known of it
+    found = whole.collect()
+    assert sorted(map(str, found)) == sorted(map(str, asked.collect())) and found
+    assert "key" not in whole._jdf.queryExecution().optimizedPlan().toString()
+    near = lineage.reachable(laid, starts, max_hops=1)
+    few = {tuple(r) for r in lineage.blast_edges(nodes, laid, starts, near).collect()}
+    assert few < {tuple(r) for r in found}
+
+
+def test_places_need_no_exchange_after_the_ranges(spark):
+    rows = [(g, f"n{i:03d}" if i else None) for g in ("a", "b", None) for i in range(50)]
+    frame = spark.createDataFrame(rows, "graph string, uid string").repartition(5)
+    got = places(frame, ["uid"], "place", ["graph"], chunks=4)
+    assert {(r.graph, r.uid, r.place) for r in got.collect()} == {(g, f"n{i:03d}" if i else None, i) for g in ("a", "b", None) for i in range(50)}
+    assert "hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_owners_read_the_blast_once(spark, monkeypatch):
+    rows = [("t", "a"), ("t", "a"), ("t", None), ("u", None), (None, "b")]
+    labels, write = [], lineage.stage
+    monkeypatch.setattr(lineage, "stage", lambda df, label: labels.append(label) or write(df, label))
+    owners = lineage.affected_owners(spark.createDataFrame(rows, "source_table string, owner string"))
+    assert [(r.source_table, r.owner, r.asset_count) for r in owners.collect()] == [("t", "a", 3)] and labels == ["owned"]

@@ -345,3 +345,22 @@ def test_owners_read_the_blast_once(spark, monkeypatch):
     monkeypatch.setattr(lineage, "stage", lambda df, label: labels.append(label) or write(df, label))
     owners = lineage.affected_owners(spark.createDataFrame(rows, "source_table string, owner string"))
     assert [(r.source_table, r.owner, r.asset_count) for r in owners.collect()] == [("t", "a", 3)] and labels == ["owned"]
+
+
+def test_upkeep_reads_edges_and_reach_where_they_lie(spark, monkeypatch):
+    """Edges and reach that lie by place are not written again; only the reach by pair and what changes is."""
+    rng = random.Random(5)
+    nodes = lineage.stage_nodes(odd_nodes(spark, rng))
+    old = lineage.stage_edges(nodes)
+    kept = old.where("dst is null or dst not in ('n3', 'n7', 'n55')")
+    new = lineage.lay_edges(kept.unionByName(spark.createDataFrame([("g", "n1", "n55"), ("h", "n2", "n3")], "graph string, src string, dst string")))
+    starts = spark.createDataFrame([(g, n) for g in "gh" for n in ("n1", "n2", "n4")], "graph string, start_uid string")
+    reached = lineage.reachable(old, starts)
+    labels, made = [], reach.Growing.__init__
+    monkeypatch.setattr(reach.Growing, "__init__", lambda self, spark, label, *keys: labels.append(label) or made(self, spark, label, *keys))
+    changes = reach.reach_changes(reached, old, new, starts)
+    assert labels == ["held", "lost", "gained"]
+    first = {(r.graph, r.start_uid, r.uid): r.hop for r in reached.where("uid is not null").collect()}
+    last = {(r.graph, r.start_uid, r.uid): r.hop for r in lineage.reachable(new, starts).where("uid is not null").collect()}
+    got = {(r.graph, r.start_uid, r.uid): (r.hop_before, r.hop_after) for r in changes.collect()}
+    assert got == {k: (first.get(k), last.get(k)) for k in first.keys() | last.keys() if first.get(k) != last.get(k)} and got
